@@ -6,15 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from matchflow.llm import byte_bpe, chat_format, exact_dedup, token_counts
+from matchflow.llm import byte_bpe, chat_format, exact_dedup, language_id, packing, secret_scan, token_counts
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 QUERIES: dict[str, Query] = {
     "op1_chat_format": chat_format.op1_chat_format,
     "op2_token_counts": token_counts.op2_token_counts,
+    "op4_secret_scan": secret_scan.op4_secret_scan,
+    "op5_language_id": language_id.op5_language_id,
     "op7_byte_bpe": byte_bpe.op7_byte_bpe,
     "op9_exact_dedup": exact_dedup.op9_exact_dedup,
+    "op10_packing": packing.op10_packing,
 }
 
 ORACLE_SQL: dict[str, str] = {
