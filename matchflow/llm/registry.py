@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from matchflow.llm import byte_bpe, chat_format, exact_dedup, language_id, minhash_dedup, packing, secret_scan, token_counts
+from matchflow.llm import ann_search, byte_bpe, chat_format, exact_dedup, language_id, minhash_dedup, packing, secret_scan, token_counts
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -15,6 +15,7 @@ QUERIES: dict[str, Query] = {
     "op2_token_counts": token_counts.op2_token_counts,
     "op4_secret_scan": secret_scan.op4_secret_scan,
     "op5_language_id": language_id.op5_language_id,
+    "op6_ann_search": ann_search.op6_ann_search,
     "op7_byte_bpe": byte_bpe.op7_byte_bpe,
     "op8_minhash_dedup": minhash_dedup.op8_minhash_dedup,
     "op9_exact_dedup": exact_dedup.op9_exact_dedup,
