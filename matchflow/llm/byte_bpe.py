@@ -13,6 +13,7 @@ import base64
 import functools
 import hashlib
 import re
+from itertools import chain
 
 import public_tokenizers
 import pyarrow as pa
@@ -23,7 +24,7 @@ from matchflow.llm.common import map_text, table
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.tiktoken")
 #: Bytes in a leaf of the tree; remembered pieces, matches, short merges and pairs in a worker; the longest piece remembered.
-LEAF, MAX_PIECES, MAX_MATCHES, MAX_SHORT, LONG_PIECE = 6, 250_000, 500_000, 200_000, 64
+LEAF, MAX_PIECES, MAX_MATCHES, MAX_SHORT, LONG_PIECE = 6, 500_000, 600_000, 300_000, 64
 
 
 class ByteBpe:
@@ -31,10 +32,11 @@ class ByteBpe:
         with open(path, "rb") as f:
             self.rank = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         self.spelling = {r: b for b, r in self.rank.items()}
+        self.digits = {r: b" %d" % r for r in self.spelling}
         self.pattern = regex.compile(pattern)
         self.short: dict[bytes, list[int]] = {}
-        self.pairs: dict[tuple[int, int], bool] = {}
-        self.known: dict[str, tuple[bytes, tuple[int, ...]]] = {}
+        self.pairs: dict[tuple[int, int], list[int]] = {}
+        self.known: dict[str, list[int]] = {}
         self.matches: dict[str, list[int]] = {}
 
     def merge(self, raw: bytes) -> list[int]:
@@ -63,35 +65,45 @@ class ByteBpe:
             self.short[raw] = got
         return got
 
-    def _apart(self, pair: tuple[int, int]) -> bool:
-        """Whether BPE of the two tokens' bytes is these two tokens."""
-        got = self.pairs[pair] = self.merge(self.spelling[pair[0]] + self.spelling[pair[1]]) == [*pair]
-        if len(self.pairs) > MAX_SHORT:
-            self.pairs.clear()
+    def meet(self, a: int, b: int) -> list[int]:
+        """What BPE makes of the two tokens' bytes: the two themselves if it leaves them apart."""
+        got = self.pairs.get((a, b))
+        if got is None:
+            if len(self.pairs) >= MAX_SHORT:
+                self.pairs.clear()
+            got = self.pairs[a, b] = self.merge(self.spelling[a] + self.spelling[b])
         return got
 
     def apart(self, a: int, b: int) -> bool:
-        got = self.pairs.get((a, b))
-        return self._apart((a, b)) if got is None else got
+        return self.meet(a, b) == [a, b]
 
     def join(self, left: list[int], right: list[int]) -> list[int]:
         """The encoding of left's bytes followed by right's."""
-        if not left or not right or self.apart(left[-1], right[0]):
+        if not left or not right:
+            return left + right
+        window = self.meet(left[-1], right[0])
+        if len(window) == 2 and window[0] == left[-1]:
             return left + right
         k = 1
         while True:
             i, j = max(0, len(left) - k), min(len(right), k)
-            window = self.merge(b"".join(map(self.spelling.__getitem__, left[i:] + right[:j])))
             if (i == 0 or self.apart(left[i - 1], window[0])) and (j == len(right) or self.apart(window[-1], right[j])):
                 return left[:i] + window + right[j:]
             k *= 2
+            i, j = max(0, len(left) - k), min(len(right), k)
+            window = self.merge(b"".join(map(self.spelling.__getitem__, left[i:] + right[:j])))
 
     def encode_bytes(self, raw: bytes) -> list[int]:
         """The tree reduction over one match of the pattern (level by level, so that depth never overflows a stack)."""
+        if len(raw) <= LEAF:
+            return self.merge(raw)
+        if len(raw) <= 2 * LEAF:
+            half = len(raw) // 2
+            return self.join(self.merge(raw[:half]), self.merge(raw[half:]))
         level = [self.merge(raw[i : i + LEAF]) for i in range(0, len(raw), LEAF)]
         while len(level) > 1:
             level = [self.join(*level[i : i + 2]) if i + 1 < len(level) else level[i] for i in range(0, len(level), 2)]
-        return level[0] if level else []
+        return level[0]
 
     def match(self, text: str) -> list[int]:
         """Ids of one match of the pattern."""
@@ -104,12 +116,17 @@ class ByteBpe:
                 self.matches[text] = ids
         return ids
 
-    def piece(self, text: str) -> tuple[bytes, tuple[int, ...]]:
-        """Ids of a stretch that starts and ends on borders of the pattern: as text (each after a space) and as numbers."""
+    def piece(self, text: str) -> list[int]:
+        """Ids of a stretch that starts and ends on borders of the pattern."""
         got = self.known.get(text)
         if got is None:
-            ids = [i for m in self.pattern.findall(text) for i in self.match(m)]
-            got = b"".join(b" %d" % i for i in ids), tuple(ids)
+            word = text[1:] if text[:1] == " " else text
+            if word.isalpha():
+                got = self.match(text)
+            elif word[:-1].isalpha() and word[-1] in ".,;:!?":
+                got = self.match(text[:-1]) + self.match(word[-1])
+            else:
+                got = [i for m in self.pattern.findall(text) for i in self.match(m)]
             if len(self.known) >= MAX_PIECES:
                 self.known.clear()
             if len(text) <= LONG_PIECE:
@@ -124,10 +141,9 @@ class ByteBpe:
         first, *rest = text.split(" ")
         return [first, *[" " + r for r in rest]] if first else [" " + r for r in rest]
 
-    def encode(self, text: str) -> list[tuple[bytes, tuple[int, ...]]]:
-        known = self.known.get
-        pieces = self.pieces(text)
-        return [known(p) or self.piece(p) for p in pieces]
+    def encode(self, text: str) -> list[int]:
+        known, piece = self.known.get, self.piece
+        return list(chain.from_iterable([known(p) or piece(p) for p in self.pieces(text)]))
 
     def decode(self, ids: list[int]) -> bytes:
         """Concatenation up the tree; ``bytes.join`` does all levels at once."""
@@ -148,7 +164,7 @@ def encode_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         c = codec(path)
-        ids = [[i for _, part in c.encode(t or "") for i in part] for t in batch.column(1).to_pylist()]
+        ids = [c.encode(t or "") for t in batch.column(1).to_pylist()]
         return pa.record_batch([batch.column(0), pa.array(ids, pa.list_(pa.int32()))], names=["doc_id", "ids"])
 
     kind = docs.schema[id_col].dataType.simpleString()
@@ -178,10 +194,9 @@ def round_trip(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         c, n, encoded, decoded = codec(path), [], [], []
         for t in batch.column(1).to_pylist():
-            parts = c.encode(t or "")
-            ids = [i for _, part in parts for i in part]
+            ids = c.encode(t or "")
             n.append(len(ids))
-            encoded.append(hashlib.sha256(b"".join([p[0] for p in parts])[1:]).hexdigest())
+            encoded.append(hashlib.sha256(b"".join(map(c.digits.__getitem__, ids))[1:]).hexdigest())
             decoded.append(hashlib.sha256(c.decode(ids)).hexdigest())
         return pa.record_batch([batch.column(0), pa.array(n, pa.int64()), pa.array(encoded), pa.array(decoded)], names=names)
 
