@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from matchflow.llm import ann_search, byte_bpe, chat_format, exact_dedup, language_id, minhash_dedup, packing, secret_scan, token_counts
+from matchflow.llm import ann_search, byte_bpe, chat_format, exact_dedup, language_id, minhash_dedup, packing, secret_scan, substring_dedup, token_counts
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 QUERIES: dict[str, Query] = {
     "op1_chat_format": chat_format.op1_chat_format,
     "op2_token_counts": token_counts.op2_token_counts,
+    "op3_substring_dedup": substring_dedup.op3_substring_dedup,
     "op4_secret_scan": secret_scan.op4_secret_scan,
     "op5_language_id": language_id.op5_language_id,
     "op6_ann_search": ann_search.op6_ann_search,
