@@ -10,21 +10,20 @@ leaves a bounded number of open windows a group.
 from __future__ import annotations
 
 import functools
-import json
 import os
 import unicodedata
 import zlib
+from itertools import accumulate, chain
 
 import numpy as np
 import pandas as pd
 import public_tokenizers
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from matchflow.llm.common import cut_lineage, map_text, table
-from matchflow.llm.token_counts import split_words
+from matchflow.llm.token_counts import counter, split_words
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 #: Distinct words and stretches between white space that a worker remembers; the longest stretch remembered.
@@ -35,9 +34,9 @@ class IdEncoder:
     """Ids of whole texts as the library gives them, as little-endian 32-bit bytes.
 
     The vocabulary's pattern never crosses white space and drops it, and its normaliser works within such stretches, so
-    that a text's ids are those of its stretches one after another, and a stretch's those of its words. The library
-    encodes each distinct word once, many in one call: every word ends with the one token of its that has the word-end
-    mark. Stretches with special strings, and any case where words and marks differ in number, go to it as they are.
+    that a text's ids are those of its stretches one after another, and a stretch's those of its words. Words go through
+    the transducer that is compiled from the same file; stretches with special strings, and letters whose lower case the
+    normaliser would compose anew, go to the library as they are.
     """
 
     def __init__(self, path: str) -> None:
@@ -45,59 +44,50 @@ class IdEncoder:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        with open(path, encoding="utf-8") as f:
-            spec = json.load(f)
-        self.pattern = regex.compile(spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"])
-        mark, vocab = spec["model"]["end_of_word_suffix"], self.library.get_vocab(with_added_tokens=True)
-        self.ends = np.zeros(max(vocab.values()) + 1, bool)
-        self.ends[[i for t, i in vocab.items() if t.endswith(mark)]] = True
+        self.compiled = counter(path)
         self.known: dict[str, bytes] = {}
         self.words: dict[str, bytes] = {}
 
     def whole(self, text: str) -> bytes:
         return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def learn(self, missing: set[str]) -> dict[str, bytes]:
-        """Ids of stretches not seen before."""
-        got, parts = {}, {}
-        for m in missing:
-            low = m.lower() if m.isascii() else unicodedata.normalize("NFC", m).lower()
-            if "<|" in m or "Σ" in m or not low.isascii() and unicodedata.normalize("NFC", low).lower() != low:
-                got[m] = self.whole(m)
-            elif low.isalpha():
-                parts[m] = [low]
-            elif low[:-1].isalpha() and low[-1] in ".,;:!?":
-                parts[m] = [low[:-1], low[-1]]
-            else:
-                parts[m] = self.pattern.findall(low)
-        new = list({w for ws in parts.values() for w in ws if w not in self.words})
-        words = self.words
-        if new:
-            ids = np.array(self.library.encode(" ".join(new), add_special_tokens=False).ids, "<u4")
-            cuts = np.flatnonzero(self.ends[ids]) + 1
-            if len(cuts) != len(new):
-                return got | {m: self.whole(m) for m in parts}
-            raw, at = ids.tobytes(), (4 * cuts).tolist()
-            coded = {w: raw[i:j] for w, i, j in zip(new, [0, *at], at)}
-            if len(words) + len(coded) > MAX_WORDS:
-                words = self.words = {w: words[w] for ws in parts.values() for w in ws if w in words}
-            words.update(coded)
-        get = words.__getitem__
-        got.update((m, b"".join(map(get, ws))) for m, ws in parts.items())
+    def word(self, word: str) -> bytes:
+        got = self.words.get(word)
+        if got is None:
+            ids = self.compiled.transducer.encode(word.encode())
+            got = b"".join([i.to_bytes(4, "little") for i in ids])
+            if len(self.words) >= MAX_WORDS:
+                self.words.clear()
+            if len(word) <= LONG_WORD:
+                self.words[word] = got
+        return got
+
+    def stretch(self, raw: str) -> bytes:
+        """Ids of a stretch without white space."""
+        low = raw.lower() if raw.isascii() else unicodedata.normalize("NFC", raw).lower()
+        if low.isalpha() and low.isascii():
+            got = self.word(low)
+        elif "<|" in raw or "Σ" in raw or not low.isascii() and unicodedata.normalize("NFC", low).lower() != low:
+            got = self.whole(raw)
+        elif low[:-1].isalpha() and low[-1] in ".,;:!?":
+            got = self.word(low[:-1]) + self.word(low[-1])
+        else:
+            got = b"".join(map(self.word, self.compiled.word.findall(low)))
+        if len(self.known) >= MAX_STRETCHES:
+            self.known.clear()
+        if len(raw) <= LONG_WORD:
+            self.known[raw] = got
         return got
 
     def batch(self, texts: list[str]) -> list[bytes]:
         split = [split_words(t) or [t] for t in texts]
-        get = self.known.get
-        coded = [list(map(get, words)) for words in split]
-        missing = {w for words, c in zip(split, coded) if None in c for w, b in zip(words, c) if b is None}
-        if missing:
-            got = self.learn(missing)
-            coded = [[got[w] if b is None else b for w, b in zip(words, c)] if None in c else c for words, c in zip(split, coded)]
-            if len(self.known) + len(got) > MAX_STRETCHES:
-                self.known.clear()
-            self.known.update((w, b) for w, b in got.items() if len(w) <= LONG_WORD)
-        return list(map(b"".join, coded))
+        stretches = list(chain.from_iterable(split))
+        coded = list(map(self.known.get, stretches))
+        for i in [i for i, b in enumerate(coded) if b is None]:
+            raw = stretches[i]
+            coded[i] = self.known.get(raw) or self.stretch(raw)
+        ends = list(accumulate(map(len, split)))
+        return [b"".join(coded[i:j]) for i, j in zip([0, *ends], ends)]
 
 
 @functools.lru_cache(maxsize=4)

@@ -52,7 +52,11 @@ class Transducer:
     def __init__(self, model: dict) -> None:
         alphabet, end = byte_alphabet(), model["end_of_word_suffix"]
         merges = [m if isinstance(m, list) else m.split(" ") for m in model["merges"]]
+        spelled_by = {b: c for c, b in alphabet.items()}
         singles = [(s,) for s in range(2 * FINAL)]
+        #: Each token's number in the vocabulary.
+        self.number_of = [model["vocab"][spelled_by[s % FINAL] + (end if s >= FINAL else "")] for s in range(2 * FINAL)]
+        self.number_of += [model["vocab"][a + b] for a, b in merges]
         self.spelling = singles + [symbols(a + b, alphabet, end) for a, b in merges]
         ids = {s: i for i, s in enumerate(self.spelling)}
         self.rank: dict[tuple[int, int], tuple[int, int]] = {}
@@ -77,7 +81,7 @@ class Transducer:
         self.number: dict[tuple, int] = {((0, -1, 0),): 0}
         self.states: list[tuple] = [((0, -1, 0),)]
         self.moves: list[dict[int, tuple[int, int]]] = [{}]
-        self.ends: list[dict[int, int]] = [{}]
+        self.ends: list[dict[int, tuple[int, int]]] = [{}]
 
     def merge(self, spelled: tuple[int, ...]) -> list[int]:
         """Plain BPE: again and again the earliest-learned pair, leftmost first."""
@@ -124,6 +128,12 @@ class Transducer:
         self.moves[at][symbol] = to, base
         return to, base
 
+    def _end(self, at: int, symbol: int) -> tuple[int, int]:
+        """(tokens, last token) when a word ends with this symbol."""
+        token, n, _ = self._last(self.states[at], symbol)
+        self.ends[at][symbol] = n, token
+        return n, token
+
     def count(self, word: bytes) -> int:
         """Tokens of one word: the sum of what its transitions emit."""
         if len(self.states) > MAX_STATES:
@@ -134,11 +144,23 @@ class Transducer:
             step = moves[at].get(symbol) or self._move(at, symbol)
             at = step[0]
             total += step[1]
-        symbol = word[-1] + FINAL
-        tail = self.ends[at].get(symbol)
-        if tail is None:
-            tail = self.ends[at][symbol] = self._last(self.states[at], symbol)[1]
-        return total + tail
+        return total + (self.ends[at].get(word[-1] + FINAL) or self._end(at, word[-1] + FINAL))[0]
+
+    def encode(self, word: bytes) -> list[int]:
+        """Token numbers of one word: each prefix's last token, followed back from the word's end."""
+        if len(self.states) > MAX_STATES:
+            self.clear()
+        path, at, moves = [], 0, self.moves
+        for symbol in word[:-1]:
+            at = (moves[at].get(symbol) or self._move(at, symbol))[0]
+            path.append(at)
+        token = (self.ends[at].get(word[-1] + FINAL) or self._end(at, word[-1] + FINAL))[1]
+        out, left = [self.number_of[token]], len(word) - len(self.spelling[token])
+        while left:
+            token = self.states[path[left - 1]][-1][1]
+            out.append(self.number_of[token])
+            left -= len(self.spelling[token])
+        return out[::-1]
 
 
 class TextCounter:
