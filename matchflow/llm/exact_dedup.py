@@ -77,16 +77,18 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def keep_one_of_each(docs: DataFrame, keep: str = "max") -> DataFrame:
-    """The rows of ``docs`` that survive, with their own columns."""
-    verdict = exact_dedup(docs, keep=keep)
-    kept = verdict.filter("kept").select(F.col("doc_id").alias("_keep"), "text_sha256")
-    # a survivor is found again by id and digest; a repeated survivor is reduced to one row
-    tagged = docs.withColumn("_sha", F.sha2(F.coalesce("text", F.lit("")), 256))
-    out = tagged.join(kept, tagged["doc_id"].eqNullSafe(kept["_keep"]) & (tagged["_sha"] == kept["text_sha256"]), "left_semi")
-    twice = verdict.groupBy("doc_id", "text_sha256").count().filter("count > 1")
-    many = out.join(twice, out["doc_id"].eqNullSafe(twice["doc_id"]) & (out["_sha"] == twice["text_sha256"]), "left_semi")
-    once = out.join(twice, out["doc_id"].eqNullSafe(twice["doc_id"]) & (out["_sha"] == twice["text_sha256"]), "left_anti")
-    return once.unionByName(many.dropDuplicates(["doc_id", "_sha"])).drop("_sha")
+    """The rows of ``docs`` that survive, with their own columns; of repeated survivors (same id and text) one stays."""
+    pair = lambda df: df.select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha"))
+    verdict = cut_lineage(exact_dedup(docs, keep=keep).select("doc_id", "text_sha256", "kept"))
+    repeated = verdict.groupBy("doc_id", "text_sha256").agg(F.count(F.lit(1)).alias("n"), F.max("kept").alias("kept")).filter("n > 1 AND kept")
+    gone, again = pair(verdict.filter("NOT kept")), pair(repeated)
+    sha = F.sha2(F.coalesce(docs["text"], F.lit("")), 256)
+    same = lambda other: docs["doc_id"].eqNullSafe(other["_id"]) & (sha == other["_sha"])
+    out = docs.join(gone, same(gone), "left_anti")  # a repeated survivor is in ``gone`` too
+    if again.isEmpty():
+        return out
+    tagged = docs.join(again, same(again), "left_semi")
+    return out.unionByName(tagged.withColumn("_sha", F.sha2(F.coalesce("text", F.lit("")), 256)).dropDuplicates(["doc_id", "_sha"]).drop("_sha"))
 
 
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

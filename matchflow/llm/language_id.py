@@ -125,6 +125,19 @@ def train(
     return Model(langs, np.log(counts / counts.sum(axis=0)), np.log(n / n.sum()))
 
 
+def predict(model: Model, texts: list[str]) -> tuple[list[str], list[float]]:
+    """Languages and posterior probabilities; ``und`` and 0 for texts without a letter."""
+    lang, score = [UNKNOWN] * len(texts), [0.0] * len(texts)
+    if model.langs and texts:
+        joint = model.score(texts)
+        best = joint.argmax(axis=1)
+        posterior = 1 / np.exp(joint - joint.max(axis=1, keepdims=True)).sum(axis=1)
+        for i, t in enumerate(texts):
+            if any(map(str.isalpha, t)):
+                lang[i], score[i] = model.langs[best[i]], float(posterior[i])
+    return lang, score
+
+
 def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, lang_pred, score) of every row: the likeliest language and its posterior probability.
 
@@ -134,16 +147,7 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        m = shared.value
-        texts = [t or "" for t in batch.column(1).to_pylist()]
-        lang, score = [UNKNOWN] * len(texts), [0.0] * len(texts)
-        if m.langs:
-            joint = m.score(texts)
-            best = joint.argmax(axis=1)
-            posterior = 1 / np.exp(joint - joint.max(axis=1, keepdims=True)).sum(axis=1)
-            for i, t in enumerate(texts):
-                if any(map(str.isalpha, t)):
-                    lang[i], score[i] = m.langs[best[i]], float(posterior[i])
+        lang, score = predict(shared.value, [t or "" for t in batch.column(1).to_pylist()])
         return pa.record_batch([batch.column(0), pa.array(lang), pa.array(score, pa.float64())], names=["doc_id", "lang_pred", "score"])
 
     kind = docs.schema[id_col].dataType.simpleString()
@@ -151,6 +155,18 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
     return out.withColumnRenamed("doc_id", id_col)
 
 
+def keep_identified(docs: DataFrame, model: Model, min_score: float = 0.5, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` whose language is identified with a posterior of ``min_score`` or more, unchanged."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, text_col):
+            lang, score = predict(shared.value, [t or "" for t in batch.column(batch.schema.get_field_index(text_col)).to_pylist()])
+            yield batch.filter(pa.array([x != UNKNOWN and s >= min_score for x, s in zip(lang, score)]))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return identify(docs, train(docs)).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")

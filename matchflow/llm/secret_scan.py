@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from matchflow.llm.common import map_text, table
+from matchflow.llm.common import map_text, slices, table
 
 
 def _either_case(word: str) -> str:
@@ -154,7 +154,7 @@ def redact(docs: DataFrame, text_col: str = "text", mark: str = "[REDACTED]") ->
     """
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches, text_col):
             at = batch.schema.get_field_index(text_col)
             texts = [t if t is None else _redacted(t, mark) for t in batch.column(at).to_pylist()]
             columns = list(batch.columns)
