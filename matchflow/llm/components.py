@@ -11,10 +11,11 @@ from matchflow.llm.common import cut_lineage
 def connected_components(links: DataFrame) -> DataFrame:
     """(node, component) of every node of ``links`` (columns a, b); component is the smallest node that can be reached.
 
-    In each round a node points to its smallest neighbour (or itself), pointers are followed once more, and links are
-    rewritten between the nodes pointed to. Pointers only ever go down, so that the smallest node of a component stays
-    and everything else contracts into it. Stars, the usual shape of copies, take one round. Self-links, repeated and
-    reversed links are harmless; links with a null end are ignored; no links give an empty result.
+    In each round a node points to its smallest neighbour (or itself), pointers are doubled until all end at a root, and
+    links are rewritten between roots. Pointers only ever go down, so that the smallest node of a component stays and
+    everything else contracts into it. Stars, the usual shape of copies, take one round; a chain of n nodes takes log n
+    doublings. Self-links, repeated and reversed links are harmless; links with a null end are ignored; no links give an
+    empty result.
     """
     links = links.select("a", "b").filter("a IS NOT NULL AND b IS NOT NULL")
     edges = cut_lineage(links.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
@@ -23,10 +24,15 @@ def connected_components(links: DataFrame) -> DataFrame:
     while not edges.isEmpty():
         both = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).union(edges.select("b", "a"))
         up = cut_lineage(both.groupBy("u").agg(F.least("u", F.min("v")).alias("p")))
-        again = up.select(F.col("u").alias("p"), F.col("p").alias("pp"))
-        jump = cut_lineage(up.join(again, "p").select("u", F.col("pp").alias("p")))
+        jump = up.select("u", F.col("p"))
+        while True:
+            again = jump.select(F.col("u").alias("p"), F.col("p").alias("pp"))
+            jump = cut_lineage(jump.join(again, "p").select("u", F.col("pp").alias("p"), (F.col("p") != F.col("pp")).alias("moved")))
+            if jump.filter("moved").isEmpty():
+                break
+            jump = jump.select("u", "p")
         labels = cut_lineage(
-            labels.join(jump.withColumnRenamed("u", "component"), "component", "left").select("node", F.coalesce("p", "component").alias("component"))
+            labels.join(jump.select(F.col("u").alias("component"), "p"), "component", "left").select("node", F.coalesce("p", "component").alias("component"))
         )
         moved = edges.join(jump.select(F.col("u").alias("a"), F.col("p").alias("pa")), "a").join(
             jump.select(F.col("u").alias("b"), F.col("p").alias("pb")), "b"

@@ -7,9 +7,12 @@ own, so that every coordinate is filled. Two sets agree on a coordinate with pro
 the concentration of independent throws, yet a large set needs only a few rounds.
 
 Coordinates are cut into bands; documents that share a band are candidates. Candidate links are confirmed on the full
-sets of shingles. A bucket is never expanded into all its pairs at the outset: its members are first compared with one
-of them, then, where they still fall into several components, with two others, and only what still stands apart
-afterwards is compared pair by pair. Pairs within one component are never compared, as they can't change the result.
+sets of shingles. A bucket is never expanded into all its pairs. Its members are first compared with its smallest one,
+which settles nearly all of a group of copies. What still stands apart from the rest of its buckets afterwards is dealt
+into cells, each around the component that dominates its buckets; within a cell the outsiders' sets meet all sets of the
+cell in blocks, by counting common shingles through an inverted index, and only links come out. Candidates of different
+cells, which accidental bands leave, are compared pair by pair. Pairs within one component are never compared, as they
+can't change the result.
 """
 
 from __future__ import annotations
@@ -22,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from matchflow.llm.common import cut_lineage, map_text, table
+from matchflow.llm.common import cut_lineage, map_text, slices, table
 from matchflow.llm.components import connected_components
 
 #: 40 bands of 6 rows: a pair at similarity 0.8 is missed with probability (1 - 0.8**6)**40, about 5 in a million.
@@ -86,7 +89,7 @@ def fast_sketch(elements: np.ndarray, t: int) -> np.ndarray:
         filled[of[new]] = True
         at += block
     for b in np.flatnonzero(~filled):
-        h = mix(elements + np.uint64(t + int(b) + 1) * _MIX1)
+        h = mix(elements + np.array([t + b + 1], np.uint64) * _MIX1)
         sketch[b] = (np.uint64(t + int(b)) << np.uint64(32)) | (h & np.uint64(0xFFFFFFFF)).min()
     return sketch
 
@@ -142,6 +145,67 @@ def confirm(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFra
     return both.select("a", "b", "text_a", "text_b").mapInArrow(run, f"a {kind}, b {kind}")
 
 
+def links_in_block(rows: list[tuple], percent: int) -> list[tuple]:
+    """(left, right) links between sets of different components, one for each left set and right component.
+
+    ``rows`` are (is_left, id, component, sorted 64-bit hashes).
+    """
+    left = [r for r in rows if r[0]]
+    right = [r for r in rows if not r[0]]
+    if not left or not right:
+        return []
+    sizes = np.array([len(r[3]) for r in left])
+    values, owner = np.concatenate([r[3] for r in left]), np.repeat(np.arange(len(left)), sizes)
+    order = np.argsort(values, kind="stable")
+    values, owner = values[order], owner[order]
+    of_left, out = [r[2] for r in left], {}
+    for _, other, component, hashes in right:
+        lo, hi = np.searchsorted(values, hashes, "left"), np.searchsorted(values, hashes, "right")
+        n = hi - lo
+        at = np.repeat(lo - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
+        common = np.bincount(owner[at], minlength=len(left))
+        for i in np.flatnonzero(100 * common >= percent * (sizes + len(hashes) - common)):
+            if of_left[i] != component:
+                out.setdefault((left[i][1], component), other)
+    return [(a, b) for (a, _), b in out.items()]
+
+
+def links_in_cells(cells: DataFrame, texts: DataFrame, k: int, percent: int, left_rows: int = 512, right_rows: int = 1024) -> DataFrame:
+    """Links (a, b) inside cells. ``cells`` has (rep, component, cell, is_left): left ones meet all of their cell."""
+    kind = cells.schema["rep"].dataType.simpleString()
+    sizes = cells.groupBy("cell").agg(
+        F.ceil(F.sum(F.col("is_left").cast("long")) / left_rows).alias("lefts"), F.ceil(F.count(F.lit(1)) / right_rows).alias("rights")
+    )
+    sizes = cut_lineage(sizes.filter("lefts > 0"))
+
+    def hashed(batches):
+        for batch in slices(batches, "text"):
+            found = [shingle_hashes(words(t), k).tobytes() for t in batch.column(4).to_pylist()]
+            yield pa.record_batch([*batch.columns[:4], pa.array(found, pa.binary())], names=["rep", "component", "cell", "is_left", "hashes"])
+
+    sets = cells.join(texts, "rep").select("rep", "component", "cell", "is_left", "text")
+    sets = sets.mapInArrow(hashed, f"rep {kind}, component {kind}, cell {kind}, is_left boolean, hashes binary").join(sizes, "cell")
+    mixed = F.xxhash64("rep")
+    all_of = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    left = sets.filter("is_left").withColumn("l", F.pmod(mixed, F.col("lefts"))).withColumn("r", all_of("rights"))
+    right = sets.withColumn("r", F.pmod(mixed, F.col("rights"))).withColumn("l", all_of("lefts")).withColumn("is_left", F.lit(False))
+    rows = F.collect_list(F.struct("is_left", "rep", "component", "hashes")).alias("rows")
+    blocks = left.unionByName(right).groupBy("cell", "l", "r").agg(rows).select("rows")
+
+    def compare(batches):
+        for batch in batches:
+            a, b = [], []
+            for n in range(batch.num_rows):
+                v = batch.column(0)[n].values
+                raw = [np.frombuffer(x, np.uint64) for x in v.field("hashes").to_pylist()]
+                for x, y in links_in_block(list(zip(v.field("is_left").to_pylist(), v.field("rep").to_pylist(), v.field("component").to_pylist(), raw)), percent):
+                    a.append(x)
+                    b.append(y)
+            yield pa.record_batch([pa.array(a, batch.column(0).type.value_type.field("rep").type), pa.array(b, batch.column(0).type.value_type.field("rep").type)], names=["a", "b"])
+
+    return blocks.mapInArrow(compare, f"a {kind}, b {kind}")
+
+
 def near_duplicates(
     docs: DataFrame, k: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
@@ -167,31 +231,35 @@ def near_duplicates(
     alike = F.least("n", "pn") * 100 >= F.greatest("n", "pn") * percent  # sets of such sizes can be similar enough
     kind = sketches.schema["doc_id"].dataType.simpleString()
 
-    def against(pivots: DataFrame, now: DataFrame, apart) -> DataFrame:
+    def pairs(rows: DataFrame, pivots: DataFrame, apart) -> DataFrame:
         """Distinct pairs of a pivot and a member of its bucket."""
-        pairs = now.join(pivots, "key").filter(apart & alike & (F.col("rep") != F.col("p")))
-        return pairs.select(F.greatest("rep", "p").alias("b"), F.least("rep", "p").alias("a")).distinct()
-
-    pick = lambda by: F.min_by(F.struct(F.col("rep").alias("p"), F.col("n").alias("pn")), by)
-    first = cut_lineage(members.groupBy("key").agg(pick(F.col("rep")).alias("s")).select("key", "s.*"))
-    links = cut_lineage(confirm(against(first, members, F.lit(True)), texts, k, percent))
-    for last in (False, True):
-        labels = connected_components(links).withColumnRenamed("node", "rep")
-        placed = members.join(labels, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-        open_keys = members.join(labels, "rep", "left").groupBy("key").agg(
-            F.min(F.coalesce("component", "rep")).alias("low"), F.max(F.coalesce("component", "rep")).alias("high")
-        ).filter("low <> high").select("key")
-        now = cut_lineage(placed.join(cut_lineage(open_keys), "key"))
-        if last:  # what still stands apart, pair by pair
-            pivots = now.select("key", F.col("rep").alias("p"), F.col("n").alias("pn"), F.col("component").alias("pc"))
-            apart = (F.col("component") != F.col("pc")) & (F.col("rep") < F.col("p"))
-        else:
-            two = now.groupBy("key").agg(
-                F.array(*[F.min_by(F.struct(F.col("rep").alias("p"), F.col("n").alias("pn"), F.col("component").alias("pc")), by) for by in (-F.col("rep"), F.xxhash64("rep", "key"))]).alias("two")
-            )
-            pivots = cut_lineage(two.select("key", F.inline("two")))
-            apart = F.col("component") != F.col("pc")
-        links = cut_lineage(links.unionByName(confirm(against(pivots, now, apart), texts, k, percent)))
+        met = rows.join(pivots, "key").filter(apart & alike)
+        return met.select(F.greatest("rep", "p").alias("b"), F.least("rep", "p").alias("a")).distinct()
+
+    # first, everything against the smallest of its bucket
+    smallest = F.min(F.struct(F.col("rep").alias("p"), F.col("n").alias("pn"))).alias("s")
+    first = cut_lineage(members.groupBy("key").agg(smallest).select("key", "s.*"))
+    links = cut_lineage(confirm(pairs(members, first, F.col("rep") != F.col("p")), texts, k, percent))
+
+    # then, buckets in which several components are left
+    labels = connected_components(links).withColumnRenamed("node", "rep")
+    placed = members.join(labels, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    open_keys = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high")
+    now = cut_lineage(placed.join(cut_lineage(open_keys.select("key")), "key"))
+    in_key = now.groupBy("key", "component").agg(F.count(F.lit(1)).alias("c"))
+    ruling = in_key.groupBy("key").agg(F.max(F.struct("c", F.col("component").alias("cell"))).alias("m")).select("key", "m.cell")
+    drawn = in_key.join(cut_lineage(ruling), "key").groupBy("component", "cell").agg(F.sum("c").alias("c"))
+    cell_of = cut_lineage(drawn.groupBy("component").agg(F.max(F.struct("c", "cell")).alias("m")).select("component", "m.cell"))
+    cells = cut_lineage(
+        now.select("rep", "component").distinct().join(cell_of, "component").select("rep", "component", "cell", (F.col("component") != F.col("cell")).alias("is_left"))
+    )
+    links = links.unionByName(links_in_cells(cells, texts, k, percent))
+    placed_in = cut_lineage(now.join(cell_of, "component").select("key", "rep", "n", "cell"))
+    split = placed_in.groupBy("key").agg(F.min("cell").alias("low"), F.max("cell").alias("high")).filter("low <> high").select("key")
+    across = cut_lineage(placed_in.join(cut_lineage(split), "key"))
+    others = across.select("key", F.col("rep").alias("p"), F.col("n").alias("pn"), F.col("cell").alias("pc"))
+    apart = (F.col("cell") != F.col("pc")) & (F.col("rep") < F.col("p"))
+    links = cut_lineage(links.unionByName(confirm(pairs(across, others, apart), texts, k, percent)))
     labels = connected_components(links).withColumnRenamed("node", "rep")
     of_set = sets.select("set_key", F.col("doc_id").alias("rep")).join(labels, "rep", "left").select("set_key", F.coalesce("component", "rep").alias("component"))
     out = sketches.join(cut_lineage(of_set), "set_key", "left")
