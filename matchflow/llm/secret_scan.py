@@ -51,7 +51,7 @@ Literal = tuple[str, list[tuple[int, int]]]  # a value and the spans of the lite
 def name_score(name: str) -> float:
     """0 to 1: the most telling part; 'api' and 'access' lift a 'key' to full score."""
     parts = [p.lower() for p in _PARTS.findall(name)]
-    best = max((SENSITIVE.get(p, 0.0) for p in parts), default=0.0)
+    best = max((SENSITIVE.get(p) or max((v for w, v in SENSITIVE.items() if len(w) > 4 and p.endswith(w)), default=0.0) for p in parts), default=0.0)
     pairs = set(zip(parts, parts[1:]))
     return 1.0 if pairs & {("api", "key"), ("access", "key"), ("private", "key"), ("secret", "key")} else best
 
