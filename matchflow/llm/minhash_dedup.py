@@ -30,7 +30,7 @@ from matchflow.llm.components import connected_components
 
 #: 40 bands of 6 rows: a pair at similarity 0.8 is missed with probability (1 - 0.8**6)**40, about 5 in a million.
 BANDS, ROWS = 40, 6
-MAX_WORDS = 300_000
+MAX_WORDS = 150_000
 _MIX1, _MIX2, _MIX3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 

@@ -10,33 +10,37 @@ leaves a bounded number of open windows a group.
 from __future__ import annotations
 
 import functools
+import json
 import os
 import unicodedata
 import zlib
-from itertools import accumulate, chain
+from itertools import accumulate, chain, islice
 
 import numpy as np
 import pandas as pd
 import public_tokenizers
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from matchflow.llm.common import cut_lineage, map_text, table
-from matchflow.llm.token_counts import counter, split_words
+from matchflow.llm.token_counts import split_words
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 #: Distinct words and stretches between white space that a worker remembers; the longest stretch remembered.
-MAX_WORDS, MAX_STRETCHES, LONG_WORD = 400_000, 500_000, 64
+MAX_WORDS, MAX_STRETCHES, LONG_WORD = 200_000, 350_000, 64
+#: The first ones seen are remembered, frequent ones among them, until this share of a slice is new.
+STALE = 0.3
 
 
 class IdEncoder:
     """Ids of whole texts as the library gives them, as little-endian 32-bit bytes.
 
     The vocabulary's pattern never crosses white space and drops it, and its normaliser works within such stretches, so
-    that a text's ids are those of its stretches one after another, and a stretch's those of its words. Words go through
-    the transducer that is compiled from the same file; stretches with special strings, and letters whose lower case the
-    normaliser would compose anew, go to the library as they are.
+    that a text's ids are those of its stretches one after another, and a stretch's those of its words. The library
+    encodes new words, many in one call: every word ends with the one token of its that has the word-end mark. Stretches
+    with special strings, and any case where words and marks differ in number, go to it as they are.
     """
 
     def __init__(self, path: str) -> None:
@@ -44,48 +48,70 @@ class IdEncoder:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.compiled = counter(path)
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        self.pattern = regex.compile(spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"])
+        mark, vocab = spec["model"]["end_of_word_suffix"], self.library.get_vocab(with_added_tokens=True)
+        self.ends = np.zeros(max(vocab.values()) + 1, bool)
+        self.ends[[i for t, i in vocab.items() if t.endswith(mark)]] = True
         self.known: dict[str, bytes] = {}
         self.words: dict[str, bytes] = {}
 
-    def whole(self, text: str) -> bytes:
-        return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+    def ids(self, text: str) -> np.ndarray:
+        return np.array(self.library.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
 
-    def word(self, word: str) -> bytes:
-        got = self.words.get(word)
-        if got is None:
-            ids = self.compiled.transducer.encode(word.encode())
-            got = b"".join([i.to_bytes(4, "little") for i in ids])
-            if len(self.words) >= MAX_WORDS:
-                self.words.clear()
-            if len(word) <= LONG_WORD:
-                self.words[word] = got
-        return got
-
-    def stretch(self, raw: str) -> bytes:
-        """Ids of a stretch without white space."""
+    def parts(self, raw: str) -> list[str] | None:
+        """The words of a stretch; None if the library must see the stretch itself."""
         low = raw.lower() if raw.isascii() else unicodedata.normalize("NFC", raw).lower()
         if low.isalpha() and low.isascii():
-            got = self.word(low)
-        elif "<|" in raw or "Σ" in raw or not low.isascii() and unicodedata.normalize("NFC", low).lower() != low:
-            got = self.whole(raw)
-        elif low[:-1].isalpha() and low[-1] in ".,;:!?":
-            got = self.word(low[:-1]) + self.word(low[-1])
-        else:
-            got = b"".join(map(self.word, self.compiled.word.findall(low)))
-        if len(self.known) >= MAX_STRETCHES:
-            self.known.clear()
-        if len(raw) <= LONG_WORD:
-            self.known[raw] = got
+            return [low]
+        if "<|" in raw or "Σ" in raw or not low.isascii() and unicodedata.normalize("NFC", low).lower() != low:
+            return None
+        if low[:-1].isalpha() and low[-1] in ".,;:!?":
+            return [low[:-1], low[-1]]
+        return self.pattern.findall(low)
+
+    def lowered(self, text: str) -> str:
+        """The text as the normaliser leaves it, where that is safe to do beforehand: fewer different stretches."""
+        if "<|" in text or "Σ" in text:
+            return text
+        if text.isascii():
+            return text.lower()
+        low = unicodedata.normalize("NFC", text).lower()
+        return low if unicodedata.is_normalized("NFC", low) and low.lower() == low else text
+
+    def learn(self, missing: set[str]) -> dict[str, bytes]:
+        """Ids of stretches that aren't remembered."""
+        parts = {m: self.parts(m) for m in missing}
+        known = self.words
+        new = list({w for ws in parts.values() if ws for w in ws if w not in known})
+        coded: dict[str, bytes] = {}
+        if new:
+            ids = self.ids(" ".join(new))
+            cuts = np.flatnonzero(self.ends[ids]) + 1
+            if len(cuts) != len(new):
+                return {m: self.ids(m).tobytes() for m in missing}
+            raw, at = ids.tobytes(), (4 * cuts).tolist()
+            coded = {w: raw[i:j] for w, i, j in zip(new, [0, *at], at)}
+        get = known.get
+        got = {m: self.ids(m).tobytes() if ws is None else b"".join([get(w) or coded[w] for w in ws]) for m, ws in parts.items()}
+        self.words.update((w, b) for w, b in islice(coded.items(), max(0, MAX_WORDS - len(known))) if len(w) <= LONG_WORD)
         return got
 
     def batch(self, texts: list[str]) -> list[bytes]:
+        texts = list(map(self.lowered, texts))
         split = [split_words(t) or [t] for t in texts]
         stretches = list(chain.from_iterable(split))
         coded = list(map(self.known.get, stretches))
-        for i in [i for i, b in enumerate(coded) if b is None]:
-            raw = stretches[i]
-            coded[i] = self.known.get(raw) or self.stretch(raw)
+        missing = [i for i, b in enumerate(coded) if b is None]
+        if missing:
+            if len(self.known) >= MAX_STRETCHES and len(missing) > STALE * len(stretches):
+                self.known.clear()  # what is remembered no longer fits the texts: another language, say
+                self.words.clear()
+            got = self.learn({stretches[i] for i in missing})
+            for i in missing:
+                coded[i] = got[stretches[i]]
+            self.known.update((m, b) for m, b in islice(got.items(), max(0, MAX_STRETCHES - len(self.known))) if len(m) <= LONG_WORD)
         ends = list(accumulate(map(len, split)))
         return [b"".join(coded[i:j]) for i, j in zip([0, *ends], ends)]
 
