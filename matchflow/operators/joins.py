@@ -132,7 +132,7 @@ def compare_rankings(matches: DataFrame, k: int = 8) -> DataFrame:
     o, d = F.coalesce("overlap_score", F.lit(0)), F.coalesce(F.col("cosine_distance"), F.lit(1.0))
     linear = F.round(C.TAG_WEIGHT * F.least(o / 5.0, F.lit(1.0)) + C.VECTOR_WEIGHT * (1 - d), 9)
     saturating = F.round(X.composite(o, d), 9)
-    rank = lambda s: F.row_number().over(W.partitionBy("job_id").orderBy(s.desc(), "id"))
+    rank = lambda s: F.row_number().over(W.partitionBy("job_id").orderBy(s.desc(), "id", "persona_id"))
     r = matches.select("job_id", rank(linear).alias("was"), rank(saturating).alias("now"))
     return r.groupBy("job_id").agg(F.count_if((F.col("was") > k) & (F.col("now") <= k)).alias("entered"), F.count_if((F.col("was") <= k) & (F.col("now") > k)).alias("left_top"), F.count_if(F.col("was") != F.col("now")).alias("moved"))
 

@@ -14,7 +14,8 @@ def since(column: str, as_of: str, days: int) -> Column:
 
 def ingestion_summary(log: DataFrame, by: list[str]) -> DataFrame:
     """Runs by outcome, item sums, mean duration and safe rates; over all, or by source or day."""
-    ms = (F.unix_micros("finished_at") - F.unix_micros("started_at")) / 1000
+    micros = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
+    ms = (micros("finished_at") - micros("started_at")) / 1000
     out = log.groupBy(*by).agg(
         F.count(F.lit(1)).alias("runs"),
         F.count_if(F.col("status") == "success").alias("succeeded"),

@@ -137,7 +137,7 @@ def hard_blockers(pairs: DataFrame) -> DataFrame:
     usd = X.to_usd(F.col("compensation_max"), F.col("compensation_currency"))
     checks = [
         ("national_security", X.true_(F.col("is_natsec"))),
-        ("fenced", F.col("remote_scope").isin("country_fenced", "region_fenced") & ~((F.col("country") == "US") & F.lower(F.coalesce("location_name", F.lit(""))).contains("united states"))),
+        ("fenced", F.col("remote_scope").isin("country_fenced", "region_fenced") & ~X.true_((F.col("country") == "US") & F.lower(F.coalesce("location_name", F.lit(""))).contains("united states"))),
         ("onsite", F.col("remote_scope") == "onsite"),
         ("qa_role", X.true_(F.col("is_qa"))),
         ("low_pay", usd.isNotNull() & (usd < F.col("expected_comp_min"))),
@@ -152,7 +152,7 @@ def hard_blockers(pairs: DataFrame) -> DataFrame:
 
 def posting_rejections(pairs: DataFrame) -> DataFrame:
     """A posting is rejected if no applicant passes, for the reason that the first applicant fails."""
-    by = pairs.groupBy("job_id").agg(F.bool_or("passes").alias("any_pass"), F.min_by(F.col("blockers")[0], "user_id").alias("pattern"))
+    by = pairs.groupBy("job_id").agg(F.bool_or("passes").alias("any_pass"), F.min_by(F.get("blockers", 0), "user_id").alias("pattern"))
     return by.select("job_id", (~F.col("any_pass")).alias("rejected"), F.when(~F.col("any_pass"), F.col("pattern")).alias("pattern"))
 
 

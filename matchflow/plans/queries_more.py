@@ -1 +1,345 @@
 """The rest of the query registry: joins, sorts, scores, reports and upserts."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from matchflow.functions import constants as C
+from matchflow.functions import exprs as X
+from matchflow.operators import joins as joi
+from matchflow.operators import reports as rep
+from matchflow.operators import scoring as sco
+from matchflow.operators import upserts as ups
+from matchflow.plans.adapters import AS_OF
+from matchflow.plans.queries import HASH, IDS, NOW, arr, query
+
+CANON = "regexp_replace(regexp_replace(regexp_replace(lower(trim({0})), '[ ,]+(inc|llc|ltd|gmbh|corp|corporation|limited|co)[.]?$', ''), ' (labs|technologies|technology|software|group|holdings|solutions)$', ''), '[,. ]', '', 'g')"
+RATE = "CASE WHEN {1} > 0 THEN round(1e2 * {0} / {1}, 1) END"
+rate = RATE.format
+
+# --- joins
+VIEW = """mv AS (SELECT m.*, j.title, j.ats_source, j.ats_slug, j.location_name, j.remote_scope, j.workplace_type, j.extracted_tags, p.must_have_tags, p.blocklist_tags, p.seniority_levels, a.country, a.assignment_types
+  FROM match_queue m JOIN job j ON j.id = m.job_id JOIN persona p ON p.id = m.persona_id JOIN applicant a ON a.user_id = m.applicant_id)"""
+mview = lambda v: joi.match_view(v.match_queue, v.job, v.persona, v.applicant)
+query("joi8_match_view", f"WITH {VIEW} SELECT id, title, ats_slug, country, overlap_score FROM mv", lambda v: mview(v).select("id", "title", "ats_slug", "country", "overlap_score"))
+KEYED = "(SELECT ats_source, ats_slug, arg_min(tier, id) AS tier, min(id) AS company_id FROM company GROUP BY ALL)"
+query("joi9_with_company", f"SELECT j.id, c.tier, c.company_id FROM job j LEFT JOIN {KEYED} c USING (ats_source, ats_slug)", lambda v: joi.with_company(v.job, v.company).select("id", "tier", "company_id"))
+query("joi10_unmatched_postings", "SELECT id FROM job WHERE status = 'active' AND remote_scope = 'global' AND NOT EXISTS (SELECT 1 FROM match_queue m WHERE m.job_id = job.id)", lambda v: IDS(joi.unmatched_postings(v.job, v.match_queue)))
+query(
+    "joi11_reprocess_candidates",
+    "SELECT id FROM job WHERE status = 'active' AND list_has_any(extracted_tags, (SELECT list(DISTINCT t) FROM (SELECT unnest(must_have_tags) AS t FROM persona) x)) AND id NOT IN (SELECT job_id FROM match_queue) ORDER BY id LIMIT 1000",
+    lambda v: joi.reprocess_candidates(v.job, v.persona, v.match_queue),
+)
+TIDY = "regexp_replace(lower(trim(company_name)), ' +', ' ', 'g')"
+query("joi12_new_company_names", f"SELECT DISTINCT {TIDY} AS name FROM job EXCEPT SELECT {TIDY} FROM company", lambda v: joi.new_company_names(v.job, v.company))
+query(
+    "joi13_existing_companies",
+    f"""WITH fresh AS (SELECT id + 7 AS id, company_name, CASE WHEN root_domain IS NOT NULL THEN concat('company', CAST(id + 3 AS VARCHAR), '.com') END AS root_domain FROM company),
+    n AS (SELECT {CANON.format('company_name')} AS k, min(id) AS i FROM company GROUP BY 1), d AS (SELECT root_domain AS k, min(id) AS i FROM company WHERE root_domain IS NOT NULL GROUP BY 1)
+    SELECT id, coalesce(n.i, d.i) AS known_id, CASE WHEN n.i IS NOT NULL THEN 'name' WHEN d.i IS NOT NULL THEN 'domain' END AS matched_by
+    FROM (SELECT id, root_domain, {CANON.format("CASE WHEN id % 2 = 0 THEN company_name ELSE concat('fresh ', company_name) END")} AS k FROM fresh) f LEFT JOIN n ON n.k = f.k LEFT JOIN d ON d.k = f.root_domain""",
+    lambda v: joi.match_existing_companies(
+        v.company.selectExpr("id + 7 AS id", "CASE WHEN (id + 7) % 2 = 0 THEN company_name ELSE concat('fresh ', company_name) END AS company_name", "CASE WHEN root_domain IS NOT NULL THEN concat('company', CAST(id + 3 AS STRING), '.com') END AS root_domain"),
+        v.company,
+    ),
+)
+TIDY_L = "trim(regexp_replace(lower({0}), '[^a-z0-9 ]', '', 'g'))".format
+query(
+    "joi14_layoffs",
+    f"SELECT layoff_id, c.id FROM (SELECT layoff_id, {TIDY_L('company')} AS l FROM layoffs) x JOIN (SELECT id, {TIDY_L('company_name')} AS c FROM company) c ON starts_with(l || ' ', c || ' ') OR starts_with(c || ' ', l || ' ')",
+    lambda v: joi.match_layoffs(v.layoffs, v.company),
+)
+query(
+    "joi16_company_size",
+    f"SELECT c.id, coalesce(employee_count, r.n) AS employee_count, is_public OR coalesce(r.p, false) AS is_public FROM company c LEFT JOIN (SELECT concat('company', CAST(p_partkey AS VARCHAR)) AS name, p_size * 100 AS n, p_partkey % 2 = 0 AS p FROM part) r ON r.name = {CANON.format('company_name')}",
+    lambda v: joi.enrich_company_size(v.company, v.spark.read.parquet(f"{v.sf_dir}/part.parquet").selectExpr("concat('company', CAST(p_partkey AS STRING)) AS name", "p_size * 100 AS registry_count", "p_partkey % 2 = 0 AS registry_public")),
+)
+query("joi18_matches_to_verify", f"SELECT m.id AS match_id, job_id, title, ats_slug FROM match_queue m JOIN job j ON j.id = m.job_id WHERE m.status = 'approved' AND evaluated_at <= {NOW} AND j.status IN ('active', 'stale')", lambda v: joi.matches_to_verify(v.match_queue, v.job, AS_OF))
+query("joi19_orphaned_uploads", f"SELECT user_id, id FROM (SELECT l_suppkey + 50 AS user_id, id, created_at AS uploaded_at FROM (SELECT id, created_at, persona_id AS l_suppkey FROM match_queue) q) u WHERE uploaded_at < {NOW} - INTERVAL 30 DAY AND user_id NOT IN (SELECT applicant_id FROM working_history)",
+      lambda v: joi.orphaned_uploads(v.match_queue.selectExpr("persona_id + 50 AS user_id", "id", "created_at AS uploaded_at"), v.working_history, AS_OF, 30).select("user_id", "id"))
+query(
+    "joi20_resolve_companies",
+    f"""WITH n AS (SELECT DISTINCT company_name AS name FROM job), v AS (SELECT name, unnest([{CANON.format('name')}, regexp_split_to_array(lower(trim(name)), '[ ,]')[1], regexp_replace(array_to_string(list_transform(list_filter(regexp_split_to_array(lower(trim(name)), '[^a-z0-9]+'), lambda p: p <> ''), lambda p: substr(p, 1, 1)), ''), ' ', '')]) AS slug, unnest([0, 1, 2]) AS o, {CANON.format('name')} AS canon FROM n),
+    bn AS (SELECT {CANON.format('company_name')} AS canon, min(id) AS by_name FROM company GROUP BY 1), bs AS (SELECT ats_slug AS slug, min(id) AS by_slug FROM company GROUP BY 1),
+    h AS (SELECT name, min(by_name) AS a, arg_min(by_slug, o) FILTER (WHERE by_slug IS NOT NULL) AS b FROM v LEFT JOIN bn USING (canon) LEFT JOIN bs USING (slug) GROUP BY name)
+    SELECT name, coalesce(a, b) AS company_id, CASE WHEN a IS NOT NULL THEN 'name' WHEN b IS NOT NULL THEN 'slug' END AS resolved_by FROM h""",
+    lambda v: joi.resolve_companies(v.job.select(F.col("company_name").alias("name")).distinct(), v.company),
+)
+query("joi21_posting_by_id", "SELECT id, title, tier FROM (SELECT j.id, title, c.tier FROM job j LEFT JOIN " + KEYED + " c USING (ats_source, ats_slug) WHERE status = 'active') x", lambda v: joi.with_company(v.job.filter("status = 'active'"), v.company).select("id", "title", "tier"))
+
+# --- sorts, windows
+query("srt2_best_of_title", "SELECT id FROM job QUALIFY row_number() OVER (PARTITION BY ats_slug, title, id % 3 ORDER BY compensation_max DESC, id) = 1", lambda v: joi.route_dedup(v.job.withColumn("persona_id", F.col("id") % 3).withColumn("score", F.col("compensation_max")).withColumn("job_id", F.col("id"))).select("id"))
+WHEN = "coalesce(published_at, detected_at)"
+query(
+    "srt3_sort_postings",
+    f"(SELECT 'newest' AS k, id FROM job ORDER BY {WHEN} DESC, id LIMIT 50) UNION ALL (SELECT 'oldest', id FROM job ORDER BY {WHEN}, id LIMIT 50) UNION ALL (SELECT 'salary', id FROM job ORDER BY compensation_max DESC NULLS LAST, id LIMIT 50)",
+    lambda v: (lambda j: joi.sort_postings(j, "newest", 50).select(F.lit("newest").alias("k"), "id").union(joi.sort_postings(j, "oldest", 50).select(F.lit("oldest"), "id")).union(joi.sort_postings(j, "salary", 50).select(F.lit("salary"), "id")))(v.job),
+)
+query("srt5_poll_batch", "SELECT id FROM company WHERE tier = 'active' AND polling_enabled ORDER BY last_polled_at ASC NULLS FIRST, id LIMIT 100", lambda v: IDS(joi.poll_batch(v.company, "active", 100)))
+query(
+    "srt6_near_identical",
+    "SELECT id FROM job QUALIFY row_number() OVER (PARTITION BY ats_slug, title, department, substr(lower(trim(normalized_text)), 1, 2000) ORDER BY CASE workplace_type WHEN 'remote' THEN 100 WHEN 'hybrid' THEN 50 ELSE 0 END DESC, published_at DESC NULLS LAST, id DESC) = 1",
+    lambda v: IDS(joi.dedupe_near_identical(v.job)),
+)
+query("srt7_first_seen", "SELECT id FROM job QUALIFY row_number() OVER (PARTITION BY ats_source, ats_slug, external_job_id ORDER BY detected_at, id) = 1", lambda v: IDS(joi.dedupe_first(v.job, ["ats_source", "ats_slug", "external_job_id"], ["detected_at", "id"])))
+query("srt8_share_by", "SELECT ats_source, count(*) AS n, round(1e2 * count(*) / sum(count(*)) OVER (), 2) AS pct FROM job GROUP BY ats_source", lambda v: joi.share_by(v.job, "ats_source"))
+query(
+    "srt9_compare_rankings",
+    """WITH s AS (SELECT job_id, id, persona_id, round(0.6::DOUBLE * least(coalesce(overlap_score, 0) / 5.0::DOUBLE, 1) + 0.4::DOUBLE * (1 - coalesce(cosine_distance, 1)), 9) AS a,
+      round(0.6::DOUBLE * (1 - exp(-0.4::DOUBLE * least(coalesce(overlap_score, 0), 5))) + 0.4::DOUBLE * (1 - coalesce(cosine_distance, 1)), 9) AS b FROM match_queue),
+    r AS (SELECT job_id, row_number() OVER (PARTITION BY job_id ORDER BY a DESC, id, persona_id) AS was, row_number() OVER (PARTITION BY job_id ORDER BY b DESC, id, persona_id) AS now FROM s)
+    SELECT job_id, count(*) FILTER (WHERE was > 8 AND now <= 8) AS entered, count(*) FILTER (WHERE was <= 8 AND now > 8) AS left_top, count(*) FILTER (WHERE was <> now) AS moved FROM r GROUP BY job_id""",
+    lambda v: joi.compare_rankings(v.match_queue),
+)
+query("srt11_top_errors", "SELECT source, error_message, count(*) AS n, max(created_at) AS last_seen FROM ingestion_log WHERE error_message IS NOT NULL GROUP BY ALL ORDER BY n DESC, source, error_message LIMIT 20", lambda v: joi.top_errors(v.ingestion_log, 20))
+query("srt11_source_health", 'SELECT source_name, status, row_number() OVER (PARTITION BY status ORDER BY consecutive_failures DESC, source_name) AS place, CASE status WHEN \'disabled\' THEN 0 WHEN \'degraded\' THEN 1 ELSE 2 END AS "group" FROM source_health', lambda v: joi.source_health_list(v.source_health).select("source_name", "status", "place", "group"))
+query("srt10_orphaned_companies", "SELECT id FROM company c WHERE NOT EXISTS (SELECT 1 FROM job j WHERE j.ats_source = c.ats_source AND j.ats_slug = c.ats_slug)", lambda v: IDS(joi.orphaned_companies(v.company, v.job)))
+
+# --- scores
+QUALITY = """quality AS (SELECT c.*, coalesce(a, 0) AS approved, coalesce(r, 0) AS rejected, coalesce(a, 0) + coalesce(r, 0) AS total, last_approved_at,
+    CASE WHEN coalesce(a, 0) + coalesce(r, 0) > 0 THEN round(1e2 * coalesce(a, 0) / (coalesce(a, 0) + coalesce(r, 0)), 0) ELSE 50 END AS quality
+  FROM company c LEFT JOIN (SELECT ats_source, ats_slug, count(*) FILTER (WHERE m.status = 'approved') AS a, count(*) FILTER (WHERE m.status = 'rejected') AS r, max(evaluated_at) FILTER (WHERE m.status = 'approved') AS last_approved_at
+    FROM match_queue m JOIN job j ON j.id = m.job_id WHERE m.status IN ('approved', 'rejected') GROUP BY ALL) x USING (ats_source, ats_slug))"""
+quality = lambda v: sco.company_quality(v.company, v.job, v.match_queue)
+HAS = "CASE WHEN list_has_any(seniority_levels, {0}) THEN 1.0 ELSE 0.0 END".format
+none = "len(coalesce({0}, [])) = 0".format
+OWN = " OR ".join(f"(country = '{c}' AND regexp_matches(p, '{w}'))" for c, w in {"US": "(united states|u[.]s[.]|usa| america)", "CA": "canada", "DE": "germany", "RS": "serbia"}.items())
+query(
+    "sco1_match_score",
+    f"""WITH {VIEW}, t AS (SELECT *, lower(coalesce(location_name, '')) AS p, lower(title) AS lt, coalesce(overlap_score, 0) AS ov, id % 101 AS quality, (id % 61 - 30) / 1e2 AS size_score FROM mv),
+    s AS (SELECT id, (1 - coalesce(cosine_distance, 1)) * 0.25::DOUBLE + (1 - exp(-0.4::DOUBLE * least(ov, 5))) * 0.30::DOUBLE
+      + (CASE WHEN workplace_type IS NULL OR {none('assignment_types')} THEN 0.5 WHEN list_contains(assignment_types, workplace_type) THEN 1.0
+         WHEN workplace_type = 'hybrid' AND list_has_any(assignment_types, ['remote', 'remote_local']) THEN 0.5 WHEN workplace_type IN ('remote', 'on-site') AND list_contains(assignment_types, 'hybrid') THEN 0.5 ELSE 0.0 END)::DOUBLE * 0.12::DOUBLE
+      + (CASE WHEN country IS NULL OR p = '' THEN 0.5 WHEN remote_scope = 'global' THEN 1.0 WHEN regexp_matches(p, 'remote|global|anywhere|worldwide') THEN CASE WHEN {OWN} THEN 1.0 WHEN regexp_matches(p, '(united states|usa|canada|argentina|germany|serbia)') THEN 0.2 ELSE 1.0 END ELSE 0.5 END)::DOUBLE * 0.08::DOUBLE
+      + (CASE WHEN {none('seniority_levels')} THEN 0.5 WHEN regexp_matches(lt, '(junior|associate|entry|intern|trainee)') THEN {HAS("['junior']")} WHEN regexp_matches(lt, '(senior|sr[.]|sr )') THEN {HAS("['senior']")}
+         WHEN regexp_matches(lt, '(lead|staff|principal|architect|manager|director|head|expert)') THEN {HAS("['lead', 'staff', 'principal']")} ELSE 0.5 END)::DOUBLE * 0.08::DOUBLE
+      + (quality / 1e2 + size_score) * 0.17::DOUBLE
+      - (CASE WHEN {none('blocklist_tags')} OR {none('extracted_tags')} THEN 0.0 WHEN list_has_any(blocklist_tags, extracted_tags) THEN 1.0 ELSE 0.0 END)::DOUBLE * 0.10::DOUBLE
+      - (CASE WHEN {none('must_have_tags')} OR {none('extracted_tags')} THEN 0.0 WHEN ov = 0 THEN 1.0 ELSE 1.0 - ov / least(len(must_have_tags), len(extracted_tags))::DOUBLE END)::DOUBLE * 0.10::DOUBLE
+      - least(len(list_filter(list_distinct(extracted_tags), lambda x: list_contains({arr(C.OFF_FOCUS_TAGS)}, x) AND NOT list_contains(must_have_tags, x))) / 3.0::DOUBLE, 1) * 0.08::DOUBLE AS raw FROM t)
+    SELECT id, round_even(round(greatest(0, least(1, raw)) * 100, 6), 0) AS match_score FROM s""",
+    lambda v: sco.match_score(mview(v).withColumn("quality", F.col("id") % 101).withColumn("size_score", (F.col("id") % 61 - 30) / 100.0)).select("id", "match_score"),
+)
+ORIGIN = "CASE discovery_source " + " ".join(f"WHEN '{k}' THEN {n}" for k, n in C.SOURCE_ORIGIN_SCORE.items()) + " ELSE 0 END"
+query(
+    "sco2_company_size_score",
+    f"""SELECT id, raw_score, greatest(-0.3::DOUBLE, least(0.3::DOUBLE, raw_score / 1e2)) AS size_score, CASE WHEN is_agency THEN 'dead' WHEN raw_score > 15 THEN 'active_hot' WHEN raw_score < -20 THEN 'dormant' END AS advised_tier
+    FROM (SELECT *, CASE WHEN employee_count IS NULL THEN 0 WHEN employee_count > 5000 THEN -25 WHEN employee_count >= 1000 THEN -15 WHEN employee_count >= 250 THEN -5 WHEN employee_count >= 50 THEN 0 WHEN employee_count >= 20 THEN 15 ELSE 25 END
+      + CASE WHEN is_agency THEN -40 ELSE 0 END + CASE WHEN is_public THEN -20 ELSE 0 END + {ORIGIN} AS raw_score FROM company) c""",
+    lambda v: sco.company_size_score(v.company).select("id", "raw_score", "size_score", "advised_tier"),
+)
+query("sco3_company_quality", f"WITH {QUALITY} SELECT id, approved, rejected, total, quality, last_approved_at FROM quality", lambda v: quality(v).select("id", "approved", "rejected", "total", "quality", "last_approved_at"))
+query("sco4_fusion_score", "SELECT id, 1 + coalesce(n, 0) AS fusion FROM company LEFT JOIN (SELECT company_id, count(DISTINCT discovery_source) AS n FROM company_discovery_sources GROUP BY 1) s ON s.company_id = id", lambda v: sco.fusion_score(v.company, v.company_discovery_sources).select("id", "fusion"))
+BLOCK = "CASE " + " ".join(f"WHEN regexp_matches(lower(title), '(^|[^a-z]){w}s?([^a-z]|$)')" + (f" AND NOT list_has_any(must_have_tags, {arr(t)})" if t else "") + f" THEN '{n}'" for n, w, t in sco.TITLE_BLOCKERS) + " END"
+query("sco5_title_blockers", f"WITH {VIEW} SELECT id, {BLOCK} AS blocker FROM mv", lambda v: sco.title_blockers(mview(v)).select("id", "blocker"))
+USD = "({0} * CASE upper(coalesce(compensation_currency, 'USD')) " + " ".join(f"WHEN '{k}' THEN {n}::DOUBLE" for k, n in C.USD_RATES.items()) + " END)"
+USD_OK = f"(CASE WHEN {USD.format('compensation_max')} >= {C.PAY_FLOOR_USD} THEN {USD.format('compensation_max')} END)"
+PAIRS = "pairs AS (SELECT m.id AS match_id, j.*, a.* FROM match_queue m JOIN job j ON j.id = m.job_id JOIN applicant a ON a.user_id = m.applicant_id)"
+pairs = lambda v: v.match_queue.select(F.col("id").alias("match_id"), "job_id", "applicant_id").join(v.job.withColumnRenamed("id", "job_id"), "job_id").join(v.applicant.withColumn("applicant_id", F.col("user_id")), "applicant_id")
+CHECKS = [
+    ("national_security", "is_natsec IS TRUE"), ("fenced", "remote_scope IN ('country_fenced', 'region_fenced') AND NOT coalesce(country = 'US' AND contains(lower(coalesce(location_name, '')), 'united states'), false)"),
+    ("onsite", "remote_scope = 'onsite'"), ("qa_role", "is_qa IS TRUE"), ("low_pay", f"{USD_OK} < expected_comp_min"), ("experience", "experience_min_years > years_of_experience + 2"),
+    ("workplace", "workplace_type = 'on-site' AND list_contains(assignment_types, 'remote')"), ("internship", "employment_type = 'Internship' AND years_of_experience > 2"), ("no_country", "country IS NULL AND remote_scope <> 'global'"),
+]
+BLOCKERS = "list_filter([" + ", ".join(f"CASE WHEN {c} THEN '{n}' END" for n, c in CHECKS) + "], lambda x: x IS NOT NULL)"
+query("sco6_hard_blockers", f"WITH {PAIRS} SELECT match_id, array_to_string({BLOCKERS}, ',') AS blockers, len({BLOCKERS}) = 0 AS passes FROM pairs", lambda v: sco.hard_blockers(pairs(v)).select("match_id", F.array_join("blockers", ",").alias("blockers"), "passes"))
+query(
+    "sco7_posting_rejections",
+    f"WITH {PAIRS}, b AS (SELECT id, user_id, {BLOCKERS} AS b FROM pairs) SELECT id AS job_id, NOT bool_or(len(b) = 0) AS rejected, CASE WHEN NOT bool_or(len(b) = 0) THEN arg_min(b[1], user_id) END AS pattern FROM b GROUP BY id",
+    lambda v: sco.posting_rejections(sco.hard_blockers(pairs(v))),
+)
+REASON = "CASE " + " ".join(f"WHEN regexp_matches(b, '{w}') THEN '{n}'" for n, w in sco.REJECTION_REASONS) + " ELSE 'other' END"
+REASONED = "(SELECT *, lower(array_to_string(coalesce(llm_blockers, []), ' ')) AS b FROM match_queue)"
+query("cls19_rejection_reason", f"SELECT id, {REASON} AS reason FROM {REASONED} m", lambda v: sco.with_rejection_reason(v.match_queue).select("id", "reason"))
+DIST = "CASE WHEN len(o.v) = len(n.v) THEN 1 - list_cosine_similarity(o.v, n.v) ELSE 1 END"
+query(
+    "sco8_drift_status",
+    f"""WITH e AS (SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS v, label FROM embeddings), o AS (SELECT id, v, label % 3 AS h FROM e WHERE id % 5 <> 0), n AS (SELECT a.id, b.v, a.label % 4 AS h FROM e a JOIN e b ON b.id = a.id - a.id % 2)
+    SELECT n.id, CASE WHEN o.h IS NULL THEN 'new' WHEN o.h = n.h THEN 'unchanged' WHEN {DIST} > 0.15 THEN 'drifted' ELSE 'same' END AS drift FROM n LEFT JOIN o ON o.id = n.id""",
+    lambda v: (lambda e: sco.drift_status(e.filter("id % 5 <> 0").selectExpr("id", "v", "label % 3 AS h"), e.alias("a").join(e.alias("b"), F.expr("b.id = a.id - a.id % 2")).selectExpr("a.id AS id", "b.v AS v", "a.label % 4 AS h")))(v.spark.read.parquet(f"{v.sf_dir}/embeddings.parquet").selectExpr("vec_id AS id", "embedding AS v", "label")),
+)
+query(
+    "sco9_apply_verdicts",
+    f"SELECT id, CASE WHEN status = 'pending' AND verdict = 'approved' THEN 'approved' WHEN status = 'pending' AND verdict IS NOT NULL THEN 'rejected' ELSE status END AS new_status, CASE WHEN status = 'pending' AND verdict <> 'approved' THEN {REASON} END AS rejection_reason FROM (SELECT *, CASE id % 3 WHEN 0 THEN 'approved' WHEN 1 THEN 'no' END AS verdict FROM {REASONED} r) m",
+    lambda v: sco.apply_verdicts(v.match_queue, v.match_queue.filter("id % 3 < 2").selectExpr("id", "CASE id % 3 WHEN 0 THEN 'approved' ELSE 'no' END AS verdict").distinct()),
+)
+AGE = f"date_diff('day', CAST(evaluated_at AS DATE), CAST({NOW} AS DATE))"
+query(
+    "sco10_employer_openness",
+    f"""SELECT *, approved_90d > 0 OR approved_year >= 3 AS boost FROM (SELECT ats_slug, count(*) FILTER (WHERE m.status = 'approved' AND {AGE} BETWEEN 0 AND 89) AS approved_90d, count(*) FILTER (WHERE m.status = 'approved' AND {AGE} BETWEEN 90 AND 364) AS approved_year,
+      count(*) FILTER (WHERE m.status = 'pending' AND {AGE} BETWEEN 0 AND 29) AS pending_30d FROM match_queue m JOIN job j ON j.id = m.job_id GROUP BY ats_slug) x""",
+    lambda v: sco.employer_openness(v.job, v.match_queue, AS_OF),
+)
+
+# --- reports
+SUMMARY = f"""count(*) AS runs, count(*) FILTER (WHERE status = 'success') AS succeeded, count(*) FILTER (WHERE status = 'failure') AS failed, CAST(sum(items_processed) AS BIGINT) AS processed, CAST(sum(items_inserted) AS BIGINT) AS inserted, CAST(sum(items_rejected) AS BIGINT) AS rejected,
+  round(avg((epoch_us(finished_at) - epoch_us(started_at)) / 1e3), 3) AS avg_ms, {rate("count(*) FILTER (WHERE status = 'success')", 'count(*)')} AS success_rate, {rate('sum(items_inserted)', 'sum(items_processed)')} AS insert_rate"""
+query("agg1_ingestion_summary", f"SELECT {SUMMARY} FROM ingestion_log", lambda v: rep.ingestion_summary(v.ingestion_log, []))
+query("agg2_source_performance", f"SELECT source, {SUMMARY} FROM ingestion_log GROUP BY source", lambda v: rep.ingestion_summary(v.ingestion_log, ["source"]))
+query("agg3_ingestion_trend", f"SELECT CAST(created_at AS DATE) AS day, source, {SUMMARY} FROM ingestion_log GROUP BY 1, 2", lambda v: rep.ingestion_summary(v.ingestion_log.withColumn("day", F.to_date("created_at")), ["day", "source"]))
+DAYS = f"date_diff('day', CAST(published_at AS DATE), CAST({NOW} AS DATE))"
+query(
+    "agg4_staleness",
+    f"""WITH b AS (SELECT ats_source, CASE WHEN published_at IS NULL THEN 'unknown' WHEN {DAYS} < 1 THEN '0-1d' WHEN {DAYS} <= 7 THEN '2-7d' WHEN {DAYS} <= 30 THEN '8-30d' WHEN {DAYS} <= 60 THEN '31-60d' ELSE '60d+' END AS bucket FROM job)
+    SELECT ats_source, bucket, count(*) AS n, round(1e2 * count(*) / sum(count(*)) OVER (PARTITION BY ats_source), 1) AS pct FROM b GROUP BY ats_source, bucket""",
+    lambda v: rep.staleness_distribution(v.job, AS_OF),
+)
+OLD = "sum(CAST(json_extract_string(error_details, '$.k') AS INT))"
+query("agg5_old_job_rate", f"SELECT source, CAST({OLD} AS BIGINT) AS old, CAST(sum(items_processed) AS BIGINT) AS processed, round({OLD} / sum(items_processed)::DOUBLE, 4) AS share FROM ingestion_log GROUP BY source HAVING sum(items_processed) > 0 AND {OLD} / sum(items_processed)::DOUBLE >= 0.3", lambda v: rep.old_job_rate(v.ingestion_log))
+query(
+    "agg6_rejection_categories",
+    "SELECT CASE WHEN regexp_matches(b, 'location|timezone') THEN 'location' WHEN regexp_matches(b, 'clearance|citizen') THEN 'clearance' WHEN regexp_matches(b, 'seniority|junior|senior') THEN 'seniority' WHEN regexp_matches(b, 'stack|skill') THEN 'stack' WHEN regexp_matches(b, 'salary|pay') THEN 'pay' ELSE 'other' END AS category, count(*) AS n FROM (SELECT lower(unnest(llm_blockers)) AS b FROM match_queue WHERE status = 'rejected') x GROUP BY 1",
+    lambda v: rep.rejection_categories(v.match_queue),
+)
+query("agg7_approval_rate", f"SELECT prompt_variant, count(*) FILTER (WHERE status = 'approved') AS approved, count(*) AS decided, {rate(chr(99) + 'ount(*) FILTER (WHERE status = ' + chr(39) + 'approved' + chr(39) + ')', 'count(*)')} AS rate FROM match_queue WHERE status IN ('approved', 'rejected') GROUP BY 1", lambda v: rep.approval_rate_by(v.match_queue, "prompt_variant"))
+WIN = f"BETWEEN {NOW} - INTERVAL {{1}} DAY AND {NOW}".replace("BETWEEN", "{0} BETWEEN").format
+query(
+    "agg8_funnel",
+    f"""SELECT *, {rate('approved', '(approved + rejected)')} AS rate FROM (SELECT count(*) AS detected, count(normalized_at) AS normalized FROM job WHERE {WIN('detected_at', 365)}) j,
+    (SELECT count(*) AS candidates, count(*) FILTER (WHERE status = 'approved') AS approved, count(*) FILTER (WHERE status = 'rejected') AS rejected FROM match_queue WHERE {WIN('created_at', 365)}) m""",
+    lambda v: rep.funnel(v.job, v.match_queue, AS_OF, 365),
+)
+query("agg9_pass_rate", f"SELECT ats_source, count(*) AS jobs, count(m.job_id) AS routed, {rate('count(m.job_id)', 'count(*)')} AS rate FROM job LEFT JOIN (SELECT DISTINCT job_id FROM match_queue) m ON m.job_id = id GROUP BY 1", lambda v: rep.pass_rate_by(v.job, v.match_queue, "ats_source"))
+query("agg10_distribution", "SELECT least(n, 5) AS value, count(*) AS n FROM (SELECT company_id, count(DISTINCT discovery_source) AS n FROM company_discovery_sources GROUP BY 1) x GROUP BY 1", lambda v: rep.distribution(v.company_discovery_sources.groupBy("company_id").agg(F.countDistinct("discovery_source").alias("k")), F.least("k", F.lit(5))))
+query(
+    "agg11_system_overview",
+    "SELECT * FROM (SELECT count(*) AS jobs, count(*) FILTER (WHERE status = 'active') AS active_jobs, count(job_embedding) AS embedded FROM job) j, (SELECT count(*) AS companies, count(*) FILTER (WHERE polling_enabled) AS polled, count(*) FILTER (WHERE tier = 'dead') AS dead FROM company) c, (SELECT count(*) AS matches, count(*) FILTER (WHERE status = 'pending') AS pending FROM match_queue) m",
+    lambda v: rep.system_overview(v.job, v.company, v.match_queue),
+)
+query("agg12_target_stack", "SELECT remote_scope, count(*) FILTER (WHERE list_has_any(extracted_tags, ['react', 'nextjs', 'typescript']) OR regexp_matches(lower(title), '(react|frontend)')) AS on_stack, count(*) AS jobs FROM job GROUP BY 1", lambda v: rep.target_stack_metric(v.job, ["react", "nextjs", "typescript"], "(react|frontend)"))
+query("agg13_corpus_ratios", "SELECT round(avg((remote_scope <> 'undetermined')::DOUBLE), 6) AS known_share, round(avg((remote_scope = 'undetermined')::DOUBLE), 6) AS unknown_share, round(avg((normalized_at IS NULL)::DOUBLE), 6) AS provisional_share FROM job WHERE status = 'active'", lambda v: rep.corpus_ratios(v.job))
+query("agg14_breaker_metrics", "SELECT type, count(*) AS alerts, count(*) FILTER (WHERE auto_retry_attempted) AS tried, count(*) FILTER (WHERE auto_retry_attempted AND auto_retry_succeeded) AS succeeded, count(*) FILTER (WHERE is_active) AS active FROM alerts GROUP BY type", lambda v: rep.breaker_metrics(v.alerts))
+LATE = "2024-01-20 00:00:00"
+query(
+    "agg16_stale_functions",
+    f"SELECT e.source, max_gap_h, last_run FROM (SELECT concat('source', CAST(s_suppkey AS VARCHAR)) AS source, 1 AS max_gap_h FROM supplier UNION ALL SELECT DISTINCT source, 12 FROM ingestion_log) e LEFT JOIN (SELECT source, max(created_at) AS last_run FROM ingestion_log GROUP BY 1) l ON l.source = e.source WHERE last_run IS NULL OR (epoch(TIMESTAMP '2024-02-01 00:00:00') - floor(epoch(last_run))) / 3600.0 > max_gap_h",
+    lambda v: rep.stale_functions(v.ingestion_log, v.spark.read.parquet(f"{v.sf_dir}/supplier.parquet").selectExpr("concat('source', CAST(s_suppkey AS STRING)) AS source", "1 AS max_gap_h").unionByName(v.ingestion_log.select("source").distinct().withColumn("max_gap_h", F.lit(12))), "2024-02-01 00:00:00"),
+)
+query("agg17_stage_counters", f"SELECT type, CAST(sum(items_processed) AS BIGINT) AS processed, CAST(sum(items_inserted) AS BIGINT) AS inserted, count(*) AS runs, sum(items_inserted) = 0 AS silent FROM ingestion_log WHERE created_at BETWEEN TIMESTAMP '{LATE}' - INTERVAL 1 DAY AND TIMESTAMP '{LATE}' GROUP BY type", lambda v: rep.stage_counters(v.ingestion_log, LATE))
+query("agg18_public_stats", f"SELECT count(*) AS total, count(*) FILTER (WHERE remote_scope = 'global') AS global_jobs, count(*) FILTER (WHERE remote_scope IN ('country_fenced', 'region_fenced')) AS fenced, count(*) FILTER (WHERE {WIN('detected_at', 7)}) AS new_this_week FROM job WHERE status = 'active'", lambda v: rep.public_stats(v.job, AS_OF))
+query("agg19_trending_skills", "SELECT tag, count(*) AS n FROM (SELECT unnest(extracted_tags) AS tag FROM job WHERE status = 'active') x GROUP BY tag ORDER BY n DESC, tag LIMIT 15", lambda v: rep.trending_skills(v.job, 15))
+query(
+    "agg20_rank_sources",
+    f"SELECT discovery_source, count(*) AS companies, CAST(sum(coalesce(n, 0)) AS BIGINT) AS jobs, CAST(sum(coalesce(g, 0) + 0.5 * coalesce(u, 0)) AS DOUBLE) AS addressable, {rate('sum(coalesce(g, 0))', 'sum(coalesce(n, 0))')} AS global_rate FROM company LEFT JOIN (SELECT ats_source, ats_slug, count(*) FILTER (WHERE remote_scope = 'global') AS g, count(*) FILTER (WHERE remote_scope = 'undetermined') AS u, count(*) AS n FROM job GROUP BY ALL) j USING (ats_source, ats_slug) GROUP BY 1",
+    lambda v: rep.rank_sources(v.company, v.job),
+)
+FEN = "count(*) FILTER (WHERE remote_scope IN ('country_fenced', 'region_fenced', 'onsite'))"
+query("agg21_fence_rate", f"SELECT coalesce(ats_source, '(all)') AS ats_source, count(*) AS jobs, {FEN} AS fenced, {rate(FEN, 'count(*)')} AS rate FROM job GROUP BY ROLLUP (ats_source)", lambda v: rep.fence_rate(v.job))
+query("agg22_duplicate_groups", f"SELECT {HASH} AS text_hash, count(*) AS n, count(DISTINCT ats_slug) AS slugs, min(id) AS first_id FROM job GROUP BY 1 HAVING count(*) > 1", lambda v: rep.duplicate_groups(v.job))
+query("agg23_calibration", "SELECT overlap_score, count(cosine_distance) AS n, round(avg(cosine_distance), 6) AS mean, round(stddev_pop(cosine_distance), 6) AS sd, round(min(cosine_distance), 6) AS lo, round(max(cosine_distance), 6) AS hi, round(quantile_cont(cosine_distance, 0.5), 6) AS p50, round(quantile_cont(cosine_distance, 0.9), 6) AS p90 FROM match_queue GROUP BY 1", lambda v: rep.calibration_stats(v.match_queue))
+query("agg23_threshold_sweep", "SELECT threshold, count(*) AS matches, count(DISTINCT job_id) AS jobs FROM match_queue JOIN (SELECT unnest([0.21::DOUBLE, 0.33::DOUBLE, 0.47::DOUBLE]) AS threshold) t ON cosine_distance < threshold GROUP BY 1", lambda v: rep.threshold_sweep(v.match_queue, [0.21, 0.33, 0.47]))
+query("agg24_score_separation", "SELECT status, count(*) AS n, round(avg(overlap_score), 6) AS overlap, round(avg(cosine_distance), 6) AS distance, round(min(cosine_distance), 6) AS lo, round(max(cosine_distance), 6) AS hi FROM match_queue WHERE status IN ('approved', 'rejected') GROUP BY 1", lambda v: rep.score_separation(v.match_queue))
+query("agg24_mismatch_profile", "SELECT applicant_id, count(*) AS n, count(DISTINCT persona_id) AS personas, count(DISTINCT job_id) AS jobs FROM match_queue WHERE status = 'mismatch' GROUP BY 1", lambda v: rep.mismatch_profile(v.match_queue))
+query("agg25_phrase_lift", "SELECT ats_source, round(avg((remote_scope = 'global')::DOUBLE) FILTER (WHERE regexp_matches(lower(normalized_text), '(anywhere|worldwide)')), 6) AS with_phrase, round(avg((remote_scope = 'global')::DOUBLE), 6) AS baseline, count(*) FILTER (WHERE regexp_matches(lower(normalized_text), '(anywhere|worldwide)')) AS hits FROM job GROUP BY 1", lambda v: rep.phrase_lift(v.job, "(?i)(anywhere|worldwide)"))
+query("agg26_active_job_counts", "SELECT id, ats_source, ats_slug, coalesce(n, 0) AS active_job_count FROM company LEFT JOIN (SELECT ats_source, ats_slug, count(*) AS n FROM job WHERE status = 'active' GROUP BY ALL) j USING (ats_source, ats_slug)", lambda v: rep.active_job_counts(v.company, v.job))
+query(
+    "agg27_north_star",
+    f"SELECT * FROM (SELECT count(*) FILTER (WHERE status = 'active') AS active, count(*) FILTER (WHERE {WIN('detected_at', 1)}) AS new_1d, count(*) FILTER (WHERE remote_scope = 'global' AND status = 'active') AS global_active FROM job) j, (SELECT count(*) FILTER (WHERE status = 'approved' AND {WIN('evaluated_at', 7)}) AS approved_7d, count(*) FILTER (WHERE status = 'pending') AS waiting, count(DISTINCT applicant_id) AS applicants FROM match_queue) m",
+    lambda v: rep.north_star(v.job, v.match_queue, AS_OF),
+)
+query("agg28_failure_spike", "SELECT source, date_trunc('hour', created_at) AS hour, count(*) AS runs, count(*) FILTER (WHERE status = 'failure') AS failed FROM ingestion_log GROUP BY 1, 2 HAVING count(*) >= 2 AND count(*) FILTER (WHERE status = 'failure') / count(*)::DOUBLE >= 0.2", lambda v: rep.schema_failure_spike(v.ingestion_log, 2))
+FIRED = "list_filter([CASE WHEN consecutive_failures >= 5 THEN 3 END, CASE WHEN consecutive_failures >= 3 THEN 2 END, CASE WHEN total_failures / total_runs::DOUBLE > 0.3 THEN 1 END, CASE WHEN status = 'disabled' THEN 4 END], lambda x: x IS NOT NULL)"
+query("agg29_breaker", f"SELECT source_name, len({FIRED}) AS fired, coalesce(list_max({FIRED}), 0) AS severity FROM source_health", lambda v: rep.evaluate_breaker(v.source_health).select("source_name", "fired", "severity"))
+query("agg30_match_counts", "SELECT applicant_id, count(*) AS matches, count(*) FILTER (WHERE status = 'approved') AS approved, count(*) FILTER (WHERE status = 'approved' AND NOT is_read) AS unread FROM match_queue GROUP BY 1", lambda v: rep.match_counts(v.match_queue))
+STALE_SQL = "CASE WHEN remote_scope = 'global' AND p <> '' AND NOT regexp_matches(p, '(remote|worldwide|anywhere|global)') AND NOT regexp_matches(lower(normalized_text), '(anywhere|worldwide)') THEN CASE WHEN regexp_matches(p, '(emea|apac|namer|latam|europe)') THEN 'region_fenced' ELSE 'country_fenced' END ELSE remote_scope END"
+P = "(SELECT *, lower(coalesce(location_name, '')) AS p FROM job)"
+query("cls23_downgrade_global", f"SELECT id, {STALE_SQL} AS new_scope FROM {P} j", lambda v: ups.downgrade_stale_global(v.job).select("id", "new_scope"))
+query(
+    "agg31_reclassification_diff",
+    f"SELECT remote_scope, new_scope, count(*) AS n, round(1e2 * count(*) / sum(count(*)) OVER (PARTITION BY remote_scope), 1) AS pct FROM (SELECT remote_scope, {STALE_SQL} AS new_scope FROM {P} j) x GROUP BY 1, 2",
+    lambda v: rep.reclassification_diff(ups.downgrade_stale_global(v.job).drop("x"), F.col("new_scope")),
+)
+query("agg32_audit_rate", "SELECT status, share, n, CASE WHEN share >= 0.2 THEN 'critical' WHEN share >= 0.1 THEN 'warning' ELSE 'ok' END AS level FROM (SELECT status, round(avg((id % 8 = 0)::DOUBLE), 6) AS share, count(*) AS n FROM job GROUP BY 1) x", lambda v: rep.audit_rate(v.job, F.col("id") % 8 == 0))
+query(
+    "agg33_gate_attrition",
+    """SELECT count(*) AS pool, count(*) FILTER (WHERE f) AS fenced_alone, count(*) FILTER (WHERE f) AS fenced_in_turn, count(*) FILTER (WHERE s) AS natsec_alone, count(*) FILTER (WHERE NOT f AND s) AS natsec_in_turn, count(*) FILTER (WHERE q) AS qa_alone, count(*) FILTER (WHERE NOT f AND NOT s AND q) AS qa_in_turn,
+    count(*) FILTER (WHERE u) AS unembedded_alone, count(*) FILTER (WHERE NOT f AND NOT s AND NOT q AND u) AS unembedded_in_turn, count(*) FILTER (WHERE NOT f AND NOT s AND NOT q AND NOT u) AS left_over
+    FROM (SELECT is_fenced IS TRUE AS f, is_natsec IS TRUE AS s, is_qa IS TRUE AS q, job_embedding IS NULL AS u FROM job WHERE status = 'active' AND remote_scope = 'global') x""",
+    lambda v: rep.gate_attrition(v.job),
+)
+query("agg35_active_alerts", "SELECT id, type, severity FROM alerts WHERE is_active", lambda v: v.alerts.filter("is_active").select("id", "type", "severity"))
+
+# --- lifecycle
+query(
+    "ups1_upsert_postings",
+    f"""WITH cur AS (SELECT * FROM job QUALIFY row_number() OVER (PARTITION BY ats_source, ats_slug, external_job_id ORDER BY id) = 1), inc AS (SELECT ats_source, ats_slug, concat(external_job_id, CASE WHEN id % 5 = 0 THEN 'n' ELSE '' END) AS external_job_id, upper(title) AS title FROM cur WHERE id % 3 = 0)
+    SELECT ats_source, ats_slug, external_job_id, coalesce(i.title, c.title) AS title, CASE WHEN i.title IS NOT NULL AND (c.id IS NULL OR c.status IN ('stale', 'gone')) THEN 'active' ELSE c.status END AS status, CASE WHEN i.title IS NOT NULL THEN {NOW} ELSE c.last_seen_at END AS last_seen_at,
+      CASE WHEN c.id IS NULL THEN 'new' WHEN i.title IS NOT NULL THEN 'updated' ELSE 'kept' END AS change FROM cur c FULL JOIN inc i USING (ats_source, ats_slug, external_job_id)""",
+    lambda v: (lambda c: ups.upsert_postings(c, c.filter("id % 3 = 0").selectExpr("ats_source", "ats_slug", "concat(external_job_id, CASE WHEN id % 5 = 0 THEN 'n' ELSE '' END) AS external_job_id", "upper(title) AS title"), AS_OF))(joi.dedupe_first(v.job, ups.POSTING_KEY, ["id"])),
+)
+query(
+    "ups3_insert_companies",
+    "SELECT discovery_source, CASE WHEN NOT regexp_matches(slug, '^[a-z][a-z0-9-]{1,59}$') THEN 'invalid' WHEN regexp_matches(lower(company_name), '(labs)') THEN 'blacklisted' WHEN slug IN (SELECT ats_slug FROM company WHERE id % 2 = 0) THEN 'known' ELSE 'inserted' END AS result, count(*) AS n FROM (SELECT *, CASE WHEN id % 10 = 0 THEN concat('9', ats_slug) ELSE ats_slug END AS slug FROM company) c GROUP BY 1, 2",
+    lambda v: ups.insert_companies(v.company.filter("id % 2 = 0"), v.company.withColumn("ats_slug", F.expr("CASE WHEN id % 10 = 0 THEN concat('9', ats_slug) ELSE ats_slug END")), ["labs"]),
+)
+ONE = "(SELECT * FROM match_queue QUALIFY row_number() OVER (PARTITION BY job_id, persona_id ORDER BY id) = 1)"
+query(
+    "ups4_upsert_matches",
+    f"""WITH c AS {ONE}.replace, r AS (SELECT job_id + CASE WHEN id % 7 = 0 THEN 1000000 ELSE 0 END AS job_id, persona_id, 9 AS n FROM c WHERE id % 2 = 0)
+    SELECT job_id, persona_id, CASE WHEN n IS NULL OR status IN ('mismatch', 'rejected', 'applied', 'approved') THEN coalesce(status, 'pending') ELSE 'pending' END AS status, coalesce(n, overlap_score) AS overlap FROM c FULL JOIN r USING (job_id, persona_id)""".replace(".replace", ""),
+    lambda v: (lambda c: ups.upsert_matches(c, c.filter("id % 2 = 0").selectExpr("job_id + CASE WHEN id % 7 = 0 THEN 1000000 ELSE 0 END AS job_id", "persona_id", "9 AS overlap")))(joi.dedupe_first(v.match_queue, ["job_id", "persona_id"], ["id"])),
+)
+query("ups5_insert_absent", "SELECT company_id, discovery_source FROM (SELECT DISTINCT company_id, discovery_source FROM company_discovery_sources WHERE company_id % 2 = 0 UNION SELECT DISTINCT company_id, discovery_source FROM company_discovery_sources WHERE company_id % 3 = 0) x",
+      lambda v: (lambda s: ups.insert_absent(s.filter("company_id % 2 = 0").distinct(), s.filter("company_id % 3 = 0"), ["company_id", "discovery_source"]))(v.company_discovery_sources.select("company_id", "discovery_source")))
+query(
+    "ups6_mark_stale",
+    f"SELECT id, CASE WHEN s = 'stale' AND last_seen_at < {NOW} - INTERVAL 30 DAY THEN 'gone' ELSE s END AS status FROM (SELECT *, CASE WHEN status = 'active' AND (last_seen_at < {NOW} - INTERVAL 7 DAY OR published_at < {NOW} - INTERVAL 60 DAY) THEN 'stale' ELSE status END AS s FROM job) j",
+    lambda v: ups.mark_stale(v.job, AS_OF).select("id", "status"),
+)
+query(
+    "ups7_recalc_tiers",
+    f"""SELECT id, CASE WHEN NOT polling_enabled THEN tier WHEN (health = 'dead' OR consecutive_failures >= 3) AND last_polled_at IS NOT NULL THEN 'dead'
+      WHEN EXISTS (SELECT 1 FROM match_queue m JOIN job j ON j.id = m.job_id WHERE j.ats_source = c.ats_source AND j.ats_slug = c.ats_slug AND m.status = 'approved' AND evaluated_at > {NOW} - INTERVAL 30 DAY) THEN 'active_hot'
+      WHEN discovered_at > {NOW} - INTERVAL 48 HOUR THEN 'active_hot' WHEN last_job_posted_at > {NOW} - INTERVAL 14 DAY THEN 'active' WHEN last_polled_at IS NULL THEN 'probation' WHEN zero_yield_poll_count < 3 THEN 'probation' ELSE 'dormant' END AS new_tier FROM company c""",
+    lambda v: ups.recalc_tiers(v.company, v.job, v.match_queue, AS_OF).select("id", "new_tier"),
+)
+query(
+    "ups8_quality_tiers",
+    f"WITH {QUALITY} SELECT id, CASE WHEN quality > 50 AND approved > 3 THEN 'active_hot' WHEN quality < 10 AND total > 20 AND discovered_at <= {NOW} - INTERVAL 48 HOUR THEN 'dormant' ELSE tier END AS new_tier FROM quality",
+    lambda v: ups.apply_quality_tiers(quality(v), AS_OF).select("id", "new_tier"),
+)
+query(
+    "ups9_demote_layoffs",
+    f"SELECT c.id, CASE WHEN tier = 'active_hot' AND EXISTS (SELECT 1 FROM layoffs WHERE starts_with({TIDY_L('company')} || ' ', {TIDY_L('c.company_name')} || ' ') OR starts_with({TIDY_L('c.company_name')} || ' ', {TIDY_L('company')} || ' ')) THEN 'active' ELSE tier END AS new_tier FROM company c",
+    lambda v: ups.demote_layoffs(v.company, joi.match_layoffs(v.layoffs, v.company)).select("id", "new_tier"),
+)
+query(
+    "ups10_failure_runs",
+    "WITH l AS (SELECT source, max(struct_pack(a := created_at, b := id)) FILTER (WHERE status <> 'failure') AS ok FROM ingestion_log GROUP BY 1) SELECT l.source, count(g.id) AS consecutive_failures FROM l LEFT JOIN ingestion_log g ON g.source = l.source AND g.status = 'failure' AND (l.ok IS NULL OR struct_pack(a := g.created_at, b := g.id) > l.ok) GROUP BY 1",
+    lambda v: ups.failure_runs(v.ingestion_log),
+)
+query(
+    "ups12_source_health_fold",
+    """WITH g AS (SELECT *, sum(CASE WHEN status <> 'failure' THEN 1 ELSE 0 END) OVER (PARTITION BY source ORDER BY created_at, id ROWS UNBOUNDED PRECEDING) AS grp FROM ingestion_log), r AS (SELECT source, grp, count(*) FILTER (WHERE status = 'failure') AS f FROM g GROUP BY ALL)
+    SELECT source, max(f) AS longest, arg_max(f, grp) AS consecutive_failures, CASE WHEN max(f) >= 5 THEN 'disabled' WHEN arg_max(f, grp) >= 3 THEN 'degraded' ELSE 'healthy' END AS health FROM r GROUP BY source""",
+    lambda v: ups.fold_source_results(v.ingestion_log),
+)
+BACK = f"coalesce(tier = 'dead' AND NOT polling_enabled AND last_polled_at < {NOW} - INTERVAL 7 DAY, false)"
+query("ups11_revive", f"SELECT id, {BACK} AS revived, polling_enabled OR {BACK} AS polling_enabled FROM company", lambda v: ups.revive_companies(v.company.withColumn("last_polled_at", F.col("last_polled_at")), AS_OF).select("id", "revived", "polling_enabled"))
+BANNED = f"(status = 'disabled' AND disabled_at < {NOW} - INTERVAL 24 HOUR)"
+query("ups13_recover_banned", f"SELECT source_name, CASE WHEN {BANNED} THEN 'healthy' ELSE status END AS new_status, CASE WHEN {BANNED} THEN 0 ELSE consecutive_failures END AS failures FROM source_health", lambda v: ups.recover_banned(v.source_health, AS_OF).select("source_name", "new_status", "failures"))
+query(
+    "ups14_retention_plan",
+    f"SELECT id, CASE WHEN status = 'rejected' AND normalized_at < {NOW} - INTERVAL 1 DAY THEN 'rejected' WHEN status = 'gone' AND last_seen_at < {NOW} - INTERVAL 7 DAY THEN 'gone' WHEN status = 'normalization_failed' AND detected_at < {NOW} - INTERVAL 7 DAY THEN 'failed' WHEN coalesce(published_at, detected_at) < {NOW} - INTERVAL 30 DAY THEN 'ancient' END AS rule FROM job",
+    lambda v: ups.retention_plan(v.job, AS_OF).select("id", "rule"),
+)
+query("ups14_expired_matches", f"SELECT id FROM match_queue WHERE status IN ('approved', 'rejected') AND created_at < {NOW} - INTERVAL 90 DAY", lambda v: IDS(ups.expired_matches(v.match_queue, AS_OF)))
+query(
+    "ups15_purge_plan",
+    """WITH pool AS (SELECT id, detected_at, CASE status WHEN 'normalization_failed' THEN 0 WHEN 'rejected' THEN 1 WHEN 'gone' THEN 2 WHEN 'stale' THEN 3 WHEN 'active' THEN 4 END AS tier FROM job WHERE id NOT IN (SELECT job_id FROM match_queue WHERE status = 'approved')),
+    n AS (SELECT tier, CASE WHEN tier = 4 THEN floor(count(*) * 0.2::DOUBLE)::BIGINT ELSE count(*) END AS n FROM pool WHERE tier IS NOT NULL GROUP BY tier), b AS (SELECT tier, greatest(0, least(n, 3000 - coalesce(sum(n) OVER (ORDER BY tier ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))) AS g FROM n),
+    r AS (SELECT id, tier, row_number() OVER (PARTITION BY tier ORDER BY detected_at, id) AS place FROM pool) SELECT r.id, r.tier, place FROM r JOIN b USING (tier) WHERE place <= g""",
+    lambda v: ups.purge_plan(v.job, v.match_queue, 3000),
+)
+FENCED = "remote_scope IN ('country_fenced', 'region_fenced', 'onsite')"
+query("ups16_reconcile", f"SELECT remote_scope, count(*) FILTER (WHERE {FENCED} AND job_embedding IS NOT NULL) AS drop_embedding, count(*) FILTER (WHERE coalesce(is_fenced, false) <> ({FENCED})) AS fix_flag, count(*) FILTER (WHERE status = 'rejected' AND normalized_at IS NULL) AS set_normalized FROM job GROUP BY 1", lambda v: ups.reconcile(v.job))
+query("ups17_backoff", f"SELECT id, retry_count + 1 AS retry_count, {NOW} + INTERVAL 1 DAY * CAST(7 * pow(2, retry_count + 1) AS INT) AS next_retry_at FROM slugger_retry", lambda v: ups.backoff(v.slugger_retry, AS_OF))
+query("ups19_reset_matches", "SELECT id, CASE WHEN status = 'rejected' AND persona_id IN (SELECT id FROM persona WHERE id % 3 = 0) AND job_id IN (SELECT id FROM job WHERE status = 'active') THEN 'pending' ELSE status END AS status FROM match_queue", lambda v: ups.reset_persona_matches(v.match_queue, v.job, v.persona.filter("id % 3 = 0")))
+query(
+    "ups21_merge_alerts",
+    "SELECT type, source, CASE WHEN c.w IS NULL THEN 'open' WHEN f.w IS NULL THEN 'resolve' ELSE 'keep' END AS action FROM (SELECT DISTINCT type, source, 1 AS w FROM alerts WHERE is_active AND id % 7 < 3) c FULL JOIN (SELECT DISTINCT CASE WHEN status = 'failure' THEN 'error' ELSE 'odd' END AS type, source, 1 AS w FROM ingestion_log) f USING (type, source)",
+    lambda v: ups.merge_alerts(v.alerts.filter("id % 7 < 3"), v.ingestion_log.selectExpr("CASE WHEN status = 'failure' THEN 'error' ELSE 'odd' END AS type", "source")),
+)
+query("cls18_usd_pay", f"SELECT id, {USD_OK} AS usd FROM job", lambda v: v.job.select("id", X.to_usd(F.col("compensation_max"), F.col("compensation_currency")).alias("usd")))
+query("cls21_canonical_name", f"SELECT id, {CANON.format('company_name')} AS name FROM company", lambda v: v.company.select("id", X.canonical_name(F.col("company_name")).alias("name")))
+query("cls22_text_hash", f"SELECT id, {HASH} AS text_hash FROM job", lambda v: v.job.select("id", X.text_hash(F.col("company_name"), F.col("title"), F.col("location_name")).alias("text_hash")))
