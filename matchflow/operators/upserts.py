@@ -189,3 +189,27 @@ def downgrade_stale_global(jobs: DataFrame) -> DataFrame:
     return jobs.withColumn("new_scope", scope)
 
 
+
+
+def upsert_board_postings(current: DataFrame, incoming: DataFrame, as_of: str, days: int = 60) -> DataFrame:
+    """Fresh board postings over the known ones: the old embedding stays where the new row has none; fenced rows have none."""
+    i = incoming.filter(F.col("published_at") >= ago(as_of, f"{days} DAYS")).select(*POSTING_KEY, F.col("title").alias("new_title"), F.col("remote_scope").alias("new_scope"), F.col("embedded").alias("new_embedded"))
+    c = current.select(*POSTING_KEY, F.col("title").alias("old_title"), F.col("remote_scope").alias("old_scope"), F.col("job_embedding").isNotNull().alias("old_embedded"))
+    both = c.join(i, POSTING_KEY, "full_outer")
+    fenced = F.coalesce("new_scope", "old_scope").endswith("fenced")
+    embedded = F.coalesce("new_embedded", F.lit(False)) | F.coalesce("old_embedded", F.lit(False))
+    return both.select(*POSTING_KEY, F.coalesce("new_title", "old_title").alias("title"), F.when(fenced, False).otherwise(embedded).alias("embedded"))
+
+
+def sweep_retry_flags(runs: DataFrame, as_of: str) -> DataFrame:
+    """Runs in flight for more than ten minutes are cleared."""
+    return runs.withColumn("cleared", (F.col("started_at") < ago(as_of, "10 MINUTES")) & F.col("finished_at").isNull())
+
+
+def dismissal_overrides(actions: DataFrame, jobs: DataFrame, overrides: DataFrame) -> DataFrame:
+    """New label overrides from dismissals (job_id, reason) whose reason stands for one, unless an active one is there."""
+    types = {"location": "geo_fenced", "not_interested": "suppressed", "stack": "wrong_stack"}
+    mapped = F.create_map(*[F.lit(x) for kv in types.items() for x in kv])[F.col("reason")]
+    new = actions.select("job_id", mapped.alias("override_type")).filter("override_type IS NOT NULL").join(jobs.select(F.col("id").alias("job_id"), "ats_slug", "title"), "job_id")
+    active = overrides.filter("revoked_at IS NULL").select("ats_slug", "title", "override_type").distinct()
+    return new.select("ats_slug", "title", "override_type").distinct().join(active, ["ats_slug", "title", "override_type"], "left_anti")

@@ -209,4 +209,4 @@ query(
     "AND NOT EXISTS (SELECT 1 FROM applicant_company_block b WHERE b.user_id = r.applicant_id AND b.ats_slug = r.ats_slug)",
     lambda v: rou.match_job(v.job, v.persona, v.match_queue, v.job_label_override, v.applicant_company_block, hashes(v.job)),
 )
-from matchflow.plans import queries_more, queries_sources  # noqa: E402, F401  registers the rest
+from matchflow.plans import queries_classify, queries_more, queries_sources, queries_streaming  # noqa: E402, F401  registers the rest
