@@ -1,12 +1,7 @@
 import random
 
 import pytest
-
-DOCS = "doc_id long, text string, lang string, source string, n_chars long"
-
-
-def prose(rng: random.Random, n: int, vocabulary: int = 3000) -> list[str]:
-    return [f"wo{rng.randrange(vocabulary):x}rd" for _ in range(n)]
+from llm_helpers import DOCS, prose
 
 
 @pytest.fixture(scope="session")
@@ -34,9 +29,3 @@ def awkward(spark):
 def nothing(spark):
     return spark.createDataFrame([], DOCS)
 
-
-def save(spark, tmp_path, **tables):
-    """Write tables where a query looks for them."""
-    for name, df in tables.items():
-        df.coalesce(2).write.parquet(f"{tmp_path}/{name}.parquet")
-    return str(tmp_path)

@@ -1,7 +1,7 @@
 import hashlib
 
 import pytest
-from conftest import save  # noqa: F401
+from llm_helpers import save  # noqa: F401
 from pyspark.sql import functions as F
 
 from matchflow.llm import chat_format as c

@@ -2,7 +2,7 @@ import random
 
 import numpy as np
 import pytest
-from conftest import DOCS, prose, save
+from llm_helpers import DOCS, prose, save
 
 from matchflow.llm import components as c
 from matchflow.llm import minhash_dedup as m

@@ -3,7 +3,7 @@ import re
 
 import numpy as np
 import pytest
-from conftest import prose, save
+from llm_helpers import prose, save
 
 from matchflow.llm import ann_search as a
 from matchflow.llm import language_id as g

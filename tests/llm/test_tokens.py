@@ -6,7 +6,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 import tiktoken
-from conftest import save
+from llm_helpers import save
 from tokenizers import Tokenizer
 
 from matchflow.llm import byte_bpe as b
