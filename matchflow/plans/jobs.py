@@ -54,3 +54,20 @@ def evaluate_feeds(postings: DataFrame, keywords: list[str]) -> DataFrame:
     hit = filter_persona_tech(postings, keywords).groupBy("ats_source").agg(F.count(F.lit(1)).alias("on_stack"))
     out = postings.groupBy("ats_source").agg(F.count(F.lit(1)).alias("jobs")).join(hit, "ats_source", "left").fillna(0, ["on_stack"])
     return out.withColumn("share", X.rate(F.col("on_stack"), F.col("jobs")))
+
+
+def provisional_normalize(jobs: DataFrame, min_chars: int = 60) -> DataFrame:
+    """Postings not normalised yet: their scope by the cascade where the text is long enough, else undetermined."""
+    new = classify.classify_remote_scope(jobs.filter("normalized_at IS NULL"))
+    enough = F.length(F.coalesce("normalized_text", F.lit(""))) >= min_chars
+    return new.withColumn("scope", F.when(enough, F.col("scope")).otherwise("undetermined"))
+
+
+def discover_companies(found: list[DataFrame], companies: DataFrame) -> DataFrame:
+    """Employers (ats, slug) that several scans found and that aren't known yet, with the number of scans."""
+    rows = found[0].select("ats", "slug", F.lit(0).alias("scan"))
+    for i, df in enumerate(found[1:], 1):
+        rows = rows.unionByName(df.select("ats", "slug", F.lit(i).alias("scan")))
+    n = rows.groupBy("ats", "slug").agg(F.countDistinct("scan").alias("n_sources"))
+    valid = filters.filter_valid_slugs(n.withColumnRenamed("slug", "ats_slug")).withColumnRenamed("ats", "ats_source")
+    return valid.join(companies.select("ats_source", "ats_slug").distinct(), ["ats_source", "ats_slug"], "left_anti")

@@ -13,6 +13,7 @@ from matchflow.operators import scoring as sco
 from matchflow.operators import upserts as ups
 from matchflow.plans import jobs
 from matchflow.plans.adapters import AS_OF
+from matchflow.sources import discovery as dis
 from matchflow.plans.queries import NOW, SPECIFIC, arr, parts, query, words
 from matchflow.plans.queries_more import BLOCKERS, PAIRS, pairs, rate
 
@@ -103,3 +104,12 @@ query(
 )
 query("pip8_backfill_hash", "SELECT count(*) AS rows_changed FROM job WHERE location_name IS NULL", lambda v: jobs.backfill(v.job, "location_name", F.coalesce("location_name", F.lit("unknown")), "id"))
 query("pip3_reprocess", None, lambda v: jobs.reprocess(v.job, v.persona, pairs(v)).select("job_id", "persona_id", "rank"))
+query("pip4_provisional_normalize", f"SELECT o.id, CASE WHEN length(o.normalized_text) >= 60 THEN split_part(r, ':', 2) ELSE 'undetermined' END AS scope FROM ({CASCADE}) x JOIN job o ON o.id = x.id WHERE o.normalized_at IS NULL", lambda v: jobs.provisional_normalize(v.job).select("id", "scope"))
+CERTS = "CASE WHEN c_custkey % 3 = 0 THEN concat('co', c_custkey % 97, '.lever.co\nwww.lever.co') ELSE concat('X', c_custkey % 53, '.greenhouse.io') END AS name_value"
+URLS = "CASE WHEN c_custkey % 2 = 0 THEN concat('https://jobs.lever.co/Co', c_custkey % 120, '/abc') ELSE 'https://example.com/a' END AS original"
+query(
+    "pip6_discover_companies",
+    """SELECT ats AS ats_source, slug AS ats_slug, count(*) AS n_sources FROM (SELECT DISTINCT 'lever' AS ats, concat('co', CAST(c_custkey % 97 AS VARCHAR)) AS slug, 0 AS s FROM customer WHERE c_custkey % 3 = 0 UNION SELECT DISTINCT 'greenhouse', concat('x', CAST(c_custkey % 53 AS VARCHAR)), 0 FROM customer WHERE c_custkey % 3 <> 0
+      UNION SELECT DISTINCT 'lever', concat('co', CAST(c_custkey % 120 AS VARCHAR)), 1 FROM customer WHERE c_custkey % 2 = 0) f WHERE NOT EXISTS (SELECT 1 FROM company c WHERE c.ats_source = f.ats AND c.ats_slug = f.slug) GROUP BY 1, 2""",
+    lambda v: (lambda c: jobs.discover_companies([dis.scan_certificates(c.selectExpr(CERTS)), dis.scan_url_archive(c.selectExpr(URLS))], v.company))(v.spark.read.parquet(f"{v.sf_dir}/customer.parquet")),
+)
