@@ -131,6 +131,39 @@ def test_planted_passages_are_found(spark, tmp_path):
         assert any(abs(s - start) <= 4 and abs(e - end) <= 4 for s, e in found[i]), (i, planted[i], found[i])
 
 
+@pytest.mark.parametrize("gap", [31, 60, 100])
+def test_passages_apart_are_each_found(spark, gap):
+    rng = random.Random(gap)
+    first, second = prose(rng, 60, 10**6), prose(rng, 60, 10**6)
+    texts = [prose(rng, 40, 10**6) + first + prose(rng, gap, 10**6) + second + prose(rng, 40, 10**6) for _ in range(2)]
+    found = x.repeated_passages(spark.createDataFrame([(i, " ".join(t), "en", "s", 1) for i, t in enumerate(texts)], DOCS)).collect()
+    want = [(40, 100), (100 + gap, 160 + gap)]
+    assert sorted((r["doc_id"], r["start_word"], r["end_word"], r["other_start"], r["other_end"]) for r in found) == [(i, *w, *w) for i in (0, 1) for w in want]
+
+
+def test_passages_of_an_alignment_match_brute_force():
+    rng = random.Random(7)
+    for _ in range(300):
+        runs, i, j = [], 0, 0
+        for _ in range(rng.randint(1, 9)):
+            i, j, n = i + rng.randint(1, 12), j + rng.randint(1, 12), rng.randint(1, 40)
+            runs.append((i, j, n))
+            i, j = i + n, j + n
+        good = set()  # (first run, last run)
+        for l in range(len(runs)):
+            for r in range(l, len(runs)):
+                sides = [runs[r][c] + runs[r][2] - runs[l][c] for c in (0, 1)]
+                if min(sides) >= 50 and sum(n for *_, n in runs[l : r + 1]) >= 0.8 * max(sides):
+                    good.add((l, r))
+        got = []
+        for s, e, t, f, equal in x.passages(runs):
+            l, r = [a for a, _, _ in runs].index(s), [a + n for a, _, n in runs].index(e)
+            assert (t, f, equal) == (runs[l][1], runs[r][1] + runs[r][2], sum(n for *_, n in runs[l : r + 1]))
+            got.append((l, r))
+        assert set(got) <= good
+        assert {k for l, r in got for k in range(l, r + 1)} == {k for l, r in good for k in range(l, r + 1)}
+
+
 def test_passages_of_awkward_rows(awkward, nothing):
     got = x.repeated_passages(awkward).collect()
     assert {(r["doc_id"], r["other_id"]) for r in got} == {(7, 8), (8, 7)}
