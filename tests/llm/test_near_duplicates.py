@@ -141,6 +141,28 @@ def test_passages_apart_are_each_found(spark, gap):
     assert sorted((r["doc_id"], r["start_word"], r["end_word"], r["other_start"], r["other_end"]) for r in found) == [(i, *w, *w) for i in (0, 1) for w in want]
 
 
+@pytest.mark.parametrize("kind", ["alone", "reversed", "twice"])
+def test_passages_made_of_earlier_lines_are_found(spark, kind):
+    rng = random.Random(3)
+    words = lambda n: prose(rng, n, 10**6)
+    texts, want = [], set()
+    for _ in range(12):
+        lines = [words(40) for _ in range(3)]
+        early = [line + after[:7] for line, after in zip(lines, [*lines[1:], []])]  # every window of eight words, too short for a passage
+        b = len(texts)
+        if kind == "alone":
+            texts += [words(50) + line + words(50) for line in early]
+        elif kind == "reversed":
+            texts += [sum((words(90) + line for line in reversed(early)), []) + words(50)]
+        else:  # the first document has the passage, and its lines before it
+            texts += [sum((line + words(300) for line in reversed(early)), []) + sum(lines, []) + words(50)]
+        c = len(texts)
+        texts += [words(30) + sum(lines, []) + words(30) for _ in range(2)]
+        want |= {(c, b), (c + 1, b)} if kind == "twice" else {(c, c + 1), (c + 1, c)}
+    found = x.repeated_passages(spark.createDataFrame([(i, " ".join(t), "en", "s", 1) for i, t in enumerate(texts)], DOCS)).collect()
+    assert want <= {(r["doc_id"], r["other_id"]) for r in found if (r["start_word"], r["end_word"]) == (30, 150)}
+
+
 def test_passages_of_an_alignment_match_brute_force():
     rng = random.Random(7)
     for _ in range(300):
