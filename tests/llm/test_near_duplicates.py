@@ -163,6 +163,13 @@ def test_passages_made_of_earlier_lines_are_found(spark, kind):
     assert want <= {(r["doc_id"], r["other_id"]) for r in found if (r["start_word"], r["end_word"]) == (30, 150)}
 
 
+def test_words_between_changes_count_as_equal():
+    a = np.arange(40)
+    b = a.copy()
+    b[[9, 11, 13, 15]] = -1
+    assert sum(n for *_, n in x.align(a, b, [(0, 0), (20, 20)])) == 35  # a step over three words passes one by
+
+
 def test_passages_of_an_alignment_match_brute_force():
     rng = random.Random(7)
     for _ in range(300):
