@@ -103,7 +103,7 @@ query(
     lambda v: jobs.gate_replay(pairs(v).drop("status"), v.match_queue),
 )
 query("pip8_backfill_hash", "SELECT count(*) AS rows_changed FROM job WHERE location_name IS NULL", lambda v: jobs.backfill(v.job, "location_name", F.coalesce("location_name", F.lit("unknown")), "id"))
-query("pip3_reprocess", None, lambda v: jobs.reprocess(v.job, v.persona, pairs(v)).select("job_id", "persona_id", "rank"))
+query("pip3_reprocess", None, lambda v: jobs.reprocess(v.job, v.persona, v.applicant, v.match_queue).select("job_id", "persona_id", "rank"))
 query("pip4_provisional_normalize", f"SELECT o.id, CASE WHEN length(o.normalized_text) >= 60 THEN split_part(r, ':', 2) ELSE 'undetermined' END AS scope FROM ({CASCADE}) x JOIN job o ON o.id = x.id WHERE o.normalized_at IS NULL", lambda v: jobs.provisional_normalize(v.job).select("id", "scope"))
 CERTS = "CASE WHEN c_custkey % 3 = 0 THEN concat('co', c_custkey % 97, '.lever.co\nwww.lever.co') ELSE concat('X', c_custkey % 53, '.greenhouse.io') END AS name_value"
 URLS = "CASE WHEN c_custkey % 2 = 0 THEN concat('https://jobs.lever.co/Co', c_custkey % 120, '/abc') ELSE 'https://example.com/a' END AS original"

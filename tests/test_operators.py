@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from matchflow.functions import exprs as X
 from matchflow.operators import classify, filters, joins, reports, routing, scoring, tags, upserts
+from matchflow.plans import jobs as plans
 from matchflow.plans.adapters import AS_OF, view
 from matchflow.sources import discovery, payloads
 
@@ -131,3 +132,15 @@ def test_bad_payloads_are_counted(spark):
 def test_breaker_takes_the_worst(spark):
     df = spark.createDataFrame([("a", "healthy", 0, 10, 1), ("b", "healthy", 3, 10, 9), ("c", "disabled", 6, 10, 9)], "source_name string, status string, consecutive_failures int, total_runs int, total_failures int")
     assert column(reports.evaluate_breaker(df), "severity", "source_name") == [0, 2, 4]
+
+
+def test_reprocess_takes_unmatched_postings_and_all_applicants(spark):
+    jobs, personas, people, matches = view(spark, SF, "job"), view(spark, SF, "persona"), view(spark, SF, "applicant"), view(spark, SF, "match_queue").filter("job_id % 2 = 0")
+    due = jobs.join(joins.reprocess_candidates(jobs, personas, matches), "id", "left_semi")
+    every = scoring.hard_blockers(due.withColumnRenamed("id", "job_id").crossJoin(people))  # brute force: no profiles
+    want = {r["job_id"] for r in every.filter("passes").select("job_id").distinct().collect()}
+    by_profile = scoring.hard_blockers(due.withColumnRenamed("id", "job_id").crossJoin(plans.applicant_profiles(people)))
+    assert want == {r["job_id"] for r in by_profile.filter("passes").select("job_id").distinct().collect()}
+    got = {r["job_id"] for r in plans.reprocess(jobs, personas, people, matches).select("job_id").distinct().collect()}
+    assert got and got <= want and 0 < len(want) < due.count()
+    assert not got & {r["job_id"] for r in matches.select("job_id").distinct().collect()}
