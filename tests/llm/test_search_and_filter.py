@@ -165,3 +165,13 @@ def test_sample_is_bounded(spark):
     few = g.train(labelled(spark), sample_per_lang=20)
     assert few.langs == ["xx", "yy", "zz"]
     assert prose(random.Random(1), 3)
+
+
+def test_long_values_of_elements_are_found():
+    from matchflow.llm.secret_scan import scan_text
+
+    value = "".join(f"{i * 7919:x}Zq" for i in range(300))
+    for name, text in [("token", value), ("private_key", value[:800] + "\n" + value[800:]), ("a" * 70 + "_token", value)]:
+        whole = f"<{name}>{text}</{name}>"
+        start = len(name) + 2
+        assert (start, start + len(text), "literal") in scan_text(whole)[1]
