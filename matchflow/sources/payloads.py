@@ -45,8 +45,9 @@ BOARD_SHAPES: dict[str, tuple[str, str, dict[str, str]]] = {
 
 
 def _read(raw: DataFrame, shapes: dict, keys: list[str]) -> DataFrame:
-    """Each shape's payloads parsed by its schema; a payload that doesn't parse gives one row with ``valid`` false."""
-    out: DataFrame | None = None
+    """Each shape's payloads parsed by its schema; a payload that doesn't parse or is of no known source gives one row with ``valid`` false."""
+    unknown = ~F.coalesce(F.col("source").isin(list(shapes)), F.lit(False))
+    out = raw.filter(unknown).select(*keys, F.lit(False).alias("valid"), *[F.lit(None).cast("string").alias(c) for c in COMMON])
     for source, (schema, path, fields) in shapes.items():
         mine = raw.filter(F.col("source") == source)
         parsed = mine.select(*keys, F.from_json("payload", schema).alias("p"))
@@ -54,7 +55,7 @@ def _read(raw: DataFrame, shapes: dict, keys: list[str]) -> DataFrame:
         rows = parsed.select(*keys, array.isNotNull().alias("valid"), F.explode_outer(array).alias("j"))
         columns = [F.when(F.col("valid"), F.expr(fields[c])).alias(c) if c in fields else F.lit(None).cast("string").alias(c) for c in COMMON]
         rows = rows.filter(F.col("j").isNotNull() | ~F.col("valid")).select(*keys, "valid", *columns)
-        out = rows if out is None else out.unionByName(rows)
+        out = out.unionByName(rows)
     return out
 
 

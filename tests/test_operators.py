@@ -144,3 +144,9 @@ def test_reprocess_takes_unmatched_postings_and_all_applicants(spark):
     got = {r["job_id"] for r in plans.reprocess(jobs, personas, people, matches).select("job_id").distinct().collect()}
     assert got and got <= want and 0 < len(want) < due.count()
     assert not got & {r["job_id"] for r in matches.select("job_id").distinct().collect()}
+
+
+def test_payloads_of_unknown_sources_are_counted(spark):
+    raw = spark.createDataFrame([("nosuch", "[]"), (None, "[]"), ("arbeitnow", '{"data":[{"slug":"x","title":"Dev"}]}')], "source string, payload string")
+    rows = payloads.read_board_feed(raw).select("source", "valid", "title").collect()
+    assert sorted(map(tuple, rows), key=str) == [("arbeitnow", True, "Dev"), ("nosuch", False, None), (None, False, None)]
