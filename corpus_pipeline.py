@@ -7,10 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from matchflow.llm import exact_dedup, minhash_dedup
 from matchflow.llm.common import stored
-from matchflow.llm.exact_dedup import keep_one_of_each
 from matchflow.llm.language_id import keep_identified, train
-from matchflow.llm.minhash_dedup import near_duplicates
 from matchflow.llm.packing import pack_documents
 from matchflow.llm.secret_scan import redact
 
@@ -24,13 +23,12 @@ def identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def exactly_once(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts, the document with the largest id."""
-    return keep_one_of_each(docs)
+    return exact_dedup.keep_one_of_each(docs)
 
 
 def no_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near copies (five-word shingles, similarity 0.8), the document with the smallest id."""
-    gone = near_duplicates(docs).filter("NOT kept").select("doc_id")
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    return minhash_dedup.keep_one_of_each(docs)
 
 
 def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -16,23 +17,27 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` in the cluster's shared checkpoint folder.
+def shared_folder(spark: SparkSession) -> str:
+    """The cluster's shared folder for intermediate tables, as ``spark.checkpoint.dir`` names it.
 
-    The folder is ``spark.checkpoint.dir``. Only where the session has none (tests on one machine) a temporary one is
-    set. The files are on shared storage, so that a lost executor loses nothing.
+    Without that setting, a temporary folder serves a session on one machine (tests); on a cluster it is an error, as
+    executors don't see one another's disks. An application's tables lie under its own id, to be removed when it ends.
     """
+    sc = spark.sparkContext
+    folder = sc.getConf().get("spark.checkpoint.dir")
+    if folder is None and not re.fullmatch(r"local(\[.*\])?", sc.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return f"{folder or tempfile.gettempdir()}/{sc.applicationId}"
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Materialise ``df`` by a reliable checkpoint in the shared folder: a lost executor loses nothing."""
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="spark-ckpt-"))
+        sc.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The cluster's shared folder for intermediate tables; a temporary one only where none is set (tests)."""
-    return spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="spark-shared-")
-
-
 def stored(df: DataFrame) -> DataFrame:
     """``df`` written as a Parquet table in the shared folder and read back: smaller than a checkpoint for many rows."""
     at = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
