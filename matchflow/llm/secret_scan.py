@@ -3,14 +3,17 @@
 The fixed patterns (``assign``, ``access``, ``hex``) find secrets by shape. The lexer (``literal``) finds assignments in
 source and configuration syntax (``name = "x"``, ``name: x``, ``"name": "x"``, ``NAME=x``, ``<name>x</name>``), keeps
 the constants that a text has defined so far, works out right-hand sides that concatenate literals and names, and scores
-every literal that reaches a name by how sensitive the name is and how random the literal looks.
+every literal that reaches a name by how sensitive the name is and how random the value looks. Values are never spelled
+out: a constant is a summary (length, character counts, first characters) and a node that refers to its operands, so
+that time and memory are linear in the text whatever constants refer to.
 """
 
 from __future__ import annotations
 
-import hashlib
+import functools
 import math
 import re
+from collections import Counter
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -37,15 +40,43 @@ SENSITIVE = {
 }
 MIN_SCORE, MIN_LENGTH = 0.35, 8
 
-_OPERATOR = re.compile(r"[\x20\t]*(?::=|=>|=(?!=)|:(?!/))[\x20\t]*")
-_NAME_BEFORE = re.compile(r"([A-Za-z_][A-Za-z0-9_.\-]*)[\"']?$")
-_TERM = re.compile(r"\"((?:[^\"\\\n]|\\.)*)\"|'((?:[^'\\\n]|\\.)*)'|([^\s\"'`,;#{}()\[\]<>+&|]+)")
-_PLUS = re.compile(r"[\x20\t]*\+[\x20\t]*")
-_TAG = re.compile(r"<([A-Za-z_][A-Za-z0-9_.\-]*)>([^<>]+)</\1>")  # a value can't cross a tag, so that time stays linear
+#: A name, then an operator. Names and blanks are taken whole and only where they begin, so that time is linear.
+_ASSIGNED = re.compile(r"(?<![A-Za-z0-9_.\-])([A-Za-z0-9_.\-]++)[\"']?[\x20\t]*+(?::=|=>|=(?!=)|:(?!/))[\x20\t]*+")
+#: A quoted literal or a bare one; a bare one ends before the next operator, but for the padding of base 64.
+_TERM = re.compile(r"\"((?:[^\"\\\n]|\\.)*+)\"|'((?:[^'\\\n]|\\.)*+)'|((?:[^\s\"'`,;#{}()\[\]<>+&|=:]|:(?=/))++={0,2})")
+_PLUS = re.compile(r"[\x20\t]*+\+[\x20\t]*+")
+_TAG = re.compile(r"<([A-Za-z_][A-Za-z0-9_.\-]*+)>([^<>]++)</\1>")  # a value can't cross a tag, so that time stays linear
 _PARTS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+")
 _NOT_SECRET = re.compile(r"(?i)^(?:true|false|null|none|undefined|changeme|example|placeholder|your[_-].*|x+|\*+|\.+|[$%]\{?.*|https?://.*)$")
 
-Literal = tuple[str, list[tuple[int, int]]]  # a value and the spans of the literals that make it up
+#: Characters of a value that its summary keeps; lengths beyond which counts are scaled down (only proportions matter).
+HEAD, LARGE = 64, 1e12
+
+
+class Value:
+    """A value's length, character counts and first characters, and where its literals stand."""
+
+    def __init__(self, literal: str, span: tuple[int, int] | None) -> None:
+        self.length, self.literal, self.head = float(len(literal)), literal, literal[:HEAD]
+        self.span, self.parts, self.judged = span, (), False
+
+    @functools.cached_property
+    def counts(self) -> Counter:
+        return Counter(c if c < "\x80" else "\x80" for c in self.literal)
+
+    @classmethod
+    def joined(cls, parts: list[Value]) -> Value:
+        """The concatenation of values."""
+        out = cls("", None)
+        for p in parts:
+            out.length += p.length
+            out.counts.update(p.counts)
+            out.head = out.head if len(out.head) == HEAD else (out.head + p.head)[:HEAD]
+        if out.length > LARGE:
+            scale = LARGE / 2 / out.length
+            out.length, out.counts = out.length * scale, Counter({c: n * scale for c, n in out.counts.items()})
+        out.parts = tuple({id(p): p for p in parts}.values())
+        return out
 
 
 def name_score(name: str) -> float:
@@ -56,57 +87,59 @@ def name_score(name: str) -> float:
     return 1.0 if pairs & {("api", "key"), ("access", "key"), ("private", "key"), ("secret", "key")} else best
 
 
-def literal_score(value: str) -> float:
-    """0 to 1: entropy a character against that of a random token, lowered for short or wordlike values."""
-    if len(value) < MIN_LENGTH or _NOT_SECRET.match(value) or " " in value:
+def value_score(value: Value) -> float:
+    """0 to 1: entropy a character against that of a random token, lowered for short or wordlike values.
+
+    Characters outside ASCII count as one.
+    """
+    n, counts = value.length, value.counts
+    if n < MIN_LENGTH or counts[" "] or _NOT_SECRET.match(value.head) or len(counts) == 1 and value.head[0] in "xX*.":
         return 0.0
-    n, seen = len(value), {}
-    for c in value:
-        seen[c] = seen.get(c, 0) + 1
-    entropy = -sum(k / n * math.log2(k / n) for k in seen.values())
-    mixed = any(c.isdigit() for c in value) + any(c.isalpha() for c in value) + any(not c.isalnum() for c in value)
-    return min(1.0, entropy / 3.5) * (1.0 if mixed > 1 else 0.5)
+    entropy = -sum(k / n * math.log2(k / n) for k in counts.values() if k)
+    kinds = {"digit" if c.isdigit() else "letter" if c.isalpha() or c == "\x80" else "other" for c in counts}
+    return min(1.0, entropy / 3.5) * (1.0 if len(kinds) > 1 else 0.5)
 
 
-def _value(text: str, at: int, known: dict[str, Literal]) -> Literal | None:
+def _value(text: str, at: int, known: dict[str, Value]) -> Value | None:
     """The value that begins at ``at``: literals and known names, joined by '+'."""
-    value, spans = "", []
+    parts: list[Value] = []
     while m := _TERM.match(text, at):
-        if m.lastindex in (1, 2):
-            value, spans = value + m[m.lastindex], [*spans, m.span(m.lastindex)]
-        elif m[3] in known:
-            value, spans = value + known[m[3]][0], [*spans, *known[m[3]][1]]
-        else:
-            value, spans = value + m[3], [*spans, m.span(3)]
+        kind = m.lastindex
+        parts.append(known[m[3]] if kind == 3 and m[3] in known else Value(m[kind], m.span(kind)))
         plus = _PLUS.match(text, m.end())
         if not plus:
             break
         at = plus.end()
-    return (value, spans) if spans else None
+    return parts[0] if len(parts) == 1 else Value.joined(parts) if parts else None
 
 
 def assignments(text: str) -> list[tuple[str, float, int, int]]:
-    """(name, score, start, end) of every literal that reaches a sensitive name, each span once."""
+    """(name, score, start, end) of every literal that reaches a sensitive name, each span once, with its best score."""
     if "=" not in text and ":" not in text and "</" not in text:
         return []
-    known: dict[str, Literal] = {}
-    found: dict[tuple[int, int], tuple[str, float]] = {}
-
-    def judge(name: str, value: Literal) -> None:
-        score = name_score(name)
-        if score and (score := score * literal_score(value[0])) >= MIN_SCORE:
-            for span in value[1]:
-                if span not in found or found[span][1] < score:
-                    found[span] = name, score
-
-    for op in _OPERATOR.finditer(text):
-        left = _NAME_BEFORE.search(text[max(0, op.start() - 80) : op.start()])
-        value = left and _value(text, op.end(), known)
+    known: dict[str, Value] = {}
+    judged: list[tuple[float, str, Value]] = []
+    score_of = functools.cache(name_score)
+    for m in _ASSIGNED.finditer(text):
+        name = m[1].lstrip("0123456789.-")
+        value = name and _value(text, m.end(), known)
         if value:
-            known[left[1]] = value
-            judge(left[1], value)
+            known[name] = value
+            judged.append((score_of(name), name, value))
     for m in _TAG.finditer(text) if "</" in text else ():
-        judge(m[1], (m[2], [m.span(2)]))
+        judged.append((score_of(m[1]), m[1], Value(m[2], m.span(2))))
+    scored = [(s, name, v) for n, name, v in judged if n and (s := n * value_score(v)) >= MIN_SCORE]
+    found: dict[tuple[int, int], tuple[str, float]] = {}
+    for score, name, value in sorted(scored, key=lambda x: -x[0]):  # best first: each value is walked once
+        queue = [value]
+        while queue:
+            v = queue.pop()
+            if v.judged:
+                continue
+            v.judged = True
+            queue += v.parts
+            if v.span:
+                found.setdefault(v.span, (name, score))
     return [(name, score, *span) for span, (name, score) in sorted(found.items())]
 
 

@@ -83,6 +83,39 @@ def test_near_duplicates_of_awkward_rows(spark, awkward, nothing, tmp_path):
     assert m.op8_minhash_dedup(spark, at).count() == awkward.count()
 
 
+def test_a_large_group_of_near_copies_meets_in_blocks(spark):
+    rng = random.Random(4)
+    base, rows = prose(rng, 120), []
+    for i in range(1200):  # nearly every copy is within the limit of some other, most pairs are not
+        words = list(base)
+        for _ in range(rng.randint(0, 14)):
+            words[rng.randrange(120)] = prose(rng, 1)[0]
+        rows.append((i, " ".join(words), "en", "s", 1))
+    sets = {r[0]: m.shingle_set(m.words(r[1]), 2) for r in rows}
+    links = [(a, b) for a in sets for b in range(a) if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])]
+    assert len(links) < 0.7 * 600 * 1200
+    got = {r["doc_id"]: r["component_id"] for r in m.near_duplicates(spark.createDataFrame(rows, DOCS), k=2).collect()}
+    assert got == classes(sets, links)
+
+
+def test_cells_do_not_depend_on_block_sizes(spark):
+    rows = [r for r in near_rows() if r[1]]
+    cells = spark.createDataFrame([(0, r[0], r[0], len(m.shingle_set(m.words(r[1]), 2)), r[0] != 10) for r in rows], "cell long, node long, component long, n long, is_left boolean")
+    texts = spark.createDataFrame([r[:2] for r in rows], "node long, text string")
+    sets = {r[0]: m.shingle_set(m.words(r[1]), 2) for r in rows}
+    want = {(a, b) for a in sets for b in sets if a != b and a != 10 and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])}
+    for left, right in ((m.LEFT, m.RIGHT), (3000, 5000)):
+        assert {(r["a"], r["b"]) for r in m.links_in_cells(cells, texts, 2, 80, left, right).collect()} == want
+
+
+def test_rows_that_repeat_an_id_keep_their_own_texts(spark):
+    rng = random.Random(8)
+    one, other = " ".join(prose(rng, 60)), " ".join(prose(rng, 60))
+    rows = [(1, one, None, None, None), (2, one + " end", None, None, None), (2, other, None, None, None), (2, other, None, None, None)]
+    docs = spark.createDataFrame(rows, DOCS).selectExpr("*", "'x' AS tag", "1 AS gone_id", "2 AS set_key")
+    assert [(r["doc_id"], r["text"], r["tag"]) for r in m.keep_one_of_each(docs).orderBy("doc_id").collect()] == [(1, one, "x"), (2, other, "x"), (2, other, "x")]
+
+
 def test_chains_follow_both_orders():
     pos, spos = np.array([0, 10, 20, 30, 12]), np.array([5, 15, 25, 35, 90])
     assert x.chains(pos, spos)[0] == [0, 1, 2, 3]

@@ -1,5 +1,6 @@
 import random
 import re
+import time
 
 import numpy as np
 import pytest
@@ -107,6 +108,32 @@ def test_concatenation_marks_every_part():
     assert [text[i:j] for _, _, i, j in s.assignments(text)] == ["q8w7e6", "r5t4y3u2"]
 
 
+@pytest.mark.parametrize(
+    "text",
+    [
+        "password = 'q'\n" + "password = password + password\n" * 10_000,
+        "".join(f"a{i}=" for i in range(150_000)),
+        "x = 'q'\n" + "secret = secret + 'a8f5f167f4'\n" * 10_000,
+        "=\"" * 300_000,
+        "a" * 1_000_000 + "=",
+        "a" + " " * 1_000_000 + "x",
+        "<a>" * 300_000,
+    ],
+)
+def test_crafted_texts_take_linear_time(text):
+    began = time.process_time()
+    s.scan_text(text)
+    assert time.process_time() - began < 10  # seconds where a longer way round takes hours
+
+
+def test_nothing_is_too_long_to_be_found():
+    value, name = "a8F5+/" * 100, "x" * 95 + "_password"
+    found = lambda text: [text[i:j] for _, _, i, j in s.assignments(text)]
+    assert found(f"<password>{value}</password>") == [value]
+    assert found(f"{name} = '{value}'") == [value]
+    assert found(f"{'x' * 95} = '{value}'\nlogin_token = {'x' * 95}") == [value]
+
+
 @pytest.mark.parametrize("text", ["", "no secrets here: just words", 'color = "a1b2c3d4e5f6"', "password = changeme", 'token = "${TOKEN_FROM_ENV}"', "see https://x.org/a=b"])
 def test_clean_texts_stay(text):
     assert s.assignments(text) == [] and s._redacted(text, "[X]") == text
