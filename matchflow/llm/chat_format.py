@@ -29,9 +29,13 @@ def escape(text: Column) -> Column:
     return out
 
 
+#: Stands between two texts that adjoin, so that no control string can form across their border; reads back as nothing.
+BORDER = "\\0"
+
+
 def unescape(text: Column) -> Column:
-    """The inverse of ``escape``: every backslash stands before the one character that it protects."""
-    return F.regexp_replace(text, r"(?s)\\(.)", "$1")
+    """The inverse of ``escape``: every backslash stands before the one character that it protects, or is a border's."""
+    return F.regexp_replace(text, r"(?s)\\(?:0|(.))", "$1")
 
 
 def text_parts(text: Column) -> Column:
@@ -53,7 +57,8 @@ def flatten_parts(
 
     An image takes ceil(width/patch) * ceil(height/patch) tokens, audio ``audio_rate`` a second, a document
     ``page_tokens`` a page; unknown sizes count as 0. A null array of parts is empty; a part of unknown or null kind is
-    recorded as an attachment of that kind ('unknown' if null) with 0 tokens; null text is empty.
+    recorded as an attachment of that kind ('unknown' if null) with 0 tokens; null text is empty. Columns of ``df`` that
+    have one of the three names are replaced.
     """
     kind = lambda p: F.coalesce(p["kind"], F.lit("unknown"))
     n_tokens = lambda p: F.coalesce(
@@ -62,20 +67,45 @@ def flatten_parts(
         .when(kind(p) == "document", p["pages"].cast("long") * page_tokens),
         F.lit(0),
     ).cast("long")
-    visit = lambda p, i: F.when(kind(p) == "text", escape(F.coalesce(p["text"], F.lit("")))).otherwise(
+    before = lambda i: F.get(F.col("_parts"), i - 1)
+    border = lambda i: F.when((i > 0) & (kind(before(i)) == "text"), F.lit(BORDER)).otherwise(F.lit(""))
+    visit = lambda p, i: F.when(kind(p) == "text", F.concat(border(i), escape(F.coalesce(p["text"], F.lit(""))))).otherwise(
         F.concat(F.lit("<|"), F.regexp_replace(kind(p), "[^A-Za-z0-9_]", "_"), F.lit(":"), i.cast("string"), F.lit("|>"))
     )
     all_parts = F.coalesce(F.col(parts), F.array().cast(f"array<{PART}>"))
     listed = F.transform(
-        all_parts, lambda p, i: F.struct(i.alias("position"), kind(p).alias("kind"), p["uri"].alias("uri"), n_tokens(p).alias("n_tokens"))
+        "_parts", lambda p, i: F.struct(i.alias("position"), kind(p).alias("kind"), p["uri"].alias("uri"), n_tokens(p).alias("n_tokens"))
     )
     return (
-        df.withColumn("content", F.array_join(F.transform(all_parts, visit), ""))
+        df.withColumn("_parts", all_parts)
+        .withColumn("content", F.array_join(F.transform("_parts", visit), ""))
         .withColumn("attachments", F.filter(listed, lambda a: a["kind"] != "text"))
         .withColumn("expanded_tokens", F.aggregate("attachments", F.lit(0).cast("long"), lambda s, a: s + a["n_tokens"]))
+        .drop("_parts")
     )
 
 
+def read_parts(content: Column) -> Column:
+    """The parts that ``content`` was flattened from: array of (kind, position, text) in order.
+
+    A text is unescaped and has no position; texts that adjoined are one, empty ones are none. Any other part has the
+    position that its attachment reference has. As escaped text never holds ``<|``, a text that spells out a placeholder
+    stays a text.
+    """
+    nowhere = F.lit(None).cast("int")
+    said = lambda t: F.struct(F.lit("text").alias("kind"), nowhere.alias("position"), unescape(t).alias("text"))
+
+    def after_mark(p: Column) -> Column:
+        mark = F.substring_index(p, "|>", 1)
+        part = F.struct(
+            F.regexp_extract(mark, "^(.*):", 1).alias("kind"), F.regexp_extract(mark, "([0-9]+)$", 1).cast("int").alias("position"), F.lit(None).cast("string").alias("text")
+        )
+        return F.array(part, said(F.substr(p, F.length(mark) + 3)))
+
+    pieces = F.transform(F.split(content, r"<\|"), lambda p, i: F.when(i == 0, F.array(said(p))).otherwise(after_mark(p)))
+    return F.filter(F.flatten(pieces), lambda p: (p["kind"] != "text") | p["position"].isNotNull() | (p["text"] != ""))
+
+
 def format_chat(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role") -> DataFrame:
     """One row for each conversation: formatted, loss_spans, attachments, expanded_tokens, n_turns.
 
@@ -126,10 +156,20 @@ def format_chat(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", rol
 
 
 def read_back(formatted: Column) -> Column:
-    """The turns inside a formatted conversation: array of (role, text), unescaped. Placeholders stay in the text."""
+    """The turns inside a formatted conversation: array of (role, text, content).
+
+    ``text`` is unescaped, with placeholders in it; ``content`` is as it was flattened, for ``read_parts``.
+    """
     pieces = F.filter(F.split(formatted, r"<\|turn\|>"), lambda p: p != "")
     cut = lambda p: F.split(F.regexp_replace(p, r"<\|end\|>$", ""), r"<\|text\|>")
-    return F.transform(pieces, lambda p: F.struct(unescape(cut(p)[0]).alias("role"), unescape(cut(p)[1]).alias("text")))
+    return F.transform(
+        pieces, lambda p: F.struct(unescape(cut(p)[0]).alias("role"), unescape(cut(p)[1]).alias("text"), cut(p)[1].alias("content"))
+    )
+
+
+def under_mask(formatted: Column, loss_spans: Column) -> Column:
+    """All text under the loss mask, unescaped, nothing between."""
+    return F.array_join(F.transform(loss_spans, lambda s: unescape(F.substr(formatted, (s["start"] + 1).cast("int"), s["length"].cast("int")))), "")
 
 
 def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -143,7 +183,7 @@ def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra)
     chats = format_chat(flatten_parts(turns.withColumn("parts", text_parts(F.col("text")))))
     back = chats.withColumn("back", read_back(F.col("formatted")))
-    said = F.array_join(F.transform(F.filter("back", lambda t: t["role"] == "assistant"), lambda t: t["text"]), "")
+    said = under_mask(F.col("formatted"), F.col("loss_spans"))
     whole = F.array_join(F.transform("back", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
     return back.select(
         "conv_id",
