@@ -9,13 +9,15 @@ when the visited buckets' chances add up to the table's share of the wanted reca
 All candidates of all tables are ranked by their exact inner product on the original vectors.
 
 Buckets are split into blocks of bounded size, so that a bucket that holds a third of all rows is many blocks. Query
-blocks meet candidate blocks of their bucket, and only the best of each query in a block go on.
+blocks meet candidate blocks of their bucket, and only the best of each query in a task go on. Of rows with one and the
+same vector only the smallest ids can be among a query's nearest, so that the others leave the candidates beforehand.
 """
 
 from __future__ import annotations
 
 import heapq
 import math
+import warnings
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -25,12 +27,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from matchflow.llm.common import cut_lineage, table
+from matchflow.llm.common import stored, table
 
 #: The fit looks at no more than this many rows, and asks no more than this many of them as queries.
 SAMPLE_ROWS, SAMPLE_QUERIES = 4_096, 128
-TABLES, RECALL, WIDTH, MAX_DIRECTIONS, MEAN_PROBES = 2, 0.95, 1.0, 12, 96
-BLOCK_ROWS, QUERY_ROWS = 4_096, 512
+TABLES, RECALL, WIDTH, MAX_DIRECTIONS, MEAN_PROBES = 2, 0.93, 0.5, 12, 24
+BLOCK_ROWS, QUERY_ROWS, KEEP_ROWS = 4_096, 512, 200_000
 
 
 @dataclass
@@ -114,8 +116,9 @@ def usable(vectors: DataFrame, id_col: str, vec_col: str) -> DataFrame:
 def fit(rows: DataFrame, dim: int, n: int, longest: float, k: int, seed: int = 7) -> Index:
     """Directions drawn by ``seed``, and as many to a table as the sample bears: the most, up to what the row count
     calls for, at which its queries visit ``MEAN_PROBES`` buckets or fewer on average."""
-    rate = min(1.0, SAMPLE_ROWS / max(1, n))
-    picked = rows.filter(F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < int(rate * (1 << 30))).select("v").limit(SAMPLE_ROWS).toArrow()
+    at = F.pmod(F.xxhash64("id"), F.lit(1 << 30))
+    share = int(min(1.0, 1.2 * SAMPLE_ROWS / max(1, n)) * (1 << 30))  # some more than needed; the first by hash are taken
+    picked = rows.filter(at < share).orderBy(at, "id", "v").limit(SAMPLE_ROWS).select("v").toArrow()
     sample = np.array(picked["v"].to_pylist(), float).reshape(-1, dim)
     rng = np.random.default_rng(seed)
     wanted = int(np.clip(round(math.log(max(n, 1000) / 1000, 4)), 1, MAX_DIRECTIONS))
@@ -137,36 +140,56 @@ def fit(rows: DataFrame, dim: int, n: int, longest: float, k: int, seed: int = 7
     return index
 
 
-def best_of(block_ids: np.ndarray, block: np.ndarray, query_id: int, query: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """The k best of a block: largest inner product, ties to the smaller id, without the query's own row.
+def top(query: np.ndarray, ids: np.ndarray, score: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The k best of each query: largest score, ties to the smaller id, each id once with its best score."""
+    order = np.lexsort((-score, ids, query))
+    query, ids, score = query[order], ids[order], score[order]
+    once = np.append(True, (query[1:] != query[:-1]) | (ids[1:] != ids[:-1]))[: len(query)]
+    query, ids, score = query[once], ids[once], score[once]
+    order = np.lexsort((ids, -score, query))
+    query, ids, score = query[order], ids[order], score[order]
+    new = np.flatnonzero(np.append(True, query[1:] != query[:-1])[: len(query)])
+    rank = np.arange(len(query)) - np.repeat(new, np.diff(np.append(new, len(query))))
+    return query[rank < k], ids[rank < k], score[rank < k]
 
-    Row sums, not a matrix product: equal vectors then have equal scores wherever they stand.
+
+def best_of(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, block: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query, id, score) of the k best of a block for each query, without the query's own row.
+
+    A matrix product finds them up to rounding; scores are row sums, so that equal vectors have equal ones anywhere.
     """
-    score = (block * query).sum(axis=1)
-    score[block_ids == query_id] = -np.inf
-    if len(score) > k:
-        near = np.flatnonzero(score >= -np.partition(-score, k - 1)[k - 1])
-    else:
-        near = np.arange(len(score))
-    near = near[np.isfinite(score[near])]
-    order = near[np.lexsort((block_ids[near], -score[near]))][:k]
-    return block_ids[order], score[order]
+    order = np.argsort(ids, kind="stable")
+    ids, block = ids[order], block[order]
+    rough = queries @ block.T
+    rough[query_ids[:, None] == ids[None, :]] = -np.inf
+    first = np.flatnonzero(np.append(True, ids[1:] != ids[:-1]))
+    by_id = rough if len(first) == len(ids) else np.maximum.reduceat(rough, first, axis=1)
+    least = np.full(len(queries), -np.inf)
+    if by_id.shape[1] > k:
+        least = np.partition(by_id, by_id.shape[1] - k, axis=1)[:, by_id.shape[1] - k]
+        least = least - 1e-12 * len(block[0]) * np.sqrt((queries**2).sum(axis=1) * (block**2).sum(axis=1).max())
+    q, i = np.nonzero((rough >= least[:, None]) & (rough > -np.inf))
+    return top(query_ids[q], ids[i], (block[i] * queries[q]).sum(axis=1), k)
 
 
 def nearest(vectors: DataFrame, is_query, k: int = 20, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
     """(query_id, rank, vec_id, score): the k nearest found of every row that ``is_query`` picks, among all other rows.
 
     * Rows with a null id or vector, a null or non-finite component, or only zeros take no part; nor do vectors of
-      another length than the most frequent one (ties to the longer).
+      another length than the most frequent one (ties to the longer), with which they have no inner product: a warning
+      tells how many there are.
     * Ties go to the smaller id. Rows that repeat an id count once, with their best score. Fewer candidates than k are
       all returned. An empty table, or one without queries, gives an empty result; further columns are ignored.
     """
     spark = vectors.sparkSession
     rows = usable(vectors, id_col, vec_col)
     sizes = rows.groupBy(F.size("v").alias("dim")).agg(F.count(F.lit(1)).alias("n"), F.max("norm").alias("longest"))
-    head = sizes.orderBy(F.desc("n"), F.desc("dim")).first()
+    by_size = sizes.agg(F.max(F.struct("n", "dim", "longest")).alias("most"), F.sum("n").alias("all")).first()
+    head = by_size["most"]
     if head is None:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    if by_size["all"] > head["n"]:
+        warnings.warn(f"{by_size['all'] - head['n']} vectors have another length than {head['dim']} and take no part", stacklevel=2)
     rows = rows.filter(F.size("v") == head["dim"])
     shared = spark.sparkContext.broadcast(fit(rows, head["dim"], head["n"], head["longest"], k))
 
@@ -195,38 +218,34 @@ def nearest(vectors: DataFrame, is_query, k: int = 20, id_col: str = "vec_id", v
                 yield pa.record_batch([pa.array(np.concatenate(keys)), part.column(0).take(who), part.column(1).take(who)], names=["key", "id", "v"])
 
     schema = "key long, id long, v array<double>"
-    some = rows.select(F.col("id").cast("long").alias("id"), "v")
-    hashed = some.mapInArrow(hash_rows, schema)
-    probed = some.filter(is_query(F.col("id"))).mapInArrow(probe_rows, schema).distinct()
+    once = rows.select(F.col("id").cast("long").alias("id"), "v").distinct()
+    alike = W.partitionBy("v").orderBy("id")
+    candidates = once.withColumn("of_vector", F.row_number().over(alike)).filter(F.col("of_vector") <= k + 1).select("id", "v")
+    hashed = candidates.mapInArrow(hash_rows, schema)
+    probed = once.filter(is_query(F.col("id"))).mapInArrow(probe_rows, schema)
 
     def in_blocks(df: DataFrame, size: int) -> DataFrame:
         """One row for each block of about ``size`` rows of a key; ids and vectors as arrays."""
-        many = cut_lineage(df.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / size).alias("blocks")))
+        df = stored(df)
+        many = df.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / size).alias("blocks"))
         dealt = df.join(many, "key").withColumn("block", F.pmod(F.xxhash64("id", "key"), F.col("blocks")))
         return dealt.groupBy("key", "block").agg(F.collect_list(F.struct("id", "v")).alias("rows")).select("key", "rows")
 
     met = in_blocks(hashed, BLOCK_ROWS).withColumnRenamed("rows", "c").join(in_blocks(probed, QUERY_ROWS).withColumnRenamed("rows", "q"), "key")
 
     def rank(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        best: dict[int, list[tuple[float, int]]] = {}
-
-        def out() -> pa.RecordBatch:
-            flat = [(q, i, s) for q, pairs in best.items() for s, i in pairs]
-            best.clear()
-            q, i, s = zip(*flat) if flat else ((), (), ())
-            return pa.record_batch([pa.array(q, pa.int64()), pa.array(i, pa.int64()), pa.array(s, pa.float64())], names=["query_id", "vec_id", "score"])
-
+        kept = [np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)]
+        unpack = lambda rows: (rows.field("id").to_numpy(), rows.field("v").flatten().to_numpy().reshape(len(rows), -1))
         for batch in batches:
             for n in range(batch.num_rows):
-                unpack = lambda name: (lambda x: (x.field("id").to_numpy(), x.field("v").flatten().to_numpy().reshape(len(x), -1)))(batch.column(name)[n].values)  # noqa: B023, E731
-                ids, block = unpack("c")
-                for query_id, query in zip(*unpack("q")):
-                    found, score = best_of(ids, block, query_id, query, k)
-                    merged = {i: -s for s, i in best.get(query_id, ())} | {i: -s for i, s in zip(found.tolist(), score.tolist())}
-                    best[query_id] = [(-s, i) for s, i in sorted((s, i) for i, s in merged.items())[:k]]
-                if len(best) > 50_000:
-                    yield out()
-        yield out()
+                found = best_of(*unpack(batch.column("q")[n].values), *unpack(batch.column("c")[n].values), k)
+                kept = [np.concatenate(x) for x in zip(kept, found)]
+                if len(kept[0]) > KEEP_ROWS:
+                    kept = list(top(*kept, k))
+                if len(kept[0]) > KEEP_ROWS:
+                    yield pa.record_batch(list(map(pa.array, kept)), names=["query_id", "vec_id", "score"])
+                    kept = [x[:0] for x in kept]
+        yield pa.record_batch(list(map(pa.array, top(*kept, k))), names=["query_id", "vec_id", "score"])
 
     found = met.select("c", "q").mapInArrow(rank, "query_id long, vec_id long, score double")
     once = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
