@@ -2,8 +2,9 @@
 
 A document's ids are cut into whole windows, which fill a sequence each, and a rest. Rests are placed one after another:
 of all fill levels that have an open window (and the empty one), a rest goes to the level that leaves the smallest sum
-of squared counts of partly filled windows. The counts live in an array indexed by fill level, so that a placement is a
-few vector operations over ``window`` numbers. Rests are dealt over groups by a hash; each group packs by itself, which
+of squared counts of partly filled windows. A window filled to a power of two needs no padding, so that such levels
+count nothing. The counts live in an array indexed by fill level, so that a placement is a few vector operations over
+``window`` numbers. Rests are dealt over groups by a hash; each group packs by itself, which
 leaves a bounded number of open windows a group.
 """
 
@@ -24,7 +25,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from matchflow.llm.common import cut_lineage, map_text, table
+from matchflow.llm.common import map_text, stored, table
 from matchflow.llm.token_counts import split_words
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
@@ -152,7 +153,9 @@ def place(lengths: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
     open_at: list[list[int]] = [[] for _ in range(window + 1)]
     sequence, offset, made = np.empty(len(lengths), np.int64), np.empty(len(lengths), np.int64), 0
     gain, blocked = np.ones(window + 1, np.int64), np.iinfo(np.int64).max
-    gain[window] = 0
+    whole = (np.arange(window + 1) & (np.arange(window + 1) - 1)) == 0  # 0 and the powers of two
+    whole[window] = True
+    gain[whole] = 0
     cost = np.full(window + 1, blocked)  # of taking a window away from a level; blocked while it has none
     cost[0] = 0
     for i, size in enumerate(lengths.tolist()):
@@ -168,7 +171,8 @@ def place(lengths: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
             bin_ = open_at[level].pop()
             count[level] -= 1
             c = count[level]
-            cost[level], gain[level] = (1 - 2 * c if c else blocked), 2 * c + 1
+            cost[level] = blocked if not c else 0 if whole[level] else 1 - 2 * c
+            gain[level] = 0 if whole[level] else 2 * c + 1
         else:
             bin_, made = made, made + 1
         sequence[i], offset[i] = bin_, level
@@ -177,14 +181,14 @@ def place(lengths: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
             open_at[to].append(bin_)
             count[to] += 1
             c = count[to]
-            cost[to], gain[to] = 1 - 2 * c, 2 * c + 1
+            cost[to], gain[to] = (0, 0) if whole[to] else (1 - 2 * c, 2 * c + 1)
     return sequence, offset
 
 
 def pack(pieces: DataFrame, window: int = 4096, group_rows: int = 50_000) -> DataFrame:
-    """Add sequence_id and offset. Groups hold about ``group_rows`` pieces, dealt by a hash of the whole piece.
+    """Add sequence_id and offset. Groups hold about ``group_rows`` pieces, dealt by a hash of the piece and its row.
 
-    Within a group pieces are placed in the order of that hash, which spreads long and short ones; full windows take a
+    ``pieces`` is a stored table: its rows are numbered, so that repeated rows are dealt over all groups. Within a group pieces are placed in the order of that hash, which spreads long and short ones; full windows take a
     sequence each. Sequence ids are unique over the table: the group's number times 2**32 plus the group's own count.
     An empty table gives an empty result.
     """
@@ -196,7 +200,7 @@ def pack(pieces: DataFrame, window: int = 4096, group_rows: int = 50_000) -> Dat
         pdf["sequence_id"], pdf["offset"] = sequence + (int(key[0]) << 32), offset
         return pdf.drop(columns=["mixed", "part"])
 
-    mixed = F.xxhash64("doc_id", "start", "length", "ids_crc32")
+    mixed = F.xxhash64("doc_id", "start", "length", "ids_crc32", F.monotonically_increasing_id())
     dealt = pieces.withColumn("mixed", mixed).withColumn("part", F.pmod(F.col("mixed"), F.lit(n_groups)))
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in pieces.schema) + ", sequence_id long, offset long"
     return dealt.groupBy("part").applyInPandas(run, schema)
@@ -206,10 +210,10 @@ def pack_documents(docs: DataFrame, window: int = 4096, end_id: int = 2, path: s
     """One row for each piece of each document, with its place.
 
     Null and empty texts are the end id alone. Repeated rows are packed as often as they occur; further columns are
-    ignored. The pieces (some 60 bytes each, no ids) are written once to the shared checkpoint folder, as the number of
+    ignored. The pieces (some 60 bytes each, no ids) are written once to the shared folder, as the number of
     groups comes from their count and texts should be encoded only once.
     """
-    return pack(cut_lineage(cut_documents(docs, window, end_id, path=path)), window)
+    return pack(stored(cut_documents(docs, window, end_id, path=path)), window)
 
 
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
