@@ -90,12 +90,15 @@ def train(
 
     The sample is bounded: of each language about ``sample_per_lang`` whole documents (all, if it has fewer), picked by a
     hash of the id at a rate worked out from the language's row count, so that it is spread over the table and the same
-    on every run. Languages are those with labels, at most ``max_langs`` (the most frequent, ties by name). The counts
-    reach the driver as one row for each language and bucket in use, a number that does not grow with the data.
+    on every run. Every label is a language; more than ``max_langs`` of them are an error, as the model's matrix has a
+    column for each. The counts reach the driver as one row for each language and bucket in use, a number that does not
+    grow with the data.
     """
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
     rows = rows.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("id")))
-    sizes = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_langs).collect()
+    sizes = rows.groupBy("lang").count().limit(max_langs + 1).collect()
+    if len(sizes) > max_langs:
+        raise ValueError(f"more than {max_langs} languages: raise max_langs, or mend the labels")
     if not sizes:
         return Model([], np.zeros((buckets, 0)), np.zeros(0))
     rate = F.create_map(*[x for r in sizes for x in (F.lit(r["lang"]), F.lit(int(min(1.0, sample_per_lang / r["count"]) * (1 << 30))))])
