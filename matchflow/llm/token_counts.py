@@ -6,9 +6,12 @@ last byte of a word is a symbol of its own). A state holds every place where the
 only one that may follow its predecessor, so every transition emits a fixed number of tokens. Counts are kept relative
 to the smallest, which keeps the states finite; what falls below it is what the transition emits.
 
-A text is cut into chunks. A chunk is a map from the state in which it is entered to the state in which it is left and
-the tokens emitted. White space resets the transducer, so that a map is a constant but for the word at either end;
-maps compose associatively, and a parallel prefix scan (log2 rounds of pairwise composition) yields a text's count.
+A text is cut into chunks. White space resets the transducer, so that what a chunk does to the state in which it is
+entered is told by the open words at its ends: the head ends the word that is open, the tail leads to the state in which
+the chunk is left, and the tokens between are a constant. Such chunk maps compose associatively (where a tail and a head
+meet, the transducer runs over the word that they make up); a parallel prefix scan of log2 rounds yields every prefix's
+map, the last of which is the text's. A chunk without white space is its own head: its state map isn't tabulated for
+all states, which are too many, but worked out for the one state that turns out to be entered.
 """
 
 from __future__ import annotations
@@ -52,11 +55,7 @@ class Transducer:
     def __init__(self, model: dict) -> None:
         alphabet, end = byte_alphabet(), model["end_of_word_suffix"]
         merges = [m if isinstance(m, list) else m.split(" ") for m in model["merges"]]
-        spelled_by = {b: c for c, b in alphabet.items()}
         singles = [(s,) for s in range(2 * FINAL)]
-        #: Each token's number in the vocabulary.
-        self.number_of = [model["vocab"][spelled_by[s % FINAL] + (end if s >= FINAL else "")] for s in range(2 * FINAL)]
-        self.number_of += [model["vocab"][a + b] for a, b in merges]
         self.spelling = singles + [symbols(a + b, alphabet, end) for a, b in merges]
         ids = {s: i for i, s in enumerate(self.spelling)}
         self.rank: dict[tuple[int, int], tuple[int, int]] = {}
@@ -146,22 +145,6 @@ class Transducer:
             total += step[1]
         return total + (self.ends[at].get(word[-1] + FINAL) or self._end(at, word[-1] + FINAL))[0]
 
-    def encode(self, word: bytes) -> list[int]:
-        """Token numbers of one word: each prefix's last token, followed back from the word's end."""
-        if len(self.states) > MAX_STATES:
-            self.clear()
-        path, at, moves = [], 0, self.moves
-        for symbol in word[:-1]:
-            at = (moves[at].get(symbol) or self._move(at, symbol))[0]
-            path.append(at)
-        token = (self.ends[at].get(word[-1] + FINAL) or self._end(at, word[-1] + FINAL))[1]
-        out, left = [self.number_of[token]], len(word) - len(self.spelling[token])
-        while left:
-            token = self.states[path[left - 1]][-1][1]
-            out.append(self.number_of[token])
-            left -= len(self.spelling[token])
-        return out[::-1]
-
 
 class TextCounter:
     """The library's whole chain for one vocabulary file: special strings, normaliser, word pattern, transducer."""
