@@ -196,11 +196,60 @@ def test_passages_made_of_earlier_lines_are_found(spark, kind):
     assert want <= {(r["doc_id"], r["other_id"]) for r in found if (r["start_word"], r["end_word"]) == (30, 150)}
 
 
+def test_passages_are_followed_to_their_ends(spark):
+    rng = random.Random(6)
+    words = lambda n: prose(rng, n, 10**6)
+    long = words(1000)
+    rows = [(0, long[:700]), (1, words(30) + long + words(30)), (2, words(50) + long)]  # all but 300 words have their seeds in the first
+    found = x.repeated_passages(spark.createDataFrame([(i, " ".join(t), "en", "s", 1) for i, t in rows], DOCS)).collect()
+    assert {(r["doc_id"], r["start_word"], r["end_word"]) for r in found if r["other_id"] == 0} == {(1, 30, 730), (2, 50, 750)}
+    assert {(r["start_word"], r["end_word"]) for r in found if (r["doc_id"], r["other_id"]) == (2, 1)} == {(50, 1050)}
+
+
+def test_copies_of_halves_do_not_hide_a_passage(spark):
+    rng = random.Random(9)
+    words = lambda n: prose(rng, n, 10**6)
+    p = words(90)
+    texts = [words(40) + p[:49] + words(40), words(40) + p[41:] + words(40), words(40) + p + words(40), words(60) + p + words(40)]
+    found = x.repeated_passages(spark.createDataFrame([(i + 1, " ".join(t), "en", "s", 1) for i, t in enumerate(texts)], DOCS)).collect()
+    assert {(r["doc_id"], r["start_word"], r["end_word"]) for r in found if r["other_id"] in (3, 4)} >= {(3, 40, 130), (4, 60, 150)}
+
+
+def test_winnowing_matches_brute_force():
+    rng = np.random.default_rng(2)
+    for n in (1, 5, 6, 20, 21, 22, 37, 200):
+        h = rng.integers(0, 2**63, n).astype(np.uint64)
+        at, value = x.seeds(h, 6, 16)
+        every = x.seeds(h, 6, 1)[1].view(np.uint64)  # each place is its own window
+        m = len(every)
+        want = {i + int(every[i : i + 16].argmin()) for i in range(max(1, m - 15))} if m else set()
+        assert set(at.tolist()) == want and (value.view(np.uint64) == every[at]).all()
+
+
+@pytest.mark.parametrize("changed, least", [(0.0, 1.0), (0.05, 0.97), (0.1, 0.9)])
+def test_recall_of_edited_passages(spark, changed, least):
+    """Each pair alone: every passage of at least the limits is known, so that recall is exact."""
+    rng = random.Random(int(100 * changed))
+    words = lambda n: prose(rng, n, 10**6)
+    rows, want = [], []
+    for i in range(60):
+        p = words(100)
+        q = [w if rng.random() >= changed else words(1)[0] for w in p]
+        rows += [(2 * i, words(30) + p + words(30)), (2 * i + 1, words(50) + q + words(20))]
+        want.append((2 * i + 1, 50, 150))
+    found = {}
+    for r in x.repeated_passages(spark.createDataFrame([(i, " ".join(t), "en", "s", 1) for i, t in rows], DOCS)).collect():
+        found.setdefault(r["doc_id"], []).append((r["start_word"], r["end_word"]))
+    hits = sum(any(min(e, f) - max(s, t) >= 80 for s, e in found.get(i, ())) for i, t, f in want)
+    assert hits >= least * len(want)
+    assert all(50 - 8 <= s and e <= 150 + 8 for i, t, f in want for s, e in found.get(i, ()))
+
+
 def test_words_between_changes_count_as_equal():
     a = np.arange(40)
     b = a.copy()
     b[[9, 11, 13, 15]] = -1
-    assert sum(n for *_, n in x.align(a, b, [(0, 0), (20, 20)])) == 35  # a step over three words passes one by
+    assert sum(n for *_, n in x.align(a, b, [(0, 0), (20, 20)])[0]) == 35  # a step over three words passes one by
 
 
 def test_passages_of_an_alignment_match_brute_force():
