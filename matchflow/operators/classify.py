@@ -13,11 +13,6 @@ GLOBAL_HIGH = r"(work from anywhere|anywhere in the world|fully remote, worldwid
 COUNTRY_HIGH = r"(within canada only|authorized to work in the united states|us citizens only|must reside in the)"
 REGION_HIGH = r"(europe only|emea only|latam only|apac only|eu only|north america only)"
 ONSITE = r"(on-site in|onsite in|days in the office|office-based)"
-#: Probes of a region fence: pattern and weight (2 strong, 1 weak).
-PROBES = [
-    ("only_region", r"(europe|emea|apac|latam|americas) only", 2), ("within", r"within (europe|emea|the eu|latam|apac|canada)", 2), ("timezone", r"(cet|est|pst|gmt)[ +-]*[0-9]* (time ?zone|hours)", 1),
-    ("utc", r"utc[+-][0-9]+", 1), ("overlap", r"overlap with .{0,20}(time|hours)", 1), ("authorized", r"authorized to work", 1), ("everify", r"e-verify", 1),
-]
 
 
 def with_workplace_type(df: DataFrame) -> DataFrame:
@@ -61,11 +56,12 @@ def with_utc_span(df: DataFrame) -> DataFrame:
 
 
 def with_multi_probe(df: DataFrame) -> DataFrame:
-    """``probes`` that fire and whether they fence a region: one strong one, or two weak ones."""
-    text = F.lower(F.coalesce("normalized_text", F.lit("")))
-    fired = F.array_compact(F.array(*[F.when(text.rlike(p), F.struct(F.lit(n).alias("name"), F.lit(w).alias("weight"))) for n, p, w in PROBES]))
-    total = F.aggregate(fired, F.lit(0), lambda s, x: s + x["weight"])
-    return df.withColumn("probes", F.array_join(F.transform(fired, lambda x: x["name"]), ",")).withColumn("region_fence", total >= 2)
+    """``probes`` that fire and whether they fence a region: one of high weight, or two of medium weight."""
+    text = F.coalesce("normalized_text", F.lit(""))
+    fired = F.array_compact(F.array(*[F.when(text.rlike(f"(?i){p}"), F.struct(F.lit(n).alias("name"), F.lit(w).alias("weight"))) for n, p, w in C.REGION_PROBES]))
+    staged = df.withColumn("_fired", fired)
+    total = F.aggregate("_fired", F.lit(0), lambda s, x: s + x["weight"])
+    return staged.withColumn("probes", F.array_join(F.transform("_fired", lambda x: x["name"]), ",")).withColumn("region_fence", total >= 2).drop("_fired")
 
 
 def infer_remote_scope(df: DataFrame) -> DataFrame:

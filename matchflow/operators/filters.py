@@ -68,8 +68,10 @@ def filter_recent(df: DataFrame, as_of: str, days: int = 60) -> DataFrame:
     return df.filter(F.coalesce("published_at", "detected_at") >= F.expr(f"TIMESTAMP '{as_of}' - INTERVAL {days} DAYS"))
 
 
-def with_is_active(df: DataFrame) -> DataFrame:
-    return df.withColumn("active", ~F.lower(F.trim("status")).isin("rejected", "stale", "gone", "closed", "archived", "normalization_failed"))
+def with_is_active(df: DataFrame, source: str = "ats_source", status: str = "source_status") -> DataFrame:
+    """False where a source calls a posting closed; true for sources that list open ones only, for no or unknown words."""
+    closed = F.lower(F.trim(status)).isin(C.CLOSED_STATUSES) & ~X.true_(F.col(source).isin(C.OPEN_ONLY_SOURCES))
+    return df.withColumn("active", ~X.true_(closed))
 
 
 def filter_persona_tech(df: DataFrame, keywords: list[str]) -> DataFrame:
@@ -133,12 +135,13 @@ def filter_career_domains(df: DataFrame, domain: str = "domain") -> DataFrame:
 
 
 def with_normalization_action(df: DataFrame) -> DataFrame:
-    """What to do with a posting: normalise it, or skip it and why."""
+    """What to do with a posting: skip what is done, rejected or aged out; normalise what failed before or is new."""
     action = (
-        F.when(F.col("status") == "rejected", "skip:rejected")
-        .when(F.col("normalized_at").isNull(), "normalize:new")
-        .when(F.col("normalized_at") < F.col("last_seen_at") - F.expr("INTERVAL 10 DAYS"), "normalize:outdated")
-        .otherwise("skip:current")
+        F.when(F.col("normalized_at").isNotNull(), "skip:processed")
+        .when(F.col("status") == "rejected", "skip:rejected")
+        .when(F.col("status") == "normalization_failed", "normalize:retry")
+        .when(F.col("status").isin("stale", "gone"), "skip:aged_out")
+        .otherwise("normalize:new")
     )
     return df.withColumn("action", action)
 

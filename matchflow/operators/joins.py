@@ -155,6 +155,16 @@ def orphaned_uploads(uploads: DataFrame, history: DataFrame, as_of: str, days: i
     return old.join(history.select(F.col("applicant_id").alias("user_id")).distinct(), "user_id", "left_anti")
 
 
+def sort_matches(matches: DataFrame, key: str = "best_match", limit: int = 20, offset: int = 0) -> DataFrame:
+    """A page of matches: best_match (score, then newest first), newest or oldest; ties by id."""
+    orders = {
+        "best_match": [F.desc_nulls_first("match_score"), F.desc_nulls_first("created_at")],
+        "newest": [F.desc_nulls_first("created_at")],
+        "oldest": [F.asc_nulls_last("created_at")],
+    }
+    return matches.orderBy(*orders[key], "id").offset(offset).limit(limit)
+
+
 def top_companies(scored: DataFrame, n: int) -> DataFrame:
     return scored.orderBy(F.desc("quality"), F.desc("total"), "id").limit(n)
 

@@ -7,29 +7,7 @@ from pyspark.sql import functions as F
 
 from matchflow.functions import constants as C
 from matchflow.functions import exprs as X
-
-#: Title patterns of role families, the persona tags that lift the block, in order; the first hit counts.
-TITLE_BLOCKERS = [
-    ("enterprise", r"(salesforce|servicenow|sap|workday)", []),
-    ("mobile", r"(ios|android|mobile|react native|flutter)", ["swift", "kotlin", "flutter", "react-native"]),
-    ("data", r"(data scientist|machine learning|ml engineer|data engineer)", ["python", "pytorch", "pandas"]),
-    ("security", r"(security|clearance)", ["security"]),
-    ("operations", r"(devops|site reliability|platform engineer|infrastructure)", ["docker", "kubernetes", "terraform", "aws"]),
-    ("quality", r"(qa|tester|test automation|sdet)", ["qa", "selenium", "cypress"]),
-    ("design", r"(designer|ux)", ["figma"]),
-    ("php", r"(php|laravel|wordpress|symfony)", ["php", "laravel", "wordpress", "symfony"]),
-    ("sales", r"(sales|account executive|data entry|clerk)", []),
-]
-#: Ordered patterns over a match's blockers; the first that fits names the reason.
-REJECTION_REASONS = [
-    ("location", r"(location|country|region|us only|timezone)"),
-    ("clearance", r"(clearance|citizen|security)"),
-    ("seniority", r"(senior|junior|lead|years)"),
-    ("stack", r"(stack|skill|technolog|framework)"),
-    ("pay", r"(salary|pay|compensation|rate)"),
-    ("contract", r"(contract|employment|full-time)"),
-]
-
+from matchflow.operators.tags import main_family
 
 def clamp(x: Column, low: float, high: float) -> Column:
     return F.greatest(F.lit(low), F.least(F.lit(high), x))
@@ -122,14 +100,29 @@ def fusion_score(companies: DataFrame, sources: DataFrame) -> DataFrame:
 
 
 def title_blockers(pairs: DataFrame) -> DataFrame:
-    """``blocker``: the first role family that the title names and the persona has no tag for."""
-    title, out = F.lower("title"), F
-    for name, words, tags in TITLE_BLOCKERS:
-        hit = title.rlike(rf"(^|[^a-z]){words}s?([^a-z]|$)")
-        if tags:
-            hit = hit & ~F.arrays_overlap("must_have_tags", X.strings(tags))
-        out = out.when(hit, name)
-    return pairs.withColumn("blocker", out)
+    """``blocker`` and ``blocker_type`` (platform or role_family): the first rule that bars a persona from a title.
+
+    A platform bars personas of another main stack family than its own (all, if it is enterprise software; none, if the
+    persona has no family). A role family bars all but personas with certain tags, levels or both kinds of tags.
+    """
+    title, has = F.coalesce("title", F.lit("")), lambda tags: F.arrays_overlap("_tags", X.strings(tags))
+    named = lambda p: title.rlike(f"(?i){p}")
+    by_platform, by_role = F, F
+    for name, pattern, family in C.PLATFORM_PATTERNS:
+        barred = F.lit(True) if family == "enterprise" else X.true_(F.col("_family") != family)
+        by_platform = by_platform.when(named(pattern) & barred, name)
+    for name, pattern, tags in C.ROLE_FAMILY_PATTERNS:
+        exempt = has(tags) if tags else F.lit(False)
+        if name == "AI Engineer (application)":
+            exempt = F.array_contains("_tags", C.PROMPT_TAG) & has(C.JS_SIGNAL_TAGS)
+        if name == "Engineering Manager":
+            exempt = F.exists(F.coalesce("seniority_levels", X.no_strings()), lambda x: F.lower(x).isin(C.MANAGEMENT_LEVELS))
+        by_role = by_role.when(named(pattern) & ~X.true_(exempt), name)
+    own = F.coalesce("must_have_tags", X.no_strings())
+    staged = pairs.withColumn("_tags", F.transform(own, F.lower)).withColumn("_family", main_family(own))
+    staged = staged.withColumn("_platform", by_platform.otherwise(None)).withColumn("_role", by_role.otherwise(None))
+    kind = F.when(F.col("_platform").isNotNull(), "platform").when(F.col("_role").isNotNull(), "role_family")
+    return staged.withColumn("blocker", F.coalesce("_platform", "_role")).withColumn("blocker_type", kind).drop("_tags", "_family", "_platform", "_role")
 
 
 def hard_blockers(pairs: DataFrame) -> DataFrame:
@@ -157,8 +150,9 @@ def posting_rejections(pairs: DataFrame) -> DataFrame:
 
 
 def with_rejection_reason(df: DataFrame) -> DataFrame:
+    """``reason``: the first kind of reason that the blockers name; ``other`` without any."""
     text, out = F.lower(F.concat_ws(" ", F.coalesce("llm_blockers", X.no_strings()))), F
-    for name, words in REJECTION_REASONS:
+    for name, words in C.REJECTION_REASONS:
         out = out.when(text.rlike(words), name)
     return df.withColumn("reason", out.otherwise("other"))
 

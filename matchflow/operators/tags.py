@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -9,43 +11,54 @@ from pyspark.sql import functions as F
 from matchflow.functions import constants as C
 from matchflow.functions import exprs as X
 
-FAMILY_TAGS = {k: v for k, v in C.STACK_FAMILIES.items()}
-#: Spellings that stand for a canonical tag.
-VARIANTS = {"golang": "go", "node.js": "node", "nodejs": "node", "next.js": "nextjs", "c#": "csharp", ".net": "dotnet", "k8s": "kubernetes", "postgres": "postgresql", "react native": "react-native", "vue.js": "vue"}
-LABELS = sorted({t for v in FAMILY_TAGS.values() for t in v} | set(C.PROCESS_NOISE_TAGS) | set(VARIANTS), key=lambda t: (-len(t), t))
+FAMILY_TAGS = C.STACK_FAMILIES
+#: Lower-case labels and the tags they stand for.
+LABEL_TAGS = {label.lower(): t for t, label, _, _ in C.TAG_REGISTRY}
+DEFINING_TAGS = [t for t, _, kind, _ in C.TAG_REGISTRY if kind == "persona_defining"]
 
 
-def scan_tags(df: DataFrame, text: str) -> DataFrame:
-    """``tags``: canonical tags whose labels stand between non-word characters of the text, sorted.
+def label_pattern() -> str:
+    """Any label, longest first, from a word's beginning to where no word goes on (the end may be a sign, as in C++)."""
+    ends = lambda label: r"\b" if re.match(r"\w", label[-1]) else r"\B"
+    quoted = lambda label: re.sub(r"([.+#/&()])", r"[\1]", label)
+    return "|".join(rf"\b{quoted(label)}{ends(label)}" for label in sorted(LABEL_TAGS, key=lambda label: -len(label)))
+
 
-    The longest label wins where several begin at one place; the character after a label may begin the next one.
-    """
-    import re
+def tags_in(text: Column) -> Column:
+    """Tags whose labels a text names, in the order of their first mention."""
+    tag_of = F.create_map(*[F.lit(x) for kv in LABEL_TAGS.items() for x in kv])
+    return F.array_distinct(F.transform(F.regexp_extract_all(F.lower(text), F.lit(label_pattern()), 0), lambda x: tag_of[x]))
 
-    pattern = r"(?:^|[^a-z0-9+#.])(" + "|".join(map(re.escape, LABELS)) + r")(?=$|[^a-z0-9+#])"
-    found = F.regexp_extract_all(F.lower(text), F.lit(pattern), 1)
-    return df.withColumn("tags", F.array_sort(F.array_distinct(F.transform(found, canonical))))
+
+def scan_tags(df: DataFrame, text: str) -> DataFrame:
+    """``tags``: the registry's tags whose labels the text names, sorted; matches don't overlap, longer labels go first."""
+    return df.withColumn("tags", F.array_sort(tags_in(F.coalesce(F.col(text), F.lit("")))))
 
 
 def canonical(tag: Column) -> Column:
-    variants = F.create_map(*[F.lit(x) for kv in VARIANTS.items() for x in kv])
+    """The tag that a spelling stands for, by label, then by variant; else the spelling itself in lower case."""
+    known = F.create_map(*[F.lit(x) for kv in (C.TAG_VARIANTS | LABEL_TAGS).items() for x in kv])
     low = F.lower(F.trim(tag))
-    return F.coalesce(variants[low], low)
+    return F.coalesce(known[low], low)
 
 
 def normalize_tags(df: DataFrame, tags: str) -> DataFrame:
-    """The array with canonical spellings, without repeats and unknown labels, sorted."""
-    known = sorted(set(LABELS) - set(VARIANTS))
-    out = F.array_distinct(F.transform(F.coalesce(tags, X.no_strings()), canonical))
-    return df.withColumn(tags, F.array_sort(F.array_intersect(out, X.strings(known))))
+    """The array as tags: each entry by its label, else by a variant, else by the labels that it names; without repeats,
+    entries that stand for nothing dropped, sorted."""
+    known = F.create_map(*[F.lit(x) for kv in (C.TAG_VARIANTS | LABEL_TAGS).items() for x in kv])
+
+    def of(t: Column) -> Column:
+        low = F.lower(F.trim(t))
+        return F.when(known[low].isNotNull(), F.array(known[low])).otherwise(tags_in(F.coalesce(low, F.lit(""))))
 
+    return df.withColumn(tags, F.array_sort(F.array_distinct(F.flatten(F.transform(F.coalesce(tags, X.no_strings()), of)))))
 
-def normalize_postings(df: DataFrame, min_chars: int = 20) -> DataFrame:
-    """``outcome``: normalized, title_only (too short a text) or no_tags (no tag that defines a stack)."""
-    defining = X.strings(sorted({t for v in FAMILY_TAGS.values() for t in v}))
+
+def normalize_postings(df: DataFrame, min_chars: int = C.MIN_TEXT_CHARS) -> DataFrame:
+    """``outcome``: title_only (too short a text), normalized (a tag that can define a persona) or no_tags."""
     outcome = (
         F.when(F.length(F.coalesce("normalized_text", F.lit(""))) < min_chars, "title_only")
-        .when(F.size(F.array_intersect("extracted_tags", defining)) >= 1, "normalized")
+        .when(F.arrays_overlap("extracted_tags", X.strings(DEFINING_TAGS)), "normalized")
         .otherwise("no_tags")
     )
     return df.withColumn("outcome", outcome)
@@ -55,12 +68,21 @@ def family_counts(tags: Column) -> list[tuple[str, Column]]:
     return [(f, F.size(F.array_intersect(tags, X.strings(v)))) for f, v in FAMILY_TAGS.items()]
 
 
+def ranked_families(tags: Column) -> Column:
+    counts = [(f, n) for f, n in family_counts(tags) if f != "qa"]
+    return F.array(*[F.struct(n.alias("n"), F.lit(-i).alias("order"), F.lit(f).alias("family")) for i, (f, n) in enumerate(counts)])
+
+
+def main_family(tags: Column) -> Column:
+    """The family with most tags, the first of equals; null without any."""
+    best = F.array_max(ranked_families(tags))
+    return F.when(best["n"] > 0, best["family"])
+
+
 def with_stack_family(df: DataFrame, tags: str) -> DataFrame:
     """``family``: the family with most tags (the first of equals, quality assurance aside) and ``families``: all."""
-    counts = [(f, n) for f, n in family_counts(F.col(tags)) if f != "qa"]
-    ranked = F.array(*[F.struct(n.alias("n"), F.lit(-i).alias("order"), F.lit(f).alias("family")) for i, (f, n) in enumerate(counts)])
-    best = F.array_max(ranked)
-    return df.withColumn("family", F.when(best["n"] > 0, best["family"])).withColumn("families", F.transform(F.filter(ranked, lambda s: s["n"] > 0), lambda s: s["family"]))
+    ranked = ranked_families(F.col(tags))
+    return df.withColumn("family", main_family(F.col(tags))).withColumn("families", F.transform(F.filter(ranked, lambda s: s["n"] > 0), lambda s: s["family"]))
 
 
 def stack_disjoint(persona_tags: Column, job_tags: Column) -> Column:

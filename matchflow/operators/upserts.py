@@ -27,8 +27,10 @@ def upsert_postings(current: DataFrame, incoming: DataFrame, as_of: str) -> Data
 
 
 def insert_absent(current: DataFrame, incoming: DataFrame, keys: list[str]) -> DataFrame:
-    """Current rows and those incoming ones (one for each key) that aren't there yet."""
-    fresh = incoming.dropDuplicates(keys).join(current.select(*keys).distinct(), keys, "left_anti")
+    """Current rows and those incoming ones that aren't there yet; of equal keys the row that is smallest by its columns."""
+    others = [c for c in incoming.columns if c not in keys]
+    one = incoming.groupBy(*keys).agg(F.min(F.struct(*others)).alias("row")).select(*keys, "row.*") if others else incoming.distinct()
+    fresh = one.select(*incoming.columns).join(current.select(*keys).distinct(), keys, "left_anti")
     return current.unionByName(fresh, allowMissingColumns=True)
 
 

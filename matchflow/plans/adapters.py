@@ -13,17 +13,17 @@ TITLES = [
     "Senior Frontend Engineer", "Account Executive", "Staff Backend Developer - EMEA", "QA Automation Engineer",
     "Data Entry Clerk", "React Native Developer", "Junior PHP Developer", "Lead Platform Engineer - US", "Sales Manager",
     "Full Stack Engineers", "Site Reliability Engineer", "Machine Learning Engineer", "Software Tester", "UX Designer",
-    "Laravel Developer", "Principal Architect", "Node.js Engineer", "Security Clearance Analyst", "DevOps Engineer - APAC",
+    "Laravel Developer", "Solutions Architect", "Node.js Engineer", "Salesforce Developer", "Drupal / PHP Engineer", "Senior Shopify Developer", "C# Developer", "AI Engineer", "Tech Lead", "Computer Vision Researcher", "AppSec Engineer", "Security Clearance Analyst", "DevOps Engineer - APAC",
 ]
 TEXTS = [
-    "Work from anywhere in the world with React and TypeScript. 3-5 years of experience.", "Must be authorized to work in the United States.",
-    "TS/SCI clearance required for this role.", "We use Docker, Kubernetes and Go. 7+ years of experience.", "Hybrid, three days in the office in Berlin.",
-    "Remote within Canada only. Laravel and PHP.", "Fully remote, worldwide. Node and GraphQL, UTC-3 to UTC+3.", "On-site in London.",
-    "Remote, Europe only. Python and Django.", "E-Verify employer. Java and Spring.", "short",
+    "Work from anywhere in the world with React and TypeScript. 3-5 years of experience. You know Node.js and Next.js well, and have put C++ or C# to use.", "Must be authorized to work in the United States.",
+    "TS/SCI clearance required for this role.", "We use Docker, Kubernetes and Go. 7+ years of experience. Core hours overlap with the team in Lisbon; we meet during our business hours.", "Hybrid, three days in the office in Berlin. Reactive people and Going concerns only; the pay is 60 000 EUR a year for Ruby on Rails work.",
+    "Remote within Canada only. Laravel and PHP. You must hold a work permit for the province that you live in, and write clear English.", "Fully remote, worldwide. Node and GraphQL, UTC-3 to UTC+3.", "On-site in London.",
+    "Remote, Europe only. Python and Django. We are only considering candidates from countries near ours, and PostgreSQL is our database.", "E-Verify employer. Java and Spring Boot, CI/CD and REST API design; eligible to work in the US. Tell us what you have made.", "short",
 ]
 PLACES = ["Remote", "Remote - Worldwide", "Berlin, Germany", "Remote, md", "Remote; Argentina", "São Paulo", "NAMER + EMEA", "London", "United States", "Anywhere", "New York, NY", "", "Remote, Canada"]
 FRONT = ["react", "vue", "angular", "svelte", "nextjs", "jquery", "remix"]
-BACK = ["node", "laravel", "django", "spring", "go", "rust", "rails", "fastapi", "dotnet", "nestjs", "symfony"]
+BACK = ["nodejs", "laravel", "django", "spring", "go", "rust", "rails", "fastapi", "dotnet", "nestjs", "symfony"]
 TOOLS = ["docker", "aws", "kubernetes", "ci-cd", "graphql"]
 MORE = ["typescript", "php", "python", "java", "csharp", "cypress", "selenium", "qa", "tailwindcss", "postgresql", "ruby", "javascript", "golang"]
 SOURCES = ["greenhouse", "lever", "ashby", "smartrecruiters", "workable", "recruitee", "remoteok", "himalayas"]
@@ -52,6 +52,7 @@ VIEWS: dict[str, tuple[str, dict[str, str]]] = {
             "is_fenced": "CASE o_orderkey % 9 WHEN 0 THEN true WHEN 1 THEN NULL ELSE false END", "is_natsec": "CASE o_orderkey % 23 WHEN 0 THEN true WHEN 1 THEN NULL ELSE false END",
             "is_qa": "CASE o_orderkey % 13 WHEN 0 THEN true WHEN 1 THEN NULL ELSE false END",
             "detected_at": "o_orderdate", "published_at": "CASE WHEN o_orderkey % 6 = 0 THEN NULL ELSE o_orderdate - INTERVAL 9 DAY END",
+            "source_status": "CASE o_orderkey % 7 WHEN 0 THEN ' Closed' WHEN 1 THEN 'on-hold' WHEN 2 THEN 'open' WHEN 3 THEN 'Draft ' WHEN 4 THEN 'odd' WHEN 5 THEN 'filled' END",
             "last_seen_at": "o_orderdate + INTERVAL 20 DAY", "normalized_at": "CASE WHEN o_orderkey % 11 = 0 THEN NULL ELSE o_orderdate + INTERVAL 1 DAY END",
         },
     ),

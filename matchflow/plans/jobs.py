@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from matchflow.functions import constants as C
 from matchflow.functions import exprs as X
 from matchflow.operators import classify, filters, joins, routing, scoring, tags, upserts
 from matchflow.operators.filters import filter_persona_tech
@@ -70,7 +71,7 @@ def evaluate_feeds(postings: DataFrame, keywords: list[str]) -> DataFrame:
     return out.withColumn("share", X.rate(F.col("on_stack"), F.col("jobs")))
 
 
-def provisional_normalize(jobs: DataFrame, min_chars: int = 60) -> DataFrame:
+def provisional_normalize(jobs: DataFrame, min_chars: int = C.MIN_TEXT_CHARS) -> DataFrame:
     """Postings not normalised yet: their scope by the cascade where the text is long enough, else undetermined."""
     new = classify.classify_remote_scope(jobs.filter("normalized_at IS NULL"))
     enough = F.length(F.coalesce("normalized_text", F.lit(""))) >= min_chars

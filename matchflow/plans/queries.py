@@ -82,7 +82,7 @@ query(
 )
 query("flt7_fresh", f"SELECT id FROM job WHERE published_at >= {NOW} - INTERVAL 60 DAY", lambda v: IDS(flt.filter_fresh(v.job, AS_OF)))
 query("flt8_recent", f"SELECT id FROM job WHERE coalesce(published_at, detected_at) >= {NOW} - INTERVAL 60 DAY", lambda v: IDS(flt.filter_recent(v.job, AS_OF)))
-query("flt9_is_active", "SELECT id, status NOT IN ('rejected', 'stale', 'gone', 'closed', 'archived', 'normalization_failed') AS active FROM job", lambda v: flt.with_is_active(v.job).select("id", "active"))
+query("flt9_is_active", "SELECT id, NOT coalesce(ats_source NOT IN ('greenhouse', 'lever', 'ashby', 'workable') AND lower(trim(source_status)) IN ('closed', 'archived', 'inactive', 'filled', 'unpublished', 'draft', 'expired', 'on_hold', 'on-hold', 'paused'), false) AS active FROM job", lambda v: flt.with_is_active(v.job).select("id", "active"))
 query(
     "flt10_persona_tech",
     "SELECT id FROM job WHERE regexp_matches(lower(concat_ws(' ', array_to_string(extracted_tags, ' '), title, normalized_text)), '(^|[^a-z0-9])(go|php)([^a-z0-9]|$)|graphql|typescript')",
@@ -111,25 +111,29 @@ query("flt16_career_domains", "SELECT page_id FROM pages WHERE len(string_split(
       lambda v: flt.filter_career_domains(v.spark.read.parquet(f"{v.sf_dir}/pages.parquet").select("page_id", F.concat(F.when(F.col("page_id") % 4 == 0, "careers.").when(F.col("page_id") % 4 == 1, "jobs.").otherwise(""), F.lower(F.regexp_extract("url", "^[a-z]+://([^/?#]+)", 1))).alias("domain"))).select("page_id"))
 query(
     "flt17_normalization_action",
-    "SELECT id, CASE WHEN status = 'rejected' THEN 'skip:rejected' WHEN normalized_at IS NULL THEN 'normalize:new' WHEN normalized_at < last_seen_at - INTERVAL 10 DAY THEN 'normalize:outdated' ELSE 'skip:current' END AS action FROM job",
+    "SELECT id, CASE WHEN normalized_at IS NOT NULL THEN 'skip:processed' ELSE CASE status WHEN 'rejected' THEN 'skip:rejected' WHEN 'normalization_failed' THEN 'normalize:retry' WHEN 'stale' THEN 'skip:aged_out' WHEN 'gone' THEN 'skip:aged_out' ELSE 'normalize:new' END END AS action FROM job",
     lambda v: flt.with_normalization_action(v.job).select("id", "action"),
 )
 query("flt18_due_retries", f"SELECT id, retry_count FROM slugger_retry WHERE next_retry_at < {NOW} AND retry_count < 3 ORDER BY next_retry_at, id LIMIT 100", lambda v: flt.select_due_retries(v.slugger_retry, AS_OF).select("id", "retry_count"))
 query("flt19_suspect_sample", f"SELECT id FROM job WHERE remote_scope = 'global' AND {SPECIFIC} ORDER BY md5(concat('s', CAST(id AS VARCHAR))), id LIMIT 50", lambda v: IDS(flt.sample_suspects(v.job, 50, "s")))
 
 # --- tags
-LABEL_SQL = f"list_sort(list_distinct(list_transform(list_filter({arr([t for t in tag.LABELS])}, lambda x: regexp_matches(lower(normalized_text), '(^|[^a-z0-9+#.])' || replace(replace(replace(x, '+', '[+]'), '.', '[.]'), '#', '[#]') || '($|[^a-z0-9+#])')), lambda x: CASE x {' '.join(f'''WHEN '{a}' THEN '{b}' ''' for a, b in tag.VARIANTS.items())} ELSE x END)))"
-query("tag1_scan_tags", f"SELECT id, array_to_string({LABEL_SQL}, ',') AS tags FROM job", lambda v: tag.scan_tags(v.job, "normalized_text").select("id", F.array_join("tags", ",").alias("tags")))
+cases = lambda of, known: f"CASE {of} " + " ".join(f"WHEN '{k}' THEN '{t}'" for k, t in known.items()) + " END"
+NAMED = "list_distinct(list_transform(regexp_extract_all(lower({0}), '" + tag.label_pattern() + "'), lambda x: " + cases("x", tag.LABEL_TAGS) + "))"
+query("tag1_scan_tags", f"SELECT id, array_to_string(list_sort({NAMED.format('normalized_text')}), ',') AS tags FROM job", lambda v: tag.scan_tags(v.job, "normalized_text").select("id", F.array_join("tags", ",").alias("tags")))
+RAW_TAGS = ["Golang", " k8s ", "React.js 18", "Ruby on Rails", "C++", "unheard of", "spring-boot", "node js, graphql"]  # spellings beside the extracted ones
 query(
     "tag2_normalize_tags",
-    f"SELECT id, array_to_string(list_sort(list_distinct(list_filter(list_transform(extracted_tags, lambda x: CASE x WHEN 'golang' THEN 'go' ELSE x END), lambda x: list_contains({arr(sorted(set(tag.LABELS) - set(tag.VARIANTS)))}, x)))), ',') AS tags FROM job",
-    lambda v: tag.normalize_tags(v.job, "extracted_tags").select("id", F.array_join("extracted_tags", ",").alias("tags")),
+    f"""WITH t AS (SELECT id, unnest(list_concat(extracted_tags, [{arr(RAW_TAGS)}[1 + id % {len(RAW_TAGS)}]])) AS raw FROM job), l AS (SELECT id, lower(trim(raw)) AS x FROM t),
+    k AS (SELECT id, x, coalesce({cases('x', tag.LABEL_TAGS)}, {cases('x', C.TAG_VARIANTS)}) AS known FROM l), n AS (SELECT id, unnest(CASE WHEN known IS NULL THEN {NAMED.format('x')} ELSE [known] END) AS tag FROM k)
+    SELECT j.id, coalesce(string_agg(DISTINCT tag, ',' ORDER BY tag), '') AS tags FROM job j LEFT JOIN n ON n.id = j.id GROUP BY j.id""",
+    lambda v: tag.normalize_tags(v.job.withColumn("extracted_tags", F.concat("extracted_tags", F.array(X.strings(RAW_TAGS)[(F.col("id") % len(RAW_TAGS)).cast("int")]))), "extracted_tags").select("id", F.array_join("extracted_tags", ",").alias("tags")),
 )
-DEFINING = arr(sorted({t for x in C.STACK_FAMILIES.values() for t in x}))
-query("tag3_normalize_postings", f"SELECT id, CASE WHEN length(normalized_text) < 20 THEN 'title_only' WHEN list_has_any(extracted_tags, {DEFINING}) THEN 'normalized' ELSE 'no_tags' END AS outcome FROM job", lambda v: tag.normalize_postings(v.job).select("id", "outcome"))
+DEFINING = arr(tag.DEFINING_TAGS)
+query("tag3_normalize_postings", f"SELECT id, CASE WHEN length(normalized_text) < 100 THEN 'title_only' WHEN list_has_any(extracted_tags, {DEFINING}) THEN 'normalized' ELSE 'no_tags' END AS outcome FROM job", lambda v: tag.normalize_postings(v.job).select("id", "outcome"))
 query(
     "tag4_aggregator_rows",
-    f"SELECT id, CASE WHEN length(normalized_text) < 20 THEN 'title_only' WHEN list_has_any(extracted_tags, {DEFINING}) THEN 'normalized' ELSE 'no_tags' END AS outcome FROM job WHERE regexp_matches(lower(title), '{words(C.ENGINEERING_TERMS, True)}')",
+    f"SELECT id, CASE WHEN length(normalized_text) < 100 THEN 'title_only' WHEN list_has_any(extracted_tags, {DEFINING}) THEN 'normalized' ELSE 'no_tags' END AS outcome FROM job WHERE regexp_matches(lower(title), '{words(C.ENGINEERING_TERMS, True)}')",
     lambda v: tag.normalize_postings(flt.filter_engineering_titles(v.job)).select("id", "outcome"),
 )
 FAMS = [f for f in C.STACK_FAMILIES if f != "qa"]
@@ -165,7 +169,7 @@ DISJOINT = " OR ".join(f"(list_has_any(must_have_tags, {arr(C.STACK_FAMILIES[f])
 
 def route_sql(strict: bool, jobs: str = "job") -> str:
     extra = (
-        f"AND list_has_any(list_transform(list_intersect(must_have_tags, tags), lambda x: CASE x WHEN 'golang' THEN 'go' ELSE x END), {arr(C.DISTINCTIVE_TAGS)}) AND NOT list_has_any(blocklist_tags, extracted_tags) AND NOT ({DISJOINT})"
+        f"AND list_has_any(list_transform(list_intersect(must_have_tags, tags), lambda x: coalesce({cases('x', C.TAG_VARIANTS | tag.LABEL_TAGS)}, x)), {arr(C.DISTINCTIVE_TAGS)}) AND NOT list_has_any(blocklist_tags, extracted_tags) AND NOT ({DISJOINT})"
         if strict
         else ""
     )

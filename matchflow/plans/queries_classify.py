@@ -14,7 +14,7 @@ from matchflow.operators import upserts as ups
 from matchflow.plans import jobs
 from matchflow.plans.adapters import AS_OF
 from matchflow.sources import discovery as dis
-from matchflow.plans.queries import NOW, SPECIFIC, arr, parts, query, words
+from matchflow.plans.queries import DEFINING, NOW, ORACLE_SQL, SPECIFIC, arr, parts, query, route_sql, words
 from matchflow.plans.queries_more import BLOCKERS, PAIRS, pairs, rate
 
 PLACE, TEXT = "lower(coalesce(location_name, ''))", "lower(coalesce(normalized_text, ''))"
@@ -35,8 +35,8 @@ SPEC = f"({PLACE} <> '' AND NOT {has(PLACE, '(remote|worldwide|anywhere|global|d
 SCOPE = f"""CASE WHEN workplace_type IN ('on-site', 'hybrid') THEN 'onsite' WHEN {has(BOTH, cls.GLOBAL_HIGH)} OR {has(PLACE, '(worldwide|anywhere)')} THEN 'global' WHEN {has(BOTH, cls.COUNTRY_HIGH)} THEN 'country_fenced'
   WHEN {has(BOTH, cls.REGION_HIGH)} OR {has(PLACE, words(C.REGION_TERMS))} THEN 'region_fenced' WHEN {PLACE} = 'remote' THEN 'unknown' WHEN {has(PLACE, words(list(C.COUNTRIES)))} THEN 'country_fenced' WHEN {SPEC} THEN 'onsite' ELSE 'unknown' END"""
 query("cls7_infer_scope", f"SELECT id, {SCOPE} AS inferred_scope FROM job", lambda v: cls.infer_remote_scope(v.job).select("id", "inferred_scope"))
-FIRED = "[" + ", ".join(f"CASE WHEN {has(TEXT, p)} THEN '{n}' END" for n, p, _ in cls.PROBES) + "]"
-WEIGHT = " + ".join(f"CASE WHEN {has(TEXT, p)} THEN {w} ELSE 0 END" for _, p, w in cls.PROBES)
+FIRED = "[" + ", ".join(f"CASE WHEN {has(TEXT, '(?i)' + p)} THEN '{n}' END" for n, p, _ in C.REGION_PROBES) + "]"
+WEIGHT = " + ".join(f"CASE WHEN {has(TEXT, '(?i)' + p)} THEN {w} ELSE 0 END" for _, p, w in C.REGION_PROBES)
 query("cls11_multi_probe", f"SELECT id, array_to_string(list_filter({FIRED}, lambda x: x IS NOT NULL), ',') AS probes, {WEIGHT} >= 2 AS region_fence FROM job", lambda v: cls.with_multi_probe(v.job).select("id", "probes", "region_fence"))
 CASCADE = f"""SELECT id, CASE WHEN place IS NOT NULL THEN place WHEN said IS NOT NULL AND said <> 'global' THEN 'text:' || said WHEN said = 'global' AND NOT (spec AND NOT {has('t', '(work from anywhere|anywhere in the world)')}) THEN 'text:global'
     WHEN spec AND said IS NULL THEN CASE WHEN workplace_type = 'remote' THEN 'location:country_fenced' ELSE 'location:onsite' END WHEN length(t) >= 50 AND fence THEN 'probe:region_fenced' WHEN length(t) < 50 THEN 'hard_fail:undetermined' ELSE 'no_signal:undetermined' END AS r
@@ -91,7 +91,7 @@ query(
 )
 
 # --- composed jobs
-query("pip1_normalize_job", f"SELECT j.id, split_part(r, ':', 2) AS scope, CASE WHEN length(normalized_text) < 20 THEN 'title_only' ELSE 'normalized' END AS outcome FROM job j JOIN ({CASCADE}) x ON x.id = j.id WHERE status <> 'rejected' AND (normalized_at IS NULL OR normalized_at < last_seen_at - INTERVAL 10 DAY)", lambda v: jobs.normalize_job(v.job).select("id", "scope", "outcome"))
+query("pip1_normalize_job", f"SELECT j.id, split_part(r, ':', 2) AS scope, CASE WHEN length(normalized_text) < 100 THEN 'title_only' WHEN list_has_any(extracted_tags, {DEFINING}) THEN 'normalized' ELSE 'no_tags' END AS outcome FROM job j JOIN ({CASCADE}) x ON x.id = j.id WHERE status NOT IN ('rejected', 'stale', 'gone') AND normalized_at IS NULL", lambda v: jobs.normalize_job(v.job).select("id", "scope", "outcome"))
 query(
     "pip5_nightly_maintenance",
     f"SELECT status, rule, count(*) AS n FROM (SELECT s AS status, CASE WHEN s = 'rejected' AND normalized_at < {NOW} - INTERVAL 1 DAY THEN 'rejected' WHEN s = 'gone' AND last_seen_at < {NOW} - INTERVAL 7 DAY THEN 'gone' WHEN s = 'normalization_failed' AND detected_at < {NOW} - INTERVAL 7 DAY THEN 'failed' WHEN coalesce(published_at, detected_at) < {NOW} - INTERVAL 30 DAY THEN 'ancient' END AS rule FROM (SELECT *, CASE WHEN a = 'stale' AND last_seen_at < {NOW} - INTERVAL 30 DAY THEN 'gone' ELSE a END AS s FROM (SELECT *, CASE WHEN status = 'active' AND (last_seen_at < {NOW} - INTERVAL 7 DAY OR published_at < {NOW} - INTERVAL 60 DAY) THEN 'stale' ELSE status END AS a FROM job) x) y) z GROUP BY 1, 2",
@@ -103,8 +103,13 @@ query(
     lambda v: jobs.gate_replay(pairs(v).drop("status"), v.match_queue),
 )
 query("pip8_backfill_hash", "SELECT count(*) AS rows_changed FROM job WHERE location_name IS NULL", lambda v: jobs.backfill(v.job, "location_name", F.coalesce("location_name", F.lit("unknown")), "id"))
-query("pip3_reprocess", None, lambda v: jobs.reprocess(v.job, v.persona, v.applicant, v.match_queue).select("job_id", "persona_id", "rank"))
-query("pip4_provisional_normalize", f"SELECT o.id, CASE WHEN length(o.normalized_text) >= 60 THEN split_part(r, ':', 2) ELSE 'undetermined' END AS scope FROM ({CASCADE}) x JOIN job o ON o.id = x.id WHERE o.normalized_at IS NULL", lambda v: jobs.provisional_normalize(v.job).select("id", "scope"))
+query(
+    "pip3_reprocess",
+    f"WITH due AS (SELECT * FROM job WHERE id IN (SELECT id FROM ({ORACLE_SQL['joi11_reprocess_candidates']}) c)), pairs AS (SELECT j.*, a.* FROM due j, applicant a), fit AS (SELECT * FROM due WHERE id IN (SELECT id FROM pairs WHERE len({BLOCKERS}) = 0)), "
+    f"{route_sql(True, 'fit').replace('pairs', 'met')} SELECT job_id, persona_id, rank FROM routed",
+    lambda v: jobs.reprocess(v.job, v.persona, v.applicant, v.match_queue).select("job_id", "persona_id", "rank"),
+)
+query("pip4_provisional_normalize", f"SELECT o.id, CASE WHEN length(o.normalized_text) >= 100 THEN split_part(r, ':', 2) ELSE 'undetermined' END AS scope FROM ({CASCADE}) x JOIN job o ON o.id = x.id WHERE o.normalized_at IS NULL", lambda v: jobs.provisional_normalize(v.job).select("id", "scope"))
 CERTS = "CASE WHEN c_custkey % 3 = 0 THEN concat('co', c_custkey % 97, '.lever.co\nwww.lever.co') ELSE concat('X', c_custkey % 53, '.greenhouse.io') END AS name_value"
 URLS = "CASE WHEN c_custkey % 2 = 0 THEN concat('https://jobs.lever.co/Co', c_custkey % 120, '/abc') ELSE 'https://example.com/a' END AS original"
 query(

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import functions as F
 
 from matchflow.functions import constants as C
@@ -93,7 +95,7 @@ query(
 )
 query("srt11_top_errors", "SELECT source, error_message, count(*) AS n, max(created_at) AS last_seen FROM ingestion_log WHERE error_message IS NOT NULL GROUP BY ALL ORDER BY n DESC, source, error_message LIMIT 20", lambda v: joi.top_errors(v.ingestion_log, 20))
 query("srt11_source_health", 'SELECT source_name, status, row_number() OVER (PARTITION BY status ORDER BY consecutive_failures DESC, source_name) AS place, CASE status WHEN \'disabled\' THEN 0 WHEN \'degraded\' THEN 1 ELSE 2 END AS "group" FROM source_health', lambda v: joi.source_health_list(v.source_health).select("source_name", "status", "place", "group"))
-query("srt10_orphaned_companies", "SELECT id FROM company c WHERE NOT EXISTS (SELECT 1 FROM job j WHERE j.ats_source = c.ats_source AND j.ats_slug = c.ats_slug)", lambda v: IDS(joi.orphaned_companies(v.company, v.job)))
+query("srt10_orphaned_companies", "SELECT id FROM company c WHERE NOT EXISTS (SELECT 1 FROM job j WHERE j.ats_source = c.ats_source AND j.ats_slug = c.ats_slug AND NOT ends_with(j.ats_slug, '7'))", lambda v: IDS(joi.orphaned_companies(v.company, v.job.filter("NOT endswith(ats_slug, '7')"))))
 
 # --- scores
 QUALITY = """quality AS (SELECT c.*, coalesce(a, 0) AS approved, coalesce(r, 0) AS rejected, coalesce(a, 0) + coalesce(r, 0) AS total, last_approved_at,
@@ -129,9 +131,33 @@ query(
     lambda v: sco.company_size_score(v.company).select("id", "raw_score", "size_score", "advised_tier"),
 )
 query("sco3_company_quality", f"WITH {QUALITY} SELECT id, approved, rejected, total, quality, last_approved_at FROM quality", lambda v: quality(v).select("id", "approved", "rejected", "total", "quality", "last_approved_at"))
+query("srt10_top_companies", f"WITH {QUALITY} SELECT id, quality, total FROM quality ORDER BY quality DESC, total DESC, id LIMIT 50", lambda v: joi.top_companies(quality(v), 50).select("id", "quality", "total"))
+SORTED = {"best_match": "match_score DESC NULLS FIRST, created_at DESC NULLS FIRST", "newest": "created_at DESC NULLS FIRST", "oldest": "created_at ASC NULLS LAST"}
+scored = lambda v: v.match_queue.withColumn("match_score", F.col("id") % 23)
+query(
+    "srt4_sort_matches",
+    " UNION ALL ".join(f"SELECT * FROM (SELECT id, '{k}' AS sort_key FROM (SELECT *, id % 23 AS match_score FROM match_queue) m ORDER BY {o}, id LIMIT 20 OFFSET 40) {k}" for k, o in SORTED.items()),
+    lambda v: functools.reduce(lambda a, b: a.union(b), [joi.sort_matches(scored(v), k, 20, 40).select("id", F.lit(k).alias("sort_key")) for k in SORTED]),
+)
 query("sco4_fusion_score", "SELECT id, 1 + coalesce(n, 0) AS fusion FROM company LEFT JOIN (SELECT company_id, count(DISTINCT discovery_source) AS n FROM company_discovery_sources GROUP BY 1) s ON s.company_id = id", lambda v: sco.fusion_score(v.company, v.company_discovery_sources).select("id", "fusion"))
-BLOCK = "CASE " + " ".join(f"WHEN regexp_matches(lower(title), '(^|[^a-z]){w}s?([^a-z]|$)')" + (f" AND NOT list_has_any(must_have_tags, {arr(t)})" if t else "") + f" THEN '{n}'" for n, w, t in sco.TITLE_BLOCKERS) + " END"
-query("sco5_title_blockers", f"WITH {VIEW} SELECT id, {BLOCK} AS blocker FROM mv", lambda v: sco.title_blockers(mview(v)).select("id", "blocker"))
+FAMILIES = [f for f in C.STACK_FAMILIES if f != "qa"]
+COUNTS = ", ".join(f"len(list_intersect(must_have_tags, {arr(C.STACK_FAMILIES[f])})) AS n_{f}" for f in FAMILIES)
+MOST = "greatest(" + ", ".join(f"n_{f}" for f in FAMILIES) + ")"
+FAMILY = f"CASE WHEN {MOST} = 0 THEN NULL " + " ".join(f"WHEN n_{f} = {MOST} THEN '{f}'" for f in FAMILIES) + " END"
+BARRED = lambda p, f: f"WHEN regexp_matches(title, '(?i){p}')" + ("" if f == "enterprise" else f" AND family <> '{f}'")
+PLATFORM = "CASE " + " ".join(f"{BARRED(p, f)} THEN '{n}'" for n, p, f in C.PLATFORM_PATTERNS) + " END"
+LIFTED = {
+    "AI Engineer (application)": f"list_contains(own, 'prompt-engineering') AND list_has_any(own, {arr(C.JS_SIGNAL_TAGS)})",
+    "Engineering Manager": "list_has_any(list_transform(seniority_levels, lambda x: lower(x)), ['manager', 'lead', 'director'])",
+}
+lifted = lambda n, tags: LIFTED.get(n) or (f"list_has_any(own, {arr(tags)})" if tags else "false")
+ROLE = "CASE " + " ".join(f"WHEN regexp_matches(title, '(?i){p}') AND NOT coalesce({lifted(n, t)}, false) THEN '{n}'" for n, p, t in C.ROLE_FAMILY_PATTERNS) + " END"
+query(
+    "sco5_title_blockers",
+    f"""WITH {VIEW}, n AS (SELECT *, {COUNTS}, list_transform(must_have_tags, lambda x: lower(x)) AS own FROM mv), f AS (SELECT *, {FAMILY} AS family FROM n), b AS (SELECT id, {PLATFORM} AS platform, {ROLE} AS role FROM f)
+    SELECT id, coalesce(platform, role) AS blocker, CASE WHEN platform IS NOT NULL THEN 'platform' WHEN role IS NOT NULL THEN 'role_family' END AS blocker_type FROM b""",
+    lambda v: sco.title_blockers(mview(v)).select("id", "blocker", "blocker_type"),
+)
 USD = "({0} * CASE upper(coalesce(compensation_currency, 'USD')) " + " ".join(f"WHEN '{k}' THEN {n}::DOUBLE" for k, n in C.USD_RATES.items()) + " END)"
 USD_OK = f"(CASE WHEN {USD.format('compensation_max')} >= {C.PAY_FLOOR_USD} THEN {USD.format('compensation_max')} END)"
 PAIRS = "pairs AS (SELECT m.id AS match_id, j.*, a.* FROM match_queue m JOIN job j ON j.id = m.job_id JOIN applicant a ON a.user_id = m.applicant_id)"
@@ -148,7 +174,7 @@ query(
     f"WITH {PAIRS}, b AS (SELECT id, user_id, {BLOCKERS} AS b FROM pairs) SELECT id AS job_id, NOT bool_or(len(b) = 0) AS rejected, CASE WHEN NOT bool_or(len(b) = 0) THEN arg_min(b[1], user_id) END AS pattern FROM b GROUP BY id",
     lambda v: sco.posting_rejections(sco.hard_blockers(pairs(v))),
 )
-REASON = "CASE " + " ".join(f"WHEN regexp_matches(b, '{w}') THEN '{n}'" for n, w in sco.REJECTION_REASONS) + " ELSE 'other' END"
+REASON = "CASE " + " ".join(f"WHEN regexp_matches(b, '{w}') THEN '{n}'" for n, w in C.REJECTION_REASONS) + " ELSE 'other' END"
 REASONED = "(SELECT *, lower(array_to_string(coalesce(llm_blockers, []), ' ')) AS b FROM match_queue)"
 query("cls19_rejection_reason", f"SELECT id, {REASON} AS reason FROM {REASONED} m", lambda v: sco.with_rejection_reason(v.match_queue).select("id", "reason"))
 DIST = "CASE WHEN len(o.v) = len(n.v) THEN 1 - list_cosine_similarity(o.v, n.v) ELSE 1 END"

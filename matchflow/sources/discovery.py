@@ -158,8 +158,10 @@ def find_feed_links(pages: DataFrame) -> DataFrame:
 
 
 def stage_provisional(seeds: DataFrame, jobs: DataFrame, cap: int = 15_000) -> DataFrame:
-    """Page postings as provisional rows, one for each URL, unless the URL is a posting already."""
-    rows = seeds.select(F.sha2("url", 256).alias("id"), F.sha2("text", 256).alias("text_hash"), F.substring("text", 1, cap).alias("raw"), "url").dropDuplicates(["url"])
+    """Page postings as provisional rows, unless the URL is a posting already; of several texts of a URL the one with the
+    smallest hash."""
+    rows = seeds.select(F.sha2("url", 256).alias("id"), F.sha2("text", 256).alias("text_hash"), F.substring("text", 1, cap).alias("raw"), "url")
+    rows = rows.groupBy("url").agg(F.min(F.struct("text_hash", "raw", "id")).alias("row")).select("row.id", "row.text_hash", "row.raw", "url")
     return rows.join(jobs.select("id"), "id", "left_anti")
 
 
