@@ -301,3 +301,46 @@ REGION_PROBES = [
     ("during_business_hours", r"\bduring\s+(?:our|the)\s+(?:business|core|working)\s+hours\b", 1),
     ("overlap_hours", r"\boverlap\s+(?:with|of)\s+\d+\s+hours?\b", 1),
 ]
+# fixed values: wording that makes a posting global whatever its location says
+ALWAYS_GLOBAL = [r"\bwork\s+from\s+anywhere\b", r"\banywhere\s+in\s+the\s+world\b", r"\bwork\s+from\s+any\s+location\b", r"\bany\s+country\b", r"\bno\s+location\s+restrictions?\b"]
+# fixed values: strong wording of a global posting
+GLOBAL_SIGNALS = [
+    r"\banywhere\s+in\s+the\s+world\b", r"\bworldwide\b", r"\bwork\s+from\s+anywhere\b", r"\bwork\s+from\s+any\s+location\b", r"\bany\s+country\b", r"\bany\s+location\b",
+    r"\bremote[- ]first\b", r"\bdistributed\s+(?:team|company|workforce|organization)\b", r"\bglobal\s+remote\b", r"\bremote\s*[-–]\s*(?:global|worldwide|anywhere)\b",
+    r"\bfully\s+remote\s+worldwide\b", r"\b(?:global[,\s]+remote|remote[,\s]+global)\b", r"\bno\s+location\s+restrictions?\b", r"\blocation\s+independent\b", r"\bborderless\b",
+    r"\bteam\s+members\s+across\s+\d+\s+countries\b", r"\boperates?\s+in\s+\d+\s+countries\b",
+]
+# fixed values: strong wording of a country fence: pattern, country ("" where the context names it)
+COUNTRY_SIGNALS = [
+    (r"\b(?:us|usa|u\.s\.?)\s+only\b", "US"), (r"\bw-?2\s+only\b", "US"), (r"\be-?verify\b", "US"),
+    (r"\beligibility\s+to\s+work\s+in\s+(?:the\s+)?(?:u\.?s\.?a?\.?|united\s+states)\b", "US"),
+    (r"\bauthorized\s+to\s+work\s+in\s+(?:the\s+)?(?:u\.?s\.?a?\.?|united\s+states)\b", "US"),
+    (r"\bremote\s+(?:within|in|restricted)\b", ""), (r"\bmust\s+(?:be\s+)?(?:located|reside)\s+in\b", ""),
+]
+# fixed values: names of countries that fence by "X only" and the like, and their codes
+FENCING_COUNTRIES = [
+    (["us", "usa", "u\\.s\\.?", "united states"], "US"), (["uk", "u\\.k\\.?", "united kingdom", "england", "britain"], "GB"), (["canada"], "CA"), (["germany"], "DE"), (["france"], "FR"),
+    (["netherlands", "holland"], "NL"), (["spain"], "ES"), (["italy"], "IT"), (["australia"], "AU"), (["india"], "IN"), (["brazil"], "BR"), (["singapore"], "SG"), (["ireland"], "IE"),
+    (["switzerland"], "CH"), (["sweden"], "SE"), (["poland"], "PL"), (["portugal"], "PT"), (["japan"], "JP"), (["south korea", "korea"], "KR"), (["costa rica"], "CR"), (["chile"], "CL"),
+    (["argentina"], "AR"), (["mexico"], "MX"), (["colombia"], "CO"),
+]
+# fixed values: strong wording of a region fence: pattern, region
+REGION_SIGNALS = [
+    (r"\b(?:eu|european\s+union)\s+only\b", "eu"), (r"\bmust\s+(?:be\s+)?(?:based|located)\s+in\s+(?:the\s+)?eu\b", "eu"), (r"\bemea\s+only\b", "emea"), (r"\bapac\s+only\b", "apac"),
+    (r"\blatam\s+only\b", "latam"), (r"\bnorth\s+america\s+only\b", "north america"), (r"\bremote\s*[-–]\s*(?:latam|latin\s+america)\b", "latam"),
+    (r"\bremote\s*[-–]\s*(?:apac|asia[- ]?pacific)\b", "apac"), (r"\bremote\s*[-–]\s*(?:emea|europe[- ]?middle[- ]?east[- ]?africa)\b", "emea"),
+    (r"\bremote\s*[-–]\s*(?:balkans|eastern\s+europe)\b", "balkans"), (r"\bremote\s*[-–]\s*(?:eu|europe|european\s+union)\b", "eu"),
+]
+# fixed values: weaker wording: pattern (letter case counts where it has capitals), scope
+MEDIUM_SIGNALS = [
+    (r"(?i)\bremote\s*[-:]\s*(?:us|usa|u\.s\.?)\b", "country_fenced"), (r"(?i)\bremote\s*[-:]\s*(?:uk|u\.k\.?)\b", "country_fenced"), (r"(?i)\bremote\s*[-:]\s*ca\b", "country_fenced"),
+    (r"(?i)\bremote\s*[-:]\s*de\b", "country_fenced"), (r"(?i)\bremote\s*[-:]\s*fr\b", "country_fenced"), (r"(?i)\bremote\s*[-:]\s*nl\b", "country_fenced"),
+    (r"(?i)\bremote\s*[-:]\s*(?:eu|emea|apac|latam)\b", "region_fenced"), (r"\bmust\s+(?:live|reside|be\s+based)\s+in\s+([A-Z][a-z]+(?:\s+[A-Z][a-z]+)?)\b", "country_fenced"),
+    (r"\bright\s+to\s+work\s+(?:in|for)\s+([A-Z][a-z]+(?:\s+[A-Z][a-z]+)?)\b", "country_fenced"), (r"(?i)\bbased\s+in\s+([A-Z][a-z]+(?:\s+[A-Z][a-z]+)?)\s+(?:only|required)\b", "country_fenced"),
+    (r"(?i)\bfully\s+remote\b", "global"), (r"(?i)\b100\s?%\s+remote\b", "global"), (r"(?i)\bremote\s+work\s+(?:available|option|opportunity)\b", "global"),
+]
+# fixed values: wording that speaks against a scope: pattern, reason
+NEGATIVE_SIGNALS = [
+    (r"(?i)\brelocation\s+(?:required|offered|provided|assistance)\b", "relocation_required"), (r"(?i)\b(?:hybrid|on[- ]site|in[- ]office)\b", "hybrid_onsite"),
+    (r"(?i)\blocal\s+candidates?\s+(?:only|preferred)\b", "local_candidates_only"), (r"\bmust\s+(?:be\s+)?(?:in|based\s+in)\s+[A-Z][a-z]+,\s+[A-Z][a-z]+\b", "city_level_restriction"),
+]

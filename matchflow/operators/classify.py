@@ -64,6 +64,37 @@ def with_multi_probe(df: DataFrame) -> DataFrame:
     return staged.withColumn("probes", F.array_join(F.transform("_fired", lambda x: x["name"]), ",")).withColumn("region_fence", total >= 2).drop("_fired")
 
 
+def fence_of(names: list[str]) -> str:
+    """'X only', 'must be based in X', 'right to work in X', 'authorized to work in X', for any name of a country."""
+    x = "(?:" + "|".join(names) + ")"
+    ways = [rf"{x}\s+only", rf"must\s+(?:be\s+)?(?:based|located|reside|live)\s+in\s+(?:the\s+)?{x}", rf"right\s+to\s+work\s+(?:in|for)\s+(?:the\s+)?{x}", rf"authorized\s+to\s+work\s+in\s+(?:the\s+)?{x}"]
+    return r"\b(?:" + "|".join(ways) + r")\b"
+
+
+#: (pattern, country) of all strong wording of a country fence.
+COUNTRY_FENCES = C.COUNTRY_SIGNALS + [(fence_of(names), code) for names, code in C.FENCING_COUNTRIES]
+
+
+def with_scope_signals(df: DataFrame, column: str = "normalized_text") -> DataFrame:
+    """What a text says on scope: ``always_global``, ``global_high``, ``country_high`` (its countries in ``fence_countries``,
+    sorted), ``fence_regions``, ``medium`` (scopes, sorted) and ``negatives`` (reasons)."""
+    text = F.coalesce(column, F.lit(""))
+    any_of = lambda ps: text.rlike("(?i)" + "|".join(ps))
+    hits = lambda pairs, flag="(?i)": F.array_compact(F.array(*[F.when(text.rlike(flag + p), F.lit(n)) for p, n in pairs]))
+    fences = hits(COUNTRY_FENCES)
+    return (
+        df.withColumn("always_global", any_of(C.ALWAYS_GLOBAL))
+        .withColumn("global_high", any_of(C.GLOBAL_SIGNALS))
+        .withColumn("_fences", fences)
+        .withColumn("country_high", F.size("_fences") > 0)
+        .withColumn("fence_countries", F.array_sort(F.array_distinct(F.filter("_fences", lambda x: x != ""))))
+        .withColumn("fence_regions", F.array_sort(F.array_distinct(hits(C.REGION_SIGNALS))))
+        .withColumn("medium", F.array_sort(F.array_distinct(hits(C.MEDIUM_SIGNALS, ""))))
+        .withColumn("negatives", hits(C.NEGATIVE_SIGNALS, ""))
+        .drop("_fences")
+    )
+
+
 def infer_remote_scope(df: DataFrame) -> DataFrame:
     """First pass: workplace, then global, country and region wording, then the location."""
     text, place = F.lower(F.concat_ws(" ", "title", "normalized_text")), F.lower(F.coalesce("location_name", F.lit("")))

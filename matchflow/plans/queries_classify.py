@@ -34,6 +34,15 @@ BOTH = "lower(concat_ws(' ', title, normalized_text))"
 SPEC = f"({PLACE} <> '' AND NOT {has(PLACE, '(remote|worldwide|anywhere|global|distributed)')})"
 SCOPE = f"""CASE WHEN workplace_type IN ('on-site', 'hybrid') THEN 'onsite' WHEN {has(BOTH, cls.GLOBAL_HIGH)} OR {has(PLACE, '(worldwide|anywhere)')} THEN 'global' WHEN {has(BOTH, cls.COUNTRY_HIGH)} THEN 'country_fenced'
   WHEN {has(BOTH, cls.REGION_HIGH)} OR {has(PLACE, words(C.REGION_TERMS))} THEN 'region_fenced' WHEN {PLACE} = 'remote' THEN 'unknown' WHEN {has(PLACE, words(list(C.COUNTRIES)))} THEN 'country_fenced' WHEN {SPEC} THEN 'onsite' ELSE 'unknown' END"""
+said = lambda ps: f"regexp_matches(coalesce(normalized_text, ''), '(?i){'|'.join(ps)}')"
+hits = lambda pairs, flag="(?i)": "list_filter([" + ", ".join(f"CASE WHEN regexp_matches(coalesce(normalized_text, ''), '{flag}{p}') THEN '{n}' END" for p, n in pairs) + "], lambda x: x IS NOT NULL)"
+tidy = lambda items: f"array_to_string(list_sort(list_distinct({items})), ',')"
+query(
+    "cls9_scope_signals",
+    f"SELECT id, {said(C.ALWAYS_GLOBAL)} AS always_global, {said(C.GLOBAL_SIGNALS)} AS global_high, len({hits(cls.COUNTRY_FENCES)}) > 0 AS country_high, {tidy('list_filter(' + hits(cls.COUNTRY_FENCES) + ', lambda y: length(y) > 0)')} AS fence_countries, "
+    f"{tidy(hits(C.REGION_SIGNALS))} AS fence_regions, {tidy(hits(C.MEDIUM_SIGNALS, ''))} AS medium, array_to_string({hits(C.NEGATIVE_SIGNALS, '')}, ',') AS negatives FROM job",
+    lambda v: cls.with_scope_signals(v.job).select("id", "always_global", "global_high", "country_high", *[F.array_join(c, ",").alias(c) for c in ("fence_countries", "fence_regions", "medium", "negatives")]),
+)
 query("cls7_infer_scope", f"SELECT id, {SCOPE} AS inferred_scope FROM job", lambda v: cls.infer_remote_scope(v.job).select("id", "inferred_scope"))
 FIRED = "[" + ", ".join(f"CASE WHEN {has(TEXT, '(?i)' + p)} THEN '{n}' END" for n, p, _ in C.REGION_PROBES) + "]"
 WEIGHT = " + ".join(f"CASE WHEN {has(TEXT, '(?i)' + p)} THEN {w} ELSE 0 END" for _, p, w in C.REGION_PROBES)

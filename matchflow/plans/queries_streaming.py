@@ -36,7 +36,7 @@ query("str1_career_domains", "SELECT DISTINCT concat('careers.acme', CAST(c_cust
 def ingest(v) -> DataFrame:
     at = st.work_folder(v.spark)
     jobs = v.job.select("id", "title", "location_name", "normalized_text", "extracted_tags", "ats_source", "source_status", "is_natsec", "is_qa")
-    st.stream_ingest(landed(jobs, 6), lambda df: df.select("id").write.mode("append").parquet(f"{at}/jobs"), lambda df: df.write.mode("append").parquet(f"{at}/log"), at)
+    st.stream_ingest(landed(jobs, 6), lambda df, n: st.put(df.select("id"), f"{at}/jobs", n), lambda df, n: st.put(df, f"{at}/log", n), at)
     log = v.spark.read.parquet(f"{at}/log").agg(F.sum("processed").alias("processed"), F.sum("inserted").alias("inserted"), F.sum("off_title").alias("off_title"))
     return log.crossJoin(v.spark.read.parquet(f"{at}/jobs").agg(F.countDistinct("id").alias("stored")))  # one row each
 

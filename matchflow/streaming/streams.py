@@ -3,6 +3,7 @@ what is there (``availableNow``) or keep running. State and sinks live under the
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -19,8 +20,11 @@ from matchflow.sources.discovery import ats_of
 
 
 def work_folder(spark: SparkSession) -> str:
-    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="streams-")
-    return f"{shared}/stream-{uuid.uuid4().hex}"
+    """A folder of its own under the shared one that ``spark.checkpoint.dir`` names; only on one machine a temporary one."""
+    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if shared is None and not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return f"{shared or tempfile.gettempdir()}/{spark.sparkContext.applicationId}/stream-{uuid.uuid4().hex}"
 
 
 def drain(stream: DataFrame, mode: str = "append") -> DataFrame:
@@ -30,10 +34,15 @@ def drain(stream: DataFrame, mode: str = "append") -> DataFrame:
     if mode == "append":
         writer.format("parquet").option("path", f"{at}/out").start().awaitTermination()
     else:  # rows that replace earlier ones of their key carry the number of their batch
-        writer.foreachBatch(lambda df, n: df.withColumn("batch", F.lit(n)).write.mode("append").parquet(f"{at}/out")).start().awaitTermination()
+        writer.foreachBatch(lambda df, n: put(df, f"{at}/out", n)).start().awaitTermination()
     return stream.sparkSession.read.parquet(f"{at}/out")
 
 
+def put(df: DataFrame, folder: str, n: int) -> None:
+    """Batch ``n`` as the partition of its number: a batch that is run again after a failure replaces its own rows."""
+    df.write.mode("overwrite").parquet(f"{folder}/batch={n}")
+
+
 def stream_career_domains(messages: DataFrame, dns: DataFrame, delay: str = "1 hour") -> DataFrame:
     """Career sub-domains in certificate messages (ts, value: JSON), once each within the delay, with the system that
     their DNS record points to. ``dns`` is a static table of (name, value)."""
@@ -45,16 +54,17 @@ def stream_career_domains(messages: DataFrame, dns: DataFrame, delay: str = "1 h
     return once.join(known, "domain").select("domain", "ats", F.element_at(F.split("domain", "[.]"), -2).alias("company"))
 
 
-def stream_ingest(postings: DataFrame, sink: Callable[[DataFrame], None], counters: Callable[[DataFrame], None], at: str) -> None:
-    """Each batch of postings through the filters into ``sink``; one row of counters a batch into ``counters``."""
+def stream_ingest(postings: DataFrame, sink: Callable[[DataFrame, int], None], counters: Callable[[DataFrame, int], None], at: str) -> None:
+    """Each batch of postings through the filters into ``sink``; one row of counters a batch into ``counters``. Both take
+    the batch's number, by which they must replace what an earlier run of the batch has left."""
 
     def batch(df: DataFrame, n: int) -> None:
         flagged = filters.with_qa_flag(filters.with_natsec_flag(filters.with_country_fence(filters.with_is_active(df))))
         title = F.col("title").rlike(X.any_word(filters.C.ENGINEERING_TERMS, plural=True))
         clean = F.col("fence").isNull() & ~F.col("natsec") & ~F.col("qa") & F.col("active")
         tested = flagged.withColumn("engineering", title).withColumn("kept", title & clean).persist()
-        sink(tested.filter("kept").select(*df.columns))
-        counters(tested.agg(F.lit(n).alias("batch"), F.count(F.lit(1)).alias("processed"), F.count_if("kept").alias("inserted"), F.count_if(~F.col("engineering")).alias("off_title")))
+        sink(tested.filter("kept").select(*df.columns), n)
+        counters(tested.agg(F.count(F.lit(1)).alias("processed"), F.count_if("kept").alias("inserted"), F.count_if(~F.col("engineering")).alias("off_title")), n)
         tested.unpersist()
 
     postings.writeStream.foreachBatch(batch).option("checkpointLocation", f"{at}/state").trigger(availableNow=True).start().awaitTermination()
@@ -90,7 +100,7 @@ def stream_match(postings: DataFrame, personas: DataFrame, at: str) -> DataFrame
     """Each batch of new postings routed against the persona table; a posting's top k is complete within its batch."""
 
     def batch(df: DataFrame, n: int) -> None:
-        route_candidates(df, personas, strict=False).write.mode("append").parquet(f"{at}/out")
+        put(route_candidates(df, personas, strict=False), f"{at}/out", n)
 
     postings.writeStream.foreachBatch(batch).option("checkpointLocation", f"{at}/state").trigger(availableNow=True).start().awaitTermination()
     return postings.sparkSession.read.parquet(f"{at}/out")

@@ -150,3 +150,58 @@ def test_payloads_of_unknown_sources_are_counted(spark):
     raw = spark.createDataFrame([("nosuch", "[]"), (None, "[]"), ("arbeitnow", '{"data":[{"slug":"x","title":"Dev"}]}')], "source string, payload string")
     rows = payloads.read_board_feed(raw).select("source", "valid", "title").collect()
     assert sorted(map(tuple, rows), key=str) == [("arbeitnow", True, "Dev"), ("nosuch", False, None), (None, False, None)]
+
+
+def test_title_blockers_follow_family_tags_and_levels(spark):
+    js, php, dotnet, ai = ["react", "typescript"], ["php", "laravel"], ["csharp", "aspnet"], ["prompt-engineering", "react"]
+    rows = [
+        ("SharePoint Developer", js, [], "SharePoint", "platform"), ("SharePoint Developer", dotnet, [], None, None), ("Salesforce Engineer", dotnet, [], "Salesforce", "platform"),
+        ("Drupal Developer", js, [], "Drupal", "platform"), ("Drupal Developer", php, [], None, None), ("Shopify Developer", php, [], "Shopify", "platform"), ("Shopify Developer", [], [], None, None),
+        ("Senior C# Engineer", js, [], ".NET/C#", "platform"), ("Solutions Architect", js, [], "Architect", "role_family"), ("DevOps Engineer", [*js, "docker"], [], None, None),
+        ("DevOps Engineer", js, [], "DevOps/SRE/Platform", "role_family"), ("AI Engineer", ai, [], None, None), ("AI Engineer", js, [], "AI Engineer (application)", "role_family"),
+        ("Machine Learning Engineer", ai, [], "ML Engineer (research)", "role_family"), ("Tech Lead", js, ["Lead"], None, None), ("Tech Lead", js, ["staff"], "Engineering Manager", "role_family"),
+        ("React Developer", js, [], None, None), (None, js, [], None, None),
+    ]
+    df = spark.createDataFrame([(i, *r[:3]) for i, r in enumerate(rows)], "id long, title string, must_have_tags array<string>, seniority_levels array<string>")
+    got = [(r["blocker"], r["blocker_type"]) for r in scoring.title_blockers(df).orderBy("id").collect()]
+    assert got == [r[3:] for r in rows]
+
+
+def test_rejection_reasons_in_their_order(spark):
+    said = {
+        "scope_text_restriction: EU": "scope_text_restriction", "This is an account executive job": "non_development_role", "Management role": "management_role", "Must be in EMEA": "geo_region_fenced",
+        "Candidate must reside in Poland": "geo_country_fenced", "Wrong tech stack": "stack_mismatch", "Overqualified": "seniority_mismatch", "No visa": "contract_compliance", "Position filled": "stale", "Unclear": "other", "": "other",
+    }
+    df = spark.createDataFrame([(i, [t] if t else None) for i, t in enumerate(said)], "id long, llm_blockers array<string>")
+    assert column(scoring.with_rejection_reason(df), "reason") == list(said.values())
+
+
+def test_region_probes_fence_by_weight(spark):
+    texts = ["UTC-3 to UTC+3", "salary in EUR", "salary in EUR, core hours overlap with ours", "must be based in Europe", "overlap of 4 hours", "remote, worldwide", "eligible to work in the UK"]
+    df = classify.with_multi_probe(spark.createDataFrame(list(enumerate(texts)), "id long, normalized_text string"))
+    assert column(df, "region_fence") == [True, False, True, True, False, False, True]
+
+
+def test_scope_signals(spark):
+    texts = ["We are remote-first.", "Germany only, or must be based in the UK", "E-Verify", "Remote - LATAM", "fully remote; relocation offered", "Work from anywhere", "must be in Berlin, Germany", None]
+    got = classify.with_scope_signals(spark.createDataFrame(list(enumerate(texts)), "id long, normalized_text string")).orderBy("id").collect()
+    assert [r["global_high"] for r in got] == [True, False, False, False, False, True, False, False]
+    assert [r["fence_countries"] for r in got] == [[], ["DE", "GB"], ["US"], [], [], [], [], []]
+    assert [r["fence_regions"] for r in got] == [[], [], [], ["latam"], [], [], [], []]
+    assert (got[4]["medium"], got[4]["negatives"], got[6]["negatives"], got[5]["always_global"]) == (["global"], ["relocation_required"], ["city_level_restriction"], True)
+
+
+def test_tags_are_scanned_by_label(spark):
+    texts = ["C++, C and C# with Node.js", "Reactive streams, Going far", "React Native or React", "Spring Boot / Spring", "REST API, CI/CD; Ruby on Rails"]
+    want = [["c", "cpp", "csharp", "nodejs"], [], ["react", "react-native"], ["spring", "spring-boot"], ["ci-cd", "rails", "rest"]]
+    assert column(tags.scan_tags(spark.createDataFrame(list(enumerate(texts)), "id long, t string"), "t"), "tags") == want
+    raw = spark.createDataFrame([(0, ["Golang", "K8s", "React.js", "ruby-on-rails", "cobol", " PHP "])], "id long, t array<string>")
+    assert column(tags.normalize_tags(raw, "t"), "t") == [["go", "kubernetes", "php", "rails", "react"]]
+
+
+def test_actions_and_status_words(spark):
+    rows = [(0, "active", "2024-01-01"), (1, "rejected", None), (2, "normalization_failed", None), (3, "gone", None), (4, "active", None)]
+    df = spark.createDataFrame(rows, "id long, status string, normalized_at string")
+    assert column(filters.with_normalization_action(df), "action") == ["skip:processed", "skip:rejected", "normalize:retry", "skip:aged_out", "normalize:new"]
+    rows = [(0, "lever", "closed"), (1, "recruitee", " Closed"), (2, "recruitee", None), (3, "recruitee", "odd"), (4, "smartrecruiters", "on-hold")]
+    assert column(filters.with_is_active(spark.createDataFrame(rows, "id long, ats_source string, source_status string")), "active") == [True, False, True, True, False]
