@@ -21,7 +21,8 @@ def label_pattern() -> str:
     """Any label, longest first, from a word's beginning to where no word goes on (the end may be a sign, as in C++)."""
     ends = lambda label: r"\b" if re.match(r"\w", label[-1]) else r"\B"
     quoted = lambda label: re.sub(r"([.+#/&()])", r"[\1]", label)
-    return "|".join(rf"\b{quoted(label)}{ends(label)}" for label in sorted(LABEL_TAGS, key=lambda label: -len(label)))
+    labels = "|".join(quoted(label) + ends(label) for label in sorted(LABEL_TAGS, key=lambda label: -len(label)))
+    return rf"\b(?:{labels})"  # the boundary comes first: inside words no label is tried
 
 
 def tags_in(text: Column) -> Column:
