@@ -223,18 +223,134 @@ SOURCE_ORIGIN_SCORE = {
 }
 # fixed values: order of company tiers
 TIERS = ["active_hot", "active", "probation", "dormant", "dead"]
-# fixed values: regions that fence a posting, and US state codes
+# fixed values: regions that fence a posting, countries by the codes that texts are read for, and US state codes
 REGION_TERMS = [
-    "european union", "eu only", "europe only", "namer", "emea", "apac", "latam", "north america", "south america",
-    "central america", "americas", "middle east", "mena", "africa", "asia", "europe", "balkans", "nordics", "caribbean",
-    "benelux", "dach", "anz", "oceania",
+    "european union", "eu only", "europe only", "namer", "emea", "apac", "latam", "lac", "north america", "south america",
+    "central america", "americas", "middle east", "mena", "gcc", "africa", "asia", "europe", "balkans", "eastern europe",
+    "western europe", "nordics", "scandinavia", "caribbean", "benelux", "dach", "anz", "australasia", "oceania",
 ]
 COUNTRIES = {
-    "united states": "US", "usa": "US", "canada": "CA", "argentina": "AR", "brazil": "BR", "mexico": "MX",
-    "germany": "DE", "france": "FR", "spain": "ES", "portugal": "PT", "poland": "PL", "ukraine": "UA", "romania": "RO",
-    "ireland": "IE", "switzerland": "CH", "serbia": "RS", "india": "IN", "australia": "AU", "nigeria": "NG",
-    "united kingdom": "GB", "england": "GB", "israel": "IL", "japan": "JP",
+    "us": "US", "usa": "US", "u.s.": "US", "u.s": "US", "united states": "US", "america": "US", "uk": "GB", "u.k.": "GB",
+    "united kingdom": "GB", "england": "GB", "britain": "GB", "scotland": "GB", "wales": "GB", "ireland": "IE",
+    "republic of ireland": "IE", "germany": "DE", "france": "FR", "spain": "ES", "italy": "IT", "netherlands": "NL",
+    "the netherlands": "NL", "holland": "NL", "poland": "PL", "portugal": "PT", "belgium": "BE", "switzerland": "CH",
+    "austria": "AT", "sweden": "SE", "norway": "NO", "denmark": "DK", "finland": "FI", "iceland": "IS", "czechia": "CZ",
+    "czech republic": "CZ", "greece": "GR", "romania": "RO", "bulgaria": "BG", "hungary": "HU", "slovakia": "SK",
+    "slovenia": "SI", "croatia": "HR", "serbia": "RS", "estonia": "EE", "latvia": "LV", "lithuania": "LT",
+    "luxembourg": "LU", "malta": "MT", "cyprus": "CY", "canada": "CA", "australia": "AU", "new zealand": "NZ",
+    "india": "IN", "brazil": "BR", "mexico": "MX", "argentina": "AR", "colombia": "CO", "chile": "CL", "peru": "PE",
+    "uruguay": "UY", "ecuador": "EC", "costa rica": "CR", "panama": "PA", "guatemala": "GT", "singapore": "SG",
+    "japan": "JP", "south korea": "KR", "korea": "KR", "china": "CN", "philippines": "PH", "malaysia": "MY",
+    "indonesia": "ID", "vietnam": "VN", "thailand": "TH", "taiwan": "TW", "hong": "HK", "hong kong": "HK",
+    "israel": "IL", "turkey": "TR", "south africa": "ZA", "nigeria": "NG", "kenya": "KE", "egypt": "EG", "morocco": "MA",
+    "saudi": "SA", "saudi arabia": "SA", "united arab emirates": "AE", "uae": "AE", "dubai": "AE",
 }
+# fixed values: the countries that a region's name stands for in a text
+_TEXT_EU = "DE FR ES IT NL PL PT BE AT SE NO DK FI IE CZ GR RO BG HU SK SI HR EE LV LT".split()
+_TEXT_APAC = "AU NZ IN SG JP KR CN PH MY ID VN TH TW HK".split()
+_TEXT_LATAM = "BR MX AR CO CL PE".split()
+TEXT_REGIONS = {
+    "eu": _TEXT_EU, "europe": [*_TEXT_EU, "GB", "CH"], "european union": _TEXT_EU,
+    "emea": [*_TEXT_EU, *"GB CH ZA NG KE EG MA SA AE IL TR".split()], "apac": _TEXT_APAC, "asia pacific": _TEXT_APAC,
+    "latam": _TEXT_LATAM, "latin america": _TEXT_LATAM, "north america": ["US", "CA", "MX"],
+    "balkans": "RS HR SI BG RO HU GR AL MK BA ME".split(), "eastern europe": "PL CZ SK HU RO BG HR SI RS EE LV LT UA BY".split(),
+}
+# fixed values: the countries that a location can name, in the order in which one is looked for
+LOCATION_COUNTRIES = {
+    "RS": ["serbia", "rs"], "US": ["united states", "usa", "u.s.", "us", "america"], "CA": ["canada", "ca"],
+    "GB": ["uk", "united kingdom", "england", "scotland", "wales", "britain"], "AU": ["australia", "au"],
+    "DE": ["germany", "de"], "FR": ["france", "fr"], "IN": ["india", "in"], "BR": ["brazil", "br"], "AR": ["argentina", "ar"],
+    "MX": ["mexico", "mx"], "CO": ["colombia", "co"], "PT": ["portugal", "pt"], "IE": ["ireland", "ie"],
+    "RO": ["romania", "ro"], "UA": ["ukraine", "ua"], "CH": ["switzerland", "ch"], "MT": ["malta", "mt"],
+    "TW": ["taiwan", "tw"], "MY": ["malaysia", "my"], "PL": ["poland", "pl"], "ES": ["spain", "es"], "IT": ["italy", "it"],
+    "NL": ["netherlands", "nl"], "SE": ["sweden", "se"], "NO": ["norway", "no"], "DK": ["denmark", "dk"],
+    "FI": ["finland", "fi"], "CZ": ["czech republic", "czechia", "cz"], "AT": ["austria", "at"], "BE": ["belgium", "be"],
+    "HU": ["hungary", "hu"], "GR": ["greece", "gr"], "BG": ["bulgaria", "bg"], "HR": ["croatia", "hr"],
+    "SK": ["slovakia", "sk"], "SI": ["slovenia", "si"], "LT": ["lithuania", "lt"], "LV": ["latvia", "lv"],
+    "EE": ["estonia", "ee"], "IS": ["iceland", "is"], "LU": ["luxembourg", "lu"], "JP": ["japan", "jp"],
+    "KR": ["south korea", "korea", "kr"], "CN": ["china", "cn"], "SG": ["singapore", "sg"], "HK": ["hong kong", "hk"],
+    "TH": ["thailand", "th"], "VN": ["vietnam", "vn"], "ID": ["indonesia", "id"], "PH": ["philippines", "ph"],
+    "PK": ["pakistan", "pk"], "BD": ["bangladesh", "bd"], "TR": ["turkey", "türkiye", "tr"], "IL": ["israel", "il"],
+    "AE": ["united arab emirates", "uae", "ae"], "SA": ["saudi arabia", "sa"], "ZA": ["south africa", "za"],
+    "EG": ["egypt", "eg"], "MA": ["morocco", "ma"], "KE": ["kenya", "ke"], "NG": ["nigeria", "ng"], "CL": ["chile", "cl"],
+    "PE": ["peru", "pe"], "UY": ["uruguay", "uy"], "EC": ["ecuador", "ec"], "VE": ["venezuela", "ve"], "BO": ["bolivia", "bo"],
+    "PY": ["paraguay", "py"], "DO": ["dominican republic", "do"],
+}
+# fixed values: words of a location that is no place, and names of broad regions
+REMOTE_INDICATORS = ["remote", "global", "worldwide", "anywhere", "distributed", "work from", "any location", "any country"]
+BROAD_REGIONS = [
+    "european union", "eu", "emea", "apac", "latam", "north america", "south america", "europe", "asia", "africa",
+    "middle east", "balkans", "eastern europe", "western europe", "central europe", "nordics", "benelux", "dach",
+]
+# fixed values: the countries of the broad regions, those that regions share named once
+_EU = "AT BE BG HR CY CZ DK EE FI FR DE GR HU IE IT LV LT LU MT NL PL PT RO SK SI ES SE".split()
+_EUROPE = _EU + "GB IS LI NO CH RS AL BA MK ME XK UA MD BY RU".split()
+_NEAR_EAST = "TR IL AE SA QA KW BH OM JO LB IQ IR".split()
+_EAST_ASIA = "CN JP KR IN ID TH VN MY SG PH HK TW BD PK LK KH LA MM BN".split()
+_SOUTH_AMERICA = "BR AR CO CL PE VE EC BO PY UY".split()
+_WEST_BALKANS = "RS AL BA MK ME XK".split()
+REGION_MEMBERS = {
+    "european union": _EU, "eu": _EU, "apac": _EAST_ASIA + "AU NZ FJ PG SB VU NC PF GU MP TL".split(),
+    "emea": _EUROPE + _NEAR_EAST + "EG MA DZ TN LY GE AM AZ".split(),
+    "latam": _SOUTH_AMERICA + "MX CR PA DO GT HN SV NI CU PR".split(), "north america": "US CA MX GL".split(),
+    "south america": _SOUTH_AMERICA + ["GY", "SR"], "europe": _EUROPE, "asia": _EAST_ASIA + "KZ UZ TM KG TJ AF MN NP BT".split(),
+    "africa": "NG ZA EG MA DZ TN LY KE ET GH UG TZ CM CI SN ML BF GN BJ TG RW BI MZ AO ZM ZW BW NA LS SZ MG MR SL LR TD CF CG CD SO SS ER DJ KM SC ST GQ GA".split(),
+    "middle east": _NEAR_EAST + "SY YE PS".split(), "balkans": _WEST_BALKANS + "HR SI RO BG GR".split(),
+    "eastern europe": "PL CZ SK HU RO BG".split() + _WEST_BALKANS + "UA MD BY RU LT LV EE HR SI".split(),
+    "western europe": "AT BE FR DE IE LU NL CH GB LI".split(), "central europe": "AT CZ DE HU PL SK SI CH LI".split(),
+    "nordics": "DK FI IS NO SE".split(), "benelux": "BE NL LU".split(), "dach": "DE AT CH".split(),
+}
+# fixed values: regions of a title's end: pattern, region; and those that suit an applicant of a country
+TITLE_REGIONS = [
+    (r"-?\s*(latam|latin\s*america)\b", "Latam"), (r"-?\s*(apac|asia[- ]?pacific)\b", "APAC"),
+    (r"-?\s*(emea|europe[- ]?middle[- ]?east[- ]?africa)\b", "EMEA"), (r"-?\s*(balkans|eastern\s*europe)\b", "Eastern Europe"),
+    (r"-?\s*india\b", "India"), (r"-?\s*(us[- ]?only|united\s*states[- ]?only)\b", "US Only"), (r"-?\s*(canada[- ]?only)\b", "Canada Only"),
+]
+FRIENDLY_REGIONS = {
+    "RS": ["emea", "europe", "eu", "european union", "balkans", "eastern europe", "global", "worldwide", "remote"],
+    "US": ["united states", "us only", "north america", "global", "worldwide", "remote"],
+}
+# fixed values: compliance by which an applicant abroad can work for US employers
+US_COMPLIANCE = ["w8ben", "ic_global"]
+# fixed values: demands of a work permit or residence, and wording that welcomes contractors from anywhere
+WORK_AUTH_FENCES = [
+    r"\bmust\s+be\s+(?:authorized|eligible)\s+to\s+work\s+(?:in|within)\b", r"\bmust\s+reside\s+in\b",
+    r"\beligible\s+to\s+work\s+in\b", r"\bauthorized\s+to\s+work\s+in\b",
+    r"\bmust\s+have\s+(?:work\s+)?authorization\s+(?:for|in)\b", r"\brequires\s+(?:work\s+)?authorization\s+(?:for|in)\b",
+    r"\bonly\s+(?:accepting|considering)\s+(?:candidates|applicants)\s+(?:from|in|located\s+in)\b",
+    r"\bcandidates\s+must\s+be\s+(?:based|located)\s+in\b",
+]
+CONTRACTOR_WELCOMES = [
+    r"\bwork\s+from\s+anywhere\b", r"\bglobal\s+remote\b", r"\bremote\s*[-–]\s*global\b", r"\bdistributed\s+team\b",
+    r"\bworldwide\s+remote\b", r"\bany\s+location\b", r"\bany\s+country\b", r"\bwork\s+from\s+any\s+country\b",
+    r"\bcontractor\s+friendly\b", r"\bopen\s+to\s+(?:remote|global)\s+(?:contractors|candidates)\b", r"\bw-?8ben\b",
+    r"\bic_global\b", r"\bindependent\s+contractor\b",
+]
+# fixed values: titles and texts of senior work
+SENIOR_TITLE = r"senior|sde\s*2|sde\s*ii|lead|staff|principal"
+SENIOR_TEXT = r"senior\s*(ownership|responsibility|level)\s*expected"
+# fixed values: countries that fence a title or location
+FENCED_COUNTRIES = [
+    "argentina", "brazil", "colombia", "mexico", "canada", "chile", "peru", "uruguay", "ecuador", "costa rica", "panama",
+    "guatemala", "germany", "france", "spain", "italy", "portugal", "netherlands", "holland", "poland", "ukraine", "romania",
+    "ireland", "sweden", "norway", "denmark", "finland", "iceland", "belgium", "austria", "switzerland", "czech republic",
+    "czechia", "greece", "bulgaria", "hungary", "slovakia", "slovenia", "croatia", "serbia", "estonia", "latvia", "lithuania",
+    "luxembourg", "malta", "cyprus", "india", "pakistan", "bangladesh", "sri lanka", "nepal", "philippines", "vietnam",
+    "indonesia", "malaysia", "singapore", "thailand", "taiwan", "hong kong", "japan", "south korea", "korea", "china",
+    "australia", "new zealand", "south africa", "nigeria", "kenya", "egypt", "morocco", "ghana", "israel", "uae", "dubai",
+    "saudi arabia", "turkey", "qatar", "bahrain", "kuwait", "oman", "jordan", "lebanon", "united kingdom", "uk", "england",
+    "scotland", "wales",
+]
+NAMED_COUNTRIES = ["united states", "usa", "u.s.", "u.s.a.", "america", "dominican republic", "puerto rico", "monaco"] + FENCED_COUNTRIES
+FENCING_REGIONS = (
+    r"\b(european union|namer|emea|apac|latam|north america|south america|central america|americas|middle east|mena|gcc|balkans|"
+    r"eastern europe|western europe|nordics|scandinavia|dach|benelux|anz|australasia|oceania)\b"
+)
+FENCES = [
+    r"\b(u\.?s\.?a?\.?|united states)\s*[-/]?\s*remote\b", r"\bremote\s*[\[(]\s*(u\.?s\.?a?\.?|united states|usa)\s*[\])]",
+    r"\bremote\s*[,;:-]\s*(u\.?s\.?a?\.?|united states|usa)\b", r"\bremote\s+within\s+",
+    r"\bremote\s*[;,-]\s*(" + "|".join(FENCED_COUNTRIES) + r")\b", r"\bremote\s*,\s*([a-z]{2})\b", FENCING_REGIONS,
+]
 US_STATES = (
     "al ak az ar ca co ct de fl ga hi id il in ia ks ky la me md ma mi mn ms mo mt ne nv nh nj nm ny nc nd oh ok or pa ri "
     "sc sd tn tx ut vt va wa wv wi wy dc"
@@ -344,3 +460,27 @@ NEGATIVE_SIGNALS = [
     (r"(?i)\brelocation\s+(?:required|offered|provided|assistance)\b", "relocation_required"), (r"(?i)\b(?:hybrid|on[- ]site|in[- ]office)\b", "hybrid_onsite"),
     (r"(?i)\blocal\s+candidates?\s+(?:only|preferred)\b", "local_candidates_only"), (r"\bmust\s+(?:be\s+)?(?:in|based\s+in)\s+[A-Z][a-z]+,\s+[A-Z][a-z]+\b", "city_level_restriction"),
 ]
+# fixed values: words of national security: those that suffice, those that need one of a clearance, and those
+NATSEC_WORDS = [
+    "security clearance", "top secret", "ts/sci", "ts/sci clearance", "secret clearance", "confidential clearance",
+    "public trust clearance", "clearance required", "must have clearance", "active clearance", "eligible for clearance",
+    "clearance eligibility", "us citizen", "u.s. citizen", "united states citizen", "us citizenship", "u.s. citizenship",
+    "must be a us citizen", "american citizen", "national of the united states", "itar", "export control",
+    "export controlled", "ear-controlled", "itar-controlled", "itars", "dod", "department of defense", "dod contract",
+    "defense contract", "government contract", "federal contract", "federal contractor", "national security",
+    "homeland security", "law enforcement", "intelligence community", "central intelligence", "cia", "fbi", "nsa", "dhs",
+    "space force", "air force", "navy", "army", "marines", "pentagon", "fort ", "naval ", "air force base", "public trust",
+    "position of public trust", "background investigation", "polygraph", "counterintelligence",
+    "security clearance required", "must be able to obtain clearance", "us person", "u.s. person", "us person status",
+]
+NATSEC_HINTS = [
+    "e-verify", "everify", "e verify", "background check required", "background investigation", "public trust",
+    "position of public trust", "polygraph", "counterintelligence",
+]
+CLEARANCE_WORDS = [
+    "security clearance", "top secret", "ts/sci", "secret clearance", "confidential clearance", "clearance required",
+    "active clearance", "eligible for clearance", "clearance eligibility", "must be able to obtain clearance",
+    "security clearance required", "itar", "export control", "export controlled", "ear-controlled", "itar-controlled",
+    "department of defense", "defense contract", "national security", "homeland security", "intelligence community",
+    "counterintelligence",
+]

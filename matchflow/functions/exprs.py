@@ -27,6 +27,26 @@ def no_strings() -> Column:
     return F.array().cast("array<string>")
 
 
+def whole_terms(terms: list[str]) -> str:
+    """A pattern for any of the terms between word boundaries, in either letter case."""
+    return "(?i)" + "|".join(rf"\b{re.escape(t)}\b" for t in terms)
+
+
+def values_named(text: Column, value_of: dict[str, str]) -> Column:
+    """Values of the names that a lower-case text holds between characters that aren't a-z. Names inside other names count,
+    as they are looked for at every position."""
+    names = "|".join(re.escape(n) for n in sorted(value_of, key=lambda n: (-len(n), n)))
+    found = F.regexp_extract_all(text, F.lit(f"(?<![a-z])(?=({names})(?![a-z]))"), F.lit(1))
+    values = F.create_map(*[F.lit(x) for kv in value_of.items() for x in kv])
+    return F.array_distinct(F.transform(found, lambda n: values[n]))
+
+
+def countries_named(text: Column) -> Column:
+    """Codes of the countries that a lower-case location names, in the table's order."""
+    codes = {name: code for code, names in C.LOCATION_COUNTRIES.items() for name in names}
+    return F.array_intersect(strings(list(C.LOCATION_COUNTRIES)), values_named(text, codes))
+
+
 def cosine_distance(a: Column, b: Column) -> Column:
     """1 - cosine in double precision; 1 for null, empty, zero or unequal vectors."""
     total = lambda v: F.aggregate(v, F.lit(0.0), lambda s, x: s + x)

@@ -28,11 +28,16 @@ def with_employment_type(df: DataFrame) -> DataFrame:
     return df.withColumn("employment", out)
 
 
+def title_region() -> Column:
+    """The region that the title names after a dash, first of the table; null without one."""
+    tail, out = F.regexp_extract("title", r"\s[-–—]\s+(.+)$", 1), F
+    for pattern, region in C.TITLE_REGIONS:
+        out = out.when(tail.rlike(f"(?i){pattern}"), region)
+    return out.otherwise(None)
+
+
 def with_title_region(df: DataFrame) -> DataFrame:
-    """The region named after the title's last ' - '."""
-    tail = F.lower(F.regexp_extract("title", r"^.* - ([^-]+)$", 1))
-    out = F.when(tail.rlike(r"^(us|usa|united states)$"), "US").when(tail.rlike(r"^(emea|europe|eu)$"), "EMEA").when(tail.rlike(r"^apac$"), "APAC").when(tail.rlike(r"^latam$"), "LATAM").when(tail.rlike(r"^(uk|united kingdom)$"), "UK").when(tail.rlike("^canada$"), "CA").when(tail.rlike("(global|worldwide)"), "GLOBAL")
-    return df.withColumn("title_region", out)
+    return df.withColumn("title_region", title_region())
 
 
 def with_experience_range(df: DataFrame) -> DataFrame:
@@ -137,10 +142,11 @@ def classify_remote_scope(df: DataFrame) -> DataFrame:
 
 
 def extract_countries(df: DataFrame, column: str) -> DataFrame:
-    """``countries``: codes of the countries named in a text, sorted."""
+    """``countries``: codes of the countries that a text names, or that belong to a region it names, sorted."""
     text = F.lower(F.coalesce(column, F.lit("")))
-    hits = F.array_compact(F.array(*[F.when(text.rlike(X.any_word([n])), F.lit(c)) for n, c in C.COUNTRIES.items()]))
-    return df.withColumn("countries", F.array_sort(F.array_distinct(hits)))
+    members = X.values_named(text, {name: ",".join(codes) for name, codes in C.TEXT_REGIONS.items()})
+    inside = F.flatten(F.transform(members, lambda x: F.split(x, ",")))
+    return df.withColumn("countries", F.array_sort(F.array_union(X.values_named(text, C.COUNTRIES), inside)))
 
 
 def strip_hq(df: DataFrame, hq: str) -> DataFrame:
@@ -173,8 +179,10 @@ def with_title_seniority(df: DataFrame) -> DataFrame:
 
 
 def with_excluded_country(df: DataFrame, excluded: list[str]) -> DataFrame:
-    """``excluded``: the first excluded country that the location or else the text names."""
-    bad = X.strings(excluded)
-    here = extract_countries(df, "location_name").withColumnRenamed("countries", "_l")
-    both = extract_countries(here, "normalized_text").withColumnRenamed("countries", "_t")
-    return both.withColumn("excluded", F.coalesce(F.get(F.array_intersect("_l", bad), 0), F.get(F.array_intersect("_t", bad), 0))).drop("_l", "_t")
+    """``excluded``: the first listed country that is excluded, else the location's country if it is, else the first excluded
+    one that the location names."""
+    bad, place = X.strings(excluded), F.lower(F.coalesce("location_name", F.lit("")))
+    staged = df.withColumn("_named", X.countries_named(place))
+    listed = F.filter(F.transform("location_countries", F.upper), lambda c: c.isin(excluded))
+    first = F.get("_named", 0)
+    return staged.withColumn("excluded", F.coalesce(F.get(listed, 0), F.when(first.isin(excluded), first), F.get(F.array_intersect(bad, "_named"), 0))).drop("_named")

@@ -17,37 +17,42 @@ def filter_webdev_titles(df: DataFrame) -> DataFrame:
     return df.filter(F.col("title").rlike(X.any_part(C.WEBDEV_TERMS)))
 
 
-def with_country_fence(df: DataFrame) -> DataFrame:
-    """``fence``: the first kind of fence that title or location shows, in fixed order; null if none does."""
-    place = F.lower(F.coalesce("location_name", F.lit("")))
-    state = F.upper(F.regexp_extract(place, r",\s*([a-z]{2})\s*$", 1))
-    return df.withColumn(
-        "fence",
-        F.when(F.col("title").rlike(r"(?i)(^|[^a-z])(us|usa|united states)\s*[-/]?\s*remote([^a-z]|$)"), "title_fence")
-        .when(place.rlike(X.any_word(C.REGION_TERMS)), "location_region")
-        .when(F.lower(state).isin(C.US_STATES), "location_us_state")
-        .when(place.rlike(X.any_word(list(C.COUNTRIES) + ["us", "uk"])), "location_country")
-        .when(is_specific(place), "location_city"),
+def country_fence() -> Column:
+    """The first kind of fence that title or location shows, in fixed order; null if none does."""
+    place, fenced = F.lower(F.trim(F.coalesce("location_name", F.lit("")))), "(?i)" + "|".join(C.FENCES)
+    states = lambda p: F.exists(F.regexp_extract_all(place, F.lit(p), F.lit(1)), lambda x: x.isin(C.US_STATES))
+    by_wording = F.when(place.rlike(C.FENCING_REGIONS), "location_region").when(states(r"remote\s*,\s*([a-z]{2})\b"), "location_us_state").otherwise("location_country")
+    nowhere = place.rlike("remote|anywhere|worldwide|global|distributed|any location")
+    return (
+        F.when(F.col("title").rlike(fenced), "title_fence")
+        .when(place == "", None)
+        .when(place.rlike(fenced), by_wording)
+        .when(place.rlike(X.any_part(C.REGION_TERMS)), "location_region")
+        .when(states(r",\s*([a-z]{2})\b"), "location_us_state")
+        .when(place.rlike(X.any_part(C.NAMED_COUNTRIES)) | (place.rlike(r"\bus\b") & (F.length(place) <= 5)), "location_country")
+        .when(~nowhere & (place.contains(";") | place.rlike(r"^[a-z].*,\s*[a-z]") | (F.length(place) < 50)), "location_specific_city")
     )
 
 
+def with_country_fence(df: DataFrame) -> DataFrame:
+    return df.withColumn("fence", country_fence())
+
+
 def is_specific(place: Column) -> Column:
-    """A place that is neither empty nor one of the words for anywhere."""
-    return (place != "") & ~place.rlike(r"(remote|worldwide|anywhere|global|distributed)")
+    """A lower-case place that is neither empty nor has a word for anywhere or the name of a broad region in it."""
+    return (place != "") & ~place.rlike(X.any_part(C.REMOTE_INDICATORS + C.BROAD_REGIONS))
 
 
 def with_fence_flag(df: DataFrame) -> DataFrame:
-    """The stored flag, or where it is unknown what title and text say."""
-    text = F.concat_ws(" ", "title", "normalized_text")
-    said = text.rlike(r"(?i)(e-verify|authorized to work in the (us|united states)|within canada only|europe only)")
-    return df.withColumn("fenced", F.coalesce("is_fenced", said, F.lit(False)))
+    """The stored flag, or where it is unknown what title, location (any kind of fence) and text say."""
+    said = F.concat_ws(" ", "title", "normalized_text").rlike(r"(?i)(e-verify|authorized to work in the (us|united states)|within canada only|europe only)")
+    return df.withColumn("fenced", F.coalesce("is_fenced", country_fence().isNotNull() | X.true_(said)))
 
 
 def with_natsec_flag(df: DataFrame) -> DataFrame:
-    """Hard keywords in title or the text's start; weak ones count only near talk of a clearance."""
+    """Hard words in title or the text's start (the rule reads 3,000 characters); hints count only with talk of a clearance."""
     text = F.concat_ws(" ", "title", F.substring("normalized_text", 1, 3000))
-    hard = text.rlike(r"(?i)(ts/sci|polygraph|top secret|security clearance)")
-    weak = text.rlike(r"(?i)(^|[^a-z])(dod|defense|federal)([^a-z]|$)") & text.rlike(r"(?i)clearance")
+    hard, weak = text.rlike(X.whole_terms(C.NATSEC_WORDS)), text.rlike(X.whole_terms(C.NATSEC_HINTS)) & text.rlike(X.whole_terms(C.CLEARANCE_WORDS))
     return df.withColumn("natsec", F.coalesce("is_natsec", hard | weak, F.lit(False)))
 
 

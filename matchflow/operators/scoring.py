@@ -7,8 +7,11 @@ from pyspark.sql import functions as F
 
 from matchflow.functions import constants as C
 from matchflow.functions import exprs as X
+from matchflow.operators.classify import title_region
+from matchflow.operators.filters import is_specific
 from matchflow.operators.tags import main_family
 
+
 def clamp(x: Column, low: float, high: float) -> Column:
     return F.greatest(F.lit(low), F.least(F.lit(high), x))
 
@@ -125,28 +128,83 @@ def title_blockers(pairs: DataFrame) -> DataFrame:
     return staged.withColumn("blocker", F.coalesce("_platform", "_role")).withColumn("blocker_type", kind).drop("_tags", "_family", "_platform", "_role")
 
 
-def hard_blockers(pairs: DataFrame) -> DataFrame:
-    """``blockers``: every hard reason why an applicant can't have a posting, in order; ``passes``: there is none."""
-    usd = X.to_usd(F.col("compensation_max"), F.col("compensation_currency"))
+def with_places(jobs: DataFrame) -> DataFrame:
+    """What the hard checks read of a posting alone, so that it is worked out before postings meet applicants: ``_named``
+    (countries of the location), ``_tokens`` (its words), ``_listed`` (countries listed, by code or name), ``_listing`` and
+    ``_text`` (there are any), ``_specific``, ``_region`` (first broad region), ``_tag`` (region of the title), ``_fence``
+    (demand of a work permit), ``_welcome`` (contractors from anywhere), ``_senior`` and ``_usd`` (pay)."""
+    place, text = F.lower(F.coalesce("location_name", F.lit(""))), F.coalesce("normalized_text", F.lit(""))
+    listed = F.coalesce("location_countries", X.no_strings())
+    said = lambda patterns: text.rlike("(?i)" + "|".join(patterns))
+    senior = F.coalesce("title", F.lit("")).rlike(f"(?i){C.SENIOR_TITLE}") | text.rlike(f"(?i){C.SENIOR_TEXT}")
+    return jobs.withColumns(
+        {
+            "_named": X.countries_named(place),
+            "_tokens": F.split(F.upper(place), "[^A-Z]+"),
+            "_listed": F.array_union(F.transform(listed, F.upper), X.countries_named(F.lower(F.array_join(listed, " ; ")))),
+            "_listing": F.size(listed) > 0,
+            "_text": text != "",
+            "_specific": is_specific(place),
+            "_region": F.coalesce(*[F.when(place.contains(r), r) for r in C.BROAD_REGIONS]),
+            "_tag": title_region(),
+            "_fence": said(C.WORK_AUTH_FENCES),
+            "_welcome": said(C.CONTRACTOR_WELCOMES),
+            "_senior": senior,
+            "_usd": X.to_usd(F.coalesce("compensation_max", "compensation_min"), F.col("compensation_currency")),
+        }
+    )
+
+
+def hard_blockers(pairs: DataFrame, excluded: list[str] | None = None) -> DataFrame:
+    """``blockers``: every hard reason why an applicant can't have a posting, in the order of the nine checks; ``passes``: there
+    is none; ``pattern``: the first, or the title's region where that is among them.
+
+    Unknown countries, locations, pay or years block nothing. A listed country counts as the applicant's if it is its code
+    or has its name. ``pairs`` may come with the columns of ``with_places``."""
+    df = pairs if "_named" in pairs.columns else with_places(pairs)
+    df = df.withColumn("_own", F.upper("country")).withColumn("_us_ok", X.true_(F.arrays_overlap("preferred_compliance", X.strings(C.US_COMPLIANCE))))
+    own, place, scope, work = F.col("_own"), F.coalesce("location_name", F.lit("")), F.coalesce("remote_scope", F.lit("")), F.col("workplace_type")
+    known = own.isin(list(C.LOCATION_COUNTRIES))
+    here = F.array_contains("_named", own) | (~known & F.array_contains("_tokens", own))
+    allowed, first, us_ok = F.array_contains("_listed", own), F.get("_named", 0), F.col("_us_ok")
+    open_scope, listing, text = scope.isin("unknown", "undetermined"), F.col("_listing"), F.col("_text")
+    remote = F.coalesce(work, F.lit("remote")) == "remote"
+    friendly = F.lit(False)
+    for code, regions in C.FRIENDLY_REGIONS.items():
+        friendly = friendly | ((own == code) & F.col("_tag").rlike(X.any_part(regions)))
+    bad = F.lit(False)
+    for code in excluded or []:
+        bad = bad | F.array_contains("_listed", code) | F.array_contains("_named", code) | (F.lit(code not in C.LOCATION_COUNTRIES) & F.array_contains("_tokens", code))
+    permit = listing & remote & ~scope.isin("onsite", "global") & ~allowed & text & ~F.col("_welcome")
+    by_list = F.when(listing & ~text, ~allowed).when(~listing & F.lower(place).contains("remote"), ((F.size(F.filter(F.split(place, "[,/]"), lambda x: F.trim(x) != "")) >= 3) & ~here) | ((first != own) & ~((first == "US") & us_ok)))
+    elsewhere = (open_scope & F.col("_specific")) | ((scope == "global") & first.isNotNull() & (~listing | ~text))
+    members = F.create_map(*[x for r, codes in C.REGION_MEMBERS.items() for x in (F.lit(r), X.strings(codes))])
+    onsite = (work == "on-site") | (scope == "onsite")
+    at_place = F.when(X.true_(onsite), "explicit_on_site").when((work == "hybrid") & (scope != "global"), "hybrid_foreign_location").when(
+        work.isNull() & open_scope & F.col("_specific"), "null_workplace_specific_foreign_location"
+    )
+    years, most = F.col("years_of_experience"), F.col("experience_max_years")
     checks = [
-        ("national_security", X.true_(F.col("is_natsec"))),
-        ("fenced", F.col("remote_scope").isin("country_fenced", "region_fenced") & ~X.true_((F.col("country") == "US") & F.lower(F.coalesce("location_name", F.lit(""))).contains("united states"))),
-        ("onsite", F.col("remote_scope") == "onsite"),
-        ("qa_role", X.true_(F.col("is_qa"))),
-        ("low_pay", usd.isNotNull() & (usd < F.col("expected_comp_min"))),
-        ("experience", F.col("experience_min_years") > F.col("years_of_experience") + 2),
-        ("workplace", (F.col("workplace_type") == "on-site") & F.array_contains("assignment_types", "remote")),
-        ("internship", F.coalesce(F.col("employment_type") == "Internship", F.lit(False)) & (F.col("years_of_experience") > 2)),
-        ("no_country", F.col("country").isNull() & (F.col("remote_scope") != "global")),
+        F.when(bad, "excluded_country"),
+        F.when(F.col("_tag").isNotNull() & own.isNotNull() & ~friendly, "title_region_tag"),
+        F.when(permit, F.when(F.col("_fence"), "work_auth_fencing").when(~F.array_contains("_listed", "US"), "country_fenced_non_us")),
+        F.when(own.isNotNull() & work.isin("remote", "hybrid") & ~scope.isin("global", "region_fenced", "undetermined", "unknown") & by_list, "location_country_list"),
+        F.when((work == "remote") & (place != "") & elsewhere & ~here & ~(F.array_contains("_named", "US") & us_ok), "remote_specific_foreign_location"),
+        F.when((place != "") & ~here, at_place),
+        F.when(remote & (scope != "global") & ~F.array_contains(members[F.col("_region")], own) & ~((F.col("_region") == "north america") & us_ok), "region_fenced_location"),
+        F.when(F.col("_usd") < F.col("expected_comp_min") * 0.7, "compensation_mismatch"),
+        F.when(F.col("_senior") & (most < 7) & (years > 10), "inverted_experience_band").when(years > most + 5, "experience_gap"),
     ]
-    blockers = F.array_compact(F.array(*[F.when(F.coalesce(c, F.lit(False)), F.lit(n)) for n, c in checks]))
-    return pairs.withColumn("blockers", blockers).withColumn("passes", F.size("blockers") == 0)
+    staged = df.withColumn("blockers", F.array_compact(F.array(*checks)))
+    tag = F.array_contains("blockers", "title_region_tag")
+    out = staged.withColumn("passes", F.size("blockers") == 0).withColumn("pattern", F.when(tag, "title_region_tag").otherwise(F.get("blockers", 0)))
+    return out.drop(*[c for c in out.columns if c.startswith("_")])
 
 
 def posting_rejections(pairs: DataFrame) -> DataFrame:
-    """A posting is rejected if no applicant passes, for the reason that the first applicant fails."""
-    by = pairs.groupBy("job_id").agg(F.bool_or("passes").alias("any_pass"), F.min_by(F.get("blockers", 0), "user_id").alias("pattern"))
-    return by.select("job_id", (~F.col("any_pass")).alias("rejected"), F.when(~F.col("any_pass"), F.col("pattern")).alias("pattern"))
+    """A posting is rejected if no applicant passes, for the pattern of the first applicant."""
+    by = pairs.groupBy("job_id").agg(F.bool_or("passes").alias("any_pass"), F.min_by("pattern", "user_id").alias("first"))
+    return by.select("job_id", (~F.col("any_pass")).alias("rejected"), F.when(~F.col("any_pass"), F.col("first")).alias("pattern"))
 
 
 def with_rejection_reason(df: DataFrame) -> DataFrame:

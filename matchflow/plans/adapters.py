@@ -49,6 +49,8 @@ VIEWS: dict[str, tuple[str, dict[str, str]]] = {
             "compensation_min": "CASE WHEN o_orderkey % 5 = 4 THEN NULL ELSE o_totalprice END", "compensation_max": "o_totalprice * 1.25",
             "compensation_currency": "CASE o_orderkey % 6 WHEN 0 THEN 'EUR' WHEN 1 THEN 'PLN' WHEN 2 THEN 'XXX' WHEN 3 THEN 'GBP' WHEN 4 THEN 'USD' END",
             "experience_min_years": "CASE WHEN o_orderkey % 8 = 0 THEN NULL ELSE CAST(o_orderkey % 12 AS INT) END",
+            "experience_max_years": "CASE WHEN o_orderkey % 3 = 0 THEN NULL ELSE CAST(o_orderkey % 10 AS INT) + 2 END",
+            "location_countries": "CASE o_orderkey % 8 WHEN 1 THEN ['US', 'CA'] WHEN 3 THEN ['DE'] WHEN 5 THEN ['Serbia', 'gb'] END",
             "is_fenced": "CASE o_orderkey % 9 WHEN 0 THEN true WHEN 1 THEN NULL ELSE false END", "is_natsec": "CASE o_orderkey % 23 WHEN 0 THEN true WHEN 1 THEN NULL ELSE false END",
             "is_qa": "CASE o_orderkey % 13 WHEN 0 THEN true WHEN 1 THEN NULL ELSE false END",
             "detected_at": "o_orderdate", "published_at": "CASE WHEN o_orderkey % 6 = 0 THEN NULL ELSE o_orderdate - INTERVAL 9 DAY END",
@@ -71,6 +73,7 @@ VIEWS: dict[str, tuple[str, dict[str, str]]] = {
         {
             "user_id": "s_suppkey", "country": "CASE s_suppkey % 5 WHEN 0 THEN NULL WHEN 1 THEN 'US' WHEN 2 THEN 'DE' WHEN 3 THEN 'CA' ELSE 'RS' END",
             "assignment_types": "CASE s_suppkey % 3 WHEN 0 THEN NULL WHEN 1 THEN ['remote'] ELSE ['hybrid', 'remote_local'] END",
+            "preferred_compliance": "CASE s_suppkey % 4 WHEN 0 THEN ['w8ben'] WHEN 1 THEN ['w2', 'ic_global'] WHEN 2 THEN [] END",
             "expected_comp_min": "abs(s_acctbal) * 12", "years_of_experience": "CAST(s_suppkey % 15 AS INT)",
         },
     ),

@@ -18,21 +18,20 @@ def normalize_job(jobs: DataFrame) -> DataFrame:
 
 
 def applicant_profiles(applicants: DataFrame) -> DataFrame:
-    """One applicant for all who fare alike in the hard checks: by country (US, another, none), remote wish and years, the
-    one who asks for the least pay (null: asks for none). The number of profiles does not grow with the applicants."""
-    country = F.when(F.col("country") == "US", "US").when(F.col("country").isNotNull(), "other")
-    remote = F.coalesce(F.array_contains("assignment_types", "remote"), F.lit(False))
-    by = applicants.groupBy(country.alias("country"), remote.alias("remote"), "years_of_experience").agg(
+    """One applicant for all who fare alike in the hard checks: by country, compliance for US employers and whole years, the one
+    who asks for the least pay (null: asks for none). The number of profiles does not grow with the applicants."""
+    us_ok = X.true_(F.arrays_overlap("preferred_compliance", X.strings(C.US_COMPLIANCE)))
+    by = applicants.groupBy(F.upper("country").alias("country"), us_ok.alias("us_ok"), "years_of_experience").agg(
         F.min("user_id").alias("user_id"), F.min(F.coalesce("expected_comp_min", F.lit(float("-inf")))).alias("expected_comp_min")
     )
-    return by.withColumn("assignment_types", F.when(F.col("remote"), F.array(F.lit("remote")))).drop("remote")
+    return by.withColumn("preferred_compliance", F.when(F.col("us_ok"), X.strings(C.US_COMPLIANCE))).drop("us_ok")
 
 
 def reprocess(jobs: DataFrame, personas: DataFrame, applicants: DataFrame, matches: DataFrame, n: int = 1000) -> DataFrame:
     """Active postings without a match (the first ``n``) that some applicant passes for, routed again. All applicants are
     checked, by profile; both sides of the cross join are bounded (``n`` postings, the profiles)."""
     due = jobs.join(joins.reprocess_candidates(jobs, personas, matches, n), "id", "left_semi")
-    pairs = due.withColumnRenamed("id", "job_id").crossJoin(F.broadcast(applicant_profiles(applicants)))
+    pairs = scoring.with_places(due).withColumnRenamed("id", "job_id").crossJoin(F.broadcast(applicant_profiles(applicants)))
     fit = scoring.hard_blockers(pairs).filter("passes").select(F.col("job_id").alias("id")).distinct()
     return routing.route_candidates(due.join(fit, "id", "left_semi"), personas)
 

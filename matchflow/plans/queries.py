@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -52,25 +53,30 @@ def arr(items: list[str]) -> str:
 
 
 IDS = lambda df: df.select("id")
-SPECIFIC = "(lower(coalesce(location_name, '')) <> '' AND NOT regexp_matches(lower(coalesce(location_name, '')), '(remote|worldwide|anywhere|global|distributed)'))"
+NOWHERE = parts(C.REMOTE_INDICATORS + C.BROAD_REGIONS)
+SPECIFIC = f"(lower(coalesce(location_name, '')) <> '' AND NOT regexp_matches(lower(coalesce(location_name, '')), '{NOWHERE}'))"
+FENCE_WORDS = "|".join(C.FENCES)
+FENCE = f"""CASE WHEN regexp_matches(lower(title), '{FENCE_WORDS}') THEN 'title_fence' WHEN p = '' THEN NULL
+      WHEN regexp_matches(p, '{FENCE_WORDS}') THEN CASE WHEN regexp_matches(p, '{C.FENCING_REGIONS}') THEN 'location_region'
+        WHEN list_has_any(regexp_extract_all(p, 'remote\\s*,\\s*([a-z][a-z])\\b', 1), {arr(C.US_STATES)}) THEN 'location_us_state' ELSE 'location_country' END
+      WHEN regexp_matches(p, '{parts(C.REGION_TERMS)}') THEN 'location_region'
+      WHEN list_has_any(regexp_extract_all(p, ',\\s*([a-z][a-z])\\b', 1), {arr(C.US_STATES)}) THEN 'location_us_state'
+      WHEN regexp_matches(p, '{parts(C.NAMED_COUNTRIES)}') OR (length(p) <= 5 AND regexp_matches(p, '\\bus\\b')) THEN 'location_country'
+      WHEN NOT regexp_matches(p, 'remote|anywhere|worldwide|global|distributed|any location') AND (contains(p, ';') OR length(p) < 50 OR regexp_matches(p, '^[a-z].*,\\s*[a-z]')) THEN 'location_specific_city' END"""
+ends = lambda terms: "|".join(rf"\b{re.escape(t)}\b" for t in terms)
 
 # --- filters and flags
 query("flt1_engineering_titles", f"SELECT id, title FROM job WHERE regexp_matches(lower(title), '{words(C.ENGINEERING_TERMS, True)}')", lambda v: flt.filter_engineering_titles(v.job).select("id", "title"))
 query("flt2_webdev_titles", f"SELECT id, title FROM job WHERE regexp_matches(lower(title), '{parts(C.WEBDEV_TERMS)}')", lambda v: flt.filter_webdev_titles(v.job).select("id", "title"))
+query("flt3_country_fence", f"SELECT id, {FENCE} AS fence FROM (SELECT *, lower(trim(coalesce(location_name, ''))) AS p FROM job) t", lambda v: flt.with_country_fence(v.job).select("id", "fence"))
 query(
-    "flt3_country_fence",
-    f"""SELECT id, CASE WHEN regexp_matches(lower(title), '(^|[^a-z])(us|usa|united states)\\s*[-/]?\\s*remote([^a-z]|$)') THEN 'title_fence'
-      WHEN regexp_matches(p, '{words(C.REGION_TERMS)}') THEN 'location_region'
-      WHEN list_contains({arr(C.US_STATES)}, regexp_extract(p, ',\\s*([a-z][a-z])\\s*$', 1)) THEN 'location_us_state'
-      WHEN regexp_matches(p, '{words(list(C.COUNTRIES) + ["us", "uk"])}') THEN 'location_country'
-      WHEN {SPECIFIC} THEN 'location_city' END AS fence
-    FROM (SELECT *, lower(coalesce(location_name, '')) AS p FROM job) t""",
-    lambda v: flt.with_country_fence(v.job).select("id", "fence"),
+    "flt4_fence_flag",
+    f"SELECT id, coalesce(is_fenced, ({FENCE}) IS NOT NULL OR regexp_matches(lower(concat_ws(' ', title, normalized_text)), '(e-verify|authorized to work in the (us|united states)|within canada only|europe only)')) AS fenced FROM (SELECT *, lower(trim(coalesce(location_name, ''))) AS p FROM job) t",
+    lambda v: flt.with_fence_flag(v.job).select("id", "fenced"),
 )
-query("flt4_fence_flag", "SELECT id, coalesce(is_fenced, regexp_matches(lower(concat_ws(' ', title, normalized_text)), '(e-verify|authorized to work in the (us|united states)|within canada only|europe only)'), false) AS fenced FROM job", lambda v: flt.with_fence_flag(v.job).select("id", "fenced"))
 query(
     "flt5_natsec_flag",
-    """SELECT id, coalesce(is_natsec, regexp_matches(t, '(ts/sci|polygraph|top secret|security clearance)') OR (regexp_matches(t, '(^|[^a-z])(dod|defense|federal)([^a-z]|$)') AND contains(t, 'clearance')), false) AS natsec
+    f"""SELECT id, coalesce(is_natsec, regexp_matches(t, '{ends(C.NATSEC_WORDS)}') OR (regexp_matches(t, '{ends(C.NATSEC_HINTS)}') AND regexp_matches(t, '{ends(C.CLEARANCE_WORDS)}')), false) AS natsec
     FROM (SELECT *, lower(concat_ws(' ', title, substr(normalized_text, 1, 3000))) AS t FROM job) x""",
     lambda v: flt.with_natsec_flag(v.job).select("id", "natsec"),
 )

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from matchflow.functions import constants as C
@@ -15,7 +17,7 @@ from matchflow.plans import jobs
 from matchflow.plans.adapters import AS_OF
 from matchflow.sources import discovery as dis
 from matchflow.plans.queries import DEFINING, NOW, ORACLE_SQL, SPECIFIC, arr, parts, query, route_sql, words
-from matchflow.plans.queries_more import BLOCKERS, PAIRS, pairs, rate
+from matchflow.plans.queries_more import BLOCKERS, PAIRS, PLACED, TITLE_TAG, pairs, rate
 
 PLACE, TEXT = "lower(coalesce(location_name, ''))", "lower(coalesce(normalized_text, ''))"
 has = "regexp_matches({0}, '{1}')".format
@@ -26,12 +28,12 @@ query(
     "SELECT id, CASE WHEN regexp_matches(t, '(fulltime|permanent|uop)') THEN 'full_time' WHEN contains(t, 'parttime') THEN 'part_time' WHEN regexp_matches(t, '(contract|b2b|freelance|zlecenie)') THEN 'contract' WHEN contains(t, 'intern') THEN 'internship' WHEN contains(t, 'temp') THEN 'temporary' END AS employment FROM (SELECT id, regexp_replace(lower(trim(employment_type)), '[ _-]', '', 'g') AS t FROM job) j",
     lambda v: cls.with_employment_type(v.job).select("id", "employment"),
 )
-query("cls5_title_region", "SELECT id, CASE WHEN ends_with(title, ' - US') THEN 'US' WHEN ends_with(title, ' - EMEA') THEN 'EMEA' WHEN ends_with(title, ' - APAC') THEN 'APAC' END AS title_region FROM job", lambda v: cls.with_title_region(v.job).select("id", "title_region"))
+query("cls5_title_region", f"SELECT id, {TITLE_TAG} AS title_region FROM job", lambda v: cls.with_title_region(v.job).select("id", "title_region"))
 num = "TRY_CAST(nullif(regexp_extract({0}, '{1}', {2}), '') AS INT)".format
 PAIR = "([0-9]{1,2}) ?(?:-|to) ?([0-9]{1,2}) ?(?:[+] ?)?years"
 query("cls6_experience_range", f"SELECT id, coalesce({num(TEXT, PAIR, 1)}, {num(TEXT, '([0-9]{1,2}) ?[+]? ?years', 1)}) AS years_min, {num(TEXT, PAIR, 2)} AS years_max FROM job", lambda v: cls.with_experience_range(v.job).select("id", "years_min", "years_max"))
 BOTH = "lower(concat_ws(' ', title, normalized_text))"
-SPEC = f"({PLACE} <> '' AND NOT {has(PLACE, '(remote|worldwide|anywhere|global|distributed)')})"
+SPEC = SPECIFIC
 SCOPE = f"""CASE WHEN workplace_type IN ('on-site', 'hybrid') THEN 'onsite' WHEN {has(BOTH, cls.GLOBAL_HIGH)} OR {has(PLACE, '(worldwide|anywhere)')} THEN 'global' WHEN {has(BOTH, cls.COUNTRY_HIGH)} THEN 'country_fenced'
   WHEN {has(BOTH, cls.REGION_HIGH)} OR {has(PLACE, words(C.REGION_TERMS))} THEN 'region_fenced' WHEN {PLACE} = 'remote' THEN 'unknown' WHEN {has(PLACE, words(list(C.COUNTRIES)))} THEN 'country_fenced' WHEN {SPEC} THEN 'onsite' ELSE 'unknown' END"""
 said = lambda ps: f"regexp_matches(coalesce(normalized_text, ''), '(?i){'|'.join(ps)}')"
@@ -60,7 +62,9 @@ query("cls10_utc_span", f"SELECT id, {SPAN} AS span, CASE WHEN {SPAN} <= 8 THEN
 
 
 def countries(col: str) -> str:
-    return "list_sort(list_distinct(list_filter([" + ", ".join(f"CASE WHEN {has(col, words([n]))} THEN '{c}' END" for n, c in C.COUNTRIES.items()) + "], lambda x: x IS NOT NULL)))"
+    names = ", ".join(f"CASE WHEN regexp_matches({col}, '(^|[^a-z]){re.escape(n)}($|[^a-z])') THEN ['{c}'] END" for n, c in C.COUNTRIES.items())
+    regions = ", ".join(f"CASE WHEN regexp_matches({col}, '(^|[^a-z]){n}($|[^a-z])') THEN {arr(cs)} END" for n, cs in C.TEXT_REGIONS.items())
+    return f"list_sort(list_distinct(flatten(list_filter([{names}, {regions}], lambda x: x IS NOT NULL))))"
 
 
 query("cls12_countries", f"SELECT id, array_to_string({countries(PLACE)}, ',') AS countries FROM job", lambda v: cls.extract_countries(v.job, "location_name").select("id", F.array_join("countries", ",").alias("countries")))
@@ -71,10 +75,11 @@ query("cls15_company_feed", f"SELECT ats_source, ats_slug, count(*) FILTER (WHER
 WEB = f"count(*) FILTER (WHERE regexp_matches(lower(title), '{parts(C.WEBDEV_TERMS)}'))"
 query("cls16_stack_gate", f"SELECT ats_source, ats_slug, {WEB} AS webdev, count(*) AS jobs, round({WEB} / count(*)::DOUBLE, 6) AS share, {WEB} >= 2 AS passes, CASE WHEN {WEB} > 2 THEN 'active' ELSE 'dormant' END AS initial_tier FROM job GROUP BY 1, 2", lambda v: cls.evaluate_stack_gate(v.job))
 query("cls25_title_seniority", "SELECT id, CASE WHEN regexp_matches(t, '(junior|associate|entry|intern|trainee)') THEN 'junior' WHEN regexp_matches(t, '(senior|sr[.]|sr )') THEN 'senior' WHEN regexp_matches(t, '(lead|staff|principal|architect|manager|director|head|expert)') THEN 'lead' ELSE 'mid' END AS level FROM (SELECT id, lower(title) AS t FROM job) j", lambda v: cls.with_title_seniority(v.job).select("id", "level"))
+BANNED = "['AR', 'DE', 'US', 'GB']"
 query(
     "joi15_excluded_country",
-    f"SELECT id, coalesce(list_filter({countries(PLACE)}, lambda x: list_contains(['AR', 'DE', 'US'], x))[1], list_filter({countries(TEXT)}, lambda x: list_contains(['AR', 'DE', 'US'], x))[1]) AS excluded FROM job",
-    lambda v: cls.with_excluded_country(v.job, ["US", "DE", "AR"]).select("id", "excluded"),
+    f"WITH {PLACED} SELECT id, coalesce(list_filter(list_transform(location_countries, lambda c: upper(c)), lambda c: list_contains({BANNED}, c))[1], CASE WHEN list_contains({BANNED}, nd[1]) THEN nd[1] END, list_filter({BANNED}, lambda c: list_contains(nd, c))[1]) AS excluded FROM placed",
+    lambda v: cls.with_excluded_country(v.job, ["AR", "DE", "US", "GB"]).select("id", "excluded"),
 )
 query("joi17_prefilter_pairs", f"WITH {PAIRS} SELECT id AS job_id, count(*) AS applicants, count(*) FILTER (WHERE len({BLOCKERS}) = 0) AS passing FROM pairs GROUP BY id", lambda v: sco.hard_blockers(pairs(v)).groupBy("job_id").agg(F.count(F.lit(1)).alias("applicants"), F.count_if("passes").alias("passing")))
 
@@ -114,7 +119,7 @@ query(
 query("pip8_backfill_hash", "SELECT count(*) AS rows_changed FROM job WHERE location_name IS NULL", lambda v: jobs.backfill(v.job, "location_name", F.coalesce("location_name", F.lit("unknown")), "id"))
 query(
     "pip3_reprocess",
-    f"WITH due AS (SELECT * FROM job WHERE id IN (SELECT id FROM ({ORACLE_SQL['joi11_reprocess_candidates']}) c)), pairs AS (SELECT j.*, a.* FROM due j, applicant a), fit AS (SELECT * FROM due WHERE id IN (SELECT id FROM pairs WHERE len({BLOCKERS}) = 0)), "
+    f"WITH {PLACED}, due AS (SELECT * FROM placed WHERE id IN (SELECT id FROM ({ORACLE_SQL['joi11_reprocess_candidates']}) c)), pairs AS (SELECT j.*, a.* FROM due j, applicant a), fit AS (SELECT * FROM due WHERE id IN (SELECT id FROM pairs WHERE len({BLOCKERS}) = 0)), "
     f"{route_sql(True, 'fit').replace('pairs', 'met')} SELECT job_id, persona_id, rank FROM routed",
     lambda v: jobs.reprocess(v.job, v.persona, v.applicant, v.match_queue).select("job_id", "persona_id", "rank"),
 )

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import functools
+import re
 
 from pyspark.sql import functions as F
 
@@ -13,7 +14,7 @@ from matchflow.operators import reports as rep
 from matchflow.operators import scoring as sco
 from matchflow.operators import upserts as ups
 from matchflow.plans.adapters import AS_OF
-from matchflow.plans.queries import HASH, IDS, NOW, arr, query
+from matchflow.plans.queries import HASH, IDS, NOW, SPECIFIC, arr, query
 
 CANON = "regexp_replace(regexp_replace(regexp_replace(lower(trim({0})), '[ ,]+(inc|llc|ltd|gmbh|corp|corporation|limited|co)[.]?$', ''), ' (labs|technologies|technology|software|group|holdings|solutions)$', ''), '[,. ]', '', 'g')"
 RATE = "CASE WHEN {1} > 0 THEN round(1e2 * {0} / {1}, 1) END"
@@ -160,18 +161,44 @@ query(
 )
 USD = "({0} * CASE upper(coalesce(compensation_currency, 'USD')) " + " ".join(f"WHEN '{k}' THEN {n}::DOUBLE" for k, n in C.USD_RATES.items()) + " END)"
 USD_OK = f"(CASE WHEN {USD.format('compensation_max')} >= {C.PAY_FLOOR_USD} THEN {USD.format('compensation_max')} END)"
-PAIRS = "pairs AS (SELECT m.id AS match_id, j.*, a.* FROM match_queue m JOIN job j ON j.id = m.job_id JOIN applicant a ON a.user_id = m.applicant_id)"
+named_in = lambda p: "list_filter([" + ", ".join(f"CASE WHEN regexp_matches({p}, '(^|[^a-z])({'|'.join(map(re.escape, ns))})($|[^a-z])') THEN '{c}' END" for c, ns in C.LOCATION_COUNTRIES.items()) + "], lambda x: x IS NOT NULL)"
+LOW = "lower(coalesce(location_name, ''))"
+TITLE_TAG = "CASE " + " ".join(f"WHEN regexp_matches(regexp_extract(title, '\\s[-–—]\\s+(.+)$', 1), '(?i){p}') THEN '{r}'" for p, r in C.TITLE_REGIONS) + " END"
+REGION = "CASE " + " ".join(f"WHEN contains({LOW}, '{r}') THEN '{r}' END" if r == C.BROAD_REGIONS[-1] else f"WHEN contains({LOW}, '{r}') THEN '{r}'" for r in C.BROAD_REGIONS)
+#: postings with what the checks read of them: countries named (nd), listed (ls), region of place (rg) and title (tr), flags of the text
+PLACED = f"""placed AS (SELECT *, {named_in(LOW)} AS nd, list_concat(list_transform(coalesce(location_countries, []), lambda c: upper(c)), {named_in("lower(array_to_string(coalesce(location_countries, []), ' ; '))")}) AS ls,
+    {REGION} AS rg, {TITLE_TAG} AS tr, {SPECIFIC} AS spec, regexp_matches(coalesce(normalized_text, ''), '(?i){"|".join(C.WORK_AUTH_FENCES)}') AS fenced_text, regexp_matches(coalesce(normalized_text, ''), '(?i){"|".join(C.CONTRACTOR_WELCOMES)}') AS welcome,
+    regexp_matches(coalesce(title, ''), '(?i){C.SENIOR_TITLE}') OR regexp_matches(coalesce(normalized_text, ''), '(?i){C.SENIOR_TEXT}') AS senior FROM job)"""
+PAIRS = f"{PLACED}, pairs AS (SELECT m.id AS match_id, j.*, a.* FROM match_queue m JOIN placed j ON j.id = m.job_id JOIN applicant a ON a.user_id = m.applicant_id)"
 pairs = lambda v: v.match_queue.select(F.col("id").alias("match_id"), "job_id", "applicant_id").join(v.job.withColumnRenamed("id", "job_id"), "job_id").join(v.applicant.withColumn("applicant_id", F.col("user_id")), "applicant_id")
+LISTED, TEXTED = "len(coalesce(location_countries, [])) > 0", "coalesce(normalized_text, '') <> ''"
+US_OK = "coalesce(list_has_any(preferred_compliance, ['w8ben', 'ic_global']), false)"
+FOREIGN = "NOT list_contains(nd, country)"  # the view's countries are all in the table of names
+REMOTE = "(workplace_type IS NULL OR workplace_type = 'remote')"
+GATED = f"{LISTED} AND {REMOTE} AND remote_scope NOT IN ('onsite', 'global') AND NOT list_contains(ls, country) AND {TEXTED} AND NOT welcome"
+FITS = " OR ".join(f"(country = '{c}' AND regexp_matches(lower(tr), '{'|'.join(rs)}'))" for c, rs in C.FRIENDLY_REGIONS.items())
+CLEAR = f"country IS NOT NULL AND {LOW} <> '' AND {FOREIGN}"
+IN_REGION = " OR ".join(f"(rg = '{r}' AND country IN ({', '.join(repr(c) for c in cs)}))" for r, cs in C.REGION_MEMBERS.items())
+PAY = "coalesce(compensation_max, compensation_min)"
 CHECKS = [
-    ("national_security", "is_natsec IS TRUE"), ("fenced", "remote_scope IN ('country_fenced', 'region_fenced') AND NOT coalesce(country = 'US' AND contains(lower(coalesce(location_name, '')), 'united states'), false)"),
-    ("onsite", "remote_scope = 'onsite'"), ("qa_role", "is_qa IS TRUE"), ("low_pay", f"{USD_OK} < expected_comp_min"), ("experience", "experience_min_years > years_of_experience + 2"),
-    ("workplace", "workplace_type = 'on-site' AND list_contains(assignment_types, 'remote')"), ("internship", "employment_type = 'Internship' AND years_of_experience > 2"), ("no_country", "country IS NULL AND remote_scope <> 'global'"),
+    ("title_region_tag", f"tr IS NOT NULL AND country IS NOT NULL AND NOT ({FITS})"),
+    ("work_auth_fencing", f"{GATED} AND fenced_text"), ("country_fenced_non_us", f"{GATED} AND NOT fenced_text AND NOT list_contains(ls, 'US')"),
+    ("location_country_list", f"workplace_type IN ('remote', 'hybrid') AND remote_scope NOT IN ('global', 'region_fenced', 'undetermined', 'unknown') AND country IS NOT NULL AND CASE WHEN {LISTED} AND NOT {TEXTED} THEN NOT list_contains(ls, country) "
+     f"WHEN NOT ({LISTED}) AND contains({LOW}, 'remote') THEN (len(list_filter(regexp_split_to_array({LOW}, '[,/]'), lambda x: trim(x) <> '')) >= 3 AND {FOREIGN}) OR coalesce(nd[1] <> country AND NOT (nd[1] = 'US' AND {US_OK}), false) ELSE false END"),
+    ("remote_specific_foreign_location", f"{CLEAR} AND workplace_type = 'remote' AND ((remote_scope IN ('unknown', 'undetermined') AND spec) OR (remote_scope = 'global' AND len(nd) > 0 AND (NOT ({LISTED}) OR NOT {TEXTED}))) AND NOT (list_contains(nd, 'US') AND {US_OK})"),
+    ("explicit_on_site", f"{CLEAR} AND (coalesce(workplace_type = 'on-site', false) OR remote_scope = 'onsite')"),
+    ("hybrid_foreign_location", f"{CLEAR} AND workplace_type = 'hybrid' AND remote_scope NOT IN ('onsite', 'global')"),
+    ("null_workplace_specific_foreign_location", f"{CLEAR} AND workplace_type IS NULL AND remote_scope IN ('unknown', 'undetermined') AND spec"),
+    ("region_fenced_location", f"country IS NOT NULL AND rg IS NOT NULL AND {REMOTE} AND remote_scope <> 'global' AND NOT ({IN_REGION}) AND NOT (rg = 'north america' AND {US_OK})"),
+    ("compensation_mismatch", f"{USD.format(PAY)} >= {C.PAY_FLOOR_USD} AND {USD.format(PAY)} < expected_comp_min * 0.7"),
+    ("inverted_experience_band", "senior AND experience_max_years < 7 AND years_of_experience > 10"),
+    ("experience_gap", "NOT (senior AND experience_max_years < 7 AND years_of_experience > 10) AND years_of_experience > experience_max_years + 5"),
 ]
 BLOCKERS = "list_filter([" + ", ".join(f"CASE WHEN {c} THEN '{n}' END" for n, c in CHECKS) + "], lambda x: x IS NOT NULL)"
 query("sco6_hard_blockers", f"WITH {PAIRS} SELECT match_id, array_to_string({BLOCKERS}, ',') AS blockers, len({BLOCKERS}) = 0 AS passes FROM pairs", lambda v: sco.hard_blockers(pairs(v)).select("match_id", F.array_join("blockers", ",").alias("blockers"), "passes"))
 query(
     "sco7_posting_rejections",
-    f"WITH {PAIRS}, b AS (SELECT id, user_id, {BLOCKERS} AS b FROM pairs) SELECT id AS job_id, NOT bool_or(len(b) = 0) AS rejected, CASE WHEN NOT bool_or(len(b) = 0) THEN arg_min(b[1], user_id) END AS pattern FROM b GROUP BY id",
+    f"WITH {PAIRS}, b AS (SELECT id, user_id, {BLOCKERS} AS b FROM pairs) SELECT id AS job_id, NOT bool_or(len(b) = 0) AS rejected, CASE WHEN NOT bool_or(len(b) = 0) THEN arg_min(CASE WHEN list_contains(b, 'title_region_tag') THEN 'title_region_tag' ELSE b[1] END, user_id) END AS pattern FROM b GROUP BY id",
     lambda v: sco.posting_rejections(sco.hard_blockers(pairs(v))),
 )
 REASON = "CASE " + " ".join(f"WHEN regexp_matches(b, '{w}') THEN '{n}'" for n, w in C.REJECTION_REASONS) + " ELSE 'other' END"

@@ -30,7 +30,7 @@ def test_engineering_titles(spark):
 def test_country_fence_order(spark):
     rows = [("Engineer, US Remote", "Remote"), ("Engineer", "Remote, md"), ("Engineer", "São Paulo"), ("Engineer", "NAMER + EMEA"), ("Engineer", "Remote"), ("Engineer", None), ("Engineer", "Remote; Argentina")]
     df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "id long, title string, location_name string")
-    assert column(filters.with_country_fence(df), "fence") == ["title_fence", "location_us_state", "location_city", "location_region", None, None, "location_country"]
+    assert column(filters.with_country_fence(df), "fence") == ["title_fence", "location_us_state", "location_specific_city", "location_region", None, None, "location_country"]
 
 
 def test_qa_needs_tags_or_title(spark):
@@ -205,3 +205,42 @@ def test_actions_and_status_words(spark):
     assert column(filters.with_normalization_action(df), "action") == ["skip:processed", "skip:rejected", "normalize:retry", "skip:aged_out", "normalize:new"]
     rows = [(0, "lever", "closed"), (1, "recruitee", " Closed"), (2, "recruitee", None), (3, "recruitee", "odd"), (4, "smartrecruiters", "on-hold")]
     assert column(filters.with_is_active(spark.createDataFrame(rows, "id long, ats_source string, source_status string")), "active") == [True, False, True, True, False]
+
+
+def test_hard_checks_in_their_order(spark):
+    post = dict(title="Engineer", location_name=None, workplace_type="remote", normalized_text=None, location_countries=None, experience_min_years=None, experience_max_years=None,
+                compensation_min=None, compensation_max=None, compensation_currency="USD", remote_scope="undetermined")
+    man = dict(country="RS", preferred_compliance=["w8ben"], expected_comp_min=60000.0, years_of_experience=8)
+    fence, global_ = "You must reside in the country of work", "We are a distributed team; must reside in a quiet place"
+    cases = [
+        (dict(title="Software Engineer - Latam"), {}, "title_region_tag"), (dict(title="Software Engineer - EMEA"), {}, None), (dict(title="SDE - India"), {}, "title_region_tag"),
+        (dict(title="SDE - India"), dict(country=None), None), (dict(location_countries=["MX", "AR"], remote_scope="country_fenced"), {}, "location_country_list"),
+        (dict(location_countries=["Serbia"], remote_scope="country_fenced"), {}, None), (dict(location_countries=["MX"], remote_scope="global"), {}, None),
+        (dict(location_name="Remote - Poland", remote_scope="country_fenced"), {}, "location_country_list"), (dict(location_name="Remote - USA", remote_scope="country_fenced"), {}, None),
+        (dict(location_name="Remote - USA", remote_scope="country_fenced"), dict(preferred_compliance=[]), "location_country_list"),
+        (dict(location_name="Remote, France, Spain", remote_scope="country_fenced"), {}, "location_country_list"), (dict(location_name="Pune, MH, in"), {}, "remote_specific_foreign_location"),
+        (dict(location_name="Belgrade, Serbia"), {}, None), (dict(location_name="Poland / Remote / Poland", remote_scope="global"), {}, "remote_specific_foreign_location"),
+        (dict(location_name="Berlin, Germany", workplace_type="on-site", remote_scope="onsite"), {}, "explicit_on_site"), (dict(location_name="London, UK", workplace_type="hybrid"), {}, "hybrid_foreign_location"),
+        (dict(location_name="London, UK", workplace_type="hybrid", remote_scope="global"), {}, None), (dict(location_name="Pune, MH, in", workplace_type=None), {}, "null_workplace_specific_foreign_location"),
+        (dict(location_name="APAC", workplace_type=None), {}, "region_fenced_location"), (dict(location_name="EMEA", workplace_type=None), {}, None), (dict(location_name="North America"), {}, None),
+        (dict(location_name="North America"), dict(preferred_compliance=None), "region_fenced_location"), (dict(location_countries=["US"], normalized_text=fence), {}, "work_auth_fencing"),
+        (dict(location_countries=["US"], normalized_text=global_), {}, None), (dict(location_countries=["DE"], normalized_text="A good job"), {}, "country_fenced_non_us"),
+        (dict(location_countries=["US"], normalized_text="A good job"), {}, None), (dict(compensation_max=41000.0), {}, "compensation_mismatch"), (dict(compensation_max=42000.0), {}, None),
+        (dict(compensation_max=100.0), {}, None), (dict(compensation_max=41000.0), dict(expected_comp_min=None), None), (dict(title="Senior Engineer", experience_max_years=6), dict(years_of_experience=11), "inverted_experience_band"),
+        (dict(experience_max_years=2), {}, "experience_gap"), (dict(experience_max_years=3), {}, None), (dict(location_name="Cape Town, South Africa"), dict(country="ZA"), None),
+        (dict(location_countries=["MX"], location_name="Berlin", workplace_type="on-site"), {}, "explicit_on_site"),
+    ]
+    schema = "job_id int, title string, location_name string, workplace_type string, normalized_text string, location_countries array<string>, experience_min_years int, experience_max_years int, compensation_min double, compensation_max double, compensation_currency string, remote_scope string, country string, preferred_compliance array<string>, expected_comp_min double, years_of_experience int"
+    rows = [{"job_id": i, **post, **p, **man, **a} for i, (p, a, _) in enumerate(cases)]
+    got = scoring.hard_blockers(spark.createDataFrame([tuple(r[c.split()[0]] for c in schema.split(", ")) for r in rows], schema))
+    assert column(got, "pattern", "job_id") == [want for _, _, want in cases]
+    assert set(got.columns) == {c.split()[0] for c in schema.split(", ")} | {"blockers", "passes", "pattern"}
+    shut = scoring.hard_blockers(spark.createDataFrame([tuple({**rows[0], "location_name": "Lagos, Nigeria", "country": None}.values())], schema), ["NG"]).first()
+    assert (shut["blockers"], shut["pattern"]) == (["excluded_country"], "excluded_country")
+
+
+def test_countries_of_texts(spark):
+    texts = ["Remote in Latin America", "Eastern Europe or South Korea", "Indiana", "New South Wales, U.S.", None]
+    df = classify.extract_countries(spark.createDataFrame(list(enumerate(texts)), "id long, t string"), "t")
+    got = column(df, "countries")
+    assert got[0] == ["AR", "BR", "CL", "CO", "MX", "PE", "US"] and {"BY", "RS", "KR", "PT"} <= set(got[1]) and got[2:] == [[], ["GB", "US"], []]
