@@ -117,11 +117,16 @@ def breaker_metrics(alerts: DataFrame) -> DataFrame:
     )
 
 
-def stage_counters(log: DataFrame, as_of: str) -> DataFrame:
-    """Items by stage within a day, and a sign for stages that moved nothing."""
-    day = log.filter(since("created_at", as_of, 1))
-    out = day.groupBy("type").agg(F.sum("items_processed").alias("processed"), F.sum("items_inserted").alias("inserted"), F.count(F.lit(1)).alias("runs"))
-    return out.withColumn("silent", F.col("inserted") == 0)
+def stage_counters(jobs: DataFrame, matches: DataFrame, as_of: str) -> DataFrame:
+    """What each of the seven stages moved within the day before, and ``silent`` for those that moved nothing."""
+    fresh = lambda c: F.col(c) > F.expr(f"TIMESTAMP '{as_of}' - INTERVAL 24 HOURS")
+    flags = X.true_(F.col("is_fenced")) | X.true_(F.col("is_natsec")) | X.true_(F.col("is_qa"))
+    j = jobs.agg(F.count_if(fresh("detected_at")).alias("ingested"), F.count_if(fresh("normalized_at")).alias("normalized"), F.count_if(fresh("normalized_at") & F.col("job_embedding").isNotNull()).alias("embedded"))
+    m = matches.agg(F.count_if(fresh("created_at")).alias("routed"), F.count_if(fresh("evaluated_at")).alias("evaluated"), F.count_if(fresh("evaluated_at") & (F.col("status") == "approved")).alias("approved"))
+    served = jobs.filter((F.col("remote_scope") == "global") & ~flags).select(F.col("id").alias("job_id"))
+    d = matches.filter(fresh("created_at")).join(served, "job_id", "left_semi").agg(F.count(F.lit(1)).alias("dashboard"))
+    row = j.crossJoin(m).crossJoin(d)  # one row each
+    return row.unpivot([], row.columns, "stage", "n").withColumn("silent", F.col("n") == 0)
 
 
 def stale_functions(log: DataFrame, expected: DataFrame, as_of: str) -> DataFrame:

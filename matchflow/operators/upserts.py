@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 
 TERMINAL = ["mismatch", "rejected", "applied", "approved"]
+VERDICT_COLUMNS = ["evaluated_at", "llm_verdict", "llm_blockers", "llm_reasoning", "llm_confidence", "llm_model", "prompt_variant"]
 POSTING_KEY = ["ats_source", "ats_slug", "external_job_id"]
 
 
@@ -16,14 +17,25 @@ def ago(as_of: str, interval: str) -> Column:
 
 
 def upsert_postings(current: DataFrame, incoming: DataFrame, as_of: str) -> DataFrame:
-    """Known postings take the incoming title, come back to life and are seen now; new ones are active."""
-    c = current.select(*POSTING_KEY, F.col("title").alias("old_title"), F.col("status").alias("old_status"), F.col("last_seen_at").alias("old_seen"), F.lit(1).alias("known"))
-    i = incoming.select(*POSTING_KEY, F.col("title").alias("new_title"), F.lit(1).alias("came"))
-    both = c.join(i, POSTING_KEY, "full_outer")
-    came, now = F.col("came").isNotNull(), F.lit(as_of).cast("timestamp")
-    status = F.when(came & (F.col("known").isNull() | F.col("old_status").isin("stale", "gone")), "active").otherwise(F.col("old_status"))
-    change = F.when(F.col("known").isNull(), "new").when(came, "updated").otherwise("kept")
-    return both.select(*POSTING_KEY, F.when(came, F.col("new_title")).otherwise(F.col("old_title")).alias("title"), status.alias("status"), F.when(came, now).otherwise(F.col("old_seen")).alias("last_seen_at"), change.alias("change"))
+    """Known postings take all incoming attributes (the raw payload only until they are normalised), come back to life and are
+    seen now; new ones are active. ``change`` is new, updated or kept. ``incoming`` has one row a key."""
+    own = [*POSTING_KEY, "status", "last_seen_at", "normalized_at", "change"]
+    attributes = [c for c in incoming.columns if c not in own]
+    others = [c for c in current.columns if c not in own + attributes]
+    both = current.withColumn("_known", F.lit(1)).alias("c").join(incoming.withColumn("_came", F.lit(1)).alias("i"), POSTING_KEY, "full_outer")
+    came, known, now = F.col("_came").isNotNull(), F.col("_known").isNotNull(), F.lit(as_of).cast("timestamp")
+    done = F.col("c.normalized_at").isNotNull() if "normalized_at" in current.columns else F.lit(False)
+
+    def next_value(c: str) -> Column:
+        takes = came & ~done if c == "raw_json" else came
+        return F.when(takes, F.col(f"i.{c}")).otherwise(F.col(f"c.{c}") if c in current.columns else F.lit(None))
+
+    status = F.when(came & (~known | F.col("c.status").isin("stale", "gone")), "active").otherwise(F.col("c.status"))
+    change = F.when(~known, "new").when(came, "updated").otherwise("kept")
+    return both.select(
+        *POSTING_KEY, *[next_value(c).alias(c) for c in attributes], *[F.col(f"c.{c}") for c in others], *([F.col("c.normalized_at")] if "normalized_at" in current.columns else []),
+        status.alias("status"), F.when(came, now).otherwise(F.col("c.last_seen_at")).alias("last_seen_at"), change.alias("change"),
+    )
 
 
 def insert_absent(current: DataFrame, incoming: DataFrame, keys: list[str]) -> DataFrame:
@@ -48,12 +60,18 @@ def insert_companies(current: DataFrame, incoming: DataFrame, blacklist: list[st
 
 
 def upsert_matches(current: DataFrame, routed: DataFrame) -> DataFrame:
-    """Scores are always refreshed; decided matches keep their status, others start over, new ones are pending."""
-    c = current.select("job_id", "persona_id", F.col("status").alias("was"), F.col("overlap_score").alias("old_overlap"))
-    r = routed.select("job_id", "persona_id", F.col("overlap").alias("new_overlap"))
+    """Overlap and distance are always refreshed; decided matches keep status and verdict, others start over as pending without
+    one, new ones are pending."""
+    verdict = [c for c in VERDICT_COLUMNS if c in current.columns]
+    c = current.select("job_id", "persona_id", F.col("status").alias("was"), F.col("overlap_score").alias("old_overlap"), F.col("cosine_distance").alias("old_distance"), *verdict)
+    r = routed.select("job_id", "persona_id", F.col("overlap").alias("new_overlap"), F.col("cosine_distance").alias("new_distance"), F.lit(True).alias("came"))
     both = c.join(r, ["job_id", "persona_id"], "full_outer")
-    status = F.when(F.col("new_overlap").isNull() | F.col("was").isin(TERMINAL), F.coalesce("was", F.lit("pending"))).otherwise("pending")
-    return both.select("job_id", "persona_id", status.alias("status"), F.coalesce("new_overlap", "old_overlap").alias("overlap"))
+    came = F.coalesce("came", F.lit(False))
+    stays = ~came | F.coalesce(F.col("was").isin(TERMINAL), F.lit(False))
+    return both.select(
+        "job_id", "persona_id", F.when(stays, F.coalesce("was", F.lit("pending"))).otherwise("pending").alias("status"), F.when(came, F.col("new_overlap")).otherwise(F.col("old_overlap")).alias("overlap"),
+        F.when(came, F.col("new_distance")).otherwise(F.col("old_distance")).alias("cosine_distance"), *[F.when(stays, F.col(x)).alias(x) for x in verdict],
+    )
 
 
 def mark_stale(jobs: DataFrame, as_of: str) -> DataFrame:

@@ -44,6 +44,7 @@ VIEWS: dict[str, tuple[str, dict[str, str]]] = {
             "status": "CASE o_orderkey % 10 WHEN 0 THEN 'rejected' WHEN 1 THEN 'stale' WHEN 2 THEN 'gone' WHEN 3 THEN 'normalization_failed' ELSE 'active' END",
             "remote_scope": "CASE o_orderkey % 7 WHEN 0 THEN 'country_fenced' WHEN 1 THEN 'region_fenced' WHEN 2 THEN 'undetermined' WHEN 3 THEN 'onsite' ELSE 'global' END",
             "workplace_type": "CASE o_orderkey % 5 WHEN 0 THEN NULL WHEN 1 THEN 'hybrid' WHEN 2 THEN 'on-site' ELSE 'remote' END",
+            "raw_json": "CASE WHEN o_orderkey % 8 = 7 THEN NULL ELSE concat('payload ', CAST(o_orderkey AS VARCHAR(20))) END",
             "employment_type": "CASE o_orderkey % 6 WHEN 0 THEN 'Full-time' WHEN 1 THEN 'contractor' WHEN 2 THEN 'B2B' WHEN 3 THEN 'Internship' WHEN 4 THEN 'part_time' END",
             "department": "CASE o_orderkey % 3 WHEN 0 THEN 'Engineering' WHEN 1 THEN 'Product' END",
             "compensation_min": "CASE WHEN o_orderkey % 5 = 4 THEN NULL ELSE o_totalprice END", "compensation_max": "o_totalprice * 1.25",
@@ -98,6 +99,7 @@ VIEWS: dict[str, tuple[str, dict[str, str]]] = {
             "id": "l_orderkey * 10 + l_linenumber", "job_id": "l_orderkey", "persona_id": "l_suppkey", "applicant_id": "l_suppkey % 40",
             "overlap_score": "CAST((l_orderkey + l_suppkey) % 6 AS INT)", "cosine_distance": "CASE WHEN l_partkey % 21 = 0 THEN NULL ELSE l_tax * 8 + l_discount END",
             "status": "CASE (l_orderkey + l_suppkey) % 8 WHEN 0 THEN 'approved' WHEN 1 THEN 'rejected' WHEN 2 THEN 'error' WHEN 3 THEN 'mismatch' WHEN 4 THEN 'stale' WHEN 5 THEN 'rejected' ELSE 'pending' END",
+            "llm_confidence": "CASE WHEN l_partkey % 3 = 0 THEN NULL ELSE l_discount * 5 END",
             "prompt_variant": "CASE l_linenumber % 3 WHEN 0 THEN NULL WHEN 1 THEN 'a' ELSE 'b' END",
             "llm_blockers": "CASE l_partkey % 4 WHEN 0 THEN NULL WHEN 1 THEN ['Location: US only', 'Requires clearance'] WHEN 2 THEN ['Seniority too junior'] ELSE ['Missing stack skills', 'salary below range'] END",
             "is_read": "l_linenumber % 2 = 0", "created_at": "l_shipdate", "evaluated_at": "l_shipdate + INTERVAL 2 DAY", "stale_at": "CASE WHEN l_linenumber = 1 THEN l_shipdate + INTERVAL 3 DAY END",

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from matchflow.functions import constants as C
 from matchflow.functions import exprs as X
-from matchflow.operators import classify, filters, joins, routing, scoring, tags, upserts
+from matchflow.operators import classify, filters, joins, reports, routing, scoring, tags, upserts
 from matchflow.operators.filters import filter_persona_tech
 
 
@@ -53,14 +53,42 @@ def backfill(df: DataFrame, column: str, new: Column, key: str) -> DataFrame:
     return df.select(key, F.col(column).alias("was"), new.alias("now")).agg(F.count_if(~F.col("was").eqNullSafe(F.col("now"))).alias("rows_changed"))
 
 
-def pipeline_health(jobs: DataFrame, matches: DataFrame, thresholds: dict[str, float]) -> DataFrame:
-    """Shares that tell of trouble, each against its threshold; two scans, then one row unpivoted."""
-    share = lambda c: F.avg(c.cast("double"))
-    j = jobs.agg(share(F.col("status") == "normalization_failed").alias("failed_share"), share(F.col("job_embedding").isNull()).alias("unembedded_share"))
-    m = matches.agg(share(F.col("status") == "error").alias("error_share"), share(F.col("status") == "pending").alias("pending_share"))
-    long = j.crossJoin(m).unpivot([], list(thresholds), "metric", "value")  # one row each
-    limit = F.create_map(*[F.lit(x) for kv in thresholds.items() for x in kv])[F.col("metric")]
-    return long.select("metric", F.round("value", 6).alias("value"), (F.col("value") > limit).alias("fires"))
+#: metric -> (how it compares with the threshold when the alert fires, threshold); those not here are shown without an alert.
+HEALTH_ALERTS = {
+    "unnormalized_jobs": (">", 50), "unembedded_jobs": (">", 50), "companies_polled_4h": ("=", 0), "matches_24h": ("=", 0), "source_health_rows": ("=", 0),
+    "pending_matches_stale": (">", 10), "approved_matches_24h": ("<", 3), "approval_rate_7d": ("<", 0.01), "null_country_fenced_jobs": (">", 100), "stale_functions": (">", 0),
+}
+
+
+def pipeline_health(jobs: DataFrame, matches: DataFrame, companies: DataFrame, health: DataFrame, log: DataFrame, expected: DataFrame, as_of: str) -> DataFrame:
+    """``metric``, ``value`` and whether its alert ``fires``: one scan and one row a table, then unpivoted. ``expected`` names the
+    functions that must run and their longest gap (source, max_gap_h)."""
+    since = lambda column, interval: F.col(column) > upserts.ago(as_of, interval)
+    recent, clean = since("evaluated_at", "7 DAYS"), ~(X.true_(F.col("is_fenced")) | X.true_(F.col("is_natsec")) | X.true_(F.col("is_qa")))
+    ok = recent & (F.col("status") == "approved")
+    active, done = F.col("status") == "active", F.col("normalized_at").isNotNull()
+    j = jobs.agg(
+        F.count_if(active & ~done & F.col("raw_json").isNotNull() & (F.col("detected_at") < upserts.ago(as_of, "1 HOURS"))).alias("unnormalized_jobs"),
+        F.count_if(active & done & F.col("job_embedding").isNull() & (F.col("remote_scope") == "global") & clean).alias("unembedded_jobs"),
+        F.count_if((F.col("status") == "normalization_failed") & ~done).alias("normalization_failed"),
+        F.count_if((F.col("remote_scope") == "country_fenced") & F.col("location_countries").isNull()).alias("null_country_fenced_jobs"),
+    )
+    m = matches.agg(
+        F.count_if(since("created_at", "24 HOURS")).alias("matches_24h"),
+        F.count_if((F.col("status") == "pending") & (F.col("created_at") < upserts.ago(as_of, "30 MINUTES"))).alias("pending_matches_stale"),
+        F.count_if((F.col("status") == "approved") & since("evaluated_at", "24 HOURS")).alias("approved_matches_24h"),
+        F.coalesce(F.try_divide(F.count_if(ok), F.count_if(recent & F.col("status").isin("approved", "rejected"))), F.lit(0.0)).alias("approval_rate_7d"),
+        F.coalesce(F.avg(F.when(recent, F.col("llm_confidence"))), F.lit(0.0)).alias("avg_confidence_7d"),
+    )
+    c = companies.agg(F.count_if(since("last_polled_at", "4 HOURS")).alias("companies_polled_4h"))
+    h = health.agg(F.count(F.lit(1)).alias("source_health_rows"))
+    s = reports.stale_functions(log, expected, as_of).agg(F.count(F.lit(1)).alias("stale_functions"))
+    row = j.crossJoin(m).crossJoin(c).crossJoin(h).crossJoin(s)  # one row each
+    long = row.select(*[F.col(x).cast("double").alias(x) for x in row.columns]).unpivot([], row.columns, "metric", "value")
+    fires = F.lit(False)
+    for metric, (way, limit) in HEALTH_ALERTS.items():
+        fires = fires | ((F.col("metric") == metric) & F.expr(f"value {way} {limit}"))
+    return long.select("metric", F.round("value", 6).alias("value"), fires.alias("fires"))
 
 
 def evaluate_feeds(postings: DataFrame, keywords: list[str]) -> DataFrame:

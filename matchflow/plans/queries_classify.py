@@ -84,11 +84,24 @@ query(
 query("joi17_prefilter_pairs", f"WITH {PAIRS} SELECT id AS job_id, count(*) AS applicants, count(*) FILTER (WHERE len({BLOCKERS}) = 0) AS passing FROM pairs GROUP BY id", lambda v: sco.hard_blockers(pairs(v)).groupBy("job_id").agg(F.count(F.lit(1)).alias("applicants"), F.count_if("passes").alias("passing")))
 
 # --- reports and lifecycle jobs that build on them
+CLEAN = "is_fenced IS NOT TRUE AND is_natsec IS NOT TRUE AND is_qa IS NOT TRUE"
+HEALTH = {
+    "unnormalized_jobs": f"SELECT count(*) FROM job WHERE status = 'active' AND normalized_at IS NULL AND raw_json IS NOT NULL AND detected_at < {NOW} - INTERVAL 1 HOUR",
+    "unembedded_jobs": f"SELECT count(*) FROM job WHERE status = 'active' AND job_embedding IS NULL AND normalized_at IS NOT NULL AND remote_scope = 'global' AND {CLEAN}",
+    "normalization_failed": "SELECT count(*) FROM job WHERE status = 'normalization_failed' AND normalized_at IS NULL",
+    "null_country_fenced_jobs": "SELECT count(*) FROM job WHERE remote_scope = 'country_fenced' AND location_countries IS NULL",
+    "companies_polled_4h": f"SELECT count(*) FROM company WHERE last_polled_at > {NOW} - INTERVAL 4 HOUR", "source_health_rows": "SELECT count(*) FROM source_health",
+    "matches_24h": f"SELECT count(*) FROM match_queue WHERE created_at > {NOW} - INTERVAL 24 HOUR",
+    "pending_matches_stale": f"SELECT count(*) FROM match_queue WHERE status = 'pending' AND created_at < {NOW} - INTERVAL 30 MINUTE",
+    "approved_matches_24h": f"SELECT count(*) FROM match_queue WHERE status = 'approved' AND evaluated_at > {NOW} - INTERVAL 24 HOUR",
+    "approval_rate_7d": f"SELECT coalesce(count(*) FILTER (WHERE status = 'approved') / nullif(count(*) FILTER (WHERE status IN ('approved', 'rejected')), 0)::DOUBLE, 0) FROM match_queue WHERE evaluated_at > {NOW} - INTERVAL 7 DAY",
+    "avg_confidence_7d": f"SELECT coalesce(avg(llm_confidence), 0) FROM match_queue WHERE evaluated_at > {NOW} - INTERVAL 7 DAY",
+    "stale_functions": f"SELECT count(*) FROM source_health h WHERE NOT EXISTS (SELECT 1 FROM ingestion_log l WHERE l.source = h.source_name AND l.created_at >= {NOW} - INTERVAL 36 HOUR)",
+}
 query(
     "agg15_pipeline_health",
-    f"""WITH j AS (SELECT count(*) FILTER (WHERE status = 'active') AS active, count(*) FILTER (WHERE status = 'normalization_failed') AS failed, count(*) AS jobs, count(*) FILTER (WHERE job_embedding IS NULL) AS unembedded FROM job), m AS (SELECT count(*) FILTER (WHERE status = 'pending') AS pending, count(*) FILTER (WHERE status = 'error') AS errors, count(*) AS matches FROM match_queue),
-    x AS (SELECT unnest(['failed_share', 'unembedded_share', 'error_share', 'pending_share']) AS metric, unnest([failed / jobs::DOUBLE, unembedded / jobs::DOUBLE, errors / matches::DOUBLE, pending / matches::DOUBLE]) AS value, unnest([0.05, 0.2, 0.1, 0.5]) AS threshold FROM j, m) SELECT metric, round(value, 6) AS value, value > threshold AS fires FROM x""",
-    lambda v: jobs.pipeline_health(v.job, v.match_queue, {"failed_share": 0.05, "unembedded_share": 0.2, "error_share": 0.1, "pending_share": 0.5}),
+    " UNION ALL ".join(f"SELECT '{m}' AS metric, round(n, 6) AS value, " + (f"n {jobs.HEALTH_ALERTS[m][0]} {jobs.HEALTH_ALERTS[m][1]}" if m in jobs.HEALTH_ALERTS else "false") + f" AS fires FROM (SELECT CAST(({q}) AS DOUBLE) AS n) {m}" for m, q in HEALTH.items()),
+    lambda v: jobs.pipeline_health(v.job, v.match_queue, v.company, v.source_health, v.ingestion_log, v.source_health.select(F.col("source_name").alias("source"), F.lit(36).alias("max_gap_h")), AS_OF),
 )
 query("agg34_evaluate_feeds", f"SELECT ats_source, count(*) AS jobs, count(*) FILTER (WHERE h) AS on_stack, {rate('count(*) FILTER (WHERE h)', 'count(*)')} AS share FROM (SELECT *, regexp_matches(lower(concat_ws(' ', array_to_string(extracted_tags, ' '), title, normalized_text)), '(^|[^a-z0-9])(go|php)([^a-z0-9]|$)|graphql|typescript') AS h FROM job) j GROUP BY 1", lambda v: jobs.evaluate_feeds(v.job, ["go", "php", "graphql", "typescript"]))
 query(

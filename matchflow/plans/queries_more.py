@@ -268,7 +268,13 @@ query(
     f"SELECT e.source, max_gap_h, last_run FROM (SELECT concat('source', CAST(s_suppkey AS VARCHAR)) AS source, 1 AS max_gap_h FROM supplier UNION ALL SELECT DISTINCT source, 12 FROM ingestion_log) e LEFT JOIN (SELECT source, max(created_at) AS last_run FROM ingestion_log GROUP BY 1) l ON l.source = e.source WHERE last_run IS NULL OR (epoch(TIMESTAMP '2024-02-01 00:00:00') - floor(epoch(last_run))) / 3600.0 > max_gap_h",
     lambda v: rep.stale_functions(v.ingestion_log, v.spark.read.parquet(f"{v.sf_dir}/supplier.parquet").selectExpr("concat('source', CAST(s_suppkey AS STRING)) AS source", "1 AS max_gap_h").unionByName(v.ingestion_log.select("source").distinct().withColumn("max_gap_h", F.lit(12))), "2024-02-01 00:00:00"),
 )
-query("agg17_stage_counters", f"SELECT type, CAST(sum(items_processed) AS BIGINT) AS processed, CAST(sum(items_inserted) AS BIGINT) AS inserted, count(*) AS runs, sum(items_inserted) = 0 AS silent FROM ingestion_log WHERE created_at BETWEEN TIMESTAMP '{LATE}' - INTERVAL 1 DAY AND TIMESTAMP '{LATE}' GROUP BY type", lambda v: rep.stage_counters(v.ingestion_log, LATE))
+DAY = lambda c: f"{c} > {NOW} - INTERVAL 24 HOUR"
+STAGES = {
+    "ingested": f"job WHERE {DAY('detected_at')}", "normalized": f"job WHERE {DAY('normalized_at')}", "embedded": f"job WHERE {DAY('normalized_at')} AND job_embedding IS NOT NULL", "routed": f"match_queue WHERE {DAY('created_at')}",
+    "evaluated": f"match_queue WHERE {DAY('evaluated_at')}", "approved": f"match_queue WHERE status = 'approved' AND {DAY('evaluated_at')}",
+    "dashboard": f"match_queue m JOIN job j ON j.id = m.job_id WHERE j.remote_scope = 'global' AND is_fenced IS NOT TRUE AND is_natsec IS NOT TRUE AND is_qa IS NOT TRUE AND {DAY('m.created_at')}",
+}
+query("agg17_stage_counters", " UNION ALL ".join(f"SELECT '{k}' AS stage, count(*) AS n, count(*) = 0 AS silent FROM {f}" for k, f in STAGES.items()), lambda v: rep.stage_counters(v.job, v.match_queue, AS_OF))
 query("agg18_public_stats", f"SELECT count(*) AS total, count(*) FILTER (WHERE remote_scope = 'global') AS global_jobs, count(*) FILTER (WHERE remote_scope IN ('country_fenced', 'region_fenced')) AS fenced, count(*) FILTER (WHERE {WIN('detected_at', 7)}) AS new_this_week FROM job WHERE status = 'active'", lambda v: rep.public_stats(v.job, AS_OF))
 query("agg19_trending_skills", "SELECT tag, count(*) AS n FROM (SELECT unnest(extracted_tags) AS tag FROM job WHERE status = 'active') x GROUP BY tag ORDER BY n DESC, tag LIMIT 15", lambda v: rep.trending_skills(v.job, 15))
 query(
@@ -313,12 +319,17 @@ query(
 query("agg35_active_alerts", "SELECT id, type, severity FROM alerts WHERE is_active", lambda v: v.alerts.filter("is_active").select("id", "type", "severity"))
 
 # --- lifecycle
+INCOMING = ["ats_source", "ats_slug", "concat(external_job_id, CASE WHEN id % 5 = 0 THEN 'n' ELSE '' END) AS external_job_id", "upper(title) AS title", "CASE WHEN id % 2 = 0 THEN location_name END AS location_name", "'hybrid' AS workplace_type", "compensation_max + 1 AS compensation_max", "'new payload' AS raw_json"]
+TAKES = "CASE WHEN i.title IS NOT NULL THEN i.{0} ELSE c.{0} END AS {0}".format
 query(
     "ups1_upsert_postings",
-    f"""WITH cur AS (SELECT * FROM job QUALIFY row_number() OVER (PARTITION BY ats_source, ats_slug, external_job_id ORDER BY id) = 1), inc AS (SELECT ats_source, ats_slug, concat(external_job_id, CASE WHEN id % 5 = 0 THEN 'n' ELSE '' END) AS external_job_id, upper(title) AS title FROM cur WHERE id % 3 = 0)
-    SELECT ats_source, ats_slug, external_job_id, coalesce(i.title, c.title) AS title, CASE WHEN i.title IS NOT NULL AND (c.id IS NULL OR c.status IN ('stale', 'gone')) THEN 'active' ELSE c.status END AS status, CASE WHEN i.title IS NOT NULL THEN {NOW} ELSE c.last_seen_at END AS last_seen_at,
+    f"""WITH cur AS (SELECT * FROM job QUALIFY row_number() OVER (PARTITION BY ats_source, ats_slug, external_job_id ORDER BY id) = 1), inc AS (SELECT {", ".join(INCOMING)} FROM cur WHERE id % 3 = 0)
+    SELECT ats_source, ats_slug, external_job_id, {", ".join(map(TAKES, ["title", "location_name", "workplace_type", "compensation_max"]))}, CASE WHEN i.title IS NOT NULL AND c.normalized_at IS NULL THEN i.raw_json ELSE c.raw_json END AS raw_json, c.employment_type,
+      CASE WHEN i.title IS NOT NULL AND (c.id IS NULL OR c.status IN ('stale', 'gone')) THEN 'active' ELSE c.status END AS status, CASE WHEN i.title IS NOT NULL THEN {NOW} ELSE c.last_seen_at END AS last_seen_at,
       CASE WHEN c.id IS NULL THEN 'new' WHEN i.title IS NOT NULL THEN 'updated' ELSE 'kept' END AS change FROM cur c FULL JOIN inc i USING (ats_source, ats_slug, external_job_id)""",
-    lambda v: (lambda c: ups.upsert_postings(c, c.filter("id % 3 = 0").selectExpr("ats_source", "ats_slug", "concat(external_job_id, CASE WHEN id % 5 = 0 THEN 'n' ELSE '' END) AS external_job_id", "upper(title) AS title"), AS_OF))(joi.dedupe_first(v.job, ups.POSTING_KEY, ["id"])),
+    lambda v: (lambda c: ups.upsert_postings(c, c.filter("id % 3 = 0").selectExpr(*INCOMING), AS_OF))(joi.dedupe_first(v.job, ups.POSTING_KEY, ["id"])).select(
+        *ups.POSTING_KEY, "title", "location_name", "workplace_type", "compensation_max", "raw_json", "employment_type", "status", "last_seen_at", "change"
+    ),
 )
 query(
     "ups3_insert_companies",
@@ -328,9 +339,10 @@ query(
 ONE = "(SELECT * FROM match_queue QUALIFY row_number() OVER (PARTITION BY job_id, persona_id ORDER BY id) = 1)"
 query(
     "ups4_upsert_matches",
-    f"""WITH c AS {ONE}.replace, r AS (SELECT job_id + CASE WHEN id % 7 = 0 THEN 1000000 ELSE 0 END AS job_id, persona_id, 9 AS n FROM c WHERE id % 2 = 0)
-    SELECT job_id, persona_id, CASE WHEN n IS NULL OR status IN ('mismatch', 'rejected', 'applied', 'approved') THEN coalesce(status, 'pending') ELSE 'pending' END AS status, coalesce(n, overlap_score) AS overlap FROM c FULL JOIN r USING (job_id, persona_id)""".replace(".replace", ""),
-    lambda v: (lambda c: ups.upsert_matches(c, c.filter("id % 2 = 0").selectExpr("job_id + CASE WHEN id % 7 = 0 THEN 1000000 ELSE 0 END AS job_id", "persona_id", "9 AS overlap")))(joi.dedupe_first(v.match_queue, ["job_id", "persona_id"], ["id"])),
+    f"""WITH c AS {ONE}, r AS (SELECT job_id + CASE WHEN id % 7 = 0 THEN 1000000 ELSE 0 END AS job_id, persona_id, 9 AS n, 0.5::DOUBLE AS d FROM c WHERE id % 2 = 0), b AS (SELECT *, n IS NULL OR coalesce(status IN ('mismatch', 'rejected', 'applied', 'approved'), false) AS stays FROM c FULL JOIN r USING (job_id, persona_id))
+    SELECT job_id, persona_id, CASE WHEN stays THEN coalesce(status, 'pending') ELSE 'pending' END AS status, coalesce(n, overlap_score) AS overlap, CASE WHEN n IS NULL THEN cosine_distance ELSE d END AS cosine_distance,
+      CASE WHEN stays THEN evaluated_at END AS evaluated_at, CASE WHEN stays THEN array_to_string(llm_blockers, '|') END AS llm_blockers, CASE WHEN stays THEN llm_confidence END AS llm_confidence, CASE WHEN stays THEN prompt_variant END AS prompt_variant FROM b""",
+    lambda v: (lambda c: ups.upsert_matches(c, c.filter("id % 2 = 0").selectExpr("job_id + CASE WHEN id % 7 = 0 THEN 1000000 ELSE 0 END AS job_id", "persona_id", "9 AS overlap", "0.5D AS cosine_distance")))(joi.dedupe_first(v.match_queue, ["job_id", "persona_id"], ["id"])).withColumn("llm_blockers", F.array_join("llm_blockers", "|")),
 )
 query("ups5_insert_absent", "SELECT company_id, discovery_source FROM (SELECT DISTINCT company_id, discovery_source FROM company_discovery_sources WHERE company_id % 2 = 0 UNION SELECT DISTINCT company_id, discovery_source FROM company_discovery_sources WHERE company_id % 3 = 0) x",
       lambda v: (lambda s: ups.insert_absent(s.filter("company_id % 2 = 0").distinct(), s.filter("company_id % 3 = 0"), ["company_id", "discovery_source"]))(v.company_discovery_sources.select("company_id", "discovery_source")))

@@ -45,18 +45,13 @@ BOARD_SHAPES: dict[str, tuple[str, str, dict[str, str]]] = {
 
 
 def _read(raw: DataFrame, shapes: dict, keys: list[str]) -> DataFrame:
-    """Each shape's payloads parsed by its schema; a payload that doesn't parse or is of no known source gives one row with ``valid`` false."""
-    unknown = ~F.coalesce(F.col("source").isin(list(shapes)), F.lit(False))
-    out = raw.filter(unknown).select(*keys, F.lit(False).alias("valid"), *[F.lit(None).cast("string").alias(c) for c in COMMON])
-    for source, (schema, path, fields) in shapes.items():
-        mine = raw.filter(F.col("source") == source)
-        parsed = mine.select(*keys, F.from_json("payload", schema).alias("p"))
-        array = F.col(f"p.{path}") if path else F.col("p")
-        rows = parsed.select(*keys, array.isNotNull().alias("valid"), F.explode_outer(array).alias("j"))
-        columns = [F.when(F.col("valid"), F.expr(fields[c])).alias(c) if c in fields else F.lit(None).cast("string").alias(c) for c in COMMON]
-        rows = rows.filter(F.col("j").isNotNull() | ~F.col("valid")).select(*keys, "valid", *columns)
-        out = out.unionByName(rows)
-    return out
+    """Each shape's payloads parsed by its schema, in one pass over ``raw``; a payload that doesn't parse or is of no known source
+    gives one row with ``valid`` false."""
+    posting = lambda fields: ", ".join(f"'{c}', CAST({fields.get(c, 'NULL')} AS STRING)" for c in COMMON)
+    parsed = raw.select(*keys, *[F.from_json(F.when(F.col("source") == s, F.col("payload")), schema).alias(f"_{s}") for s, (schema, _, _) in shapes.items()])
+    items = [F.expr(f"transform(_{s}{'.' + path if path else ''}, j -> named_struct({posting(fields)}))") for s, (_, path, fields) in shapes.items()]
+    rows = parsed.select(*keys, F.coalesce(*items).alias("_items")).select(*keys, F.col("_items").isNotNull().alias("valid"), F.explode_outer("_items").alias("j"))
+    return rows.filter(F.col("j").isNotNull() | ~F.col("valid")).select(*keys, "valid", *[F.col(f"j.{c}").alias(c) for c in COMMON])
 
 
 def read_ats_payloads(raw: DataFrame) -> DataFrame:
