@@ -455,10 +455,36 @@ MEDIUM_SIGNALS = [
     (r"\bright\s+to\s+work\s+(?:in|for)\s+([A-Z][a-z]+(?:\s+[A-Z][a-z]+)?)\b", "country_fenced"), (r"(?i)\bbased\s+in\s+([A-Z][a-z]+(?:\s+[A-Z][a-z]+)?)\s+(?:only|required)\b", "country_fenced"),
     (r"(?i)\bfully\s+remote\b", "global"), (r"(?i)\b100\s?%\s+remote\b", "global"), (r"(?i)\bremote\s+work\s+(?:available|option|opportunity)\b", "global"),
 ]
-# fixed values: wording that speaks against a scope: pattern, reason
+# fixed values: wording that speaks against a scope: pattern, reason, whether against every remote scope or the global one alone
 NEGATIVE_SIGNALS = [
-    (r"(?i)\brelocation\s+(?:required|offered|provided|assistance)\b", "relocation_required"), (r"(?i)\b(?:hybrid|on[- ]site|in[- ]office)\b", "hybrid_onsite"),
-    (r"(?i)\blocal\s+candidates?\s+(?:only|preferred)\b", "local_candidates_only"), (r"\bmust\s+(?:be\s+)?(?:in|based\s+in)\s+[A-Z][a-z]+,\s+[A-Z][a-z]+\b", "city_level_restriction"),
+    (r"(?i)\brelocation\s+(?:required|offered|provided|assistance)\b", "relocation_required", "global"), (r"(?i)\b(?:hybrid|on[- ]site|in[- ]office)\b", "hybrid_onsite", "all_remote"),
+    (r"(?i)\blocal\s+candidates?\s+(?:only|preferred)\b", "local_candidates_only", "global"), (r"\bmust\s+(?:be\s+)?(?:in|based\s+in)\s+[A-Z][a-z]+,\s+[A-Z][a-z]+\b", "city_level_restriction", "global"),
+]
+# fixed values: demands of presence, and groups of regions of which three make a location global
+ONSITE_SIGNALS = [r"\bon[- ]site\s+(?:position|role|job|work)\b", r"\bin[- ]office\s+(?:position|role|required)\b", r"\bmust\s+(?:work|be)\s+(?:on[- ]site|in[- ]office)\b"]
+MACRO_REGIONS = [
+    ["americas", "north america", "south america", "latam", "latin america"], ["europe", "european", "emea"], ["asia", "apac", "asia-pacific"], ["africa"],
+    ["middle east"], ["oceania", "australasia"],
+]
+# fixed values: wording of a global and of a fenced posting on the first pass
+FIRST_GLOBAL = [
+    r"\bremote\s*[-–]\s*(?:global|worldwide|anywhere)\b", r"\b(?:global[,\s]+remote|remote[,\s]+global)\b",
+    r"\bremote[- ]first\s+(?:organization|company|team|startup)\b", r"\bwork\s+from\s+anywhere\b", r"\bwork\s+from\s+any\s+location\b",
+    r"\bany\s+country\b", r"\bany\s+location\b", r"\bworldwide\b", r"\bdistributed\s+(?:team|workforce|company|organization)\b",
+    r"\bteam\s+members\s+across\s+\d+\s+countries\b", r"\boperates?\s+in\s+\d+\s+countries\b", r"\banywhere\s+in\s+the\s+world\b",
+    r"\banywhere\s+in\s+the\s+globe\b",
+]
+FIRST_FENCED = [
+    r"\bremote\s*[-–]\s*(?:us|usa|united\s+states|u\.s\.)\b", r"\bremote\s*[-–]\s*(?:uk|united\s+kingdom|england)\b",
+    r"\bremote\s*[-–]\s*(?:eu|europe|european\s+union)\b", r"\bremote\s*[-–]\s*(?:germany|france|spain|italy|netherlands|poland|portugal)\b",
+    r"\bremote\s*[-–]\s*(?:canada|australia|india|brazil|mexico|argentina|colombia)\b", r"\bremote\s*[-–]\s*(?:latam|apac|emea|balkans|eastern\s+europe)\b",
+    r"\bremote\s+(?:within|in|only|restricted)\b", r"\bmust\s+(?:be\s+)?(?:located|reside)\s+in\b", r"\b(?:us|uk|eu)\s+only\b", r"\bnorth\s+america\s+only\b",
+    r"\bauthorized\s+to\s+work\s+in\s+(?:the\s+)?(?:united\s+states|us|u\.s\.|india|canada|philippines|uk|australia|germany|france)\b",
+    r"\bmust\s+be\s+based\s+in\s+(?:the\s+)?(?:united\s+states|us|u\.s\.|india|canada|uk|australia)\b",
+    r"\beligible\s+to\s+work\s+in\s+(?:the\s+)?(?:united\s+states|us|canada|uk|australia|germany|france)\b",
+    r"\bmust\s+be\s+a\s+(?:united\s+states|us|u\.s\.)\s+citizen\b", r"\bremote\s+within\s+(?:the\s+)?(?:united\s+states|colombia|india|canada|uk|australia)\b",
+    r"\banywhere\s+in\s+(?:the\s+)?(?:us|u\.s\.|usa|united\s+states|uk|u\.k\.|united\s+kingdom|canada|australia|germany|france|spain|italy|netherlands|poland|portugal|india|brazil|mexico|argentina|colombia)\b",
+    r"\bthrive\s+from\s+anywhere\s+in\s+(?:the\s+)?(?:us|u\.s\.|usa|united\s+states)\b",
 ]
 # fixed values: words of national security: those that suffice, those that need one of a clearance, and those
 NATSEC_WORDS = [

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -9,12 +11,6 @@ from matchflow.functions import constants as C
 from matchflow.functions import exprs as X
 from matchflow.operators.filters import is_specific
 
-GLOBAL_HIGH = r"(work from anywhere|anywhere in the world|fully remote, worldwide|worldwide remote|remote worldwide)"
-COUNTRY_HIGH = r"(within canada only|authorized to work in the united states|us citizens only|must reside in the)"
-REGION_HIGH = r"(europe only|emea only|latam only|apac only|eu only|north america only)"
-ONSITE = r"(on-site in|onsite in|days in the office|office-based)"
-
-
 def with_workplace_type(df: DataFrame) -> DataFrame:
     """From the location, else from the text; hybrid before remote before on-site."""
     place, text = F.lower(F.coalesce("location_name", F.lit(""))), F.lower(F.coalesce("normalized_text", F.lit("")))
@@ -60,11 +56,14 @@ def with_utc_span(df: DataFrame) -> DataFrame:
     return df.withColumn("span", span).withColumn("span_scope", F.when(span <= 8, "region_fenced").when(span > 8, "global"))
 
 
+def fired_probes(text: Column) -> Column:
+    """(name, weight) of the probes of a region fence that fire: one of weight 2 or two of weight 1 make a fence."""
+    return F.array_compact(F.array(*[F.when(text.rlike(f"(?i){p}"), F.struct(F.lit(n).alias("name"), F.lit(w).alias("weight"))) for n, p, w in C.REGION_PROBES]))
+
+
 def with_multi_probe(df: DataFrame) -> DataFrame:
-    """``probes`` that fire and whether they fence a region: one of high weight, or two of medium weight."""
-    text = F.coalesce("normalized_text", F.lit(""))
-    fired = F.array_compact(F.array(*[F.when(text.rlike(f"(?i){p}"), F.struct(F.lit(n).alias("name"), F.lit(w).alias("weight"))) for n, p, w in C.REGION_PROBES]))
-    staged = df.withColumn("_fired", fired)
+    """``probes`` that fire and whether they fence a region."""
+    staged = df.withColumn("_fired", fired_probes(F.coalesce("normalized_text", F.lit(""))))
     total = F.aggregate("_fired", F.lit(0), lambda s, x: s + x["weight"])
     return staged.withColumn("probes", F.array_join(F.transform("_fired", lambda x: x["name"]), ",")).withColumn("region_fence", total >= 2).drop("_fired")
 
@@ -95,58 +94,98 @@ def with_scope_signals(df: DataFrame, column: str = "normalized_text") -> DataFr
         .withColumn("fence_countries", F.array_sort(F.array_distinct(F.filter("_fences", lambda x: x != ""))))
         .withColumn("fence_regions", F.array_sort(F.array_distinct(hits(C.REGION_SIGNALS))))
         .withColumn("medium", F.array_sort(F.array_distinct(hits(C.MEDIUM_SIGNALS, ""))))
-        .withColumn("negatives", hits(C.NEGATIVE_SIGNALS, ""))
+        .withColumn("negatives", hits([(p, n) for p, n, _ in C.NEGATIVE_SIGNALS], ""))
         .drop("_fences")
     )
 
 
 def infer_remote_scope(df: DataFrame) -> DataFrame:
-    """First pass: workplace, then global, country and region wording, then the location."""
-    text, place = F.lower(F.concat_ws(" ", "title", "normalized_text")), F.lower(F.coalesce("location_name", F.lit("")))
+    """First pass: workplace, then global, fencing and region wording of location and text, then the location alone."""
+    place = F.coalesce("location_name", F.lit(""))
+    both, low = F.concat_ws(" ", place, F.coalesce("normalized_text", F.lit(""))), F.lower(place)
+    any_of = lambda ps: both.rlike("(?i)" + "|".join(ps))
     scope = (
         F.when(F.col("workplace_type").isin("on-site", "hybrid"), "onsite")
-        .when(text.rlike(GLOBAL_HIGH) | place.rlike("(worldwide|anywhere)"), "global")
-        .when(text.rlike(COUNTRY_HIGH), "country_fenced")
-        .when(text.rlike(REGION_HIGH) | place.rlike(X.any_word(C.REGION_TERMS)), "region_fenced")
-        .when(place == "remote", "unknown")
-        .when(place.rlike(X.any_word(list(C.COUNTRIES))), "country_fenced")
-        .when(is_specific(place), "onsite")
+        .when(any_of(C.FIRST_GLOBAL), "global")
+        .when(any_of(C.FIRST_FENCED), "country_fenced")
+        .when(any_of([p for p, _ in C.REGION_SIGNALS if p.startswith(r"\bremote")]), "region_fenced")
+        .when((F.col("workplace_type") == "remote") & low.rlike(r"^\s*remote\s*$"), "global")
+        .when((F.size(X.countries_named(low)) > 0) | is_specific(low), "country_fenced")
         .otherwise("unknown")
     )
     return df.withColumn("inferred_scope", scope)
 
 
 def classify_remote_scope(df: DataFrame) -> DataFrame:
-    """The cascade: ``scope`` and ``resolved_by``, first step that decides. Steps are staged columns, so that no single
-    expression grows beyond what the code generator compiles."""
-    text, place = F.lower(F.coalesce("normalized_text", F.lit(""))), F.lower(F.coalesce("location_name", F.lit("")))
-    remote = F.col("workplace_type").isNull() | (F.col("workplace_type") == "remote")
-    country, specific = place.rlike(X.any_word(list(C.COUNTRIES))), is_specific(place)
-    regions = F.size(F.array_distinct(F.regexp_extract_all(place, F.lit("(emea|apac|latam|namer|europe|asia|africa)"), 1)))
-    staged = (
-        df.withColumn("_place", F.when(F.col("workplace_type").isin("on-site", "hybrid") & (F.col("ats_source") != "greenhouse"), "structured:onsite").when(remote & (regions >= 3), "regions:global").when(remote & place.rlike("remote") & country, "remote_country:country_fenced").when(F.col("workplace_type").isNull() & specific, "place:onsite"))
-        .withColumn("_said", F.when(text.rlike(GLOBAL_HIGH), "global").when(text.rlike(COUNTRY_HIGH), "country_fenced").when(text.rlike(REGION_HIGH), "region_fenced").when(F.col("workplace_type").isNull() & text.rlike(ONSITE), "onsite"))
-    )
-    staged = with_multi_probe(staged)
-    always = text.rlike("(work from anywhere|anywhere in the world)")
-    conflict = (F.col("_said") == "global") & specific & ~always
+    """The cascade: ``scope``, ``countries`` (sorted; null for none), ``resolved_by`` and ``confidence`` of the first step that decides.
+
+    Workplaces that a source states (but for one source), then the location, then strong wording of the text without the
+    location, then the location again, then region probes. Steps are staged columns, so that no single expression grows beyond
+    what the code generator compiles."""
+    place, work = F.coalesce("location_name", F.lit("")), F.col("workplace_type")
+    low, tidy = F.lower(place), F.trim(F.regexp_replace(F.coalesce("normalized_text", F.lit("")), r"\s+", " "))
+    quoted = F.regexp_replace(place, r"([.*+?^${}()|\[\]\\])", r"\\$1")
+    staged = df.withColumn("_t", F.when(place == "", tidy).otherwise(F.regexp_replace(tidy, F.concat(F.lit("(?iu)"), quoted), F.lit(" "))))
+    text = F.col("_t")
+    any_of = lambda ps: text.rlike("(?i)" + "|".join(ps))
+    first = lambda pairs, flag="(?i)": F.coalesce(*[F.when(text.rlike(flag + p), F.lit(n)) for p, n in pairs])
+    against = lambda kind: functools.reduce(Column.__or__, [text.rlike(p) for p, _, k in C.NEGATIVE_SIGNALS if k == kind])
+    groups = sum((low.rlike("(^|[^a-z])(" + "|".join(names) + ")($|[^a-z])").cast("int") for names in C.MACRO_REGIONS[1:]), low.rlike("(^|[^a-z])(" + "|".join(C.MACRO_REGIONS[0]) + ")($|[^a-z])").cast("int"))
+    staged = staged.withColumns(
+        {
+            "_open": (work.isNull() | (work == "remote")) & (place != ""), "_groups": groups, "_first": F.get(X.countries_named(low), 0), "_specific": is_specific(low),
+            "_anywhere": low.rlike(X.any_part(C.REMOTE_INDICATORS)), "_global": any_of(C.GLOBAL_SIGNALS), "_always": any_of(C.ALWAYS_GLOBAL), "_country": first(COUNTRY_FENCES),
+            "_region": first(C.REGION_SIGNALS), "_onsite": work.isNull() & any_of(C.ONSITE_SIGNALS), "_never": against("all_remote"), "_not_global": against("global"),
+        }
+    )
+    span = utc_span(F.lower(text))
+    soft = [F.when(text.rlike(p) & (F.lit(scope != "global") | ~F.col("_not_global")), scope) for p, scope in C.MEDIUM_SIGNALS]
+    soft += [F.when(span <= 8, "region_fenced").when(~F.col("_not_global"), F.when(span > 8, "global"))]
+    hard = F.col("_country").isNotNull() | F.col("_region").isNotNull() | F.col("_onsite") | F.col("_never")
+    weights = F.transform(fired_probes(text), lambda x: x["weight"])
+    staged = staged.withColumn("_says_global", F.col("_global") | (~hard & X.true_(F.coalesce(*soft) == "global"))).withColumn("_weights", weights)
+    some = lambda codes: F.when(F.size(codes) > 0, codes)
+    members = F.create_map(*[x for r, codes in C.TEXT_REGIONS.items() for x in (F.lit(r), X.strings(sorted(codes)))])
+    named = F.when(F.col("_country") == "", some(codes_in(text))).otherwise(F.array("_country"))
+    own = F.when(F.col("_first").isNotNull(), F.array("_first"))
+    fenced = F.aggregate("_weights", F.lit(0), lambda s, x: s + x) >= 2
+    enough, conflict = F.length(text) >= 50, F.col("_global") & F.col("_specific")
+
+    def verdict(scope: str, countries: Column | None = None, by: str = "step1_regex", confidence: Column | float = 0.7) -> Column:
+        codes = F.lit(None) if countries is None else countries
+        return F.struct(F.lit(scope).alias("scope"), codes.cast("array<string>").alias("countries"), F.lit(by).alias("resolved_by"), (F.lit(confidence) if isinstance(confidence, float) else confidence).alias("confidence"))
+
     result = (
-        F.when(F.col("_place").isNotNull(), F.col("_place"))
-        .when(F.col("_said").isNotNull() & (F.col("_said") != "global"), F.concat(F.lit("text:"), F.col("_said")))
-        .when((F.col("_said") == "global") & ~conflict, "text:global")
-        .when(specific & F.col("_said").isNull(), F.when(F.col("workplace_type") == "remote", "location:country_fenced").otherwise("location:onsite"))
-        .when((F.length(text) >= 50) & F.col("region_fence"), "probe:region_fenced")
-        .otherwise(F.when(F.length(text) < 50, "hard_fail:undetermined").otherwise("no_signal:undetermined"))
+        F.when(work.isin("on-site", "hybrid") & ~X.true_(F.col("ats_source") == "greenhouse"), verdict("onsite", by="step1_ats_native", confidence=1.0))
+        .when(F.col("_open") & (F.col("_groups") >= 3), verdict("global"))
+        .when(F.col("_open") & F.col("_anywhere") & F.col("_first").isNotNull(), verdict("country_fenced", own))
+        .when(work.isNull() & F.col("_specific"), verdict("onsite"))
+        .when(F.col("_global") & F.col("_always"), verdict("global", confidence=1.0))
+        .when(F.col("_global") & ~F.col("_specific"), verdict("global", some(codes_in(text)), confidence=1.0))
+        .when(~F.col("_global") & F.col("_country").isNotNull(), verdict("country_fenced", named, confidence=1.0))
+        .when(~F.col("_global") & F.col("_region").isNotNull(), verdict("region_fenced", members[F.col("_region")], confidence=1.0))
+        .when(~F.col("_global") & (F.col("_onsite") | (F.col("_never") & ~X.true_(work == "remote"))), verdict("onsite", confidence=1.0))
+        .when(F.col("_open") & ~F.col("_says_global") & F.col("_specific"), verdict("country_fenced", own))
+        .when(enough & fenced, verdict("region_fenced", confidence=F.when(F.array_contains("_weights", 2), 1.0).otherwise(0.7)))
+        .when(enough & F.col("_says_global") & ~conflict, verdict("global"))
+        .when(~enough, verdict("undetermined", by="hard_fail", confidence=0.0))
+        .otherwise(verdict("undetermined", by="deterministic_only_no_signal", confidence=0.0))
     )
-    return staged.withColumn("_r", result).withColumn("resolved_by", F.split("_r", ":")[0]).withColumn("scope", F.split("_r", ":")[1]).drop("_place", "_said", "_r", "probes", "region_fence")
+    helpers = ["_t", "_open", "_groups", "_first", "_specific", "_anywhere", "_global", "_always", "_country", "_region", "_onsite", "_never", "_not_global", "_says_global", "_weights", "_r"]
+    out = staged.withColumn("_r", result)
+    return out.withColumns({c: F.col(f"_r.{c}") for c in ("scope", "countries", "resolved_by", "confidence")}).drop(*helpers)
+
+
+def codes_in(text: Column) -> Column:
+    """Codes of the countries that a text names, or that belong to a region it names, sorted."""
+    low = F.lower(text)
+    members = X.values_named(low, {name: ",".join(codes) for name, codes in C.TEXT_REGIONS.items()})
+    return F.array_sort(F.array_union(X.values_named(low, C.COUNTRIES), F.flatten(F.transform(members, lambda x: F.split(x, ",")))))
 
 
 def extract_countries(df: DataFrame, column: str) -> DataFrame:
-    """``countries``: codes of the countries that a text names, or that belong to a region it names, sorted."""
-    text = F.lower(F.coalesce(column, F.lit("")))
-    members = X.values_named(text, {name: ",".join(codes) for name, codes in C.TEXT_REGIONS.items()})
-    inside = F.flatten(F.transform(members, lambda x: F.split(x, ",")))
-    return df.withColumn("countries", F.array_sort(F.array_union(X.values_named(text, C.COUNTRIES), inside)))
+    """``countries``: the codes that ``codes_in`` finds; empty for none."""
+    return df.withColumn("countries", codes_in(F.coalesce(column, F.lit(""))))
 
 
 def strip_hq(df: DataFrame, hq: str) -> DataFrame:

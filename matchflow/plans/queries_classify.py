@@ -17,7 +17,7 @@ from matchflow.plans import jobs
 from matchflow.plans.adapters import AS_OF
 from matchflow.sources import discovery as dis
 from matchflow.plans.queries import DEFINING, NOW, ORACLE_SQL, SPECIFIC, arr, parts, query, route_sql, words
-from matchflow.plans.queries_more import BLOCKERS, PAIRS, PLACED, TITLE_TAG, pairs, rate
+from matchflow.plans.queries_more import BLOCKERS, PAIRS, PLACED, TITLE_TAG, named_in, pairs, rate
 
 PLACE, TEXT = "lower(coalesce(location_name, ''))", "lower(coalesce(normalized_text, ''))"
 has = "regexp_matches({0}, '{1}')".format
@@ -32,41 +32,58 @@ query("cls5_title_region", f"SELECT id, {TITLE_TAG} AS title_region FROM job", l
 num = "TRY_CAST(nullif(regexp_extract({0}, '{1}', {2}), '') AS INT)".format
 PAIR = "([0-9]{1,2}) ?(?:-|to) ?([0-9]{1,2}) ?(?:[+] ?)?years"
 query("cls6_experience_range", f"SELECT id, coalesce({num(TEXT, PAIR, 1)}, {num(TEXT, '([0-9]{1,2}) ?[+]? ?years', 1)}) AS years_min, {num(TEXT, PAIR, 2)} AS years_max FROM job", lambda v: cls.with_experience_range(v.job).select("id", "years_min", "years_max"))
-BOTH = "lower(concat_ws(' ', title, normalized_text))"
 SPEC = SPECIFIC
-SCOPE = f"""CASE WHEN workplace_type IN ('on-site', 'hybrid') THEN 'onsite' WHEN {has(BOTH, cls.GLOBAL_HIGH)} OR {has(PLACE, '(worldwide|anywhere)')} THEN 'global' WHEN {has(BOTH, cls.COUNTRY_HIGH)} THEN 'country_fenced'
-  WHEN {has(BOTH, cls.REGION_HIGH)} OR {has(PLACE, words(C.REGION_TERMS))} THEN 'region_fenced' WHEN {PLACE} = 'remote' THEN 'unknown' WHEN {has(PLACE, words(list(C.COUNTRIES)))} THEN 'country_fenced' WHEN {SPEC} THEN 'onsite' ELSE 'unknown' END"""
+NAMED = named_in(PLACE)
+either = lambda ps: f"regexp_matches(concat_ws(' ', coalesce(location_name, ''), coalesce(normalized_text, '')), '(?i){'|'.join(ps)}')"
+SCOPE = f"""CASE WHEN workplace_type IN ('on-site', 'hybrid') THEN 'onsite' WHEN {either(C.FIRST_GLOBAL)} THEN 'global' WHEN {either(C.FIRST_FENCED)} THEN 'country_fenced'
+  WHEN {either([p for p, _ in C.REGION_SIGNALS if p.startswith(chr(92) + "bremote")])} THEN 'region_fenced' WHEN workplace_type = 'remote' AND trim({PLACE}) = 'remote' THEN 'global' WHEN len({NAMED}) > 0 OR {SPEC} THEN 'country_fenced' ELSE 'unknown' END"""
 said = lambda ps: f"regexp_matches(coalesce(normalized_text, ''), '(?i){'|'.join(ps)}')"
 hits = lambda pairs, flag="(?i)": "list_filter([" + ", ".join(f"CASE WHEN regexp_matches(coalesce(normalized_text, ''), '{flag}{p}') THEN '{n}' END" for p, n in pairs) + "], lambda x: x IS NOT NULL)"
 tidy = lambda items: f"array_to_string(list_sort(list_distinct({items})), ',')"
 query(
     "cls9_scope_signals",
     f"SELECT id, {said(C.ALWAYS_GLOBAL)} AS always_global, {said(C.GLOBAL_SIGNALS)} AS global_high, len({hits(cls.COUNTRY_FENCES)}) > 0 AS country_high, {tidy('list_filter(' + hits(cls.COUNTRY_FENCES) + ', lambda y: length(y) > 0)')} AS fence_countries, "
-    f"{tidy(hits(C.REGION_SIGNALS))} AS fence_regions, {tidy(hits(C.MEDIUM_SIGNALS, ''))} AS medium, array_to_string({hits(C.NEGATIVE_SIGNALS, '')}, ',') AS negatives FROM job",
+    f"{tidy(hits(C.REGION_SIGNALS))} AS fence_regions, {tidy(hits(C.MEDIUM_SIGNALS, ''))} AS medium, array_to_string({hits([s[:2] for s in C.NEGATIVE_SIGNALS], '')}, ',') AS negatives FROM job",
     lambda v: cls.with_scope_signals(v.job).select("id", "always_global", "global_high", "country_high", *[F.array_join(c, ",").alias(c) for c in ("fence_countries", "fence_regions", "medium", "negatives")]),
 )
 query("cls7_infer_scope", f"SELECT id, {SCOPE} AS inferred_scope FROM job", lambda v: cls.infer_remote_scope(v.job).select("id", "inferred_scope"))
 FIRED = "[" + ", ".join(f"CASE WHEN {has(TEXT, '(?i)' + p)} THEN '{n}' END" for n, p, _ in C.REGION_PROBES) + "]"
 WEIGHT = " + ".join(f"CASE WHEN {has(TEXT, '(?i)' + p)} THEN {w} ELSE 0 END" for _, p, w in C.REGION_PROBES)
 query("cls11_multi_probe", f"SELECT id, array_to_string(list_filter({FIRED}, lambda x: x IS NOT NULL), ',') AS probes, {WEIGHT} >= 2 AS region_fence FROM job", lambda v: cls.with_multi_probe(v.job).select("id", "probes", "region_fence"))
-CASCADE = f"""SELECT id, CASE WHEN place IS NOT NULL THEN place WHEN said IS NOT NULL AND said <> 'global' THEN 'text:' || said WHEN said = 'global' AND NOT (spec AND NOT {has('t', '(work from anywhere|anywhere in the world)')}) THEN 'text:global'
-    WHEN spec AND said IS NULL THEN CASE WHEN workplace_type = 'remote' THEN 'location:country_fenced' ELSE 'location:onsite' END WHEN length(t) >= 50 AND fence THEN 'probe:region_fenced' WHEN length(t) < 50 THEN 'hard_fail:undetermined' ELSE 'no_signal:undetermined' END AS r
-  FROM (SELECT id, workplace_type, {TEXT} AS t, {SPEC} AS spec, {WEIGHT} >= 2 AS fence,
-    CASE WHEN workplace_type IN ('on-site', 'hybrid') AND ats_source <> 'greenhouse' THEN 'structured:onsite' WHEN (workplace_type IS NULL OR workplace_type = 'remote') AND len(list_distinct(regexp_extract_all({PLACE}, '(emea|apac|latam|namer|europe|asia|africa)'))) >= 3 THEN 'regions:global'
-      WHEN (workplace_type IS NULL OR workplace_type = 'remote') AND contains({PLACE}, 'remote') AND {has(PLACE, words(list(C.COUNTRIES)))} THEN 'remote_country:country_fenced' WHEN workplace_type IS NULL AND {SPEC} THEN 'place:onsite' END AS place,
-    CASE WHEN {has(TEXT, cls.GLOBAL_HIGH)} THEN 'global' WHEN {has(TEXT, cls.COUNTRY_HIGH)} THEN 'country_fenced' WHEN {has(TEXT, cls.REGION_HIGH)} THEN 'region_fenced' WHEN workplace_type IS NULL AND {has(TEXT, cls.ONSITE)} THEN 'onsite' END AS said FROM job) j"""
-query("cls8_scope_cascade", f"SELECT id, split_part(r, ':', 2) AS scope, split_part(r, ':', 1) AS resolved_by FROM ({CASCADE}) x", lambda v: cls.classify_remote_scope(v.job).select("id", "scope", "resolved_by"))
-query("cls24_reclassify_undetermined", f"SELECT x.id, split_part(r, ':', 2) AS scope FROM ({CASCADE}) x JOIN job o ON o.id = x.id WHERE o.remote_scope = 'undetermined'", lambda v: cls.classify_remote_scope(v.job.filter("remote_scope = 'undetermined'")).select("id", "scope"))
 SPAN = "abs({0} - {1})".format(num(TEXT, "utc ?([+-][0-9]{1,2}) ?(?:to|-|and) ?utc ?([+-][0-9]{1,2})", 2), num(TEXT, "utc ?([+-][0-9]{1,2}) ?(?:to|-|and) ?utc ?([+-][0-9]{1,2})", 1))
-query("cls10_utc_span", f"SELECT id, {SPAN} AS span, CASE WHEN {SPAN} <= 8 THEN 'region_fenced' WHEN {SPAN} > 8 THEN 'global' END AS span_scope FROM job", lambda v: cls.with_utc_span(v.job).select("id", "span", "span_scope"))
-
-
 def countries(col: str) -> str:
     names = ", ".join(f"CASE WHEN regexp_matches({col}, '(^|[^a-z]){re.escape(n)}($|[^a-z])') THEN ['{c}'] END" for n, c in C.COUNTRIES.items())
     regions = ", ".join(f"CASE WHEN regexp_matches({col}, '(^|[^a-z]){n}($|[^a-z])') THEN {arr(cs)} END" for n, cs in C.TEXT_REGIONS.items())
     return f"list_sort(list_distinct(flatten(list_filter([{names}, {regions}], lambda x: x IS NOT NULL))))"
 
 
+said_in = lambda ps: f"regexp_matches(t, '(?i){'|'.join(ps)}')"
+first_of = lambda pairs, flag="(?i)": "CASE " + " ".join(f"WHEN regexp_matches(t, '{flag}{p}') THEN '{n}'" for p, n in pairs) + " END"
+against = lambda kind: "(" + " OR ".join(f"regexp_matches(t, '{p}')" for p, _, k in C.NEGATIVE_SIGNALS if k == kind) + ")"
+GROUPS = " + ".join(f"CAST(regexp_matches({PLACE}, '(^|[^a-z])({'|'.join(g)})($|[^a-z])') AS INT)" for g in C.MACRO_REGIONS)
+SOFT = "CASE " + " ".join(f"WHEN regexp_matches(t, '{p}')" + (" AND NOT not_global" if sc == "global" else "") + f" THEN '{sc}'" for p, sc in C.MEDIUM_SIGNALS) + f" WHEN {SPAN.replace(TEXT, 'lower(t)')} <= 8 THEN 'region_fenced' WHEN {SPAN.replace(TEXT, 'lower(t)')} > 8 AND NOT not_global THEN 'global' END"
+FIRED_IN = "[" + ", ".join(f"CASE WHEN regexp_matches(t, '(?i){p}') THEN {w} ELSE 0 END" for _, p, w in C.REGION_PROBES) + "]"
+MEMBERS = "CASE region " + " ".join(f"WHEN '{r}' THEN {arr(sorted(cs))}" for r, cs in C.TEXT_REGIONS.items()) + " END"
+CODES = countries("lower(t)")
+ROWS = [
+    ("native", "onsite", "NULL", "step1_ats_native", "1"), ("open AND groups >= 3", "global", "NULL", "step1_regex", "0.7"), ("open AND nowhere AND len(nd) > 0", "country_fenced", "[nd[1]]", "step1_regex", "0.7"),
+    ("workplace_type IS NULL AND spec", "onsite", "NULL", "step1_regex", "0.7"), ("g AND always", "global", "NULL", "step1_regex", "1"), ("g AND NOT spec", "global", "CASE WHEN len(codes) > 0 THEN codes END", "step1_regex", "1"),
+    ("NOT g AND country IS NOT NULL", "country_fenced", "CASE WHEN country <> '' THEN [country] WHEN len(codes) > 0 THEN codes END", "step1_regex", "1"), ("NOT g AND region IS NOT NULL", "region_fenced", MEMBERS, "step1_regex", "1"),
+    ("NOT g AND (onsite OR (never AND workplace_type IS DISTINCT FROM 'remote'))", "onsite", "NULL", "step1_regex", "1"), ("open AND NOT says AND spec", "country_fenced", "CASE WHEN len(nd) > 0 THEN [nd[1]] END", "step1_regex", "0.7"),
+    ("long AND list_sum(ws) >= 2", "region_fenced", "NULL", "step1_regex", "CASE WHEN list_contains(ws, 2) THEN 1 ELSE 0.7 END"), ("long AND says AND NOT (g AND spec)", "global", "NULL", "step1_regex", "0.7"),
+    ("NOT long", "undetermined", "NULL", "hard_fail", "0"), ("true", "undetermined", "NULL", "deterministic_only_no_signal", "0"),
+]
+by_row = lambda at, q="": "CASE " + " ".join(f"WHEN {r[0]} THEN {q}{r[at]}{q}" for r in ROWS) + " END"
+CASCADE = f"""SELECT id, {by_row(1, "'")} AS scope, {by_row(2)} AS countries, {by_row(3, "'")} AS resolved_by, CAST({by_row(4)} AS DOUBLE) AS confidence
+  FROM (SELECT *, g OR (country IS NULL AND region IS NULL AND NOT onsite AND NOT never AND coalesce(({SOFT}) = 'global', false)) AS says, {CODES} AS codes, {FIRED_IN} AS ws, length(t) >= 50 AS long
+    FROM (SELECT *, {said_in(C.GLOBAL_SIGNALS)} AS g, {said_in(C.ALWAYS_GLOBAL)} AS always, {first_of(cls.COUNTRY_FENCES)} AS country, {first_of(C.REGION_SIGNALS)} AS region, workplace_type IS NULL AND {said_in(C.ONSITE_SIGNALS)} AS onsite, {against("all_remote")} AS never, {against("global")} AS not_global
+      FROM (SELECT id, workplace_type, workplace_type IN ('on-site', 'hybrid') AND ats_source IS DISTINCT FROM 'greenhouse' AS native, (workplace_type IS NULL OR workplace_type = 'remote') AND coalesce(location_name, '') <> '' AS open, {GROUPS} AS groups, {NAMED} AS nd, {SPEC} AS spec, regexp_matches({PLACE}, '{parts(C.REMOTE_INDICATORS)}') AS nowhere,
+        CASE WHEN coalesce(location_name, '') = '' THEN tidy ELSE regexp_replace(tidy, '(?i)' || regexp_escape(location_name), ' ', 'g') END AS t FROM (SELECT *, trim(regexp_replace(coalesce(normalized_text, ''), '\\s+', ' ', 'g')) AS tidy FROM job) a) b) c) d"""
+query("cls8_scope_cascade", f"SELECT id, scope, array_to_string(countries, ',') AS countries, resolved_by, confidence FROM ({CASCADE}) x", lambda v: cls.classify_remote_scope(v.job).select("id", "scope", F.array_join("countries", ",").alias("countries"), "resolved_by", "confidence"))
+query("cls24_reclassify_undetermined", f"SELECT x.id, scope FROM ({CASCADE}) x JOIN job o ON o.id = x.id WHERE o.remote_scope = 'undetermined'", lambda v: cls.classify_remote_scope(v.job.filter("remote_scope = 'undetermined'")).select("id", "scope"))
+query("cls10_utc_span", f"SELECT id, {SPAN} AS span, CASE WHEN {SPAN} <= 8 THEN 'region_fenced' WHEN {SPAN} > 8 THEN 'global' END AS span_scope FROM job", lambda v: cls.with_utc_span(v.job).select("id", "span", "span_scope"))
+
+
 query("cls12_countries", f"SELECT id, array_to_string({countries(PLACE)}, ',') AS countries FROM job", lambda v: cls.extract_countries(v.job, "location_name").select("id", F.array_join("countries", ",").alias("countries")))
 query("cls13_strip_hq", f"SELECT id, CASE WHEN length({PLACE}) > 3 AND {SPEC} THEN replace(lower(normalized_text), {PLACE}, '') ELSE lower(normalized_text) END AS stripped FROM job", lambda v: cls.strip_hq(v.job, "location_name").select("id", "stripped"))
 query("cls14_specific_location", f"SELECT id, {SPECIFIC} AS specific FROM job", lambda v: v.job.select("id", flt.is_specific(F.lower(F.coalesce("location_name", F.lit("")))).alias("specific")))
@@ -118,7 +135,7 @@ query(
 )
 
 # --- composed jobs
-query("pip1_normalize_job", f"SELECT j.id, split_part(r, ':', 2) AS scope, CASE WHEN length(normalized_text) < 100 THEN 'title_only' WHEN list_has_any(extracted_tags, {DEFINING}) THEN 'normalized' ELSE 'no_tags' END AS outcome FROM job j JOIN ({CASCADE}) x ON x.id = j.id WHERE status NOT IN ('rejected', 'stale', 'gone') AND normalized_at IS NULL", lambda v: jobs.normalize_job(v.job).select("id", "scope", "outcome"))
+query("pip1_normalize_job", f"SELECT j.id, x.scope AS scope, CASE WHEN length(normalized_text) < 100 THEN 'title_only' WHEN list_has_any(extracted_tags, {DEFINING}) THEN 'normalized' ELSE 'no_tags' END AS outcome FROM job j JOIN ({CASCADE}) x ON x.id = j.id WHERE status NOT IN ('rejected', 'stale', 'gone') AND normalized_at IS NULL", lambda v: jobs.normalize_job(v.job).select("id", "scope", "outcome"))
 query(
     "pip5_nightly_maintenance",
     f"SELECT status, rule, count(*) AS n FROM (SELECT s AS status, CASE WHEN s = 'rejected' AND normalized_at < {NOW} - INTERVAL 1 DAY THEN 'rejected' WHEN s = 'gone' AND last_seen_at < {NOW} - INTERVAL 7 DAY THEN 'gone' WHEN s = 'normalization_failed' AND detected_at < {NOW} - INTERVAL 7 DAY THEN 'failed' WHEN coalesce(published_at, detected_at) < {NOW} - INTERVAL 30 DAY THEN 'ancient' END AS rule FROM (SELECT *, CASE WHEN a = 'stale' AND last_seen_at < {NOW} - INTERVAL 30 DAY THEN 'gone' ELSE a END AS s FROM (SELECT *, CASE WHEN status = 'active' AND (last_seen_at < {NOW} - INTERVAL 7 DAY OR published_at < {NOW} - INTERVAL 60 DAY) THEN 'stale' ELSE status END AS a FROM job) x) y) z GROUP BY 1, 2",
@@ -136,7 +153,7 @@ query(
     f"{route_sql(True, 'fit').replace('pairs', 'met')} SELECT job_id, persona_id, rank FROM routed",
     lambda v: jobs.reprocess(v.job, v.persona, v.applicant, v.match_queue).select("job_id", "persona_id", "rank"),
 )
-query("pip4_provisional_normalize", f"SELECT o.id, CASE WHEN length(o.normalized_text) >= 100 THEN split_part(r, ':', 2) ELSE 'undetermined' END AS scope FROM ({CASCADE}) x JOIN job o ON o.id = x.id WHERE o.normalized_at IS NULL", lambda v: jobs.provisional_normalize(v.job).select("id", "scope"))
+query("pip4_provisional_normalize", f"SELECT o.id, CASE WHEN length(o.normalized_text) >= 100 THEN x.scope ELSE 'undetermined' END AS scope FROM ({CASCADE}) x JOIN job o ON o.id = x.id WHERE o.normalized_at IS NULL", lambda v: jobs.provisional_normalize(v.job).select("id", "scope"))
 CERTS = "CASE WHEN c_custkey % 3 = 0 THEN concat('co', c_custkey % 97, '.lever.co\nwww.lever.co') ELSE concat('X', c_custkey % 53, '.greenhouse.io') END AS name_value"
 URLS = "CASE WHEN c_custkey % 2 = 0 THEN concat('https://jobs.lever.co/Co', c_custkey % 120, '/abc') ELSE 'https://example.com/a' END AS original"
 query(

@@ -244,3 +244,21 @@ def test_countries_of_texts(spark):
     df = classify.extract_countries(spark.createDataFrame(list(enumerate(texts)), "id long, t string"), "t")
     got = column(df, "countries")
     assert got[0] == ["AR", "BR", "CL", "CO", "MX", "PE", "US"] and {"BY", "RS", "KR", "PT"} <= set(got[1]) and got[2:] == [[], ["GB", "US"], []]
+
+
+def test_scope_cascade_by_hand(spark):
+    filler = "You will build things with people who like to build things, every day. "
+    cases = [  # workplace, source, location, text, scope, countries, confidence
+        ("hybrid", "lever", "Berlin", filler, "onsite", None, 1.0), ("hybrid", "greenhouse", None, filler + "We are a distributed team.", "global", None, 1.0),
+        ("remote", "lever", "Americas, Europe, Asia", filler, "global", None, 0.7), ("remote", "lever", "Remote - Germany", filler, "country_fenced", ["DE"], 0.7), (None, "greenhouse", "Pune, India", filler, "onsite", None, 0.7),
+        ("remote", "lever", "Oslo", filler + "Work from anywhere.", "global", None, 1.0), ("remote", "lever", "Oslo", filler + "We are a distributed team.", "undetermined", None, 0.0),
+        ("remote", "lever", "Remote", filler + "US only.", "country_fenced", ["US"], 1.0), ("remote", "lever", "Remote", filler + "You must reside in Canada.", "country_fenced", ["CA"], 1.0),
+        ("remote", "lever", None, filler + "EMEA only.", "region_fenced", "emea", 1.0), (None, "greenhouse", None, filler + "This is an on-site position.", "onsite", None, 1.0), ("remote", "lever", "Oslo, Norway", filler, "country_fenced", ["NO"], 0.7),
+        ("remote", "lever", None, filler + "UTC-3 to UTC+3", "region_fenced", None, 1.0), ("remote", "lever", None, filler + "Fully remote.", "global", None, 0.7), ("remote", "lever", None, "Short.", "undetermined", None, 0.0),
+        ("remote", "lever", None, filler, "undetermined", None, 0.0), ("remote", "lever", None, filler + "Fully remote, relocation offered.", "undetermined", None, 0.0),
+    ]
+    df = spark.createDataFrame([(i, *c[:4]) for i, c in enumerate(cases)], "id long, workplace_type string, ats_source string, location_name string, normalized_text string")
+    got = [(r["scope"], r["countries"], r["confidence"]) for r in classify.classify_remote_scope(df).orderBy("id").collect()]
+    assert [(s, c) for s, _, c in got] == [(c[4], c[6]) for c in cases]
+    assert [c for _, c, _ in got][:9] == [c[5] for c in cases][:9] and "ZA" in got[9][1]
+    assert column(classify.infer_remote_scope(df), "inferred_scope")[2:6] == ["unknown", "country_fenced", "country_fenced", "global"]
