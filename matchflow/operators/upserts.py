@@ -115,14 +115,28 @@ def failure_runs(log: DataFrame) -> DataFrame:
     return last.select("source").join(after.groupBy("source").agg(F.count(F.lit(1)).alias("n")), "source", "left").select("source", F.coalesce("n", F.lit(0)).alias("consecutive_failures"))
 
 
+def day_of(column: str) -> Column:
+    """The day of a timestamp; unknown ones come first."""
+    return F.coalesce(F.to_date(column), F.to_date(F.lit("0001-01-01")))
+
+
 def fold_source_results(log: DataFrame) -> DataFrame:
-    """Health of each source from its log: 3 failures in a row degrade, 5 disable (and stay so)."""
-    w = W.partitionBy("source").orderBy("created_at", "id")
-    n = log.withColumn("grp", F.sum(F.when(F.col("status") != "failure", 1).otherwise(0)).over(w))
-    runs = n.groupBy("source", "grp").agg(F.count_if(F.col("status") == "failure").alias("f"))
-    worst = runs.groupBy("source").agg(F.max("f").alias("longest"), F.max_by("f", "grp").alias("now"))
-    status = F.when(F.col("longest") >= 5, "disabled").when(F.col("now") >= 3, "degraded").otherwise("healthy")
-    return worst.select("source", "longest", F.col("now").alias("consecutive_failures"), status.alias("health"))
+    """Health of each source from its log: 3 failures in a row degrade, 5 disable (and stay so).
+
+    A source may hold most of the log, so that its days are folded apart, each to its runs of failures at either end and its
+    longest one; then a source's days are merged in order, of which there are as many as the log has days."""
+    w = W.partitionBy("source", "day").orderBy("created_at", "id")
+    n = log.select("source", "status", "created_at", "id", day_of("created_at").alias("day")).withColumn("grp", F.sum(F.when(F.col("status") != "failure", 1).otherwise(0)).over(w))
+    runs = n.groupBy("source", "day", "grp").agg(F.count_if(F.col("status") == "failure").alias("f"))
+    days = runs.groupBy("source", "day").agg(
+        F.coalesce(F.max(F.when(F.col("grp") == 0, F.col("f"))), F.lit(0)).alias("head"), F.max_by("f", "grp").alias("tail"), F.max("f").alias("top"), (F.max("grp") == 0).alias("whole")
+    )
+    merged = days.groupBy("source").agg(F.array_sort(F.collect_list(F.struct("day", "head", "tail", "top", "whole"))).alias("days"))
+    start = F.struct(F.lit(0).cast("long").alias("longest"), F.lit(0).cast("long").alias("now"))
+    step = lambda s, d: F.struct(F.greatest(s["longest"], d["top"], s["now"] + d["head"]).alias("longest"), F.when(d["whole"], s["now"] + d["head"]).otherwise(d["tail"]).alias("now"))
+    out = merged.select("source", F.aggregate("days", start, step).alias("s")).select("source", "s.longest", F.col("s.now").alias("consecutive_failures"))
+    status = F.when(F.col("longest") >= 5, "disabled").when(F.col("consecutive_failures") >= 3, "degraded").otherwise("healthy")
+    return out.withColumn("health", status)
 
 
 def revive_companies(companies: DataFrame, as_of: str) -> DataFrame:
@@ -152,20 +166,24 @@ def expired_matches(matches: DataFrame, as_of: str) -> DataFrame:
 
 def purge_plan(jobs: DataFrame, matches: DataFrame, budget: int, active_share: float = 0.2) -> DataFrame:
     """At most ``budget`` postings to purge: failed, rejected, gone, stale, then active ones, oldest first; active ones
-    are capped at a share of all active ones, and approved ones never go. Each tier ranks by itself; tiers are then
-    granted their part of the budget from the counts of the ones before."""
+    are capped at a share of all active ones, and approved ones never go. Tiers are granted their part of the budget from the
+    counts of the ones before; days of a tier are counted first, so that only days within the grant are ranked, each by itself."""
     tiers = ["normalization_failed", "rejected", "gone", "stale", "active"]
     tier = F.lit(None).cast("int")
     for i, t in enumerate(tiers):
         tier = F.when(F.col("status") == t, i).otherwise(tier)
     ok = matches.filter(F.col("status") == "approved").select(F.col("job_id").alias("id")).distinct()
-    pool = jobs.select("id", "detected_at", tier.alias("tier")).filter("tier IS NOT NULL").join(ok, "id", "left_anti")
-    sizes = pool.groupBy("tier").agg(F.count(F.lit(1)).alias("n"))
+    pool = jobs.select("id", "detected_at", day_of("detected_at").alias("day"), tier.alias("tier")).filter("tier IS NOT NULL").join(ok, "id", "left_anti")
+    by_day = pool.groupBy("tier", "day").agg(F.count(F.lit(1)).alias("n"))
+    sizes = by_day.groupBy("tier").agg(F.sum("n").alias("n"))
     allowed = sizes.withColumn("n", F.when(F.col("tier") == 4, F.floor(F.col("n") * active_share)).otherwise(F.col("n")))
     before = allowed.withColumn("before", F.coalesce(F.sum("n").over(W.orderBy("tier").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))  # five rows
-    grant = F.greatest(F.lit(0), F.least(F.col("n"), F.lit(budget) - F.col("before")))
-    ranked = pool.withColumn("place", F.row_number().over(W.partitionBy("tier").orderBy("detected_at", "id")))
-    return ranked.join(F.broadcast(before.select("tier", grant.alias("granted"))), "tier").filter(F.col("place") <= F.col("granted")).select("id", "tier", "place")
+    grants = before.select("tier", F.greatest(F.lit(0), F.least(F.col("n"), F.lit(budget) - F.col("before"))).alias("granted"))
+    passed = by_day.withColumn("earlier", F.coalesce(F.sum("n").over(W.partitionBy("tier").orderBy("day").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))  # a row a day
+    due = passed.join(grants, "tier").filter(F.col("earlier") < F.col("granted")).select("tier", "day", "earlier", "granted")
+    place = F.row_number().over(W.partitionBy("tier", "day").orderBy("detected_at", "id")) + F.col("earlier")
+    ranked = pool.join(due, ["tier", "day"]).withColumn("place", place.cast("int"))
+    return ranked.filter(F.col("place") <= F.col("granted")).select("id", "tier", "place")
 
 
 def reconcile(jobs: DataFrame) -> DataFrame:
