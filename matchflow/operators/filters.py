@@ -91,18 +91,27 @@ def filter_persona_tech(df: DataFrame, keywords: list[str]) -> DataFrame:
     return df.filter(hit)
 
 
-def search_postings(df: DataFrame, text: str | None = None, workplace: list[str] | None = None, min_pay: float | None = None, max_years: int | None = None, skills: list[str] | None = None) -> DataFrame:
-    """Faceted search: facets not asked for, and unknown pay or experience, pass."""
-    if text:
-        like = f"%{text}%"
-        df = df.filter(F.col("title").ilike(like) | F.col("normalized_text").ilike(like) | F.array_contains("extracted_tags", text.lower()))
-    if workplace:
-        df = df.filter(F.col("workplace_type").isin(workplace))
-    if min_pay is not None:
-        df = df.filter(F.col("compensation_max").isNull() | (F.col("compensation_max") >= min_pay))
-    if max_years is not None:
-        df = df.filter(F.col("experience_min_years").isNull() | (F.col("experience_min_years") <= max_years))
-    return df.filter(F.arrays_overlap("extracted_tags", X.strings(skills))) if skills else df
+def search_postings(
+    df: DataFrame, text: str | None = None, workplace: list[str] | None = None, scope: str | None = None, employment: str | None = None, min_pay: float | None = None, max_pay: float | None = None,
+    min_years: int | None = None, max_years: int | None = None, department: str | None = None, skills: list[str] | None = None, posted_since: str | None = None, limit: int | None = None, offset: int = 0,
+) -> DataFrame:
+    """Faceted search of active postings: facets not asked for, and unknown pay or experience, pass. With ``limit`` the newest
+    first (published, else detected; ties to smaller ids), from ``offset`` on."""
+    found = df.filter(F.col("status") == "active")
+    when = F.coalesce("published_at", "detected_at")
+    if text and text.strip():
+        like = f"%{text.strip()}%"
+        found = found.filter(F.col("title").ilike(like) | F.col("normalized_text").ilike(like) | F.array_contains("extracted_tags", text))
+    for column, value in (("remote_scope", scope), ("employment_type", employment)):
+        found = found if value is None else found.filter(F.col(column) == value)
+    found = found.filter(F.col("workplace_type").isin(workplace)) if workplace else found
+    for column, least, most in (("compensation_min", min_pay, None), ("compensation_max", None, max_pay), ("experience_min_years", min_years, None), ("experience_max_years", None, max_years)):
+        found = found if least is None else found.filter(F.col(column).isNull() | (F.col(column) >= least))
+        found = found if most is None else found.filter(F.col(column).isNull() | (F.col(column) <= most))
+    found = found.filter(F.col("department").ilike(f"%{department}%")) if department else found
+    found = found.filter(F.arrays_overlap("extracted_tags", X.strings(skills))) if skills else found
+    found = found.filter(when >= F.lit(posted_since).cast("timestamp")) if posted_since else found
+    return found if limit is None else found.orderBy(when.desc_nulls_last(), "id").offset(offset).limit(limit)
 
 
 def filter_servable(df: DataFrame) -> DataFrame:

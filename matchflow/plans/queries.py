@@ -96,9 +96,15 @@ query(
 )
 query(
     "flt11_search_postings",
-    """SELECT id FROM job WHERE (title ILIKE '%react%' OR normalized_text ILIKE '%react%' OR list_contains(extracted_tags, 'react')) AND workplace_type IN ('remote', 'hybrid')
-      AND (compensation_max IS NULL OR compensation_max >= 50000) AND (experience_min_years IS NULL OR experience_min_years <= 6) AND list_has_any(extracted_tags, ['docker', 'aws', 'typescript'])""",
-    lambda v: IDS(flt.search_postings(v.job, "React", ["remote", "hybrid"], 50000, 6, ["docker", "aws", "typescript"])),
+    """SELECT id FROM job WHERE status = 'active' AND (title ILIKE '%react%' OR normalized_text ILIKE '%react%' OR list_contains(extracted_tags, 'React')) AND workplace_type IN ('remote', 'hybrid')
+      AND (compensation_min IS NULL OR compensation_min >= 50000) AND (compensation_max IS NULL OR compensation_max <= 400000) AND (experience_min_years IS NULL OR experience_min_years >= 1) AND (experience_max_years IS NULL OR experience_max_years <= 9)
+      AND department ILIKE '%eng%' AND list_has_any(extracted_tags, ['docker', 'aws', 'typescript'])""",
+    lambda v: IDS(flt.search_postings(v.job, "React", ["remote", "hybrid"], min_pay=50000, max_pay=400000, min_years=1, max_years=9, department="eng", skills=["docker", "aws", "typescript"])),
+)
+query(
+    "flt11_search_page",
+    "SELECT id FROM job WHERE status = 'active' AND remote_scope = 'global' AND employment_type = 'contractor' AND coalesce(published_at, detected_at) >= TIMESTAMP '1995-01-01 00:00:00' ORDER BY coalesce(published_at, detected_at) DESC, id LIMIT 50 OFFSET 20",
+    lambda v: IDS(flt.search_postings(v.job, scope="global", employment="contractor", posted_since="1995-01-01 00:00:00", limit=50, offset=20)),
 )
 query("flt12_servable", "SELECT id FROM job WHERE remote_scope = 'global' AND is_fenced IS NOT TRUE AND is_natsec IS NOT TRUE AND is_qa IS NOT TRUE", lambda v: IDS(flt.filter_servable(v.job)))
 query(
@@ -212,11 +218,4 @@ query(
 )
 OVERRIDE = "EXISTS (SELECT 1 FROM job_label_override o WHERE revoked_at IS NULL AND override_type IN ('geo_fenced', 'suppressed') AND o.ats_slug = job.ats_slug AND o.title = job.title)"
 query("joi7_label_overrides", f"SELECT id FROM job WHERE NOT {OVERRIDE}", lambda v: IDS(rou.apply_label_overrides(v.job, v.job_label_override)))
-query(
-    "pip2_match_job",
-    f"WITH left_over AS (SELECT * FROM job WHERE NOT {OVERRIDE}), {route_sql(True, 'left_over')}, h AS (SELECT id AS job_id, {HASH} AS text_hash FROM job), ok AS (SELECT DISTINCT job_id, persona_id FROM match_queue WHERE status = 'approved'), okh AS (SELECT ok.*, text_hash FROM ok JOIN h ON h.job_id = ok.job_id) "
-    f"SELECT r.* FROM routed r JOIN h ON h.job_id = r.job_id WHERE NOT {SIBLING} AND NOT EXISTS (SELECT 1 FROM okh WHERE okh.text_hash = h.text_hash AND okh.persona_id = r.persona_id AND okh.job_id <> r.job_id) "
-    "AND NOT EXISTS (SELECT 1 FROM applicant_company_block b WHERE b.user_id = r.applicant_id AND b.ats_slug = r.ats_slug)",
-    lambda v: rou.match_job(v.job, v.persona, v.match_queue, v.job_label_override, v.applicant_company_block, hashes(v.job)),
-)
 from matchflow.plans import queries_classify, queries_more, queries_sources, queries_streaming  # noqa: E402, F401  registers the rest

@@ -11,10 +11,11 @@ from matchflow.functions import constants as C
 from matchflow.functions import exprs as X
 from matchflow.operators import joins as joi
 from matchflow.operators import reports as rep
+from matchflow.operators import routing as rou
 from matchflow.operators import scoring as sco
 from matchflow.operators import upserts as ups
 from matchflow.plans.adapters import AS_OF
-from matchflow.plans.queries import HASH, IDS, NOW, SPECIFIC, arr, query
+from matchflow.plans.queries import HASH, IDS, NOW, OVERRIDE, SIBLING, SPECIFIC, arr, hashes, query, route_sql
 
 CANON = "regexp_replace(regexp_replace(regexp_replace(lower(trim({0})), '[ ,]+(inc|llc|ltd|gmbh|corp|corporation|limited|co)[.]?$', ''), ' (labs|technologies|technology|software|group|holdings|solutions)$', ''), '[,. ]', '', 'g')"
 RATE = "CASE WHEN {1} > 0 THEN round(1e2 * {0} / {1}, 1) END"
@@ -159,6 +160,15 @@ query(
     SELECT id, coalesce(platform, role) AS blocker, CASE WHEN platform IS NOT NULL THEN 'platform' WHEN role IS NOT NULL THEN 'role_family' END AS blocker_type FROM b""",
     lambda v: sco.title_blockers(mview(v)).select("id", "blocker", "blocker_type"),
 )
+query(
+    "pip2_match_job",
+    f"WITH left_over AS (SELECT * FROM job WHERE NOT {OVERRIDE}), {route_sql(True, 'left_over')}, h AS (SELECT id AS job_id, {HASH} AS text_hash FROM job), ok AS (SELECT DISTINCT job_id, persona_id FROM match_queue WHERE status = 'approved'), okh AS (SELECT ok.*, text_hash FROM ok JOIN h ON h.job_id = ok.job_id)"
+    f", kept AS (SELECT r.* FROM routed r JOIN h ON h.job_id = r.job_id WHERE NOT {SIBLING} AND NOT EXISTS (SELECT 1 FROM okh WHERE okh.text_hash = h.text_hash AND okh.persona_id = r.persona_id AND okh.job_id <> r.job_id) "
+    "AND NOT EXISTS (SELECT 1 FROM applicant_company_block b WHERE b.user_id = r.applicant_id AND b.ats_slug = r.ats_slug)), "
+    f"n AS (SELECT k.*, p.seniority_levels, {COUNTS}, list_transform(must_have_tags, lambda x: lower(x)) AS own FROM kept k JOIN persona p ON p.id = k.persona_id), f AS (SELECT *, {FAMILY} AS family FROM n) "
+    f"SELECT job_id, persona_id, applicant_id, ats_slug, title, overlap, distance, score, rank FROM f WHERE ({PLATFORM}) IS NULL AND ({ROLE}) IS NULL",
+    lambda v: rou.match_job(v.job, v.persona, v.match_queue, v.job_label_override, v.applicant_company_block, hashes(v.job)),
+)
 USD = "({0} * CASE upper(coalesce(compensation_currency, 'USD')) " + " ".join(f"WHEN '{k}' THEN {n}::DOUBLE" for k, n in C.USD_RATES.items()) + " END)"
 USD_OK = f"(CASE WHEN {USD.format('compensation_max')} >= {C.PAY_FLOOR_USD} THEN {USD.format('compensation_max')} END)"
 named_in = lambda p: "list_filter([" + ", ".join(f"CASE WHEN regexp_matches({p}, '(^|[^a-z])({'|'.join(map(re.escape, ns))})($|[^a-z])') THEN '{c}' END" for c, ns in C.LOCATION_COUNTRIES.items()) + "], lambda x: x IS NOT NULL)"
