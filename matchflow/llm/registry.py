@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from matchflow.llm import ann_search, byte_bpe, chat_format, exact_dedup, language_id, minhash_dedup, packing, secret_scan, substring_dedup, token_counts
+from matchflow.llm import ann_search, byte_bpe, centroids, chat_format, decontamination, exact_dedup, language_id, minhash_dedup, packing, periodic_runs, secret_scan, substring_dedup, token_counts
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -21,9 +21,14 @@ QUERIES: dict[str, Query] = {
     "op8_minhash_dedup": minhash_dedup.op8_minhash_dedup,
     "op9_exact_dedup": exact_dedup.op9_exact_dedup,
     "op10_packing": packing.op10_packing,
+    "op11_periodic_runs": periodic_runs.op11_periodic_runs,
+    "op12_centroid_clusters": centroids.op12_centroid_clusters,
+    "op13_decontamination": decontamination.op13_decontamination,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op1_chat_format": chat_format.OP1_SQL,
     "op9_exact_dedup": exact_dedup.OP9_SQL,
+    "op12_centroid_clusters": centroids.OP12_SQL,
+    "op13_decontamination": decontamination.OP13_SQL,
 }
