@@ -185,7 +185,7 @@ def first_by_hash(vectors: DataFrame, k: int, prefix: str) -> np.ndarray:
     """The ``k`` vectors whose ids have the smallest SHA-256 after ``prefix``; ties by the vector, null ids last."""
     h = F.sha2(F.concat(F.lit(prefix), F.col("id").cast("string")), 256)
     rows = vectors.orderBy(h.asc_nulls_last(), "v").limit(k).select("v").collect()
-    return np.array([r["v"] for r in rows], np.int64).reshape(len(rows), -1)
+    return np.array([r["v"] for r in rows], np.int64).reshape(len(rows), len(rows[0]["v"]) if rows else 0)
 
 
 def centroid_clusters(
