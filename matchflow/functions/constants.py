@@ -510,3 +510,6 @@ CLEARANCE_WORDS = [
     "department of defense", "defense contract", "national security", "homeland security", "intelligence community",
     "counterintelligence",
 ]
+
+#: Fixed value: what the message of a run holds that failed on a payload of another form.
+VALIDATION_FAILURE = "Zod validation failed"

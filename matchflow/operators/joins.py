@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from matchflow.functions import constants as C
 from matchflow.functions import exprs as X
+from matchflow.operators.names import contained, names_match, normalized_name
 
 
 def match_view(matches: DataFrame, jobs: DataFrame, personas: DataFrame, applicants: DataFrame) -> DataFrame:
@@ -53,17 +54,21 @@ def match_existing_companies(new: DataFrame, companies: DataFrame) -> DataFrame:
 
 
 def match_layoffs(layoffs: DataFrame, companies: DataFrame) -> DataFrame:
-    """Companies whose canonical name is a layoff's, or a prefix of it at a word border, or the other way round.
-
-    Containment is made an equi-join: either side is exploded into its leading words.
-    """
-    tidy = lambda c: F.trim(F.regexp_replace(F.lower(c), "[^a-z0-9 ]", ""))
-    heads = lambda c: F.transform(F.sequence(F.lit(1), F.size(F.split(c, " "))), lambda i: F.array_join(F.slice(F.split(c, " "), 1, i), " "))
-    lay = layoffs.select("layoff_id", tidy("company").alias("l"))
-    com = companies.select("id", tidy("company_name").alias("c"))
-    a = lay.select("layoff_id", F.explode(heads(F.col("l"))).alias("k")).join(com.select("id", F.col("c").alias("k")), "k")
-    b = com.select("id", F.explode(heads(F.col("c"))).alias("k")).join(lay.select("layoff_id", F.col("l").alias("k")), "k")
-    return a.select("layoff_id", "id").union(b.select("layoff_id", "id")).distinct()
+    """(layoff_id, id): companies whose normalised name equals or contains a layoff's, or stands in it."""
+    lay = layoffs.select("layoff_id", normalized_name(F.col("company")).alias("l"))
+    com = companies.select("id", normalized_name(F.col("company_name")).alias("r"))
+    pairs = names_match(lay.select(F.col("l").alias("name")), com.select(F.col("r").alias("name")))
+    return pairs.join(lay, "l").join(com, "r").select("layoff_id", "id")
+
+
+def layoffs_to_demote(layoffs: DataFrame, companies: DataFrame) -> DataFrame:
+    """(layoff_id, id): companies whose own name in lower case (whole, or canonical) contains the normalised name of a
+    layoff. The suffixes of the company's name stay, so that this finds other pairs than ``match_layoffs``."""
+    lay = layoffs.select("layoff_id", normalized_name(F.col("company")).alias("needle"))
+    both = F.explode(F.array(F.lower("company_name"), F.lower("canonical_name")))
+    com = companies.select("id", both.alias("hay")).filter("hay IS NOT NULL").distinct()
+    pairs = contained(lay.select(F.col("needle").alias("name")), com.select(F.col("hay").alias("name")))
+    return pairs.join(lay, "needle").join(com, "hay").select("layoff_id", "id").distinct()
 
 
 def enrich_company_size(companies: DataFrame, registry: DataFrame) -> DataFrame:

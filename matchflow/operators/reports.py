@@ -221,12 +221,6 @@ def north_star(jobs: DataFrame, matches: DataFrame, as_of: str) -> DataFrame:
     return j.crossJoin(m)  # one row each
 
 
-def schema_failure_spike(log: DataFrame, min_runs: int = 5, share: float = 0.2) -> DataFrame:
-    """Hours of a source with many failures."""
-    out = log.groupBy("source", F.date_trunc("hour", "created_at").alias("hour")).agg(F.count(F.lit(1)).alias("runs"), F.count_if(F.col("status") == "failure").alias("failed"))
-    return out.filter((F.col("runs") >= min_runs) & (F.col("failed") / F.col("runs") >= share))
-
-
 def evaluate_breaker(health: DataFrame) -> DataFrame:
     """``severity`` of a source: the worst of its broken rules."""
     rate = F.col("total_failures") / F.col("total_runs")

@@ -83,6 +83,7 @@ VIEWS: dict[str, tuple[str, dict[str, str]]] = {
         {
             "id": "c_custkey", "ats_source": "«SOURCES|c_custkey»", "ats_slug": "concat('co', CAST(c_custkey % 97 AS VARCHAR(20)))", "discovery_source": "«FOUND_BY|c_custkey»",
             "company_name": "concat('Company ', CAST(c_custkey AS VARCHAR(20)), CASE c_custkey % 3 WHEN 0 THEN ', Inc.' WHEN 1 THEN ' Labs' ELSE ' Technologies GmbH' END)",
+            "canonical_name": "CASE WHEN c_custkey % 5 = 0 THEN NULL ELSE concat('company', CAST(c_custkey AS VARCHAR(20)), CASE WHEN c_custkey % 10 = 1 THEN ' corp' ELSE '' END) END",
             "root_domain": "CASE WHEN c_custkey % 4 = 0 THEN NULL ELSE concat('company', CAST(c_custkey AS VARCHAR(20)), '.com') END",
             "tier": "CASE c_custkey % 5 WHEN 0 THEN 'active_hot' WHEN 1 THEN 'active' WHEN 2 THEN 'probation' WHEN 3 THEN 'dormant' ELSE 'dead' END",
             "health": "CASE WHEN c_custkey % 9 = 0 THEN 'dead' ELSE 'healthy' END", "consecutive_failures": "c_custkey % 5", "zero_yield_poll_count": "c_custkey % 6",
@@ -93,6 +94,15 @@ VIEWS: dict[str, tuple[str, dict[str, str]]] = {
             "last_job_posted_at": "CASE WHEN c_custkey % 3 = 0 THEN NULL ELSE TIMESTAMP '1997-12-20 00:00:00' + INTERVAL 1 DAY * CAST(c_custkey % 20 AS INT) END",
         },
     ),
+    "company_poll": (
+        "orders",
+        {
+            "id": "o_orderkey", "company_id": "o_custkey", "polled_at": "CAST(o_orderdate AS TIMESTAMP)",
+            "status_code": "CASE (o_orderkey * 7 + o_custkey * 3) % 12 WHEN 0 THEN 429 WHEN 1 THEN 403 WHEN 2 THEN 404 WHEN 3 THEN 503 WHEN 4 THEN NULL WHEN 5 THEN 500 ELSE 200 END",
+            "valid": "o_orderkey % 5 <> 0", "newest": "CASE WHEN o_orderkey % 3 = 0 THEN NULL ELSE CAST(o_orderdate - INTERVAL 2 DAY AS TIMESTAMP) END",
+            "jobs": "CASE WHEN o_orderkey % 4 = 0 THEN NULL ELSE CAST(o_orderkey % 50 AS INT) END", "error": "concat('error ', CAST(o_orderkey % 5 AS VARCHAR(20)))",
+        },
+    ),
     "match_queue": (
         "lineitem",
         {
@@ -112,7 +122,7 @@ VIEWS: dict[str, tuple[str, dict[str, str]]] = {
             "status": "CASE event_type WHEN 'error' THEN 'failure' WHEN 'signup' THEN 'partial' ELSE 'success' END",
             "items_processed": "CAST(floor(value) AS INT)", "items_inserted": "CAST(floor(value / 2) AS INT)", "items_updated": "CAST(floor(value / 4) AS INT)",
             "items_rejected": "CAST(floor(value / 8) AS INT)", "items_skipped": "CAST(floor(value / 16) AS INT)",
-            "error_message": "CASE WHEN event_type = 'error' THEN concat('error ', CAST(user_id % 9 AS VARCHAR(20))) END", "error_details": "props",
+            "error_message": "CASE WHEN event_type = 'error' THEN concat(CASE WHEN user_id % 9 < 5 AND event_id % 4 < 3 THEN 'Zod validation failed: error ' ELSE 'error ' END, CAST(user_id % 9 AS VARCHAR(20))) END", "error_details": "props",
             "started_at": "ts", "finished_at": "CASE WHEN event_id % 7 = 0 THEN NULL ELSE ts + INTERVAL 90 SECOND END", "created_at": "ts",
         },
     ),
@@ -154,7 +164,13 @@ VIEWS: dict[str, tuple[str, dict[str, str]]] = {
         "customer",
         {"id": "c_custkey", "company_name": "c_name", "retry_count": "CAST(c_custkey % 5 AS INT)", "next_retry_at": "TIMESTAMP '1997-11-01 00:00:00' + INTERVAL 1 DAY * CAST(c_custkey % 90 AS INT)"},
     ),
-    "layoffs": ("part", {"layoff_id": "p_partkey", "company": "concat('COMPANY ', CAST(p_partkey AS VARCHAR(20)), CASE WHEN p_partkey % 2 = 0 THEN '' ELSE ' Technologies' END)"}),
+    "layoffs": (
+        "part",
+        {
+            "layoff_id": "p_partkey",
+            "company": "CASE p_partkey % 6 WHEN 0 THEN concat('The COMPANY ', CAST(p_partkey % 997 AS VARCHAR(20)), ' Corp.') WHEN 1 THEN concat(CAST(p_partkey % 997 AS VARCHAR(20)), ' labs co.') WHEN 2 THEN concat('Big Company ', CAST(p_partkey % 997 AS VARCHAR(20)), ', Inc') WHEN 3 THEN concat('New ', CAST(p_partkey % 997 AS VARCHAR(20)), ' Technologies GmbH & Co.') WHEN 4 THEN concat('Company ', CAST(p_partkey % 997 AS VARCHAR(20)), ' Labs') END",
+        },
+    ),
 }
 
 AS_OF = "1998-01-01 00:00:00"

@@ -10,10 +10,13 @@ from pyspark.sql import functions as F
 from matchflow.functions import constants as C
 from matchflow.functions import exprs as X
 from matchflow.operators import joins as joi
+from matchflow.operators import names
 from matchflow.operators import reports as rep
 from matchflow.operators import routing as rou
+from matchflow.operators import runs
 from matchflow.operators import scoring as sco
 from matchflow.operators import upserts as ups
+from matchflow.operators import windows as win
 from matchflow.plans.adapters import AS_OF
 from matchflow.plans.queries import HASH, IDS, NOW, OVERRIDE, SIBLING, SPECIFIC, arr, hashes, query, route_sql
 
@@ -47,12 +50,18 @@ query(
         v.company,
     ),
 )
-TIDY_L = "trim(regexp_replace(lower({0}), '[^a-z0-9 ]', '', 'g'))".format
+NAME = r"trim(regexp_replace(regexp_replace(regexp_replace(lower({0}), '\b(inc|llc|ltd|corp|corporation|co|company|the)\b\.?', '', 'g'), '[.,''/]', '', 'g'), '\s+', ' ', 'g'))".format
 query(
     "joi14_layoffs",
-    f"SELECT layoff_id, c.id FROM (SELECT layoff_id, {TIDY_L('company')} AS l FROM layoffs) x JOIN (SELECT id, {TIDY_L('company_name')} AS c FROM company) c ON starts_with(l || ' ', c || ' ') OR starts_with(c || ' ', l || ' ')",
+    f"SELECT layoff_id, c.id FROM (SELECT layoff_id, {NAME('company')} AS l FROM layoffs) x JOIN (SELECT id, {NAME('company_name')} AS c FROM company) c ON length(l) >= 2 AND length(c) >= 2 AND (contains(l, c) OR contains(c, l))",
     lambda v: joi.match_layoffs(v.layoffs, v.company),
 )
+ENDING = "CASE layoff_id % 4 WHEN 0 THEN ' - 500 layoffs' WHEN 1 THEN ' lays off 30 people' WHEN 2 THEN ' Layoffs' ELSE '' END"
+query(
+    "joi14_layoff_names",
+    "SELECT DISTINCT company AS name FROM layoffs WHERE length(company) > 1",
+    lambda v: names.layoff_names(v.layoffs.selectExpr(f"concat('<rss><title>News</title><item><title>', CASE WHEN layoff_id % 2 = 0 THEN concat('<![CDATA[', company, {ENDING}, ']]>') ELSE concat(replace(company, '&', '&amp;'), {ENDING}) END, '</title><link>x</link></item><item/></rss>') AS xml"), "xml"),
+)
 query(
     "joi16_company_size",
     f"SELECT c.id, coalesce(employee_count, r.n) AS employee_count, is_public OR coalesce(r.p, false) AS is_public FROM company c LEFT JOIN (SELECT concat('company', CAST(p_partkey AS VARCHAR)) AS name, p_size * 100 AS n, p_partkey % 2 = 0 AS p FROM part) r ON r.name = {CANON.format('company_name')}",
@@ -306,7 +315,26 @@ query(
     f"SELECT * FROM (SELECT count(*) FILTER (WHERE status = 'active') AS active, count(*) FILTER (WHERE {WIN('detected_at', 1)}) AS new_1d, count(*) FILTER (WHERE remote_scope = 'global' AND status = 'active') AS global_active FROM job) j, (SELECT count(*) FILTER (WHERE status = 'approved' AND {WIN('evaluated_at', 7)}) AS approved_7d, count(*) FILTER (WHERE status = 'pending') AS waiting, count(DISTINCT applicant_id) AS applicants FROM match_queue) m",
     lambda v: rep.north_star(v.job, v.match_queue, AS_OF),
 )
-query("agg28_failure_spike", "SELECT source, date_trunc('hour', created_at) AS hour, count(*) AS runs, count(*) FILTER (WHERE status = 'failure') AS failed FROM ingestion_log GROUP BY 1, 2 HAVING count(*) >= 2 AND count(*) FILTER (WHERE status = 'failure') / count(*)::DOUBLE >= 0.2", lambda v: rep.schema_failure_spike(v.ingestion_log, 2))
+INVALID = "status = 'failure' AND contains(error_message, 'Zod validation failed')"
+query(
+    "agg28_validation_alert",
+    f"""SELECT n AS runs, bad AS invalid, CASE WHEN n > 0 THEN round(bad / n::DOUBLE, 6) END AS rate, CASE WHEN n < 5 THEN 'wait' WHEN bad / n::DOUBLE >= 0.2 THEN 'open' ELSE 'resolve' END AS action
+    FROM (SELECT count(*) AS n, count(*) FILTER (WHERE {INVALID}) AS bad FROM ingestion_log WHERE created_at >= TIMESTAMP '2024-01-30 23:00:00' - INTERVAL 60 MINUTE)""",
+    lambda v: win.validation_alert(v.ingestion_log, "2024-01-30 23:00:00"),
+)
+query(
+    "agg28_validation_spikes",
+    f"""SELECT pane, runs, invalid FROM (SELECT pane, sum(n) OVER w AS runs, sum(bad) OVER w AS invalid FROM (SELECT date_trunc('minute', created_at) AS pane, count(*) AS n, count(*) FILTER (WHERE {INVALID}) AS bad FROM ingestion_log GROUP BY 1)
+      WINDOW w AS (ORDER BY pane RANGE BETWEEN INTERVAL 59 MINUTE PRECEDING AND CURRENT ROW)) WHERE runs >= 5 AND invalid / runs::DOUBLE >= 0.2""",
+    lambda v: win.validation_spikes(v.ingestion_log),
+)
+query(
+    "agg28_rolling_runs",
+    """SELECT source, pane, runs, failed, sum(runs) OVER d AS runs_24h, sum(failed) OVER d AS failed_24h, sum(runs) OVER k AS runs_7d, sum(failed) OVER k AS failed_7d
+    FROM (SELECT source, date_trunc('hour', created_at) AS pane, count(*) AS runs, count(*) FILTER (WHERE status = 'failure') AS failed FROM ingestion_log GROUP BY 1, 2)
+    WINDOW d AS (PARTITION BY source ORDER BY pane RANGE BETWEEN INTERVAL 23 HOUR PRECEDING AND CURRENT ROW), k AS (PARTITION BY source ORDER BY pane RANGE BETWEEN INTERVAL 167 HOUR PRECEDING AND CURRENT ROW)""",
+    lambda v: win.rolling_runs(v.ingestion_log, {"24h": 24, "7d": 168}, ["source"]),
+)
 FIRED = "list_filter([CASE WHEN consecutive_failures >= 5 THEN 3 END, CASE WHEN consecutive_failures >= 3 THEN 2 END, CASE WHEN total_failures / total_runs::DOUBLE > 0.3 THEN 1 END, CASE WHEN status = 'disabled' THEN 4 END], lambda x: x IS NOT NULL)"
 query("agg29_breaker", f"SELECT source_name, len({FIRED}) AS fired, coalesce(list_max({FIRED}), 0) AS severity FROM source_health", lambda v: rep.evaluate_breaker(v.source_health).select("source_name", "fired", "severity"))
 query("agg30_match_counts", "SELECT applicant_id, count(*) AS matches, count(*) FILTER (WHERE status = 'approved') AS approved, count(*) FILTER (WHERE status = 'approved' AND NOT is_read) AS unread FROM match_queue GROUP BY 1", lambda v: rep.match_counts(v.match_queue))
@@ -375,8 +403,23 @@ query(
 )
 query(
     "ups9_demote_layoffs",
-    f"SELECT c.id, CASE WHEN tier = 'active_hot' AND EXISTS (SELECT 1 FROM layoffs WHERE starts_with({TIDY_L('company')} || ' ', {TIDY_L('c.company_name')} || ' ') OR starts_with({TIDY_L('c.company_name')} || ' ', {TIDY_L('company')} || ' ')) THEN 'active' ELSE tier END AS new_tier FROM company c",
-    lambda v: ups.demote_layoffs(v.company, joi.match_layoffs(v.layoffs, v.company)).select("id", "new_tier"),
+    f"""SELECT c.id, CASE WHEN tier = 'active_hot' AND polling_enabled AND EXISTS (SELECT 1 FROM (SELECT {NAME('company')} AS l FROM layoffs) x WHERE length(l) >= 2
+      AND (contains(lower(c.company_name), l) OR contains(lower(c.canonical_name), l))) THEN 'active' ELSE tier END AS new_tier FROM company c""",
+    lambda v: ups.demote_layoffs(v.company, joi.layoffs_to_demote(v.layoffs, v.company)).select("id", "new_tier"),
+)
+# a company's polls numbered in order, the run of failures up to each, and what the last poll leaves
+POLL_STATES = """WITH p AS (SELECT company_id, q.id, polled_at, status_code, valid, newest, jobs, error, NOT coalesce(status_code BETWEEN 200 AND 299, false) AS bad, {start} AS before FROM company_poll q JOIN company c ON c.id = q.company_id),
+    g AS (SELECT *, count(*) FILTER (WHERE NOT bad) OVER (PARTITION BY company_id ORDER BY polled_at, id) AS grp, row_number() OVER (PARTITION BY company_id ORDER BY polled_at DESC, id DESC) AS back FROM p),
+    r AS (SELECT *, CASE WHEN bad THEN count(*) FILTER (WHERE bad) OVER (PARTITION BY company_id, grp ORDER BY polled_at, id) + CASE WHEN grp = 0 THEN before ELSE 0 END ELSE 0 END AS run FROM g),
+    state AS (SELECT company_id AS id, max(run) FILTER (WHERE back = 1) AS consecutive_failures, max(CASE WHEN NOT bad THEN CASE WHEN valid THEN 'healthy' ELSE 'degraded' END WHEN run >= 3 THEN 'dead' WHEN status_code = 429 THEN 'rate_limited' WHEN status_code = 403 THEN 'blocked' WHEN status_code = 404 THEN 'dead' ELSE 'error' END) FILTER (WHERE back = 1) AS health,
+      max(run) < 3 AS stays_enabled, max(polled_at) FILTER (WHERE back = 1) AS last_polled_at, max(error) FILTER (WHERE back = 1 AND bad) AS last_error, arg_max(coalesce(newest, polled_at), struct_pack(a := polled_at, b := id)) FILTER (WHERE NOT bad) AS last_job_posted_at,
+      arg_max(coalesce(jobs, 0), struct_pack(a := polled_at, b := id)) FILTER (WHERE NOT bad) AS active_job_count FROM r GROUP BY company_id)"""
+query(
+    "ups10_company_polls",
+    POLL_STATES.format(start="consecutive_failures")
+    + """ SELECT c.id, coalesce(s.health, c.health) AS health, coalesce(s.consecutive_failures, c.consecutive_failures) AS consecutive_failures, polling_enabled AND coalesce(stays_enabled, true) AS polling_enabled, coalesce(s.last_polled_at, c.last_polled_at) AS last_polled_at,
+      coalesce(s.last_job_posted_at, c.last_job_posted_at) AS last_job_posted_at, active_job_count, last_error FROM company c LEFT JOIN state s ON s.id = c.id""",
+    lambda v: runs.fold_company_polls(v.company, v.company_poll),
 )
 query(
     "ups10_failure_runs",

@@ -5,17 +5,19 @@ from __future__ import annotations
 
 import re
 import tempfile
+import threading
 import uuid
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQueryListener
 
 from matchflow.functions import exprs as X
 from matchflow.operators import filters
 from matchflow.operators.routing import route_candidates
+from matchflow.operators.runs import failed_poll, fold_slices, poll_detail, poll_states
 from matchflow.sources.discovery import ats_of
 
 
@@ -70,30 +72,128 @@ def stream_ingest(postings: DataFrame, sink: Callable[[DataFrame, int], None], c
     postings.writeStream.foreachBatch(batch).option("checkpointLocation", f"{at}/state").trigger(availableNow=True).start().awaitTermination()
 
 
-def _fold(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """A source's run of failures and the worst so far; 5 in a row disable it for good, 3 degrade it."""
-    now, worst = state.get if state.exists else (0, 0)
-    rows = pd.concat(list(batches)).sort_values(["created_at", "id"])
-    for failed in rows["failed"]:
-        now = now + 1 if failed else 0
-        worst = max(worst, now)
-    state.update((now, worst))
-    health = "disabled" if worst >= 5 else "degraded" if now >= 3 else "healthy"
-    yield pd.DataFrame({"source": [key[0]], "consecutive_failures": [now], "longest": [worst], "health": [health]})
+class RunFold(StatefulProcessor):
+    """State of a key: its runs of failures so far. A batch brings a row for each slice of the key's log, in any order;
+    slices of a batch that was merged before (it ran again after a failure) are left out."""
+
+    STATE = "batch long, runs long, failed long, now long, longest long, last string, last_good string"
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.state = handle.getValueState("runs", self.STATE)
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: object) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        seen, runs, failed, now, longest, last, good = self.state.get() if self.state.exists() else (-1, 0, 0, 0, 0, None, None)
+        slices = [r for frame in rows for r in frame.itertuples(index=False) if r.batch > seen]
+        for r in sorted(slices, key=lambda r: (r.batch, r.slice)):
+            seen, runs, failed = int(r.batch), runs + int(r.n), failed + int(r.failed)
+            longest = max(longest, int(r.top), now + int(r.head) if r.head else 0)
+            now = now + int(r.head) if r.whole else int(r.tail)
+            last = r.last
+            good = r.last_good if isinstance(r.last_good, str) else good
+        self.state.update((seen, runs, failed, now, longest, last, good))
+        yield pd.DataFrame({"key": [key[0]], "runs": [runs], "failed": [failed], "consecutive_failures": [now], "longest": [longest], "last": [last], "last_good": [good]})
+
+    def close(self) -> None:
+        pass
+
+
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+def stream_run_states(runs: DataFrame, key: str, unit: str = "hour", detail: Column | None = None) -> DataFrame:
+    """(key, runs, failed, consecutive_failures, longest, last, last_good): the newest state of each key of a run log
+    (key, at, id, bad) that comes in its order, however it is cut into batches.
+
+    Two streams: the first folds each batch by key and slice, where a hot key's slices are worked on by many tasks, and
+    writes the batch's few rows, replacing those of an earlier try. The second merges them into the state of the key.
+    """
+    spark, at = runs.sparkSession, work_folder(runs.sparkSession)
+    kind = runs.schema[key].dataType.simpleString()
+    folded = f"{at}/slices"
+    runs.writeStream.foreachBatch(lambda df, n: put(fold_slices(df, key, unit, detail), folded, n)).option("checkpointLocation", f"{at}/fold").trigger(availableNow=True).start().awaitTermination()
+    schema = f"key {kind}, slice timestamp, n long, failed long, head long, tail long, top long, whole boolean, last string, last_good string, batch long"
+    merged = spark.readStream.schema(schema).parquet(folded).groupBy("key")
+    out = f"key {kind}, runs long, failed long, consecutive_failures long, longest long, last string, last_good string"
+    name = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(name)
+    spark.conf.set(name, ROCKS)  # keyed state variables need this store
+    try:
+        states = drain(merged.transformWithStateInPandas(RunFold(), out, "Update", "None"), "update")
+    finally:
+        spark.conf.set(name, before)
+    columns = [c for c in states.columns if c != "batch"]
+    newest = states.groupBy("key").agg(F.max_by(F.struct(*columns), "batch").alias("s"))
+    return newest.select("s.*")
 
 
 def stream_source_health(log: DataFrame) -> DataFrame:
-    """Health of each source as its log comes in; state is two counters a source. Rows of a batch are put in order."""
-    runs = log.select("source", "created_at", "id", (F.col("status") == "failure").alias("failed"))
-    out = "source string, consecutive_failures long, longest long, health string"
-    return runs.groupBy("source").applyInPandasWithState(_fold, out, "now long, worst long", "update", GroupStateTimeout.NoTimeout)
+    """Health of each source as its log comes in: 5 failures in a row disable it for good, 3 degrade it."""
+    runs = log.select("source", F.col("created_at").alias("at"), "id", (F.col("status") == "failure").alias("bad"))
+    s = stream_run_states(runs, "source")
+    health = F.when(F.col("longest") >= 5, "disabled").when(F.col("consecutive_failures") >= 3, "degraded").otherwise("healthy")
+    return s.select(F.col("key").alias("source"), "consecutive_failures", "longest", health.alias("health"))
+
+
+def stream_company_health(polls: DataFrame) -> DataFrame:
+    """State of each polled company as its polls come in, from nothing; see ``runs.poll_states``."""
+    runs = polls.withColumns({"at": F.col("polled_at"), "bad": failed_poll()})
+    return poll_states(stream_run_states(runs, "company_id", "day", poll_detail()))
+
+
+def run_panes(log: DataFrame, delay: str, pane: str = "1 hour") -> DataFrame:
+    """(window, source, runs, failed): runs and failures of each source and pane, given out once the watermark has passed it."""
+    w = log.withWatermark("created_at", delay).groupBy(F.window("created_at", pane), "source")
+    return w.agg(F.count(F.lit(1)).alias("runs"), F.count_if(F.col("status") == "failure").alias("failed"))
 
 
 def stream_run_counters(log: DataFrame, delay: str = "1 hour", window: str = "1 hour") -> DataFrame:
     """Runs and failures by source and window; a window is given out once the watermark has passed it."""
-    w = log.withWatermark("created_at", delay).groupBy(F.window("created_at", window), "source")
-    out = w.agg(F.count(F.lit(1)).alias("runs"), F.count_if(F.col("status") == "failure").alias("failed"))
-    return out.select(F.col("window.start").alias("start"), "source", "runs", "failed")
+    return run_panes(log, delay, window).select(F.col("window.start").alias("start"), "source", "runs", "failed")
+
+
+def stream_rolling_counters(log: DataFrame, width: str = "24 hours", slide: str = "1 hour", delay: str = "1 hour") -> DataFrame:
+    """Runs and failures of each source in the ``width`` up to each full hour (or other ``slide``), once the watermark has
+    passed it.
+
+    Windows are chained: a run is counted in its hour alone, and hours, not runs, are handed to the windows they lie in.
+    An hour is copied width / slide times, which Spark writes out as code: some dozens, not hundreds."""
+    hours = run_panes(log, delay)
+    w = hours.groupBy(F.window(F.window_time("window"), width, slide), "source").agg(F.sum("runs").alias("runs"), F.sum("failed").alias("failed"))
+    return w.select(F.col("window.end").alias("end"), "source", "runs", "failed")
+
+
+class _RowsSeen(StreamingQueryListener):
+    """Adds up the rows that a query has read."""
+
+    def __init__(self) -> None:
+        self.rows, self.ended = 0, threading.Event()
+
+    def onQueryStarted(self, event) -> None:  # noqa: N802
+        pass
+
+    def onQueryProgress(self, event) -> None:  # noqa: N802
+        self.rows += event.progress.numInputRows
+
+    def onQueryTerminated(self, event) -> None:  # noqa: N802
+        self.ended.set()
+
+
+def stream_late_runs(log: DataFrame, delay: str = "1 hour") -> DataFrame:
+    """One row: runs seen, those in hours given out, those in hours still open (read from the state), and late ones, which
+    no counter has: runs of an hour that the watermark had passed when the batch before theirs began."""
+    spark, at = log.sparkSession, work_folder(log.sparkSession)
+    seen = _RowsSeen()
+    spark.streams.addListener(seen)
+    try:
+        out = run_panes(log, delay).select("runs").writeStream.format("parquet").option("path", f"{at}/out").option("checkpointLocation", f"{at}/state")
+        out.outputMode("append").trigger(availableNow=True).start().awaitTermination()
+        seen.ended.wait(60)
+    finally:
+        spark.streams.removeListener(seen)
+    closed = spark.read.schema("runs long").parquet(f"{at}/out").agg(F.coalesce(F.sum("runs"), F.lit(0)).alias("closed"))
+    pending = spark.read.format("statestore").load(f"{at}/state").agg(F.coalesce(F.sum("value.count"), F.lit(0)).alias("open"))
+    total = F.lit(seen.rows).cast("long")
+    return closed.crossJoin(pending).select(total.alias("seen"), "closed", "open", (total - F.col("closed") - F.col("open")).alias("late"))  # one row each
 
 
 def stream_match(postings: DataFrame, personas: DataFrame, at: str) -> DataFrame:
