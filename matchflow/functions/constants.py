@@ -513,3 +513,19 @@ CLEARANCE_WORDS = [
 
 #: Fixed value: what the message of a run holds that failed on a payload of another form.
 VALIDATION_FAILURE = "Zod validation failed"
+
+#: Elements whose text is no content, and containers of the main text in order of priority.
+BOILERPLATE_TAGS = ["nav", "footer", "header", "aside", "script", "style", "noscript", "iframe", "svg", "form", "button"]
+MAIN_CONTAINERS = [
+    "main", '[role="main"]', "article", ".jobs", ".careers", ".job-listing", ".job-description",
+    '[class*="job-description"]', '[class*="jd-content"]', '[id*="job-description"]',
+]
+
+#: The same for probed pages, and what names a job, between word borders and in either letter case.
+PROBE_BOILERPLATE_TAGS = ["nav", "footer", "header", "aside", "script", "style"]
+PROBE_CONTAINERS = ["main", '[role="main"]', "article", ".jobs", ".careers", ".job-listing", ".job-description"]
+JOB_TITLE_PATTERNS = [
+    r"(senior|junior|lead|staff|principal)\s+(engineer|developer|designer|product\s+manager|data\s+scientist)",
+    r"(software|backend|frontend|full[- ]?stack|devops|sre|site\s+reliability)\s+(engineer|developer)",
+    r"(engineer|developer|designer|product\s+manager|program\s+manager|project\s+manager)",
+]

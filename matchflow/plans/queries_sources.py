@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from matchflow.plans.adapters import AS_OF
 from matchflow.plans.queries import query
 from matchflow.sources import discovery as dis
+from matchflow.sources import pages
 from matchflow.sources import payloads as pay
 
 ATS = list(pay.ATS_SHAPES)
@@ -132,11 +133,34 @@ query(
     "SELECT page_id, concat('T', CAST(page_id AS VARCHAR)) AS title, 'D' AS description, 'u' AS url FROM pages WHERE page_id % 4 <> 3 UNION ALL SELECT page_id, concat('T', CAST(page_id AS VARCHAR)), 'D', 'u' FROM pages WHERE page_id % 4 = 1",
     lambda v: dis.extract_jsonld_postings(v.spark.read.parquet(f"{v.sf_dir}/pages.parquet").select("page_id", F.concat("html", F.lit('<script type="application/ld+json">'), F.expr(f"CASE page_id % 4 WHEN 0 THEN {ONE} WHEN 1 THEN concat('[', {ONE}, ',', {ONE}, ']') WHEN 2 THEN concat('{{\"@graph\":[', {ONE}, ',{{\"@type\":\"Org\"}}]}}') ELSE '{{\"@type\":\"Person\",\"title\":\"x\"}}' END"), F.lit("</script>")).alias("html"))),
 )
+# pages in four layouts: an article, two containers by attribute, and a plain division that only its density tells; a job,
+# a mail address and boilerplate are added to some
+LAYOUT = """replace(replace(html, '<article>', concat('<aside>Jobs: Senior Engineer</aside>', CASE page_id % 4 WHEN 0 THEN '<article>' WHEN 1 THEN '<div class="wide job-description" id=x>' WHEN 2 THEN '<section role="main">' ELSE '<div>' END,
+  CASE WHEN page_id % 5 = 0 THEN 'Full-stack  Developer wanted ' ELSE '' END)), '</article>', CASE page_id % 4 WHEN 0 THEN '</article>' WHEN 2 THEN '</section>' ELSE '</div>' END)"""
+MAILED = "concat({0}, CASE page_id % 3 WHEN 0 THEN '<a href=\"mailto:jobs@x.org\">' WHEN 1 THEN '<a href=\"MAILTO:a@example.com\"><a href=\"mailto:b@x.org\">' ELSE '' END)"
+JOB = "replace(html, '<article>', concat('<article>', CASE WHEN page_id % 5 = 0 THEN 'Full-stack  Developer wanted ' ELSE '' END))"
+
+
+def bare(markup: str) -> str:
+    """DuckDB: the text of markup without boilerplate, white space as it is."""
+    out = f"regexp_replace(regexp_replace({markup}, '(?is)<(script|style|nav|footer|header|aside)[^>]*>.*?</(script|style|nav|footer|header|aside)>|<!--.*?-->', '', 'g'), '<[^>]*>', '', 'g')"
+    for entity, char in {"&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "''", "&nbsp;": " ", "&amp;": "&"}.items():
+        out = f"replace({out}, '{entity}', '{char}')"
+    return out
+
+
+TRIMMED = "trim(regexp_replace({0}, '\\s+', ' ', 'g'))".format
+PARTS = f"""(SELECT page_id, {bare(f"regexp_extract({JOB}, '(?is)<article>(.*)</article>', 1)")} AS main, {bare(f"regexp_extract({JOB}, '(?is)<body[^>]*>(.*)</body>', 1)")} AS body, {bare(JOB)} AS whole FROM pages) x"""
 query(
     "src16_page_text",
-    """SELECT page_id, length(t) AS n_chars, len(string_split(t, ' ')) AS n_words FROM (SELECT page_id, trim(regexp_replace(regexp_replace(CASE WHEN m <> '' THEN m ELSE regexp_extract(h, '(?is)<body[^>]*>(.*)</body>', 1) END, '<[^>]*>', ' ', 'g'), '\\s+', ' ', 'g')) AS t
-      FROM (SELECT *, regexp_extract(h, '(?is)<(?:main|article)[^>]*>(.*)</(?:main|article)>', 1) AS m FROM (SELECT page_id, regexp_replace(regexp_replace(html, '(?is)<(script|style|nav|footer|header)[^>]*>.*?</(script|style|nav|footer|header)>', ' ', 'g'), '(?s)<!--.*?-->', ' ', 'g') AS h FROM pages) a) b) c WHERE length(t) >= 200""",
-    lambda v: dis.extract_page_text(v.spark.read.parquet(f"{v.sf_dir}/pages.parquet")).select("page_id", "n_chars", "n_words"),
+    f"""SELECT page_id, t AS text, CASE WHEN page_id % 3 = 0 THEN 'jobs@x.org' END AS mail, page_id % 5 = 0 AS has_job_title, length(t) AS n_chars, len(string_split(t, ' ')) AS n_words
+    FROM (SELECT page_id, CASE WHEN length({TRIMMED('main')}) >= 200 THEN {TRIMMED('main')} ELSE {TRIMMED('body')} END AS t FROM {PARTS}) WHERE length(t) >= 200""",
+    lambda v: pages.extract_page_text(v.spark.read.parquet(f"{v.sf_dir}/pages.parquet").selectExpr("page_id", MAILED.format(LAYOUT) + " AS html")),
+)
+query(
+    "src16_main_content",
+    f"SELECT page_id, CASE WHEN length(main) > 200 THEN {TRIMMED('main')} ELSE {TRIMMED('whole')} END AS text FROM {PARTS}",
+    lambda v: pages.extract_main_content(v.spark.read.parquet(f"{v.sf_dir}/pages.parquet").selectExpr("page_id", LAYOUT + " AS html")),
 )
 query("src17_feed_links", "SELECT page_id, concat('/feed', CAST(page_id % 5 AS VARCHAR), '.xml') AS feed FROM pages", lambda v: dis.find_feed_links(v.spark.read.parquet(f"{v.sf_dir}/pages.parquet").select("page_id", F.concat("html", F.expr("concat('<link rel=\"alternate\" type=\"application/rss+xml\" href=\"/feed', page_id % 5, '.xml\">')")).alias("html"))))
 query(

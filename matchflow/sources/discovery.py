@@ -139,19 +139,6 @@ def extract_jsonld_postings(pages: DataFrame) -> DataFrame:
     return p.filter((F.col("i.`@type`") == "JobPosting") & F.col("i.title").isNotNull() & F.col("i.description").isNotNull()).select("page_id", "i.title", "i.description", "i.url")
 
 
-def extract_page_text(pages: DataFrame, min_chars: int = 200) -> DataFrame:
-    """A page's main text (its article or main block, else the body) without navigation and markup; pages with less
-    than ``min_chars`` drop out. Also the first mail address and whether a heading looks like a job title."""
-    html = F.regexp_replace("html", r"(?is)<(script|style|nav|footer|header)[^>]*>.*?</(script|style|nav|footer|header)>", " ")
-    html = F.regexp_replace(html, r"(?s)<!--.*?-->", " ")
-    main = F.regexp_extract(html, r"(?is)<(?:main|article)[^>]*>(.*)</(?:main|article)>", 1)
-    body = F.regexp_extract(html, r"(?is)<body[^>]*>(.*)</body>", 1)
-    text = F.trim(F.regexp_replace(F.regexp_replace(F.when(main != "", main).otherwise(body), "<[^>]*>", " "), r"\s+", " "))
-    mail = F.nullif(F.regexp_extract("html", "mailto:([^\"?]+)", 1), F.lit(""))
-    out = pages.select("page_id", text.alias("text"), mail.alias("mail"))
-    return out.filter(F.length("text") >= min_chars).withColumn("n_words", F.size(F.split("text", " "))).withColumn("n_chars", F.length("text"))
-
-
 def find_feed_links(pages: DataFrame) -> DataFrame:
     links = F.explode(F.regexp_extract_all("html", F.lit(r"<link[^>]*type=\"application/(?:rss|atom)\+xml\"[^>]*href=\"([^\"]+)\""), 1)).alias("feed")
     return pages.select("page_id", links).distinct()
