@@ -529,3 +529,19 @@ JOB_TITLE_PATTERNS = [
     r"(software|backend|frontend|full[- ]?stack|devops|sre|site\s+reliability)\s+(engineer|developer)",
     r"(engineer|developer|designer|product\s+manager|program\s+manager|project\s+manager)",
 ]
+
+#: Tracking systems that are polled, and boards with remote work only.
+TRACKING_SYSTEMS = ["greenhouse", "lever", "ashby", "smartrecruiters", "workable", "recruitee"]
+REMOTE_NATIVE_BOARDS = ["remoteok_direct", "weworkremotely", "remotive", "himalayas_direct", "arbeitnow", "wellfound", "remotecom", "larajobs"]
+
+#: Metric, from (open?), to (open?), tier, action and severity of the breaker's rules.
+BREAKER_RULES = [
+    ("failures_first", 3.0, False, None, False, 1, "pause_source_15min", "hard_pause"),
+    ("failures_again", 3.0, False, None, False, 1, "pause_source_1hr", "hard_pause"),
+    ("backlog", 0.15, True, 0.25, False, 2, "rate_reduce_50", "rate_reduction"),
+    ("backlog", 0.25, True, 0.3, False, 2, "rate_reduce_90", "rate_reduction"),
+    ("backlog", 0.3, True, None, False, 2, "pause_source_until_clear", "hard_pause"),
+    ("unknown_share", 0.3, False, None, False, 3, "force_reclassify", "hard_pause"),
+    ("known_ratio", None, False, 0.15, True, 4, "halt_non_global_ingestion", "hard_pause"),
+    ("escalations", 3.0, False, None, False, 5, "ban_source_24hr", "hard_pause"),
+]

@@ -28,20 +28,6 @@ def ingestion_summary(log: DataFrame, by: list[str]) -> DataFrame:
     return out.withColumn("success_rate", X.rate(F.col("succeeded"), F.col("runs"))).withColumn("insert_rate", X.rate(F.col("inserted"), F.col("processed")))
 
 
-def staleness_bucket(published: Column, as_of: str) -> Column:
-    days = F.datediff(F.lit(as_of).cast("timestamp"), published)
-    return (
-        F.when(published.isNull(), "unknown").when(days < 1, "0-1d").when(days <= 7, "2-7d").when(days <= 30, "8-30d").when(days <= 60, "31-60d").otherwise("60d+")
-    )
-
-
-def staleness_distribution(jobs: DataFrame, as_of: str) -> DataFrame:
-    """Postings by source and age, with each bucket's share of its source."""
-    n = jobs.withColumn("bucket", staleness_bucket(F.col("published_at"), as_of)).groupBy("ats_source", "bucket").agg(F.count(F.lit(1)).alias("n"))
-    total = n.groupBy("ats_source").agg(F.sum("n").alias("total"))
-    return n.join(total, "ats_source").select("ats_source", "bucket", "n", X.rate(F.col("n"), F.col("total")).alias("pct"))
-
-
 def old_job_rate(log: DataFrame, threshold: float = 0.3) -> DataFrame:
     """Sources where a counter inside the run's details is a large share of what was processed."""
     old = F.get_json_object("error_details", "$.k").cast("int")
@@ -152,34 +138,12 @@ def public_stats(jobs: DataFrame, as_of: str) -> DataFrame:
     )
 
 
-def rank_sources(companies: DataFrame, jobs: DataFrame) -> DataFrame:
-    """Addressable yield (global 1, undetermined 0.5) by discovery source; companies without postings count."""
-    j = jobs.groupBy("ats_source", "ats_slug").agg(F.count_if(F.col("remote_scope") == "global").alias("g"), F.count_if(F.col("remote_scope") == "undetermined").alias("u"), F.count(F.lit(1)).alias("n"))
-    c = companies.join(j, ["ats_source", "ats_slug"], "left").fillna(0, ["g", "u", "n"])
-    out = c.groupBy("discovery_source").agg(F.count(F.lit(1)).alias("companies"), F.sum("n").alias("jobs"), F.sum(F.col("g") + 0.5 * F.col("u")).alias("addressable"), F.sum("g").alias("g"))
-    return out.withColumn("global_rate", X.rate(F.col("g"), F.col("jobs"))).drop("g")
-
-
-def fence_rate(jobs: DataFrame) -> DataFrame:
-    """Share of fenced postings by source and over all, from one pass."""
-    fenced = F.col("remote_scope").isin("country_fenced", "region_fenced", "onsite")
-    out = jobs.rollup("ats_source").agg(F.count(F.lit(1)).alias("jobs"), F.count_if(fenced).alias("fenced"))
-    return out.withColumn("rate", X.rate(F.col("fenced"), F.col("jobs"))).withColumn("ats_source", F.coalesce("ats_source", F.lit("(all)")))
-
-
 def duplicate_groups(jobs: DataFrame) -> DataFrame:
     h = X.text_hash(F.col("company_name"), F.col("title"), F.col("location_name"))
     out = jobs.groupBy(h.alias("text_hash")).agg(F.count(F.lit(1)).alias("n"), F.countDistinct("ats_slug").alias("slugs"), F.min("id").alias("first_id"))
     return out.filter("n > 1")
 
 
-def calibration_stats(matches: DataFrame) -> DataFrame:
-    d = F.col("cosine_distance")
-    return matches.groupBy("overlap_score").agg(
-        F.count(d).alias("n"), F.round(F.avg(d), 6).alias("mean"), F.round(F.stddev_pop(d), 6).alias("sd"), F.round(F.min(d), 6).alias("lo"), F.round(F.max(d), 6).alias("hi"), F.round(F.percentile(d, 0.5), 6).alias("p50"), F.round(F.percentile(d, 0.9), 6).alias("p90")
-    )
-
-
 def threshold_sweep(matches: DataFrame, thresholds: list[float]) -> DataFrame:
     """How many matches and postings each distance threshold lets through."""
     t = F.array(*map(F.lit, thresholds))
@@ -187,10 +151,6 @@ def threshold_sweep(matches: DataFrame, thresholds: list[float]) -> DataFrame:
     return passed.groupBy("threshold").agg(F.count(F.lit(1)).alias("matches"), F.countDistinct("job_id").alias("jobs"))
 
 
-def distance_histogram(matches: DataFrame, bins: int = 10, top: float = 1.0) -> DataFrame:
-    return matches.filter(F.col("cosine_distance").isNotNull()).groupBy(F.width_bucket("cosine_distance", F.lit(0.0), F.lit(top), F.lit(bins)).alias("bin")).agg(F.count(F.lit(1)).alias("n"))
-
-
 def score_separation(matches: DataFrame) -> DataFrame:
     d = F.col("cosine_distance")
     return matches.filter(F.col("status").isin("approved", "rejected")).groupBy("status").agg(
@@ -221,14 +181,6 @@ def north_star(jobs: DataFrame, matches: DataFrame, as_of: str) -> DataFrame:
     return j.crossJoin(m)  # one row each
 
 
-def evaluate_breaker(health: DataFrame) -> DataFrame:
-    """``severity`` of a source: the worst of its broken rules."""
-    rate = F.col("total_failures") / F.col("total_runs")
-    rules = [(F.col("consecutive_failures") >= 5, 3), (F.col("consecutive_failures") >= 3, 2), (rate > 0.3, 1), (F.col("status") == "disabled", 4)]
-    fired = F.array_compact(F.array(*[F.when(c, F.lit(s)) for c, s in rules]))
-    return health.withColumn("fired", F.size(fired)).withColumn("severity", F.coalesce(F.array_max(fired), F.lit(0)))
-
-
 def match_counts(matches: DataFrame) -> DataFrame:
     ok = F.col("status") == "approved"
     return matches.groupBy("applicant_id").agg(F.count(F.lit(1)).alias("matches"), F.count_if(ok).alias("approved"), F.count_if(ok & ~F.col("is_read")).alias("unread"))
@@ -249,9 +201,3 @@ def reclassification_diff(jobs: DataFrame, new: Column) -> DataFrame:
     n = jobs.groupBy("remote_scope", new.alias("new_scope")).agg(F.count(F.lit(1)).alias("n"))
     total = n.groupBy("remote_scope").agg(F.sum("n").alias("total"))
     return n.join(total, "remote_scope").select("remote_scope", "new_scope", "n", X.rate(F.col("n"), F.col("total")).alias("pct"))
-
-
-def audit_rate(jobs: DataFrame, wrong: Column) -> DataFrame:
-    """Share of rows that a label calls wrong, by status, with alert levels at 10 % and 20 %."""
-    out = jobs.groupBy("status").agg(F.round(F.avg(wrong.cast("double")), 6).alias("share"), F.count(F.lit(1)).alias("n"))
-    return out.withColumn("level", F.when(F.col("share") >= 0.2, "critical").when(F.col("share") >= 0.1, "warning").otherwise("ok"))

@@ -149,6 +149,7 @@ VIEWS: dict[str, tuple[str, dict[str, str]]] = {
             "revoked_at": "CASE WHEN p_partkey % 5 <> 0 THEN TIMESTAMP '1997-01-01 00:00:00' END",
         },
     ),
+    "audit_label": ("orders LEFT JOIN labels ON doc_id = o_orderkey % 200", {"job_id": "o_orderkey", "wrong": "CASE WHEN quality IS NOT NULL THEN quality = 0 OR toxic = 1 END"}),
     "applicant_company_block": ("customer", {"user_id": "c_custkey % 40", "ats_slug": "concat('co', CAST((c_custkey * 3) % 97 AS VARCHAR(20)))"}),
     "company_discovery_sources": (
         "orders", {"company_id": "o_custkey", "discovery_source": "«FOUND_BY|o_orderkey»", "discovered_at": "o_orderdate"},

@@ -218,4 +218,4 @@ query(
 )
 OVERRIDE = "EXISTS (SELECT 1 FROM job_label_override o WHERE revoked_at IS NULL AND override_type IN ('geo_fenced', 'suppressed') AND o.ats_slug = job.ats_slug AND o.title = job.title)"
 query("joi7_label_overrides", f"SELECT id FROM job WHERE NOT {OVERRIDE}", lambda v: IDS(rou.apply_label_overrides(v.job, v.job_label_override)))
-from matchflow.plans import queries_classify, queries_feeds, queries_more, queries_sources, queries_streaming  # noqa: E402, F401  registers the rest
+from matchflow.plans import queries_classify, queries_feeds, queries_levels, queries_more, queries_sources, queries_streaming  # noqa: E402, F401  registers the rest

@@ -249,13 +249,6 @@ SUMMARY = f"""count(*) AS runs, count(*) FILTER (WHERE status = 'success') AS su
 query("agg1_ingestion_summary", f"SELECT {SUMMARY} FROM ingestion_log", lambda v: rep.ingestion_summary(v.ingestion_log, []))
 query("agg2_source_performance", f"SELECT source, {SUMMARY} FROM ingestion_log GROUP BY source", lambda v: rep.ingestion_summary(v.ingestion_log, ["source"]))
 query("agg3_ingestion_trend", f"SELECT CAST(created_at AS DATE) AS day, source, {SUMMARY} FROM ingestion_log GROUP BY 1, 2", lambda v: rep.ingestion_summary(v.ingestion_log.withColumn("day", F.to_date("created_at")), ["day", "source"]))
-DAYS = f"date_diff('day', CAST(published_at AS DATE), CAST({NOW} AS DATE))"
-query(
-    "agg4_staleness",
-    f"""WITH b AS (SELECT ats_source, CASE WHEN published_at IS NULL THEN 'unknown' WHEN {DAYS} < 1 THEN '0-1d' WHEN {DAYS} <= 7 THEN '2-7d' WHEN {DAYS} <= 30 THEN '8-30d' WHEN {DAYS} <= 60 THEN '31-60d' ELSE '60d+' END AS bucket FROM job)
-    SELECT ats_source, bucket, count(*) AS n, round(1e2 * count(*) / sum(count(*)) OVER (PARTITION BY ats_source), 1) AS pct FROM b GROUP BY ats_source, bucket""",
-    lambda v: rep.staleness_distribution(v.job, AS_OF),
-)
 OLD = "sum(CAST(json_extract_string(error_details, '$.k') AS INT))"
 query("agg5_old_job_rate", f"SELECT source, CAST({OLD} AS BIGINT) AS old, CAST(sum(items_processed) AS BIGINT) AS processed, round({OLD} / sum(items_processed)::DOUBLE, 4) AS share FROM ingestion_log GROUP BY source HAVING sum(items_processed) > 0 AND {OLD} / sum(items_processed)::DOUBLE >= 0.3", lambda v: rep.old_job_rate(v.ingestion_log))
 query(
@@ -296,15 +289,7 @@ STAGES = {
 query("agg17_stage_counters", " UNION ALL ".join(f"SELECT '{k}' AS stage, count(*) AS n, count(*) = 0 AS silent FROM {f}" for k, f in STAGES.items()), lambda v: rep.stage_counters(v.job, v.match_queue, AS_OF))
 query("agg18_public_stats", f"SELECT count(*) AS total, count(*) FILTER (WHERE remote_scope = 'global') AS global_jobs, count(*) FILTER (WHERE remote_scope IN ('country_fenced', 'region_fenced')) AS fenced, count(*) FILTER (WHERE {WIN('detected_at', 7)}) AS new_this_week FROM job WHERE status = 'active'", lambda v: rep.public_stats(v.job, AS_OF))
 query("agg19_trending_skills", "SELECT tag, count(*) AS n FROM (SELECT unnest(extracted_tags) AS tag FROM job WHERE status = 'active') x GROUP BY tag ORDER BY n DESC, tag LIMIT 15", lambda v: rep.trending_skills(v.job, 15))
-query(
-    "agg20_rank_sources",
-    f"SELECT discovery_source, count(*) AS companies, CAST(sum(coalesce(n, 0)) AS BIGINT) AS jobs, CAST(sum(coalesce(g, 0) + 0.5 * coalesce(u, 0)) AS DOUBLE) AS addressable, {rate('sum(coalesce(g, 0))', 'sum(coalesce(n, 0))')} AS global_rate FROM company LEFT JOIN (SELECT ats_source, ats_slug, count(*) FILTER (WHERE remote_scope = 'global') AS g, count(*) FILTER (WHERE remote_scope = 'undetermined') AS u, count(*) AS n FROM job GROUP BY ALL) j USING (ats_source, ats_slug) GROUP BY 1",
-    lambda v: rep.rank_sources(v.company, v.job),
-)
-FEN = "count(*) FILTER (WHERE remote_scope IN ('country_fenced', 'region_fenced', 'onsite'))"
-query("agg21_fence_rate", f"SELECT coalesce(ats_source, '(all)') AS ats_source, count(*) AS jobs, {FEN} AS fenced, {rate(FEN, 'count(*)')} AS rate FROM job GROUP BY ROLLUP (ats_source)", lambda v: rep.fence_rate(v.job))
 query("agg22_duplicate_groups", f"SELECT {HASH} AS text_hash, count(*) AS n, count(DISTINCT ats_slug) AS slugs, min(id) AS first_id FROM job GROUP BY 1 HAVING count(*) > 1", lambda v: rep.duplicate_groups(v.job))
-query("agg23_calibration", "SELECT overlap_score, count(cosine_distance) AS n, round(avg(cosine_distance), 6) AS mean, round(stddev_pop(cosine_distance), 6) AS sd, round(min(cosine_distance), 6) AS lo, round(max(cosine_distance), 6) AS hi, round(quantile_cont(cosine_distance, 0.5), 6) AS p50, round(quantile_cont(cosine_distance, 0.9), 6) AS p90 FROM match_queue GROUP BY 1", lambda v: rep.calibration_stats(v.match_queue))
 query("agg23_threshold_sweep", "SELECT threshold, count(*) AS matches, count(DISTINCT job_id) AS jobs FROM match_queue JOIN (SELECT unnest([0.21::DOUBLE, 0.33::DOUBLE, 0.47::DOUBLE]) AS threshold) t ON cosine_distance < threshold GROUP BY 1", lambda v: rep.threshold_sweep(v.match_queue, [0.21, 0.33, 0.47]))
 query("agg24_score_separation", "SELECT status, count(*) AS n, round(avg(overlap_score), 6) AS overlap, round(avg(cosine_distance), 6) AS distance, round(min(cosine_distance), 6) AS lo, round(max(cosine_distance), 6) AS hi FROM match_queue WHERE status IN ('approved', 'rejected') GROUP BY 1", lambda v: rep.score_separation(v.match_queue))
 query("agg24_mismatch_profile", "SELECT applicant_id, count(*) AS n, count(DISTINCT persona_id) AS personas, count(DISTINCT job_id) AS jobs FROM match_queue WHERE status = 'mismatch' GROUP BY 1", lambda v: rep.mismatch_profile(v.match_queue))
@@ -323,7 +308,7 @@ query(
     lambda v: win.validation_alert(v.ingestion_log, "2024-01-30 23:00:00"),
 )
 query(
-    "agg28_validation_spikes",
+    "agg28_failure_spike",
     f"""SELECT pane, runs, invalid FROM (SELECT pane, sum(n) OVER w AS runs, sum(bad) OVER w AS invalid FROM (SELECT date_trunc('minute', created_at) AS pane, count(*) AS n, count(*) FILTER (WHERE {INVALID}) AS bad FROM ingestion_log GROUP BY 1)
       WINDOW w AS (ORDER BY pane RANGE BETWEEN INTERVAL 59 MINUTE PRECEDING AND CURRENT ROW)) WHERE runs >= 5 AND invalid / runs::DOUBLE >= 0.2""",
     lambda v: win.validation_spikes(v.ingestion_log),
@@ -335,8 +320,6 @@ query(
     WINDOW d AS (PARTITION BY source ORDER BY pane RANGE BETWEEN INTERVAL 23 HOUR PRECEDING AND CURRENT ROW), k AS (PARTITION BY source ORDER BY pane RANGE BETWEEN INTERVAL 167 HOUR PRECEDING AND CURRENT ROW)""",
     lambda v: win.rolling_runs(v.ingestion_log, {"24h": 24, "7d": 168}, ["source"]),
 )
-FIRED = "list_filter([CASE WHEN consecutive_failures >= 5 THEN 3 END, CASE WHEN consecutive_failures >= 3 THEN 2 END, CASE WHEN total_failures / total_runs::DOUBLE > 0.3 THEN 1 END, CASE WHEN status = 'disabled' THEN 4 END], lambda x: x IS NOT NULL)"
-query("agg29_breaker", f"SELECT source_name, len({FIRED}) AS fired, coalesce(list_max({FIRED}), 0) AS severity FROM source_health", lambda v: rep.evaluate_breaker(v.source_health).select("source_name", "fired", "severity"))
 query("agg30_match_counts", "SELECT applicant_id, count(*) AS matches, count(*) FILTER (WHERE status = 'approved') AS approved, count(*) FILTER (WHERE status = 'approved' AND NOT is_read) AS unread FROM match_queue GROUP BY 1", lambda v: rep.match_counts(v.match_queue))
 STALE_SQL = "CASE WHEN remote_scope = 'global' AND p <> '' AND NOT regexp_matches(p, '(remote|worldwide|anywhere|global)') AND NOT regexp_matches(lower(normalized_text), '(anywhere|worldwide)') THEN CASE WHEN regexp_matches(p, '(emea|apac|namer|latam|europe)') THEN 'region_fenced' ELSE 'country_fenced' END ELSE remote_scope END"
 P = "(SELECT *, lower(coalesce(location_name, '')) AS p FROM job)"
@@ -346,7 +329,6 @@ query(
     f"SELECT remote_scope, new_scope, count(*) AS n, round(1e2 * count(*) / sum(count(*)) OVER (PARTITION BY remote_scope), 1) AS pct FROM (SELECT remote_scope, {STALE_SQL} AS new_scope FROM {P} j) x GROUP BY 1, 2",
     lambda v: rep.reclassification_diff(ups.downgrade_stale_global(v.job).drop("x"), F.col("new_scope")),
 )
-query("agg32_audit_rate", "SELECT status, share, n, CASE WHEN share >= 0.2 THEN 'critical' WHEN share >= 0.1 THEN 'warning' ELSE 'ok' END AS level FROM (SELECT status, round(avg((id % 8 = 0)::DOUBLE), 6) AS share, count(*) AS n FROM job GROUP BY 1) x", lambda v: rep.audit_rate(v.job, F.col("id") % 8 == 0))
 query(
     "agg33_gate_attrition",
     """SELECT count(*) AS pool, count(*) FILTER (WHERE f) AS fenced_alone, count(*) FILTER (WHERE f) AS fenced_in_turn, count(*) FILTER (WHERE s) AS natsec_alone, count(*) FILTER (WHERE NOT f AND s) AS natsec_in_turn, count(*) FILTER (WHERE q) AS qa_alone, count(*) FILTER (WHERE NOT f AND NOT s AND q) AS qa_in_turn,

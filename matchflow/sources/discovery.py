@@ -152,6 +152,11 @@ def stage_provisional(seeds: DataFrame, jobs: DataFrame, cap: int = 15_000) -> D
     return rows.join(jobs.select("id"), "id", "left_anti")
 
 
-def append_snapshot(metrics: DataFrame, path: str) -> None:
-    """One row of metrics, appended to the partition of its day."""
-    metrics.write.mode("append").partitionBy("snapshot_date").parquet(path)
+def write_snapshot(metrics: DataFrame, path: str) -> None:
+    """Metrics (snapshot_date and others) as the partitions of their days: a day that is written again is replaced, and
+    days that ``metrics`` lacks stay."""
+    metrics.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("snapshot_date").parquet(path)
+
+
+def read_snapshots(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.parquet(path)

@@ -116,11 +116,11 @@ def test_retention_and_kept_are_all(spark):
     assert purge.count() <= 120
 
 
-def test_snapshot_appends(spark, tmp_path):
+def test_snapshot_of_a_day_is_one_row(spark, tmp_path):
     row = reports.public_stats(view(spark, SF, "job"), AS_OF).withColumn("snapshot_date", F.lit("1998-01-01"))
     for _ in range(2):
-        discovery.append_snapshot(row, f"{tmp_path}/snap")
-    assert spark.read.parquet(f"{tmp_path}/snap").count() == 2
+        discovery.write_snapshot(row, f"{tmp_path}/snap")
+    assert spark.read.parquet(f"{tmp_path}/snap").count() == 1
 
 
 def test_bad_payloads_are_counted(spark):
@@ -129,11 +129,6 @@ def test_bad_payloads_are_counted(spark):
     assert sorted(map(tuple, rows)) == [("a", False, None), ("b", True, "Dev")]
 
 
-def test_breaker_takes_the_worst(spark):
-    df = spark.createDataFrame([("a", "healthy", 0, 10, 1), ("b", "healthy", 3, 10, 9), ("c", "disabled", 6, 10, 9)], "source_name string, status string, consecutive_failures int, total_runs int, total_failures int")
-    assert column(reports.evaluate_breaker(df), "severity", "source_name") == [0, 2, 4]
-
-
 def test_reprocess_takes_unmatched_postings_and_all_applicants(spark):
     jobs, personas, people, matches = view(spark, SF, "job"), view(spark, SF, "persona"), view(spark, SF, "applicant"), view(spark, SF, "match_queue").filter("job_id % 2 = 0")
     due = jobs.join(joins.reprocess_candidates(jobs, personas, matches), "id", "left_semi")
