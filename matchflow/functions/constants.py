@@ -545,3 +545,6 @@ BREAKER_RULES = [
     ("known_ratio", None, False, 0.15, True, 4, "halt_non_global_ingestion", "hard_pause"),
     ("escalations", 3.0, False, None, False, 5, "ban_source_24hr", "hard_pause"),
 ]
+
+#: Fixed value: distance below which vectors alone make a match, where they are a gate and not a rank.
+GATE_DISTANCE = 0.55

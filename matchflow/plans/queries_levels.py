@@ -9,6 +9,7 @@ from matchflow.operators import breaker as brk
 from matchflow.operators import calibration as cal
 from matchflow.operators import levels as lev
 from matchflow.operators import reports as rep
+from matchflow.operators import vector_join as vec
 from matchflow.plans.adapters import AS_OF, SOURCES
 from matchflow.plans.queries import NOW, arr, query
 from matchflow.plans.queries_more import RATE, WIN
@@ -119,3 +120,7 @@ def snapshots(v):  # noqa: ANN001, ANN201
 
 STAR = "SELECT {1} AS snapshot_date, * FROM (SELECT count(*) FILTER (WHERE status = 'active') AS active, count(*) FILTER (WHERE {0}) AS new_1d, count(*) FILTER (WHERE remote_scope = 'global' AND status = 'active') AS global_active FROM job) j, (SELECT count(*) FILTER (WHERE status = 'approved' AND {2}) AS approved_7d, count(*) FILTER (WHERE status = 'pending') AS waiting, count(DISTINCT applicant_id) AS applicants FROM match_queue) m"
 query("src18_snapshots", " UNION ALL ".join(STAR.format(WIN("detected_at", 1).replace(NOW, f"TIMESTAMP '{d} 00:00:00'"), f"DATE '{d}'", WIN("evaluated_at", 7).replace(NOW, f"TIMESTAMP '{d} 00:00:00'")) for d in ("1997-12-30", "1997-12-31")), snapshots)
+
+# --- all postings and personas whose vectors are close, whatever their tags
+CLOSE = "SELECT j.id AS left_id, p.id AS right_id, round(d, 6) AS distance FROM (SELECT a.v AS a, b.v AS b, 1 - list_cosine_similarity(a.v, b.v) AS d FROM (SELECT DISTINCT job_embedding::DOUBLE[] AS v FROM job WHERE job_embedding IS NOT NULL) a, (SELECT DISTINCT persona_embedding::DOUBLE[] AS v FROM persona WHERE persona_embedding IS NOT NULL) b) x JOIN job j ON j.job_embedding::DOUBLE[] = x.a JOIN persona p ON p.persona_embedding::DOUBLE[] = x.b WHERE d < 0.55"
+query("joi2_vector_join", CLOSE, lambda v: vec.vector_join(v.job, v.persona, C.GATE_DISTANCE, st.stored, ("id", "job_embedding"), ("id", "persona_embedding"))[0].withColumn("distance", F.round("distance", 6)))

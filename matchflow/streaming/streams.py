@@ -29,6 +29,13 @@ def work_folder(spark: SparkSession) -> str:
     return f"{shared or tempfile.gettempdir()}/{spark.sparkContext.applicationId}/stream-{uuid.uuid4().hex}"
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """``df`` written to a folder of its own under the shared one, and read back."""
+    at = work_folder(df.sparkSession)
+    df.write.parquet(at)
+    return df.sparkSession.read.schema(df.schema).parquet(at)
+
+
 def drain(stream: DataFrame, mode: str = "append") -> DataFrame:
     """Run a stream to the end of its input into a Parquet folder, and read that."""
     at = work_folder(stream.sparkSession)
