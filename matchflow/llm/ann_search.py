@@ -37,7 +37,8 @@ BLOCK_ROWS, QUERY_ROWS, KEEP_ROWS = 4_096, 512, 200_000
 
 @dataclass
 class Index:
-    """What hashing needs: directions (tables, m, dim + 1), offsets, slot width, longest norm and a sample."""
+    """What hashing needs: directions (tables, m, dim + 1), offsets, slot width, longest norm and a sample, in units of
+    2**exponent, in which the longest norm is at most 1."""
 
     directions: np.ndarray
     offsets: np.ndarray
@@ -46,6 +47,7 @@ class Index:
     sample: np.ndarray
     rank: int
     share: float
+    exponent: int
 
     def slots(self, padded: np.ndarray) -> np.ndarray:
         """(rows, tables, m) positions in slot widths; their floors are the slots."""
@@ -57,6 +59,7 @@ class Index:
 
     def ask(self, q: np.ndarray) -> np.ndarray:
         """Queries scaled to the longest norm, without padding: order by inner product stays as it is."""
+        q = scaled(q)[0]
         norm = np.sqrt((q * q).sum(axis=1, keepdims=True))
         return np.hstack([q * (self.longest / norm), np.zeros((len(q), 1))])
 
@@ -105,29 +108,48 @@ def bucket_key(t: int, slots: np.ndarray) -> np.ndarray:
     return key.view(np.int64)
 
 
+def scaled(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows divided by powers of two so that their largest component is between 1/2 and 1, and the exponents: nothing is
+    rounded, and sums of products neither overflow nor vanish, however large or small the rows are."""
+    e = np.frexp(np.abs(x).max(axis=1, initial=0))[1]
+    return np.ldexp(x, -e[:, None]), e
+
+
 def usable(vectors: DataFrame, id_col: str, vec_col: str) -> DataFrame:
-    """(id, v, norm) of the rows that take part: id and vector not null, all components finite, not all zero."""
+    """(id, v, log_norm) of the rows that take part: id and vector not null, all components finite, not all zero.
+
+    The norm is summed up relative to the largest component so far, and given by its logarithm to base 2."""
     v = F.col(vec_col).cast("array<double>")
-    norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x))
     rows = vectors.select(F.col(id_col).alias("id"), v.alias("v")).filter(F.col("id").isNotNull() & F.col("v").isNotNull())
-    return rows.filter(F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))).withColumn("norm", norm).filter("norm > 0")
+    rows = rows.filter(F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("v", lambda x: x != 0))
+    state = lambda most, total: F.struct(most.alias("most"), total.alias("total"))
+
+    def step(s, x):
+        a = F.abs(x)
+        up, down = s["most"] / a, a / s["most"]
+        return F.when(a > s["most"], state(a, 1 + s["total"] * up * up)).when(a > 0, state(s["most"], s["total"] + down * down)).otherwise(s)
+
+    norm = F.aggregate("v", state(F.lit(0.0), F.lit(0.0)), step, lambda s: F.log2(s["most"]) + F.log2(s["total"]) / 2)
+    return rows.withColumn("log_norm", norm)
 
 
-def fit(rows: DataFrame, dim: int, n: int, longest: float, k: int, seed: int = 7) -> Index:
+def fit(rows: DataFrame, dim: int, n: int, log_norm: float, k: int, seed: int = 7) -> Index:
     """Directions drawn by ``seed``, and as many to a table as the sample bears: the most, up to what the row count
-    calls for, at which its queries visit ``MEAN_PROBES`` buckets or fewer on average."""
+    calls for, at which its queries visit ``MEAN_PROBES`` buckets or fewer on average. ``log_norm`` is the longest one's."""
+    exponent = math.ceil(log_norm)
+    longest = 2.0 ** (log_norm - exponent)
     at = F.pmod(F.xxhash64("id"), F.lit(1 << 30))
     share = int(min(1.0, 1.2 * SAMPLE_ROWS / max(1, n)) * (1 << 30))  # some more than needed; the first by hash are taken
     picked = rows.filter(at < share).orderBy(at, "id", "v").limit(SAMPLE_ROWS).select("v").toArrow()
-    sample = np.array(picked["v"].to_pylist(), float).reshape(-1, dim)
+    sample = np.ldexp(np.array(picked["v"].to_pylist(), float).reshape(-1, dim), -exponent)
     rng = np.random.default_rng(seed)
     wanted = int(np.clip(round(math.log(max(n, 1000) / 1000, 4)), 1, MAX_DIRECTIONS))
     gaussian = rng.standard_normal((TABLES, wanted, dim + 1))
     offsets = rng.random((TABLES, wanted))
-    index = Index(gaussian, offsets, WIDTH * longest, longest, sample, 0, 1 - (1 - RECALL) ** (1 / TABLES))
+    index = Index(gaussian, offsets, WIDTH * longest, longest, sample, 0, 1 - (1 - RECALL) ** (1 / TABLES), exponent)
     index.offsets = offsets * index.width
     index.rank = max(1, math.ceil(k * len(sample) / max(1, n)))  # place 0 is the query itself, if it is in the sample
-    asked = index.ask(sample[:SAMPLE_QUERIES])
+    asked = index.ask(sample[np.abs(sample).max(axis=1, initial=0) > 0][:SAMPLE_QUERIES])
     index.sample = index.pad(sample)
     for m in range(wanted, 0, -1):
         index.directions, index.offsets = gaussian[:, :m], offsets[:, :m] * index.width
@@ -159,17 +181,25 @@ def best_of(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, block:
     A matrix product finds them up to rounding; scores are row sums, so that equal vectors have equal ones anywhere.
     """
     order = np.argsort(ids, kind="stable")
-    ids, block = ids[order], block[order]
-    rough = queries @ block.T
+    ids = ids[order]
+    (block, block_e), (queries, query_e) = scaled(block[order]), scaled(queries)
+    most = block_e.max(initial=-1100)
+    units = np.ldexp(1.0, block_e - most)  # of the rows, relative to the largest one's
+    with np.errstate(over="ignore"):  # a product too large for a double is infinite
+        rough = np.ldexp((queries @ block.T) * units, query_e[:, None] + most)
     rough[query_ids[:, None] == ids[None, :]] = -np.inf
     first = np.flatnonzero(np.append(True, ids[1:] != ids[:-1]))
     by_id = rough if len(first) == len(ids) else np.maximum.reduceat(rough, first, axis=1)
     least = np.full(len(queries), -np.inf)
     if by_id.shape[1] > k:
         least = np.partition(by_id, by_id.shape[1] - k, axis=1)[:, by_id.shape[1] - k]
-        least = least - 1e-12 * len(block[0]) * np.sqrt((queries**2).sum(axis=1) * (block**2).sum(axis=1).max())
+        error = 1e-12 * len(block[0]) * np.sqrt((queries**2).sum(axis=1) * ((block * units[:, None]) ** 2).sum(axis=1).max())
+        with np.errstate(over="ignore"):
+            least = np.where(np.isinf(least), least, least - np.ldexp(error, query_e + most))
     q, i = np.nonzero((rough >= least[:, None]) & (rough > -np.inf))
-    return top(query_ids[q], ids[i], (block[i] * queries[q]).sum(axis=1), k)
+    with np.errstate(over="ignore"):
+        score = np.ldexp((block[i] * queries[q]).sum(axis=1), block_e[i] + query_e[q])
+    return top(query_ids[q], ids[i], score, k)
 
 
 def nearest(vectors: DataFrame, is_query, k: int = 20, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
@@ -178,25 +208,26 @@ def nearest(vectors: DataFrame, is_query, k: int = 20, id_col: str = "vec_id", v
     * Rows with a null id or vector, a null or non-finite component, or only zeros take no part; nor do vectors of
       another length than the most frequent one (ties to the longer), with which they have no inner product: a warning
       tells how many there are.
+    * Norms may be as large or small as doubles are. A product beyond them is infinite, and infinite ones are ties.
     * Ties go to the smaller id. Rows that repeat an id count once, with their best score. Fewer candidates than k are
       all returned. An empty table, or one without queries, gives an empty result; further columns are ignored.
     """
     spark = vectors.sparkSession
     rows = usable(vectors, id_col, vec_col)
-    sizes = rows.groupBy(F.size("v").alias("dim")).agg(F.count(F.lit(1)).alias("n"), F.max("norm").alias("longest"))
-    by_size = sizes.agg(F.max(F.struct("n", "dim", "longest")).alias("most"), F.sum("n").alias("all")).first()
+    sizes = rows.groupBy(F.size("v").alias("dim")).agg(F.count(F.lit(1)).alias("n"), F.max("log_norm").alias("log_norm"))
+    by_size = sizes.agg(F.max(F.struct("n", "dim", "log_norm")).alias("most"), F.sum("n").alias("all")).first()
     head = by_size["most"]
     if head is None:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     if by_size["all"] > head["n"]:
         warnings.warn(f"{by_size['all'] - head['n']} vectors have another length than {head['dim']} and take no part", stacklevel=2)
     rows = rows.filter(F.size("v") == head["dim"])
-    shared = spark.sparkContext.broadcast(fit(rows, head["dim"], head["n"], head["longest"], k))
+    shared = spark.sparkContext.broadcast(fit(rows, head["dim"], head["n"], head["log_norm"], k))
 
     def hash_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = shared.value
         for batch in batches:
-            x = np.array(batch.column(1).to_pylist(), float).reshape(batch.num_rows, -1)
+            x = np.ldexp(np.array(batch.column(1).to_pylist(), float).reshape(batch.num_rows, -1), -index.exponent)
             at = np.floor(index.slots(index.pad(x)))
             for t in range(at.shape[1]):
                 yield pa.record_batch([pa.array(bucket_key(t, at[:, t])), batch.column(0), batch.column(1)], names=["key", "id", "v"])

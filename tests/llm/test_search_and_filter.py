@@ -55,6 +55,21 @@ def test_awkward_vectors(spark):
     assert a.nearest(df.filter("vec_id = 1"), lambda i: i % 20 == 0).count() == 0
 
 
+@pytest.mark.parametrize("powers", [(200,), (-200,), (300,), (-300,), (200, 0, -200), (150, 120)])
+def test_extreme_norms(spark, powers):
+    rng = np.random.default_rng(3)
+    x = [rng.standard_normal(4) * 10.0 ** powers[i % len(powers)] for i in range(60)]
+    got = {}
+    for r in a.nearest(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>"), lambda i: i % 20 == 0, k=60).orderBy("rank").collect():
+        got.setdefault(r["query_id"], []).append((r["vec_id"], r["score"]))
+    assert set(got) == {0, 20, 40}
+    for q, found in got.items():
+        with np.errstate(all="ignore"):
+            exact = {i: float(np.ldexp((np.ldexp(x[q], -e) * np.ldexp(x[i], -f)).sum(), e + f)) for i in range(60) if i != q for e, f in [(np.frexp(abs(x[q]).max())[1], np.frexp(abs(x[i]).max())[1])]}
+        assert found == sorted(((i, s) for i, s in exact.items() if i in dict(found)), key=lambda y: (-y[1], y[0]))
+        assert len(found) > 20 and all(not np.isnan(s) for _, s in found)
+
+
 def test_ties_go_to_smaller_ids(spark):
     rows = [(i, [0.6, 0.8]) for i in range(60)]
     got = a.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), lambda i: i % 20 == 0, k=5).collect()
