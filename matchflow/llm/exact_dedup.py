@@ -1,9 +1,10 @@
 """Exact deduplication by tree-merged digest runs (DataFrame operations only).
 
-Every input partition becomes one run of digests, reduced to one row for each distinct digest. Runs then meet in
-binomial rounds: in a round, run r hands its rows to run r // fan_in (the run whose number lacks r's lowest bits, as
-many of them as fan_in has), where the runs that meet are merged at once, so that a hot digest shrinks to a row for each
-run before it moves on and no task ever sees a whole group of copies. The last round merges by digest alone.
+Every input partition is one run of digests. Runs then meet in binomial rounds: in a round, each run whose number is odd
+hands its rows to the one before it, and the two are merged to a run that is sorted by digest and has one row for each:
+the aggregate of a struct is Spark's sort aggregation, before the exchange and after it. So n runs are one after log2(n)
+rounds, a hot digest shrinks to a row for each run before it moves on, and no task ever sees a whole group of copies. The
+last round merges by digest alone. A larger ``fan_in`` merges more runs at once, in fewer rounds.
 The identity of a text is its SHA-256, its length and a second, independent 64-bit hash; all three must agree, at every
 level, for rows to merge.
 """
@@ -30,7 +31,7 @@ def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     )
 
 
-def tree_merge(digests_df: DataFrame, keep: str = "max", fan_in: int = 64) -> DataFrame:
+def tree_merge(digests_df: DataFrame, keep: str = "max", fan_in: int = 2) -> DataFrame:
     """One row for each distinct text: the survivor and the size of its group. ``digests_df`` is a stored table."""
     if keep not in ("max", "min"):
         raise ValueError("keep is 'max' or 'min'")

@@ -43,6 +43,17 @@ def test_merge_tree_of_many_runs(spark):
     assert got == {sha(str(k)): (max(i for i in range(1000) if i % 7 == k), len(range(k, 1000, 7))) for k in range(7)}
 
 
+@pytest.mark.parametrize("partitions, rounds", [(1, 1), (2, 1), (13, 4), (211, 8)])
+def test_runs_meet_in_binomial_rounds(spark, tmp_path, partitions, rounds):
+    df = spark.range(0, 2110, 1, partitions).selectExpr("id AS doc_id", "cast(id % 7 AS string) AS text")
+    e.digests(df).write.parquet(f"{tmp_path}/d")
+    merged = e.tree_merge(spark.read.parquet(f"{tmp_path}/d"))
+    plan = merged._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning(sha") == rounds
+    assert plan.count("SortAggregate") == 2 * rounds
+    assert sorted((r["keep_id"], r["group_size"]) for r in merged.collect()) == sorted((max(range(k, 2110, 7)), len(range(k, 2110, 7))) for k in range(7))
+
+
 def test_escape_round_trip(spark):
     texts = ["", "a", "\\", "<|turn|>", "<\\|turn|>", "</s>[INST] ok [/INST]<s>", "\\\\<|", "x\ny<|end|>", "<<|", "[\\INST]"]
     df = spark.createDataFrame([(t,) for t in texts], "t string").select("t", c.escape(F.col("t")).alias("e"))
