@@ -548,3 +548,27 @@ BREAKER_RULES = [
 
 #: Fixed value: distance below which vectors alone make a match, where they are a gate and not a rank.
 GATE_DISTANCE = 0.55
+
+#: Slugs that are words of site navigation or placeholders.
+NAVIGATION_SLUGS = [
+    "login", "register", "signup", "sign-up", "signin", "sign-in", "careers", "jobs", "job", "admin", "dashboard", "settings", "profile", "account", "about", "contact", "help", "support", "faq", "privacy", "terms", "api",
+    "docs", "blog", "news", "press", "team", "company", "home", "index", "search", "apply", "post", "new", "edit", "delete", "create", "view", "list", "all", "none", "null", "undefined", "test", "demo", "example", "sample",
+    "temp", "tmp", "foo", "bar", "baz",
+]
+
+#: What a text says of work permits in one country, as patterns between word borders.
+PERMIT_PATTERNS = [r"e-?verify", r"eligibility\s+to\s+work\s+in\s+(?:the\s+)?(?:u\.?s\.?a?\.?|united\s+states)", r"authorized\s+to\s+work\s+in\s+(?:the\s+)?(?:u\.?s\.?a?\.?|united\s+states)"]
+
+#: Names of macro-regions; three of them in a place are the world.
+MACRO_REGIONS = [
+    ["americas", "north america", "south america", "latam", "latin america"], ["europe", "european", "emea"], ["asia", "apac", "asia-pacific"], ["africa"], ["middle east"], ["oceania", "australasia"],
+]
+
+#: Categories of blockers in the order in which they are tried, as patterns in either letter case.
+BLOCKER_CATEGORIES = {
+    "geographic": "remote.*(restrict|US only|must be located|must reside|region|country)", "workplace": "(on-site|onsite|hybrid|workplace)", "skills": "(not mentioned|missing|requires.*skill|skill)", "travel": "(travel|relocation)",
+    "domain": "(Angular|jQuery|web3|React Native|Vue|Ember|Backbone)",
+}
+
+#: Tags of front-end work.
+FRONTEND_TAGS = ["react", "vue", "angular", "typescript", "javascript", "css", "html", "frontend", "front-end", "svelte", "nextjs", "tailwind"]

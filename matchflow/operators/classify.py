@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 import functools
 
 from pyspark.sql import Column, DataFrame
@@ -189,17 +191,34 @@ def extract_countries(df: DataFrame, column: str) -> DataFrame:
 
 
 def strip_hq(df: DataFrame, hq: str) -> DataFrame:
-    """The text without a company's own location, where that is more than a generic word."""
-    place = F.lower(F.coalesce(hq, F.lit("")))
-    return df.withColumn("stripped", F.when((F.length(place) > 3) & is_specific(place), F.replace(F.lower("normalized_text"), place, F.lit(""))).otherwise(F.lower("normalized_text")))
+    """``stripped``: the text with a blank in place of a company's own location, wherever and however it is written."""
+    place = F.col(hq)
+    quoted = F.concat(F.lit("(?iu)\\Q"), F.replace(place, F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit("\\E"))
+    return df.withColumn("stripped", F.when(F.coalesce(place, F.lit("")) == "", F.col("normalized_text")).otherwise(F.regexp_replace("normalized_text", quoted, F.lit(" "))))
+
+
+def place_scope() -> Column:
+    """Scope by source, workplace and location alone, before any text is read."""
+    low = F.lower(F.coalesce("location_name", F.lit("")))
+    regions = sum((F.when(low.rlike("(^|[^a-z])(" + "|".join(map(re.escape, names)) + ")($|[^a-z])"), 1).otherwise(0) for names in C.MACRO_REGIONS), F.lit(0))
+    remote = low.rlike(X.any_part(C.REMOTE_INDICATORS))
+    return (
+        F.when((F.col("ats_source") != "greenhouse") & F.col("workplace_type").isin("on-site", "hybrid"), "onsite")
+        .when((regions >= 3) | low.rlike("worldwide|anywhere|global|remote - world|remote \\(world"), "global")
+        .when(remote & (F.size(X.countries_named(low)) > 0), "country_fenced")
+        .when(F.col("workplace_type").isNull() & is_specific(low), "onsite")
+        .otherwise("undetermined")
+    )
 
 
 def profile_company_feed(df: DataFrame) -> DataFrame:
-    """Scope counts of a company by location and workplace alone, and its addressable yield."""
-    place = F.lower(F.coalesce("location_name", F.lit("")))
-    scope = F.when(F.col("workplace_type").isin("on-site", "hybrid"), "onsite").when(place.rlike("(worldwide|anywhere|global)"), "global").when(place.rlike(X.any_word(C.REGION_TERMS)), "region").when(place.rlike(X.any_word(list(C.COUNTRIES))), "country").otherwise("undetermined")
-    out = df.groupBy("ats_source", "ats_slug").agg(F.count_if(scope == "global").alias("global_jobs"), F.count_if(scope == "undetermined").alias("undetermined"), F.count(F.lit(1)).alias("jobs"))
-    return out.withColumn("addressable", F.col("global_jobs") + 0.5 * F.col("undetermined"))
+    """Web-development postings of a company by ``place_scope``, its addressable yield (global, and half of what is open),
+    and whether it has two or more of them. Companies without any have a row, too."""
+    web, scope = F.col("title").rlike(X.any_part(C.WEBDEV_TERMS)), place_scope()
+    n = {s: F.count_if(web & (scope == s)).alias(name) for s, name in (("global", "global_jobs"), ("country_fenced", "fenced_jobs"), ("onsite", "onsite_jobs"), ("undetermined", "undetermined"))}
+    out = df.groupBy("ats_source", "ats_slug").agg(F.count(F.lit(1)).alias("jobs"), F.count_if(web).alias("webdev"), *n.values())
+    share = F.when(F.col("webdev") > 0, F.round(F.col("global_jobs") / F.col("webdev"), 6)).otherwise(0.0)
+    return out.withColumn("addressable", F.col("global_jobs") + 0.5 * F.col("undetermined")).withColumn("global_share", share).withColumn("passed", F.col("webdev") >= 2)
 
 
 def evaluate_stack_gate(df: DataFrame) -> DataFrame:

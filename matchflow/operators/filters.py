@@ -44,9 +44,10 @@ def is_specific(place: Column) -> Column:
 
 
 def with_fence_flag(df: DataFrame) -> DataFrame:
-    """The stored flag, or where it is unknown what title, location (any kind of fence) and text say."""
-    said = F.concat_ws(" ", "title", "normalized_text").rlike(r"(?i)(e-verify|authorized to work in the (us|united states)|within canada only|europe only)")
-    return df.withColumn("fenced", F.coalesce("is_fenced", country_fence().isNotNull() | X.true_(said)))
+    """The stored flag, or where it is unknown what title and location (any kind of fence) and the text's words on work
+    permits say."""
+    said = F.coalesce("normalized_text", F.lit("")).rlike("(?i)(?<![a-z0-9_])(" + "|".join(C.PERMIT_PATTERNS) + ")(?<=[a-z0-9_])(?![a-z0-9_])")
+    return df.withColumn("fenced", F.coalesce("is_fenced", country_fence().isNotNull() | said))
 
 
 def with_natsec_flag(df: DataFrame) -> DataFrame:
@@ -131,10 +132,11 @@ def filter_match_status(df: DataFrame, view: str, as_of: str) -> DataFrame:
 
 
 def filter_valid_slugs(df: DataFrame) -> DataFrame:
-    """2 to 60 characters, not a number, not a word of site navigation, with a vowel if it is long."""
-    slug = F.lower("ats_slug")
-    nav = ["about", "careers", "jobs", "login", "signup", "search", "home", "blog", "contact", "api", "www"]
-    return df.filter(F.length(slug).between(2, 60) & ~slug.rlike("^[0-9]+$") & ~slug.isin(nav) & ((F.length(slug) < 5) | slug.rlike("[aeiouy]")))
+    """Slugs that can be a company's: 2 to 60 characters, not a number, no word of site navigation, no more than 25
+    characters without a separator, and with a vowel if there are but two."""
+    slug = F.lower(F.trim("ats_slug"))
+    bad = slug.rlike("^[0-9]+$") | slug.isin(C.NAVIGATION_SLUGS) | ((F.length(slug) > 25) & ~slug.rlike("[-_./]")) | ((F.length(slug) <= 2) & ~slug.rlike("[aeiou]"))
+    return df.filter(F.length(slug).between(2, 60) & ~bad)
 
 
 def filter_aggregators(df: DataFrame, slugs: DataFrame, words: list[str]) -> DataFrame:

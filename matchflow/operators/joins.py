@@ -97,17 +97,24 @@ def tier_rank(tier: Column) -> Column:
 
 
 def sort_postings(df: DataFrame, key: str, n: int) -> DataFrame:
-    """The first ``n``: newest, oldest, by salary (unknown last), or by quality (the tier later in its order first)."""
+    """The first ``n``: newest, oldest, by salary (unknown last), or by quality (the companies that most sources found first,
+    unknown last, then the tier later in its order, unknown last); then the newest, then by id."""
     when = F.coalesce("published_at", "detected_at")
     orders = {
         "newest": [when.desc()],
         "oldest": [when.asc()],
-        "salary": [F.col("compensation_max").desc_nulls_last()],
-        "quality": [tier_rank(F.col("tier")).desc(), when.desc()] if "tier" in df.columns else [],
+        "salary": [F.col("compensation_max").desc_nulls_last(), when.desc()],
+        "quality": [F.col("fusion_score").desc_nulls_last(), F.when(F.col("tier").isNotNull(), tier_rank(F.col("tier"))).desc_nulls_last(), when.desc()] if "tier" in df.columns else [],
     }
     return df.orderBy(*orders[key], F.col("id")).limit(n)
 
 
+def with_fusion(jobs: DataFrame, companies: DataFrame, found: DataFrame) -> DataFrame:
+    """``with_company``, and how many sources have found the company; ``found`` has (company_id, discovery_source)."""
+    score = found.groupBy("company_id").agg(F.countDistinct("discovery_source").alias("fusion_score"))
+    return with_company(jobs, companies).join(score, "company_id", "left")
+
+
 def poll_batch(companies: DataFrame, tier: str, n: int) -> DataFrame:
     """The companies of a tier that were polled longest ago, never polled ones first."""
     return companies.filter((F.col("tier") == tier) & F.col("polling_enabled")).orderBy(F.col("last_polled_at").asc_nulls_first(), "id").limit(n)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from matchflow.functions import constants as C
 from matchflow.functions import exprs as X
 
 
@@ -35,14 +36,13 @@ def old_job_rate(log: DataFrame, threshold: float = 0.3) -> DataFrame:
     return out.withColumn("share", F.round(F.col("old") / F.col("processed"), 4)).filter((F.col("processed") > 0) & (F.col("old") / F.col("processed") >= threshold))
 
 
-def rejection_categories(matches: DataFrame) -> DataFrame:
-    text = F.lower("b")
-    category = (
-        F.when(text.rlike("location|timezone"), "location").when(text.rlike("clearance|citizen"), "clearance").when(text.rlike("seniority|junior|senior"), "seniority")
-        .when(text.rlike("stack|skill"), "stack").when(text.rlike("salary|pay"), "pay").otherwise("other")
-    )
-    b = matches.filter(F.col("status") == "rejected").select(F.explode("llm_blockers").alias("b"))
-    return b.groupBy(category.alias("category")).agg(F.count(F.lit(1)).alias("n"))
+def rejection_categories(matches: DataFrame, as_of: str, days: int = 30) -> DataFrame:
+    """Blockers of matches rejected in the last days, by the first category whose pattern they hold."""
+    category = F.lit("other")
+    for name, pattern in reversed(C.BLOCKER_CATEGORIES.items()):
+        category = F.when(F.col("b").rlike(f"(?is){pattern}"), name).otherwise(category)
+    recent = matches.filter((F.col("status") == "rejected") & (F.col("evaluated_at") > F.expr(f"TIMESTAMP '{as_of}' - INTERVAL {days} DAYS")))
+    return recent.select(F.explode("llm_blockers").alias("b")).groupBy(category.alias("category")).agg(F.count(F.lit(1)).alias("n"))
 
 
 def approval_rate_by(matches: DataFrame, key: str) -> DataFrame:

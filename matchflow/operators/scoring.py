@@ -233,13 +233,20 @@ def apply_verdicts(matches: DataFrame, verdicts: DataFrame) -> DataFrame:
     return j.select("id", status.alias("new_status"), F.when(now & (F.col("verdict") != "approved"), F.col("reason")).alias("rejection_reason"))
 
 
-def employer_openness(jobs: DataFrame, matches: DataFrame, as_of: str) -> DataFrame:
-    """Recent, older and pending decisions by company, in one pass over matches."""
-    age = F.datediff(F.lit(as_of).cast("timestamp"), F.col("evaluated_at"))
-    m = matches.select("job_id", "status", age.alias("age")).join(jobs.select(F.col("id").alias("job_id"), "ats_slug"), "job_id")
-    ok = F.col("status") == "approved"
-    return m.groupBy("ats_slug").agg(
-        F.count_if(ok & F.col("age").between(0, 89)).alias("approved_90d"),
-        F.count_if(ok & F.col("age").between(90, 364)).alias("approved_year"),
-        F.count_if((F.col("status") == "pending") & F.col("age").between(0, 29)).alias("pending_30d"),
-    ).withColumn("boost", (F.col("approved_90d") > 0) | (F.col("approved_year") >= 3))
+def employer_openness(companies: DataFrame, jobs: DataFrame, matches: DataFrame, personas: DataFrame, as_of: str) -> DataFrame:
+    """(id, approved_90d, approved_year, pending_30d, frontend_jobs_90d, new_tier) of polled companies that are not dead:
+    decisions for front-end personas and their own front-end postings. One approval within a year makes a company hot."""
+    ago = lambda days: F.expr(f"TIMESTAMP '{as_of}' - INTERVAL {days} DAYS")
+    front = X.strings(C.FRONTEND_TAGS)
+    who = personas.filter(F.arrays_overlap("must_have_tags", front)).select(F.col("id").alias("persona_id"))
+    of = jobs.select(F.col("id").alias("job_id"), "ats_source", "ats_slug")
+    ok, at = F.col("status") == "approved", F.col("evaluated_at")
+    m = matches.filter(F.col("status").isin("approved", "pending")).select("job_id", "persona_id", "status", "evaluated_at", "created_at").join(who, "persona_id", "left_semi").join(of, "job_id")
+    m = m.groupBy("ats_source", "ats_slug").agg(
+        F.count_if(ok & (at > ago(90))).alias("approved_90d"), F.count_if(ok & at.between(ago(365), ago(90))).alias("approved_year"), F.count_if((F.col("status") == "pending") & (F.col("created_at") > ago(30))).alias("pending_30d")
+    )
+    own = jobs.filter((F.col("detected_at") > ago(90)) & (F.col("status") == "active") & F.arrays_overlap("extracted_tags", front)).groupBy("ats_source", "ats_slug").agg(F.count(F.lit(1)).alias("frontend_jobs_90d"))
+    live = companies.filter(F.col("polling_enabled") & (F.col("tier") != "dead")).select("id", "ats_source", "ats_slug", "tier")
+    out = live.join(m, ["ats_source", "ats_slug"], "left").join(own, ["ats_source", "ats_slug"], "left").fillna(0, ["approved_90d", "approved_year", "pending_30d", "frontend_jobs_90d"])
+    hot = (F.col("approved_90d") > 0) | (F.col("approved_year") > 0)
+    return out.select("id", "approved_90d", "approved_year", "pending_30d", "frontend_jobs_90d", F.when(hot, "active_hot").otherwise(F.col("tier")).alias("new_tier"))

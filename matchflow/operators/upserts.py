@@ -188,16 +188,40 @@ def purge_plan(jobs: DataFrame, matches: DataFrame, budget: int, active_share: f
     return ranked.filter(F.col("place") <= F.col("granted")).select("id", "tier", "place")
 
 
-def reconcile(jobs: DataFrame) -> DataFrame:
-    """Consistent flags, and how many rows each rule changes, by scope."""
-    fenced = F.col("remote_scope").isin("country_fenced", "region_fenced", "onsite")
-    return jobs.groupBy("remote_scope").agg(
-        F.count_if(fenced & F.col("job_embedding").isNotNull()).alias("drop_embedding"),
-        F.count_if(F.coalesce("is_fenced", F.lit(False)) != fenced).alias("fix_flag"),
-        F.count_if((F.col("status") == "rejected") & F.col("normalized_at").isNull()).alias("set_normalized"),
+FIXES = ["global-scope-null-countries", "fenced-null-embedding", "is-fenced-consistency", "rejected-normalized-at"]
+
+
+def reconcile(jobs: DataFrame, as_of: str) -> DataFrame:
+    """The next version of ``jobs``: global postings without countries, fenced ones without a vector, flags that agree with
+    the scope (unknown ones stay), rejected ones with a time; and ``fixes``, the rules that changed a row."""
+    scope, fenced = F.col("remote_scope"), F.coalesce(F.col("remote_scope").isin("country_fenced", "region_fenced", "onsite"), F.lit(False))
+    open_ = F.coalesce(~scope.isin("country_fenced", "region_fenced", "onsite"), F.lit(False))
+    hits = [
+        (scope == "global") & F.col("location_countries").isNotNull(),
+        fenced & F.col("job_embedding").isNotNull(),
+        (fenced & (F.col("is_fenced") == F.lit(False))) | (open_ & (F.col("is_fenced") == F.lit(True))),
+        (F.col("status") == "rejected") & F.col("normalized_at").isNull(),
+    ]
+    staged = jobs.withColumn("fixes", F.array_compact(F.array(*[F.when(h, F.lit(n)) for n, h in zip(FIXES, hits)])))
+    fixed = lambda n: F.array_contains("fixes", FIXES[n])
+    now = F.lit(as_of).cast(jobs.schema["normalized_at"].dataType)
+    return staged.withColumns(
+        {
+            "location_countries": F.when(~fixed(0), F.col("location_countries")),
+            "job_embedding": F.when(~fixed(1), F.col("job_embedding")),
+            "is_fenced": F.when(fixed(2), ~F.col("is_fenced")).otherwise(F.col("is_fenced")),
+            "normalized_at": F.when(fixed(3), now).otherwise(F.col("normalized_at")),
+        }
     )
 
 
+def reconciliation_log(reconciled: DataFrame) -> DataFrame:
+    """(fix_name, status, n): of each rule, whether it was applied and to how many rows."""
+    n = reconciled.agg(*[F.count_if(F.array_contains("fixes", f)).alias(f) for f in FIXES])
+    rows = n.select(F.explode(F.array(*[F.struct(F.lit(f).alias("fix_name"), F.col(f"`{f}`").alias("n")) for f in FIXES])).alias("r")).select("r.*")
+    return rows.select("fix_name", F.when(F.col("n") > 0, "applied").otherwise("already-ok").alias("status"), "n")
+
+
 def backoff(retries: DataFrame, as_of: str) -> DataFrame:
     """One more try; the next in a week times two to the number of tries."""
     n = F.col("retry_count") + 1

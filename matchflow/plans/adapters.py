@@ -111,7 +111,7 @@ VIEWS: dict[str, tuple[str, dict[str, str]]] = {
             "status": "CASE (l_orderkey + l_suppkey) % 8 WHEN 0 THEN 'approved' WHEN 1 THEN 'rejected' WHEN 2 THEN 'error' WHEN 3 THEN 'mismatch' WHEN 4 THEN 'stale' WHEN 5 THEN 'rejected' ELSE 'pending' END",
             "llm_confidence": "CASE WHEN l_partkey % 3 = 0 THEN NULL ELSE l_discount * 5 END",
             "prompt_variant": "CASE l_linenumber % 3 WHEN 0 THEN NULL WHEN 1 THEN 'a' ELSE 'b' END",
-            "llm_blockers": "CASE l_partkey % 4 WHEN 0 THEN NULL WHEN 1 THEN ['Location: US only', 'Requires clearance'] WHEN 2 THEN ['Seniority too junior'] ELSE ['Missing stack skills', 'salary below range'] END",
+            "llm_blockers": "CASE l_partkey % 8 WHEN 0 THEN NULL WHEN 1 THEN ['Location: US only', 'Requires clearance'] WHEN 2 THEN ['Seniority too junior'] WHEN 3 THEN ['Remote work is restricted to one region', 'Vue experience'] WHEN 4 THEN ['On-site three days', 'Requires relocation'] WHEN 5 THEN ['ANGULAR is required'] ELSE ['Missing stack skills', 'salary below range'] END",
             "is_read": "l_linenumber % 2 = 0", "created_at": "l_shipdate", "evaluated_at": "l_shipdate + INTERVAL 2 DAY", "stale_at": "CASE WHEN l_linenumber = 1 THEN l_shipdate + INTERVAL 3 DAY END",
         },
     ),

@@ -71,7 +71,7 @@ query("flt2_webdev_titles", f"SELECT id, title FROM job WHERE regexp_matches(low
 query("flt3_country_fence", f"SELECT id, {FENCE} AS fence FROM (SELECT *, lower(trim(coalesce(location_name, ''))) AS p FROM job) t", lambda v: flt.with_country_fence(v.job).select("id", "fence"))
 query(
     "flt4_fence_flag",
-    f"SELECT id, coalesce(is_fenced, ({FENCE}) IS NOT NULL OR regexp_matches(lower(concat_ws(' ', title, normalized_text)), '(e-verify|authorized to work in the (us|united states)|within canada only|europe only)')) AS fenced FROM (SELECT *, lower(trim(coalesce(location_name, ''))) AS p FROM job) t",
+    f"SELECT id, coalesce(is_fenced, ({FENCE}) IS NOT NULL OR regexp_matches(lower(coalesce(normalized_text, '')), '\\b(e-?verify|(eligibility|authorized)\\s+to\\s+work\\s+in\\s+(the\\s+)?(u\\.?s\\.?a?|united\\s+states))\\b')) AS fenced FROM (SELECT *, lower(trim(coalesce(location_name, ''))) AS p FROM job) t",
     lambda v: flt.with_fence_flag(v.job).select("id", "fenced"),
 )
 query(
@@ -113,7 +113,9 @@ query(
     UNION ALL SELECT id, 'approved' FROM match_queue WHERE status = 'approved' AND NOT is_read UNION ALL SELECT id, 'viewed' FROM match_queue WHERE status = 'approved' AND is_read""",
     lambda v: (lambda m: flt.filter_match_status(m, "pending", AS_OF).select("id", F.lit("pending").alias("seen")).union(flt.filter_match_status(m, "stale", AS_OF).select("id", F.lit("stale"))).union(flt.filter_match_status(m, "approved", AS_OF).select("id", F.lit("approved"))).union(flt.filter_match_status(m, "viewed", AS_OF).select("id", F.lit("viewed"))))(v.match_queue),
 )
-query("flt14_valid_slugs", "SELECT id FROM company WHERE length(ats_slug) BETWEEN 2 AND 60 AND NOT regexp_matches(ats_slug, '^[0-9]+$') AND (length(ats_slug) < 5 OR regexp_matches(ats_slug, '[aeiouy]'))", lambda v: IDS(flt.filter_valid_slugs(v.company)))
+SLUG_CASES = "CASE id % 9 WHEN 0 THEN {0} WHEN 1 THEN concat('acmeinternationalholdings', ats_slug) WHEN 2 THEN concat('acme-international-holdings-', ats_slug) WHEN 3 THEN substr(ats_slug, 3, 4) WHEN 4 THEN 'nv' WHEN 5 THEN ' IO ' ELSE ats_slug END"
+SLUGS = SLUG_CASES.format(f"element_at(array({', '.join(map(repr, C.NAVIGATION_SLUGS))}), CAST(id % {len(C.NAVIGATION_SLUGS)} AS INT) + 1)"), SLUG_CASES.format(f"{arr(C.NAVIGATION_SLUGS)}[CAST(id % {len(C.NAVIGATION_SLUGS)} AS INT) + 1]")
+query("flt14_valid_slugs", f"SELECT id FROM (SELECT id, lower(trim({SLUGS[1]})) AS s FROM company) c WHERE length(s) BETWEEN 2 AND 60 AND NOT regexp_matches(s, '^[0-9]+$') AND NOT list_contains({arr(C.NAVIGATION_SLUGS)}, s) AND (length(s) <= 25 OR regexp_matches(s, '[-_./]')) AND (length(s) > 2 OR regexp_matches(s, '[aeiou]'))", lambda v: IDS(flt.filter_valid_slugs(v.company.withColumn("ats_slug", F.expr(SLUGS[0])))))
 query(
     "flt15_aggregators",
     "SELECT id FROM company WHERE ats_slug NOT IN (SELECT ats_slug FROM applicant_company_block WHERE user_id = 3) AND NOT regexp_matches(lower(company_name), '(company 1[0-9] |labs)')",

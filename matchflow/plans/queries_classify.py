@@ -85,10 +85,18 @@ query("cls10_utc_span", f"SELECT id, {SPAN} AS span, CASE WHEN {SPAN} <= 8 THEN
 
 
 query("cls12_countries", f"SELECT id, array_to_string({countries(PLACE)}, ',') AS countries FROM job", lambda v: cls.extract_countries(v.job, "location_name").select("id", F.array_join("countries", ",").alias("countries")))
-query("cls13_strip_hq", f"SELECT id, CASE WHEN length({PLACE}) > 3 AND {SPEC} THEN replace(lower(normalized_text), {PLACE}, '') ELSE lower(normalized_text) END AS stripped FROM job", lambda v: cls.strip_hq(v.job, "location_name").select("id", "stripped"))
+query("cls13_strip_hq", "SELECT id, CASE WHEN coalesce(location_name, '') = '' THEN t ELSE regexp_replace(t, '(?i)' || regexp_escape(location_name), ' ', 'g') END AS stripped FROM (SELECT id, location_name, concat(normalized_text, ' We sit in ', upper(coalesce(location_name, '')), ' (', coalesce(location_name, ''), ').') AS t FROM job) x", lambda v: cls.strip_hq(v.job.withColumn("normalized_text", F.expr("concat(normalized_text, ' We sit in ', upper(coalesce(location_name, '')), ' (', coalesce(location_name, ''), ').')")), "location_name").select("id", "stripped"))
 query("cls14_specific_location", f"SELECT id, {SPECIFIC} AS specific FROM job", lambda v: v.job.select("id", flt.is_specific(F.lower(F.coalesce("location_name", F.lit("")))).alias("specific")))
-FEED = f"CASE WHEN workplace_type IN ('on-site', 'hybrid') THEN 'onsite' WHEN {has(PLACE, '(worldwide|anywhere|global)')} THEN 'global' WHEN {has(PLACE, words(C.REGION_TERMS))} THEN 'region' WHEN {has(PLACE, words(list(C.COUNTRIES)))} THEN 'country' ELSE 'undetermined' END"
-query("cls15_company_feed", f"SELECT ats_source, ats_slug, count(*) FILTER (WHERE s = 'global') AS global_jobs, count(*) FILTER (WHERE s = 'undetermined') AS undetermined, count(*) AS jobs, count(*) FILTER (WHERE s = 'global') + 0.5::DOUBLE * count(*) FILTER (WHERE s = 'undetermined') AS addressable FROM (SELECT *, {FEED} AS s FROM job) j GROUP BY 1, 2", lambda v: cls.profile_company_feed(v.job))
+MACRO = " + ".join(f"CASE WHEN regexp_matches(p, '(^|[^a-z])({'|'.join(names)})($|[^a-z])') THEN 1 ELSE 0 END" for names in C.MACRO_REGIONS)
+FEED = f"""CASE WHEN ats_source <> 'greenhouse' AND workplace_type IN ('on-site', 'hybrid') THEN 'onsite' WHEN {MACRO} >= 3 OR regexp_matches(p, 'worldwide|anywhere|global') THEN 'global'
+  WHEN regexp_matches(p, '{parts(C.REMOTE_INDICATORS)}') AND len({named_in('p')}) > 0 THEN 'country_fenced' WHEN workplace_type IS NULL AND p <> '' AND NOT regexp_matches(p, '{parts(C.REMOTE_INDICATORS + C.BROAD_REGIONS)}') THEN 'onsite' ELSE 'undetermined' END"""
+ONE_OF = {"global_jobs": "global", "fenced_jobs": "country_fenced", "onsite_jobs": "onsite", "undetermined": "undetermined"}
+query(
+    "cls15_company_feed",
+    f"""SELECT *, global_jobs + 0.5::DOUBLE * undetermined AS addressable, CASE WHEN webdev > 0 THEN round(global_jobs / webdev::DOUBLE, 6) ELSE 0 END AS global_share, webdev >= 2 AS passed FROM (SELECT ats_source, ats_slug, count(*) AS jobs, count(*) FILTER (WHERE w) AS webdev,
+      {', '.join(f"count(*) FILTER (WHERE w AND s = '{scope}') AS {n}" for n, scope in ONE_OF.items())} FROM (SELECT *, {FEED} AS s, regexp_matches(lower(title), '{parts(C.WEBDEV_TERMS)}') AS w FROM (SELECT *, lower(coalesce(location_name, '')) AS p FROM job) j) k GROUP BY 1, 2) x""",
+    lambda v: cls.profile_company_feed(v.job),
+)
 WEB = f"count(*) FILTER (WHERE regexp_matches(lower(title), '{parts(C.WEBDEV_TERMS)}'))"
 query("cls16_stack_gate", f"SELECT ats_source, ats_slug, {WEB} AS webdev, count(*) AS jobs, round({WEB} / count(*)::DOUBLE, 6) AS share, {WEB} >= 2 AS passes, CASE WHEN {WEB} > 2 THEN 'active' ELSE 'dormant' END AS initial_tier FROM job GROUP BY 1, 2", lambda v: cls.evaluate_stack_gate(v.job))
 query("cls25_title_seniority", "SELECT id, CASE WHEN regexp_matches(t, '(junior|associate|entry|intern|trainee)') THEN 'junior' WHEN regexp_matches(t, '(senior|sr[.]|sr )') THEN 'senior' WHEN regexp_matches(t, '(lead|staff|principal|architect|manager|director|head|expert)') THEN 'lead' ELSE 'mid' END AS level FROM (SELECT id, lower(title) AS t FROM job) j", lambda v: cls.with_title_seniority(v.job).select("id", "level"))

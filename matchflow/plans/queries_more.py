@@ -83,10 +83,13 @@ query("joi21_posting_by_id", "SELECT id, title, tier FROM (SELECT j.id, title, c
 # --- sorts, windows
 query("srt2_best_of_title", "SELECT id FROM job QUALIFY row_number() OVER (PARTITION BY ats_slug, title, id % 3 ORDER BY compensation_max DESC, id) = 1", lambda v: joi.route_dedup(v.job.withColumn("persona_id", F.col("id") % 3).withColumn("score", F.col("compensation_max")).withColumn("job_id", F.col("id"))).select("id"))
 WHEN = "coalesce(published_at, detected_at)"
+RANKED = "(SELECT j.*, c.tier, f.n AS fusion FROM job j LEFT JOIN " + KEYED + " c USING (ats_source, ats_slug) LEFT JOIN (SELECT company_id, count(DISTINCT discovery_source) AS n FROM company_discovery_sources GROUP BY 1) f ON f.company_id = c.company_id)"
+TIER_PLACE = "CASE tier " + " ".join(f"WHEN '{t}' THEN {i}" for i, t in enumerate(C.TIERS)) + " END"
+SORTS = {"newest": f"{WHEN} DESC", "oldest": WHEN, "salary": f"compensation_max DESC NULLS LAST, {WHEN} DESC", "quality": f"fusion DESC NULLS LAST, {TIER_PLACE} DESC NULLS LAST, {WHEN} DESC"}
 query(
     "srt3_sort_postings",
-    f"(SELECT 'newest' AS k, id FROM job ORDER BY {WHEN} DESC, id LIMIT 50) UNION ALL (SELECT 'oldest', id FROM job ORDER BY {WHEN}, id LIMIT 50) UNION ALL (SELECT 'salary', id FROM job ORDER BY compensation_max DESC NULLS LAST, id LIMIT 50)",
-    lambda v: (lambda j: joi.sort_postings(j, "newest", 50).select(F.lit("newest").alias("k"), "id").union(joi.sort_postings(j, "oldest", 50).select(F.lit("oldest"), "id")).union(joi.sort_postings(j, "salary", 50).select(F.lit("salary"), "id")))(v.job),
+    " UNION ALL ".join(f"(SELECT '{k}' AS k, id FROM {RANKED} x ORDER BY {o}, id LIMIT 50)" for k, o in SORTS.items()),
+    lambda v: (lambda j: functools.reduce(lambda a, b: a.union(b), [joi.sort_postings(j, k, 50).select(F.lit(k).alias("k"), "id") for k in SORTS]))(joi.with_fusion(v.job, v.company, v.company_discovery_sources)),
 )
 query("srt5_poll_batch", "SELECT id FROM company WHERE tier = 'active' AND polling_enabled ORDER BY last_polled_at ASC NULLS FIRST, id LIMIT 100", lambda v: IDS(joi.poll_batch(v.company, "active", 100)))
 query(
@@ -236,11 +239,15 @@ query(
     lambda v: sco.apply_verdicts(v.match_queue, v.match_queue.filter("id % 3 < 2").selectExpr("id", "CASE id % 3 WHEN 0 THEN 'approved' ELSE 'no' END AS verdict").distinct()),
 )
 AGE = f"date_diff('day', CAST(evaluated_at AS DATE), CAST({NOW} AS DATE))"
+FRONT = arr(C.FRONTEND_TAGS)
 query(
     "sco10_employer_openness",
-    f"""SELECT *, approved_90d > 0 OR approved_year >= 3 AS boost FROM (SELECT ats_slug, count(*) FILTER (WHERE m.status = 'approved' AND {AGE} BETWEEN 0 AND 89) AS approved_90d, count(*) FILTER (WHERE m.status = 'approved' AND {AGE} BETWEEN 90 AND 364) AS approved_year,
-      count(*) FILTER (WHERE m.status = 'pending' AND {AGE} BETWEEN 0 AND 29) AS pending_30d FROM match_queue m JOIN job j ON j.id = m.job_id GROUP BY ats_slug) x""",
-    lambda v: sco.employer_openness(v.job, v.match_queue, AS_OF),
+    f"""WITH m AS (SELECT ats_source, ats_slug, count(*) FILTER (WHERE m.status = 'approved' AND evaluated_at > {NOW} - INTERVAL 90 DAY) AS a, count(*) FILTER (WHERE m.status = 'approved' AND evaluated_at BETWEEN {NOW} - INTERVAL 365 DAY AND {NOW} - INTERVAL 90 DAY) AS y,
+      count(*) FILTER (WHERE m.status = 'pending' AND created_at > {NOW} - INTERVAL 30 DAY) AS p FROM match_queue m JOIN job j ON j.id = m.job_id JOIN persona q ON q.id = m.persona_id WHERE q.id % 3 <> 0 AND list_has_any(must_have_tags, {FRONT}) GROUP BY 1, 2),
+    o AS (SELECT ats_source, ats_slug, count(*) AS n FROM job WHERE detected_at > {NOW} - INTERVAL 90 DAY AND status = 'active' AND list_has_any(extracted_tags, {FRONT}) GROUP BY 1, 2)
+    SELECT id, coalesce(a, 0) AS approved_90d, coalesce(y, 0) AS approved_year, coalesce(p, 0) AS pending_30d, coalesce(n, 0) AS frontend_jobs_90d, CASE WHEN coalesce(a, 0) > 0 OR coalesce(y, 0) > 0 THEN 'active_hot' ELSE tier END AS new_tier
+    FROM company LEFT JOIN m USING (ats_source, ats_slug) LEFT JOIN o USING (ats_source, ats_slug) WHERE polling_enabled AND tier <> 'dead'""",
+    lambda v: sco.employer_openness(v.company, v.job, v.match_queue, v.persona.withColumn("must_have_tags", F.when(F.col("id") % 3 != 0, F.col("must_have_tags")).otherwise(F.array(F.lit("go")))), AS_OF),
 )
 
 # --- reports
@@ -251,11 +258,8 @@ query("agg2_source_performance", f"SELECT source, {SUMMARY} FROM ingestion_log G
 query("agg3_ingestion_trend", f"SELECT CAST(created_at AS DATE) AS day, source, {SUMMARY} FROM ingestion_log GROUP BY 1, 2", lambda v: rep.ingestion_summary(v.ingestion_log.withColumn("day", F.to_date("created_at")), ["day", "source"]))
 OLD = "sum(CAST(json_extract_string(error_details, '$.k') AS INT))"
 query("agg5_old_job_rate", f"SELECT source, CAST({OLD} AS BIGINT) AS old, CAST(sum(items_processed) AS BIGINT) AS processed, round({OLD} / sum(items_processed)::DOUBLE, 4) AS share FROM ingestion_log GROUP BY source HAVING sum(items_processed) > 0 AND {OLD} / sum(items_processed)::DOUBLE >= 0.3", lambda v: rep.old_job_rate(v.ingestion_log))
-query(
-    "agg6_rejection_categories",
-    "SELECT CASE WHEN regexp_matches(b, 'location|timezone') THEN 'location' WHEN regexp_matches(b, 'clearance|citizen') THEN 'clearance' WHEN regexp_matches(b, 'seniority|junior|senior') THEN 'seniority' WHEN regexp_matches(b, 'stack|skill') THEN 'stack' WHEN regexp_matches(b, 'salary|pay') THEN 'pay' ELSE 'other' END AS category, count(*) AS n FROM (SELECT lower(unnest(llm_blockers)) AS b FROM match_queue WHERE status = 'rejected') x GROUP BY 1",
-    lambda v: rep.rejection_categories(v.match_queue),
-)
+CATEGORY = "CASE " + " ".join(f"WHEN regexp_matches(b, '(?i){p}') THEN '{n}'" for n, p in C.BLOCKER_CATEGORIES.items()) + " ELSE 'other' END"
+query("agg6_rejection_categories", f"SELECT {CATEGORY} AS category, count(*) AS n FROM (SELECT unnest(llm_blockers) AS b FROM match_queue WHERE status = 'rejected' AND evaluated_at > {NOW} - INTERVAL 30 DAY) x GROUP BY 1", lambda v: rep.rejection_categories(v.match_queue, AS_OF))
 query("agg7_approval_rate", f"SELECT prompt_variant, count(*) FILTER (WHERE status = 'approved') AS approved, count(*) AS decided, {rate(chr(99) + 'ount(*) FILTER (WHERE status = ' + chr(39) + 'approved' + chr(39) + ')', 'count(*)')} AS rate FROM match_queue WHERE status IN ('approved', 'rejected') GROUP BY 1", lambda v: rep.approval_rate_by(v.match_queue, "prompt_variant"))
 WIN = f"BETWEEN {NOW} - INTERVAL {{1}} DAY AND {NOW}".replace("BETWEEN", "{0} BETWEEN").format
 query(
@@ -432,7 +436,17 @@ query(
     lambda v: ups.purge_plan(v.job, v.match_queue, 3000),
 )
 FENCED = "remote_scope IN ('country_fenced', 'region_fenced', 'onsite')"
-query("ups16_reconcile", f"SELECT remote_scope, count(*) FILTER (WHERE {FENCED} AND job_embedding IS NOT NULL) AS drop_embedding, count(*) FILTER (WHERE coalesce(is_fenced, false) <> ({FENCED})) AS fix_flag, count(*) FILTER (WHERE status = 'rejected' AND normalized_at IS NULL) AS set_normalized FROM job GROUP BY 1", lambda v: ups.reconcile(v.job))
+FIX = {
+    "global-scope-null-countries": "remote_scope = 'global' AND location_countries IS NOT NULL", "fenced-null-embedding": f"{FENCED} AND job_embedding IS NOT NULL",
+    "is-fenced-consistency": f"(({FENCED} AND is_fenced = false) OR (NOT {FENCED} AND is_fenced = true))", "rejected-normalized-at": "status = 'rejected' AND normalized_at IS NULL",
+}
+query("ups16_reconcile", " UNION ALL ".join(f"SELECT '{n}' AS fix_name, CASE WHEN count(*) > 0 THEN 'applied' ELSE 'already-ok' END AS status, count(*) AS n FROM job WHERE {hit}" for n, hit in FIX.items()), lambda v: ups.reconciliation_log(ups.reconcile(v.job, AS_OF)))
+query(
+    "ups16_reconciled_jobs",
+    f"""SELECT id, CASE WHEN NOT coalesce({FIX['global-scope-null-countries']}, false) THEN array_to_string(location_countries, ',') END AS countries, job_embedding IS NOT NULL AND NOT {FENCED} AS embedded,
+      CASE WHEN {FIX['is-fenced-consistency']} THEN NOT is_fenced ELSE is_fenced END AS is_fenced, CASE WHEN {FIX['rejected-normalized-at']} THEN {NOW} ELSE normalized_at END AS normalized_at FROM job""",
+    lambda v: ups.reconcile(v.job, AS_OF).select("id", F.array_join("location_countries", ",").alias("countries"), F.col("job_embedding").isNotNull().alias("embedded"), "is_fenced", "normalized_at"),
+)
 query("ups17_backoff", f"SELECT id, retry_count + 1 AS retry_count, {NOW} + INTERVAL 1 DAY * CAST(7 * pow(2, retry_count + 1) AS INT) AS next_retry_at FROM slugger_retry", lambda v: ups.backoff(v.slugger_retry, AS_OF))
 query("ups19_reset_matches", "SELECT id, CASE WHEN status = 'rejected' AND persona_id IN (SELECT id FROM persona WHERE id % 3 = 0) AND job_id IN (SELECT id FROM job WHERE status = 'active') THEN 'pending' ELSE status END AS status FROM match_queue", lambda v: ups.reset_persona_matches(v.match_queue, v.job, v.persona.filter("id % 3 = 0")))
 query(
