@@ -7,6 +7,7 @@ ENGINEERING_TERMS = [
     "data scientist", "ml engineer", "machine learning engineer", "security engineer", "infrastructure", "reliability",
     "ios developer", "android developer", "mobile developer", "react native", "tech lead", "engineering manager",
     "engineering director", "cto", "vp of engineering", "head of engineering",
+    "qa engineer", "test engineer", "automation engineer", "quality engineer", "ui engineer", "ux engineer",
 ]
 # fixed values: web-development title terms (anywhere in the title)
 WEBDEV_TERMS = [
@@ -246,14 +247,18 @@ COUNTRIES = {
     "saudi": "SA", "saudi arabia": "SA", "united arab emirates": "AE", "uae": "AE", "dubai": "AE",
 }
 # fixed values: the countries that a region's name stands for in a text
-_TEXT_EU = "DE FR ES IT NL PL PT BE AT SE NO DK FI IE CZ GR RO BG HU SK SI HR EE LV LT".split()
-_TEXT_APAC = "AU NZ IN SG JP KR CN PH MY ID VN TH TW HK".split()
-_TEXT_LATAM = "BR MX AR CO CL PE".split()
 TEXT_REGIONS = {
-    "eu": _TEXT_EU, "europe": [*_TEXT_EU, "GB", "CH"], "european union": _TEXT_EU,
-    "emea": [*_TEXT_EU, *"GB CH ZA NG KE EG MA SA AE IL TR".split()], "apac": _TEXT_APAC, "asia pacific": _TEXT_APAC,
-    "latam": _TEXT_LATAM, "latin america": _TEXT_LATAM, "north america": ["US", "CA", "MX"],
-    "balkans": "RS HR SI BG RO HU GR AL MK BA ME".split(), "eastern europe": "PL CZ SK HU RO BG HR SI RS EE LV LT UA BY".split(),
+    "eu": ["DE", "FR", "ES", "IT", "NL", "PL", "PT", "BE", "AT", "SE", "NO", "DK", "FI", "IE", "CZ", "GR", "RO", "BG", "HU", "SK", "SI", "HR", "EE", "LV", "LT"],
+    "europe": ["DE", "FR", "ES", "IT", "NL", "PL", "PT", "BE", "AT", "SE", "NO", "DK", "FI", "IE", "CZ", "GR", "RO", "BG", "HU", "SK", "SI", "HR", "EE", "LV", "LT", "GB", "CH"],
+    "european union": ["DE", "FR", "ES", "IT", "NL", "PL", "PT", "BE", "AT", "SE", "NO", "DK", "FI", "IE", "CZ", "GR", "RO", "BG", "HU", "SK", "SI", "HR", "EE", "LV", "LT"],
+    "emea": ["DE", "FR", "ES", "IT", "NL", "PL", "PT", "GB", "IE", "CH", "AT", "SE", "NO", "DK", "FI", "CZ", "GR", "RO", "BG", "HU", "SK", "SI", "HR", "EE", "LV", "LT", "ZA", "NG", "KE", "EG", "MA", "SA", "AE", "IL", "TR"],
+    "apac": ["AU", "NZ", "IN", "SG", "JP", "KR", "CN", "PH", "MY", "ID", "VN", "TH", "TW", "HK"],
+    "asia pacific": ["AU", "NZ", "IN", "SG", "JP", "KR", "CN", "PH", "MY", "ID", "VN", "TH", "TW", "HK"],
+    "latam": ["BR", "MX", "AR", "CO", "CL", "PE"],
+    "latin america": ["BR", "MX", "AR", "CO", "CL", "PE"],
+    "north america": ["US", "CA", "MX"],
+    "balkans": ["RS", "HR", "SI", "BG", "RO", "HU", "GR", "AL", "MK", "BA", "ME"],
+    "eastern europe": ["PL", "CZ", "SK", "HU", "RO", "BG", "HR", "SI", "RS", "EE", "LV", "LT", "UA", "BY"],
 }
 # fixed values: the countries that a location can name, in the order in which one is looked for
 LOCATION_COUNTRIES = {
@@ -282,23 +287,36 @@ BROAD_REGIONS = [
     "european union", "eu", "emea", "apac", "latam", "north america", "south america", "europe", "asia", "africa",
     "middle east", "balkans", "eastern europe", "western europe", "central europe", "nordics", "benelux", "dach",
 ]
-# fixed values: the countries of the broad regions, those that regions share named once
-_EU = "AT BE BG HR CY CZ DK EE FI FR DE GR HU IE IT LV LT LU MT NL PL PT RO SK SI ES SE".split()
-_EUROPE = _EU + "GB IS LI NO CH RS AL BA MK ME XK UA MD BY RU".split()
-_NEAR_EAST = "TR IL AE SA QA KW BH OM JO LB IQ IR".split()
-_EAST_ASIA = "CN JP KR IN ID TH VN MY SG PH HK TW BD PK LK KH LA MM BN".split()
-_SOUTH_AMERICA = "BR AR CO CL PE VE EC BO PY UY".split()
-_WEST_BALKANS = "RS AL BA MK ME XK".split()
+# fixed values: the countries of the broad regions
 REGION_MEMBERS = {
-    "european union": _EU, "eu": _EU, "apac": _EAST_ASIA + "AU NZ FJ PG SB VU NC PF GU MP TL".split(),
-    "emea": _EUROPE + _NEAR_EAST + "EG MA DZ TN LY GE AM AZ".split(),
-    "latam": _SOUTH_AMERICA + "MX CR PA DO GT HN SV NI CU PR".split(), "north america": "US CA MX GL".split(),
-    "south america": _SOUTH_AMERICA + ["GY", "SR"], "europe": _EUROPE, "asia": _EAST_ASIA + "KZ UZ TM KG TJ AF MN NP BT".split(),
-    "africa": "NG ZA EG MA DZ TN LY KE ET GH UG TZ CM CI SN ML BF GN BJ TG RW BI MZ AO ZM ZW BW NA LS SZ MG MR SL LR TD CF CG CD SO SS ER DJ KM SC ST GQ GA".split(),
-    "middle east": _NEAR_EAST + "SY YE PS".split(), "balkans": _WEST_BALKANS + "HR SI RO BG GR".split(),
-    "eastern europe": "PL CZ SK HU RO BG".split() + _WEST_BALKANS + "UA MD BY RU LT LV EE HR SI".split(),
-    "western europe": "AT BE FR DE IE LU NL CH GB LI".split(), "central europe": "AT CZ DE HU PL SK SI CH LI".split(),
-    "nordics": "DK FI IS NO SE".split(), "benelux": "BE NL LU".split(), "dach": "DE AT CH".split(),
+    "european union": ["AT", "BE", "BG", "HR", "CY", "CZ", "DK", "EE", "FI", "FR", "DE", "GR", "HU", "IE", "IT", "LV", "LT", "LU", "MT", "NL", "PL", "PT", "RO", "SK", "SI", "ES", "SE"],
+    "eu": ["AT", "BE", "BG", "HR", "CY", "CZ", "DK", "EE", "FI", "FR", "DE", "GR", "HU", "IE", "IT", "LV", "LT", "LU", "MT", "NL", "PL", "PT", "RO", "SK", "SI", "ES", "SE"],
+    "apac": ["AU", "NZ", "CN", "JP", "KR", "IN", "ID", "TH", "VN", "MY", "SG", "PH", "HK", "TW", "BD", "PK", "LK", "KH", "LA", "MM", "BN", "FJ", "PG", "SB", "VU", "NC", "PF", "GU", "MP", "KH", "TL"],
+    "emea": [
+        "AT", "BE", "BG", "HR", "CY", "CZ", "DK", "EE", "FI", "FR", "DE", "GR", "HU", "IE", "IT", "LV", "LT", "LU", "MT", "NL", "PL", "PT", "RO", "SK", "SI", "ES", "SE", "GB", "IS", "LI", "NO", "CH",
+        "TR", "IL", "AE", "SA", "QA", "KW", "BH", "OM", "JO", "LB", "IQ", "IR", "EG", "MA", "DZ", "TN", "LY",
+        "RS", "AL", "BA", "MK", "ME", "XK", "UA", "MD", "BY", "RU", "GE", "AM", "AZ",
+    ],
+    "latam": ["BR", "AR", "MX", "CO", "CL", "PE", "VE", "EC", "BO", "PY", "UY", "CR", "PA", "DO", "GT", "HN", "SV", "NI", "CU", "PR"],
+    "north america": ["US", "CA", "MX", "GL"],
+    "south america": ["BR", "AR", "CO", "CL", "PE", "VE", "EC", "BO", "PY", "UY", "GY", "SR"],
+    "europe": [
+        "AT", "BE", "BG", "HR", "CY", "CZ", "DK", "EE", "FI", "FR", "DE", "GR", "HU", "IE", "IT", "LV", "LT", "LU", "MT", "NL", "PL", "PT", "RO", "SK", "SI", "ES", "SE", "GB", "IS", "LI", "NO", "CH",
+        "RS", "AL", "BA", "MK", "ME", "XK", "UA", "MD", "BY", "RU",
+    ],
+    "asia": ["CN", "JP", "KR", "IN", "ID", "TH", "VN", "MY", "SG", "PH", "HK", "TW", "BD", "PK", "LK", "KH", "LA", "MM", "BN", "KZ", "UZ", "TM", "KG", "TJ", "AF", "MN", "NP", "BT"],
+    "africa": [
+        "NG", "ZA", "EG", "MA", "DZ", "TN", "LY", "KE", "ET", "GH", "UG", "TZ", "CM", "CI", "SN", "ML", "BF", "GN", "BJ", "TG", "RW", "BI", "MZ", "AO", "ZM", "ZW", "BW", "NA", "LS", "SZ", "MG", "MR", "SL", "LR",
+        "TD", "CF", "CG", "CD", "SO", "SS", "ER", "DJ", "KM", "SC", "ST", "GQ", "GA",
+    ],
+    "middle east": ["TR", "IL", "AE", "SA", "QA", "KW", "BH", "OM", "JO", "LB", "IQ", "IR", "SY", "YE", "PS"],
+    "balkans": ["RS", "AL", "BA", "MK", "ME", "XK", "HR", "SI", "RO", "BG", "GR"],
+    "eastern europe": ["PL", "CZ", "SK", "HU", "RO", "BG", "RS", "AL", "BA", "MK", "ME", "XK", "UA", "MD", "BY", "RU", "LT", "LV", "EE", "HR", "SI"],
+    "western europe": ["AT", "BE", "FR", "DE", "IE", "LU", "NL", "CH", "GB", "LI"],
+    "central europe": ["AT", "CZ", "DE", "HU", "PL", "SK", "SI", "CH", "LI"],
+    "nordics": ["DK", "FI", "IS", "NO", "SE"],
+    "benelux": ["BE", "NL", "LU"],
+    "dach": ["DE", "AT", "CH"],
 }
 # fixed values: regions of a title's end: pattern, region; and those that suit an applicant of a country
 TITLE_REGIONS = [
@@ -559,11 +577,6 @@ NAVIGATION_SLUGS = [
 #: What a text says of work permits in one country, as patterns between word borders.
 PERMIT_PATTERNS = [r"e-?verify", r"eligibility\s+to\s+work\s+in\s+(?:the\s+)?(?:u\.?s\.?a?\.?|united\s+states)", r"authorized\s+to\s+work\s+in\s+(?:the\s+)?(?:u\.?s\.?a?\.?|united\s+states)"]
 
-#: Names of macro-regions; three of them in a place are the world.
-MACRO_REGIONS = [
-    ["americas", "north america", "south america", "latam", "latin america"], ["europe", "european", "emea"], ["asia", "apac", "asia-pacific"], ["africa"], ["middle east"], ["oceania", "australasia"],
-]
-
 #: Categories of blockers in the order in which they are tried, as patterns in either letter case.
 BLOCKER_CATEGORIES = {
     "geographic": "remote.*(restrict|US only|must be located|must reside|region|country)", "workplace": "(on-site|onsite|hybrid|workplace)", "skills": "(not mentioned|missing|requires.*skill|skill)", "travel": "(travel|relocation)",
