@@ -142,8 +142,10 @@ def fold_source_results(log: DataFrame) -> DataFrame:
 
 
 def revive_companies(companies: DataFrame, as_of: str) -> DataFrame:
-    back = (F.col("tier") == "dead") & ~F.col("polling_enabled") & (F.col("last_polled_at") < ago(as_of, "7 DAYS"))
-    return companies.withColumn("revived", F.coalesce(back, F.lit(False))).withColumn("polling_enabled", F.col("polling_enabled") | F.col("revived"))
+    """Companies of dead health that have not been polled for a week are polled again: healthy, without failures."""
+    back = F.coalesce((F.col("health") == "dead") & ~F.col("polling_enabled") & (F.col("last_polled_at") < ago(as_of, "7 DAYS")), F.lit(False))
+    out = companies.withColumn("revived", back).withColumn("polling_enabled", F.col("polling_enabled") | F.col("revived"))
+    return out.withColumn("health", F.when(F.col("revived"), "healthy").otherwise(F.col("health"))).withColumn("consecutive_failures", F.when(F.col("revived"), 0).otherwise(F.col("consecutive_failures")))
 
 
 def recover_banned(health: DataFrame, as_of: str) -> DataFrame:
@@ -166,6 +168,14 @@ def expired_matches(matches: DataFrame, as_of: str) -> DataFrame:
     return matches.filter(F.col("status").isin("approved", "rejected") & (F.col("created_at") < ago(as_of, "90 DAYS")))
 
 
+def expired_logs(log: DataFrame, as_of: str) -> DataFrame:
+    return log.filter(F.col("created_at") < ago(as_of, "30 DAYS"))
+
+
+def exhausted_retries(retries: DataFrame, as_of: str) -> DataFrame:
+    return retries.filter((F.col("next_retry_at") < ago(as_of, "30 DAYS")) & (F.col("retry_count") >= 3))
+
+
 def purge_plan(jobs: DataFrame, matches: DataFrame, budget: int, active_share: float = 0.2) -> DataFrame:
     """At most ``budget`` postings to purge: failed, rejected, gone, stale, then active ones, oldest first; active ones
     are capped at a share of all active ones, and approved ones never go. Tiers are granted their part of the budget from the

@@ -40,7 +40,7 @@ VIEWS: dict[str, tuple[str, dict[str, str]]] = {
             "company_name": "concat('Company ', CAST(o_custkey % 97 AS VARCHAR(20)), CASE WHEN o_custkey % 2 = 0 THEN ', Inc.' ELSE ' Labs' END)",
             "extracted_tags": "[«FRONT|o_orderkey», «BACK|o_orderkey», «TOOLS|o_orderkey», «MORE|o_orderkey»]",
             "required_tags": "CASE WHEN o_orderkey % 4 = 0 THEN [«FRONT|o_orderkey», «MORE|o_orderkey»] END",
-            "job_embedding": "CASE WHEN o_orderkey % 19 = 0 THEN NULL ELSE embedding END",
+            "job_embedding": "CASE WHEN o_orderkey % 19 = 0 THEN NULL ELSE shifted(embedding) END",
             "status": "CASE o_orderkey % 10 WHEN 0 THEN 'rejected' WHEN 1 THEN 'stale' WHEN 2 THEN 'gone' WHEN 3 THEN 'normalization_failed' ELSE 'active' END",
             "remote_scope": "CASE o_orderkey % 7 WHEN 0 THEN 'country_fenced' WHEN 1 THEN 'region_fenced' WHEN 2 THEN 'undetermined' WHEN 3 THEN 'onsite' ELSE 'global' END",
             "workplace_type": "CASE o_orderkey % 5 WHEN 0 THEN NULL WHEN 1 THEN 'hybrid' WHEN 2 THEN 'on-site' ELSE 'remote' END",
@@ -66,7 +66,7 @@ VIEWS: dict[str, tuple[str, dict[str, str]]] = {
             "must_have_tags": "[«FRONT|s_suppkey», «BACK|(s_suppkey * 3)», «MORE|(s_suppkey * 5)», «TOOLS|s_suppkey»]",
             "blocklist_tags": "CASE WHEN s_suppkey % 3 = 0 THEN [«MORE|(s_suppkey * 7)»] ELSE [] END",
             "seniority_levels": "CASE s_suppkey % 4 WHEN 0 THEN NULL WHEN 1 THEN ['junior'] WHEN 2 THEN ['senior', 'lead'] ELSE ['lead'] END",
-            "persona_embedding": "embedding",
+            "persona_embedding": "shifted(embedding)",
         },
     ),
     "applicant": (
@@ -186,6 +186,9 @@ def _spelled(expr: str, duck: bool) -> str:
         items, at = LISTS[m[1]], f"CAST({m[2]} % {len(LISTS[m[1]])} AS INT) + 1"
         return f"{listed(list(map(quote, items)))}[{at}]" if duck else f"element_at({listed(list(map(quote, items)))}, {at})"
 
+    # vectors of one field have something in common, which random ones lack
+    common = "list_transform(embedding, lambda x: CAST(x AS DOUBLE) + 5e-2)" if duck else "transform(embedding, x -> CAST(x AS DOUBLE) + 5e-2)"
+    expr = expr.replace("shifted(embedding)", common)
     if duck:
         expr = expr.replace("[]", "CAST([] AS VARCHAR[])")
     else:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -27,13 +29,43 @@ def applicant_profiles(applicants: DataFrame) -> DataFrame:
     return by.withColumn("preferred_compliance", F.when(F.col("us_ok"), X.strings(C.US_COMPLIANCE))).drop("us_ok")
 
 
-def reprocess(jobs: DataFrame, personas: DataFrame, applicants: DataFrame, matches: DataFrame, n: int = 1000) -> DataFrame:
-    """Active postings without a match (the first ``n``) that some applicant passes for, routed again. All applicants are
-    checked, by profile; both sides of the cross join are bounded (``n`` postings, the profiles)."""
+def match_and_upsert(jobs, personas, matches, overrides, blocks, hashes) -> DataFrame:
+    """The match job to its end: the next version of ``matches``, in which pairs found are new, refreshed or start over.
+    Of matches that repeat a posting and persona, the first by id counts."""
+    found = routing.match_job(jobs, personas, matches, overrides, blocks, hashes)
+    return upserts.upsert_matches(joins.dedupe_first(matches, ["job_id", "persona_id"], ["id"]), found.withColumnRenamed("distance", "cosine_distance"))
+
+
+def reprocess(jobs, personas, applicants, matches, overrides, blocks, hashes, n: int = 1000) -> DataFrame:
+    """Active postings without a match (the first ``n``) that some applicant passes for, through the whole match job. All
+    applicants are checked, by profile: ``n`` postings meet the profiles, whose number Spark weighs before it sends them."""
     due = jobs.join(joins.reprocess_candidates(jobs, personas, matches, n), "id", "left_semi")
-    pairs = scoring.with_places(due).withColumnRenamed("id", "job_id").crossJoin(F.broadcast(applicant_profiles(applicants)))
+    pairs = scoring.with_places(due).withColumnRenamed("id", "job_id").crossJoin(applicant_profiles(applicants))
     fit = scoring.hard_blockers(pairs).filter("passes").select(F.col("job_id").alias("id")).distinct()
-    return routing.route_candidates(due.join(fit, "id", "left_semi"), personas)
+    return routing.match_job(due.join(fit, "id", "left_semi"), personas, matches, overrides, blocks, hashes)
+
+
+def nightly_steps(jobs: DataFrame, matches: DataFrame, companies: DataFrame, log: DataFrame, retries: DataFrame, as_of: str) -> DataFrame:
+    """(step, n): how many rows each step of the nightly job changes or deletes, one after the other: marks, tiers, revival,
+    the seven retention rules and reconciliation."""
+    marked = upserts.mark_stale(jobs.withColumn("was", F.col("status")), as_of)
+    new = F.col("status") != F.col("was")
+    marks = {"stale_marked": new & (F.col("status") == "stale"), "gone_marked": new & (F.col("status") == "gone")}
+    kept = upserts.retention_plan(marked, as_of)
+    rules = {f"delete_{r}": F.col("rule") == r for r in ("rejected", "gone", "failed", "ancient")}
+    fixes = {f: F.array_contains("fixes", f) for f in upserts.FIXES}
+    tiers, revived = upserts.recalc_tiers(companies, jobs, matches, as_of), upserts.revive_companies(companies, as_of)
+    parts = [
+        (kept, marks | rules),
+        (tiers, {"tiers_changed": ~F.col("new_tier").eqNullSafe(F.col("tier"))}),
+        (revived, {"companies_revived": F.col("revived")}),
+        (upserts.expired_matches(matches, as_of), {"delete_matches": F.lit(True)}),
+        (upserts.expired_logs(log, as_of), {"delete_logs": F.lit(True)}),
+        (upserts.exhausted_retries(retries, as_of), {"delete_retries": F.lit(True)}),
+        (upserts.reconcile(kept.filter("rule IS NULL"), as_of), fixes),
+    ]
+    rows = [df.agg(*[F.count_if(c).alias(n) for n, c in counts.items()]).unpivot([], list(counts), "step", "n") for df, counts in parts]
+    return reduce(DataFrame.unionByName, rows)
 
 
 def nightly_maintenance(jobs: DataFrame, as_of: str) -> DataFrame:

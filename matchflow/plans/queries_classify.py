@@ -16,8 +16,8 @@ from matchflow.operators import upserts as ups
 from matchflow.plans import jobs
 from matchflow.plans.adapters import AS_OF
 from matchflow.sources import discovery as dis
-from matchflow.plans.queries import DEFINING, NOW, ORACLE_SQL, SPECIFIC, arr, parts, query, route_sql, words
-from matchflow.plans.queries_more import BLOCKERS, PAIRS, PLACED, TITLE_TAG, named_in, pairs, rate
+from matchflow.plans.queries import DEFINING, NOW, ORACLE_SQL, SPECIFIC, arr, hashes, parts, query, route_sql, words
+from matchflow.plans.queries_more import BLOCKERS, EXPIRED, FIX, PAIRS, PLACED, TITLE_TAG, long_ago, match_sql, named_in, pairs, rate
 
 PLACE, TEXT = "lower(coalesce(location_name, ''))", "lower(coalesce(normalized_text, ''))"
 has = "regexp_matches({0}, '{1}')".format
@@ -158,9 +158,18 @@ query("pip8_backfill_hash", "SELECT count(*) AS rows_changed FROM job WHERE loca
 query(
     "pip3_reprocess",
     f"WITH {PLACED}, due AS (SELECT * FROM placed WHERE id IN (SELECT id FROM ({ORACLE_SQL['joi11_reprocess_candidates']}) c)), pairs AS (SELECT j.*, a.* FROM due j, applicant a), fit AS (SELECT * FROM due WHERE id IN (SELECT id FROM pairs WHERE len({BLOCKERS}) = 0)), "
-    f"{route_sql(True, 'fit').replace('pairs', 'met')} SELECT job_id, persona_id, rank FROM routed",
-    lambda v: jobs.reprocess(v.job, v.persona, v.applicant, v.match_queue).select("job_id", "persona_id", "rank"),
+    f"{match_sql('fit')} SELECT job_id, persona_id, rank FROM found",
+    lambda v: jobs.reprocess(v.job, v.persona, v.applicant, v.match_queue, v.job_label_override, v.applicant_company_block, hashes(v.job)).select("job_id", "persona_id", "rank"),
 )
+STEP = "SELECT '{0}' AS step, count(*) AS n FROM {1}".format
+AGED = f"(SELECT *, CASE WHEN a = 'stale' AND last_seen_at < {NOW} - INTERVAL 30 DAY THEN 'gone' ELSE a END AS s FROM (SELECT *, CASE WHEN status = 'active' AND (last_seen_at < {NOW} - INTERVAL 7 DAY OR published_at < {NOW} - INTERVAL 60 DAY) THEN 'stale' ELSE status END AS a FROM job) x)"
+RULED = f"(SELECT * REPLACE (s AS status), status AS was, CASE WHEN s = 'rejected' AND normalized_at < {NOW} - INTERVAL 1 DAY THEN 'rejected' WHEN s = 'gone' AND last_seen_at < {NOW} - INTERVAL 7 DAY THEN 'gone' WHEN s = 'normalization_failed' AND detected_at < {NOW} - INTERVAL 7 DAY THEN 'failed' WHEN coalesce(published_at, detected_at) < {NOW} - INTERVAL 30 DAY THEN 'ancient' END AS rule FROM {AGED} y) z"
+STEPS = [
+    *[STEP(f"{s}_marked", f"{RULED} WHERE status = '{s}' AND was <> '{s}'") for s in ("stale", "gone")], *[STEP(f"delete_{r}", f"{RULED} WHERE rule = '{r}'") for r in ("rejected", "gone", "failed", "ancient")],
+    STEP("tiers_changed", f"({ORACLE_SQL['ups7_recalc_tiers']}) t JOIN company c USING (id) WHERE t.new_tier IS DISTINCT FROM c.tier"), STEP("companies_revived", f"({ORACLE_SQL['ups11_revive']}) t WHERE revived"),
+    STEP("delete_matches", f"({ORACLE_SQL['ups14_expired_matches']}) t"), *[STEP(n, sql) for n, sql in EXPIRED.items()], *[STEP(n, f"(SELECT * FROM {RULED} WHERE rule IS NULL) k WHERE {hit}") for n, hit in FIX.items()],
+]
+query("pip5_nightly_steps", " UNION ALL ".join(STEPS), lambda v: jobs.nightly_steps(v.job, v.match_queue, long_ago(v), v.ingestion_log, v.slugger_retry, AS_OF))
 query("pip4_provisional_normalize", f"SELECT o.id, CASE WHEN length(o.normalized_text) >= 100 THEN x.scope ELSE 'undetermined' END AS scope FROM ({CASCADE}) x JOIN job o ON o.id = x.id WHERE o.normalized_at IS NULL", lambda v: jobs.provisional_normalize(v.job).select("id", "scope"))
 CERTS = "CASE WHEN c_custkey % 3 = 0 THEN concat('co', c_custkey % 97, '.lever.co\nwww.lever.co') ELSE concat('X', c_custkey % 53, '.greenhouse.io') END AS name_value"
 URLS = "CASE WHEN c_custkey % 2 = 0 THEN concat('https://jobs.lever.co/Co', c_custkey % 120, '/abc') ELSE 'https://example.com/a' END AS original"

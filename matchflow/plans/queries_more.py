@@ -17,6 +17,7 @@ from matchflow.operators import runs
 from matchflow.operators import scoring as sco
 from matchflow.operators import upserts as ups
 from matchflow.operators import windows as win
+from matchflow.plans import jobs
 from matchflow.plans.adapters import AS_OF
 from matchflow.plans.queries import HASH, IDS, NOW, OVERRIDE, SIBLING, SPECIFIC, arr, hashes, query, route_sql
 
@@ -172,14 +173,26 @@ query(
     SELECT id, coalesce(platform, role) AS blocker, CASE WHEN platform IS NOT NULL THEN 'platform' WHEN role IS NOT NULL THEN 'role_family' END AS blocker_type FROM b""",
     lambda v: sco.title_blockers(mview(v)).select("id", "blocker", "blocker_type"),
 )
+
+
+def match_sql(postings: str) -> str:
+    """DuckDB: the whole match job over a table of postings, as the tables of a WITH clause; the last one is ``found``."""
+    return (
+        f"left_over AS (SELECT * FROM {postings} job WHERE NOT {OVERRIDE}), {route_sql(True, 'left_over').replace('pairs', 'met')}, h AS (SELECT id AS job_id, {HASH} AS text_hash FROM job), ok AS (SELECT DISTINCT job_id, persona_id FROM match_queue WHERE status = 'approved'), okh AS (SELECT ok.*, text_hash FROM ok JOIN h ON h.job_id = ok.job_id)"
+        f", kept AS (SELECT r.* FROM routed r JOIN h ON h.job_id = r.job_id WHERE NOT {SIBLING} AND NOT EXISTS (SELECT 1 FROM okh WHERE okh.text_hash = h.text_hash AND okh.persona_id = r.persona_id AND okh.job_id <> r.job_id) "
+        "AND NOT EXISTS (SELECT 1 FROM applicant_company_block b WHERE b.user_id = r.applicant_id AND b.ats_slug = r.ats_slug)), "
+        f"n AS (SELECT k.*, p.seniority_levels, {COUNTS}, list_transform(must_have_tags, lambda x: lower(x)) AS own FROM kept k JOIN persona p ON p.id = k.persona_id), f AS (SELECT *, {FAMILY} AS family FROM n), "
+        f"found AS (SELECT job_id, persona_id, applicant_id, ats_slug, title, overlap, distance, score, rank FROM f WHERE ({PLATFORM}) IS NULL AND ({ROLE}) IS NULL)"
+    )
+
+
+query("pip2_match_job", f"WITH {match_sql('job')} SELECT * FROM found", lambda v: rou.match_job(v.job, v.persona, v.match_queue, v.job_label_override, v.applicant_company_block, hashes(v.job)))
 query(
-    "pip2_match_job",
-    f"WITH left_over AS (SELECT * FROM job WHERE NOT {OVERRIDE}), {route_sql(True, 'left_over')}, h AS (SELECT id AS job_id, {HASH} AS text_hash FROM job), ok AS (SELECT DISTINCT job_id, persona_id FROM match_queue WHERE status = 'approved'), okh AS (SELECT ok.*, text_hash FROM ok JOIN h ON h.job_id = ok.job_id)"
-    f", kept AS (SELECT r.* FROM routed r JOIN h ON h.job_id = r.job_id WHERE NOT {SIBLING} AND NOT EXISTS (SELECT 1 FROM okh WHERE okh.text_hash = h.text_hash AND okh.persona_id = r.persona_id AND okh.job_id <> r.job_id) "
-    "AND NOT EXISTS (SELECT 1 FROM applicant_company_block b WHERE b.user_id = r.applicant_id AND b.ats_slug = r.ats_slug)), "
-    f"n AS (SELECT k.*, p.seniority_levels, {COUNTS}, list_transform(must_have_tags, lambda x: lower(x)) AS own FROM kept k JOIN persona p ON p.id = k.persona_id), f AS (SELECT *, {FAMILY} AS family FROM n) "
-    f"SELECT job_id, persona_id, applicant_id, ats_slug, title, overlap, distance, score, rank FROM f WHERE ({PLATFORM}) IS NULL AND ({ROLE}) IS NULL",
-    lambda v: rou.match_job(v.job, v.persona, v.match_queue, v.job_label_override, v.applicant_company_block, hashes(v.job)),
+    "pip2_upserted_matches",
+    f"""WITH {match_sql('job')}, c AS (SELECT * FROM match_queue QUALIFY row_number() OVER (PARTITION BY job_id, persona_id ORDER BY id) = 1), r AS (SELECT job_id, persona_id, overlap AS o, distance AS d FROM found),
+    b AS (SELECT *, o IS NULL OR coalesce(status IN ('mismatch', 'rejected', 'applied', 'approved'), false) AS stays FROM c FULL JOIN r USING (job_id, persona_id))
+    SELECT job_id, persona_id, CASE WHEN stays THEN coalesce(status, 'pending') ELSE 'pending' END AS status, coalesce(o, overlap_score) AS overlap, CASE WHEN o IS NULL THEN cosine_distance ELSE d END AS cosine_distance, CASE WHEN stays THEN evaluated_at END AS evaluated_at FROM b""",
+    lambda v: jobs.match_and_upsert(v.job, v.persona, v.match_queue, v.job_label_override, v.applicant_company_block, hashes(v.job)).select("job_id", "persona_id", "status", "overlap", "cosine_distance", "evaluated_at"),
 )
 USD = "({0} * CASE upper(coalesce(compensation_currency, 'USD')) " + " ".join(f"WHEN '{k}' THEN {n}::DOUBLE" for k, n in C.USD_RATES.items()) + " END)"
 USD_OK = f"(CASE WHEN {USD.format('compensation_max')} >= {C.PAY_FLOOR_USD} THEN {USD.format('compensation_max')} END)"
@@ -418,8 +431,11 @@ query(
     SELECT source, max(f) AS longest, arg_max(f, grp) AS consecutive_failures, CASE WHEN max(f) >= 5 THEN 'disabled' WHEN arg_max(f, grp) >= 3 THEN 'degraded' ELSE 'healthy' END AS health FROM r GROUP BY source""",
     lambda v: ups.fold_source_results(v.ingestion_log),
 )
-BACK = f"coalesce(tier = 'dead' AND NOT polling_enabled AND last_polled_at < {NOW} - INTERVAL 7 DAY, false)"
-query("ups11_revive", f"SELECT id, {BACK} AS revived, polling_enabled OR {BACK} AS polling_enabled FROM company", lambda v: ups.revive_companies(v.company.withColumn("last_polled_at", F.col("last_polled_at")), AS_OF).select("id", "revived", "polling_enabled"))
+#: companies as if half of them had been polled a month earlier
+LONG_AGO = "SELECT * REPLACE (CASE WHEN id % 2 = 0 THEN last_polled_at - INTERVAL 30 DAY ELSE last_polled_at END AS last_polled_at) FROM company"
+long_ago = lambda v: v.company.withColumn("last_polled_at", F.expr("CASE WHEN id % 2 = 0 THEN last_polled_at - INTERVAL 30 DAY ELSE last_polled_at END"))
+BACK = f"coalesce(health = 'dead' AND NOT polling_enabled AND last_polled_at < {NOW} - INTERVAL 7 DAY, false)"
+query("ups11_revive", f"SELECT id, {BACK} AS revived, polling_enabled OR {BACK} AS polling_enabled, CASE WHEN {BACK} THEN 'healthy' ELSE health END AS health, CASE WHEN {BACK} THEN 0 ELSE consecutive_failures END AS consecutive_failures FROM ({LONG_AGO}) c", lambda v: ups.revive_companies(long_ago(v), AS_OF).select("id", "revived", "polling_enabled", "health", "consecutive_failures"))
 BANNED = f"(status = 'disabled' AND disabled_at < {NOW} - INTERVAL 24 HOUR)"
 query("ups13_recover_banned", f"SELECT source_name, CASE WHEN {BANNED} THEN 'healthy' ELSE status END AS new_status, CASE WHEN {BANNED} THEN 0 ELSE consecutive_failures END AS failures FROM source_health", lambda v: ups.recover_banned(v.source_health, AS_OF).select("source_name", "new_status", "failures"))
 query(
@@ -428,6 +444,10 @@ query(
     lambda v: ups.retention_plan(v.job, AS_OF).select("id", "rule"),
 )
 query("ups14_expired_matches", f"SELECT id FROM match_queue WHERE status IN ('approved', 'rejected') AND created_at < {NOW} - INTERVAL 90 DAY", lambda v: IDS(ups.expired_matches(v.match_queue, AS_OF)))
+LATER = "TIMESTAMP '2024-02-15 00:00:00'"
+EXPIRED = {"delete_logs": f"ingestion_log WHERE created_at < {NOW} - INTERVAL 30 DAY", "delete_retries": f"slugger_retry WHERE next_retry_at < {NOW} - INTERVAL 30 DAY AND retry_count >= 3"}
+query("ups14_expired_logs", f"SELECT id FROM {EXPIRED['delete_logs'].replace(NOW, LATER)}", lambda v: IDS(ups.expired_logs(v.ingestion_log, "2024-02-15 00:00:00")))
+query("ups14_exhausted_retries", f"SELECT id FROM {EXPIRED['delete_retries']}", lambda v: IDS(ups.exhausted_retries(v.slugger_retry, AS_OF)))
 query(
     "ups15_purge_plan",
     """WITH pool AS (SELECT id, detected_at, CASE status WHEN 'normalization_failed' THEN 0 WHEN 'rejected' THEN 1 WHEN 'gone' THEN 2 WHEN 'stale' THEN 3 WHEN 'active' THEN 4 END AS tier FROM job WHERE id NOT IN (SELECT job_id FROM match_queue WHERE status = 'approved')),

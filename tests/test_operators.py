@@ -9,6 +9,7 @@ from matchflow.functions import exprs as X
 from matchflow.operators import classify, filters, joins, reports, routing, scoring, tags, upserts
 from matchflow.plans import jobs as plans
 from matchflow.plans.adapters import AS_OF, view
+from matchflow.plans.queries import hashes
 from matchflow.sources import discovery, payloads
 
 SF = "/root/testdata/sf0.001"
@@ -136,7 +137,7 @@ def test_reprocess_takes_unmatched_postings_and_all_applicants(spark):
     want = {r["job_id"] for r in every.filter("passes").select("job_id").distinct().collect()}
     by_profile = scoring.hard_blockers(due.withColumnRenamed("id", "job_id").crossJoin(plans.applicant_profiles(people)))
     assert want == {r["job_id"] for r in by_profile.filter("passes").select("job_id").distinct().collect()}
-    got = {r["job_id"] for r in plans.reprocess(jobs, personas, people, matches).select("job_id").distinct().collect()}
+    got = {r["job_id"] for r in plans.reprocess(jobs, personas, people, matches, view(spark, SF, "job_label_override"), view(spark, SF, "applicant_company_block"), hashes(jobs)).select("job_id").distinct().collect()}
     assert got and got <= want and 0 < len(want) < due.count()
     assert not got & {r["job_id"] for r in matches.select("job_id").distinct().collect()}
 
