@@ -53,13 +53,17 @@ def text_parts(text: Column) -> Column:
 def flatten_parts(
     df: DataFrame, parts: str = "parts", patch: int = 14, audio_rate: int = 25, page_tokens: int = 256
 ) -> DataFrame:
-    """Add ``content``, ``attachments`` (position, kind, uri, n_tokens) and ``expanded_tokens``.
+    """Add ``content``, ``attachments`` (position, kind, uri, n_tokens, text) and ``expanded_tokens``.
 
     An image takes ceil(width/patch) * ceil(height/patch) tokens, audio ``audio_rate`` a second, a document
     ``page_tokens`` a page; unknown sizes count as 0. A null array of parts is empty; a part of unknown or null kind is
-    recorded as an attachment of that kind ('unknown' if null) with 0 tokens; null text is empty. Columns of ``df`` that
-    have one of the three names are replaced.
+    recorded as an attachment of that kind ('unknown' if null) with 0 tokens; null text is empty. What a part that is no
+    text has as its text goes with its attachment. A placeholder names the kind as the attachment does, percent-encoded.
+    Columns of ``df`` that have one of the three names are replaced; all others stay.
     """
+    held = "_parts"
+    while held in df.columns:
+        held += "_"
     kind = lambda p: F.coalesce(p["kind"], F.lit("unknown"))
     n_tokens = lambda p: F.coalesce(
         F.when(kind(p) == "image", F.ceil(p["width"] / patch) * F.ceil(p["height"] / patch))
@@ -67,21 +71,21 @@ def flatten_parts(
         .when(kind(p) == "document", p["pages"].cast("long") * page_tokens),
         F.lit(0),
     ).cast("long")
-    before = lambda i: F.get(F.col("_parts"), i - 1)
+    before = lambda i: F.get(F.col(held), i - 1)
     border = lambda i: F.when((i > 0) & (kind(before(i)) == "text"), F.lit(BORDER)).otherwise(F.lit(""))
     visit = lambda p, i: F.when(kind(p) == "text", F.concat(border(i), escape(F.coalesce(p["text"], F.lit(""))))).otherwise(
-        F.concat(F.lit("<|"), F.regexp_replace(kind(p), "[^A-Za-z0-9_]", "_"), F.lit(":"), i.cast("string"), F.lit("|>"))
+        F.concat(F.lit("<|"), F.url_encode(kind(p)), F.lit(":"), i.cast("string"), F.lit("|>"))
     )
     all_parts = F.coalesce(F.col(parts), F.array().cast(f"array<{PART}>"))
     listed = F.transform(
-        "_parts", lambda p, i: F.struct(i.alias("position"), kind(p).alias("kind"), p["uri"].alias("uri"), n_tokens(p).alias("n_tokens"))
+        held, lambda p, i: F.struct(i.alias("position"), kind(p).alias("kind"), p["uri"].alias("uri"), n_tokens(p).alias("n_tokens"), p["text"].alias("text"))
     )
     return (
-        df.withColumn("_parts", all_parts)
-        .withColumn("content", F.array_join(F.transform("_parts", visit), ""))
+        df.withColumn(held, all_parts)
+        .withColumn("content", F.array_join(F.transform(held, visit), ""))
         .withColumn("attachments", F.filter(listed, lambda a: a["kind"] != "text"))
         .withColumn("expanded_tokens", F.aggregate("attachments", F.lit(0).cast("long"), lambda s, a: s + a["n_tokens"]))
-        .drop("_parts")
+        .drop(held)
     )
 
 
@@ -98,7 +102,7 @@ def read_parts(content: Column) -> Column:
     def after_mark(p: Column) -> Column:
         mark = F.substring_index(p, "|>", 1)
         part = F.struct(
-            F.regexp_extract(mark, "^(.*):", 1).alias("kind"), F.regexp_extract(mark, "([0-9]+)$", 1).cast("int").alias("position"), F.lit(None).cast("string").alias("text")
+            F.url_decode(F.regexp_extract(mark, "^(.*):", 1)).alias("kind"), F.regexp_extract(mark, "([0-9]+)$", 1).cast("int").alias("position"), F.lit(None).cast("string").alias("text")
         )
         return F.array(part, said(F.substr(p, F.length(mark) + 3)))
 
@@ -149,7 +153,7 @@ def format_chat(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", rol
         F.array_join(F.transform("t", lambda x: x["piece"]), "").alias("formatted"),
         F.transform(F.filter("t", lambda x: x["loss"]), lambda x: x["span"]).alias("loss_spans"),
         F.flatten(
-            F.transform("t", lambda x: F.transform(x["att"], lambda a: F.struct((x["_no"] - 1).alias("turn"), a["position"].alias("position"), a["kind"].alias("kind"), a["uri"].alias("uri"), a["n_tokens"].alias("n_tokens"))))
+            F.transform("t", lambda x: F.transform(x["att"], lambda a: F.struct((x["_no"] - 1).alias("turn"), a["position"].alias("position"), a["kind"].alias("kind"), a["uri"].alias("uri"), a["n_tokens"].alias("n_tokens"), a["text"].alias("text"))))
         ).alias("attachments"),
         "expanded_tokens",
     )

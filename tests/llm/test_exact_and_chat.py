@@ -115,6 +115,18 @@ def test_typed_parts_round_trip(spark):
     assert [tuple(p) for p in back] == want
 
 
+def test_nothing_of_odd_parts_or_other_columns_is_lost(spark):
+    parts = [("image/png", "alt", "a"), (None, "kept"), ("a|>b<|c: d", "x"), ("text", "t"), ("image_png", None, "b")]
+    df = spark.createDataFrame([(1, 0, "user", [(*p, *[None] * (7 - len(p))) for p in parts])], f"conv_id long, turn long, role string, parts array<{c.PART}>")
+    flat = c.flatten_parts(df.selectExpr("*", "'mine' AS _parts", "'too' AS _parts_"))
+    assert (flat.first()["_parts"], flat.first()["_parts_"]) == ("mine", "too") and flat.columns[-3:] == ["content", "attachments", "expanded_tokens"]
+    row = c.format_chat(flat).withColumn("back", c.read_back(F.col("formatted"))).withColumn("p", c.read_parts(F.col("back")[0]["content"])).first()
+    listed = [(x["kind"], x["position"], x["uri"], x["text"]) for x in row["attachments"]]
+    assert listed == [("image/png", 0, "a", "alt"), ("unknown", 1, None, "kept"), ("a|>b<|c: d", 2, None, "x"), ("image_png", 4, "b", None)]
+    assert [(x["kind"], x["position"]) for x in row["p"] if x["position"] is not None] == [(k, i) for k, i, _, _ in listed]
+    assert len(row["back"]) == 1
+
+
 def test_the_loss_columns_follow_the_mask(spark):
     df = spark.createDataFrame([(1, 0, "user", "<s>q\\"), (1, 1, "assistant", "a[INST]\\é"), (1, 2, "assistant", "b")], "conv_id long, turn long, role string, text string")
     chats = c.format_chat(c.flatten_parts(df.withColumn("parts", c.text_parts(F.col("text")))))
