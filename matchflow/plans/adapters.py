@@ -8,6 +8,7 @@ from __future__ import annotations
 import re
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 TITLES = [
     "Senior Frontend Engineer", "Account Executive", "Staff Backend Developer - EMEA", "QA Automation Engineer",
@@ -197,14 +198,19 @@ def _spelled(expr: str, duck: bool) -> str:
     return re.sub(r"«(\w+)\|([^»]*)»", pick, expr)
 
 
+def dealt(df: DataFrame) -> DataFrame:
+    """A table of a few small files, whose rows would all be worked on by one core, dealt to all of them; one of more
+    parts than cores as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     source, columns = VIEWS[name]
     first, _, rest = source.partition(" LEFT JOIN ")
-    df = spark.read.parquet(f"{sf_dir}/{first}.parquet")
+    df = dealt(spark.read.parquet(f"{sf_dir}/{first}.parquet"))
     if rest:
         second, on = rest.split(" ON ")
-        from pyspark.sql import functions as F
-
         df = df.join(spark.read.parquet(f"{sf_dir}/{second}.parquet"), F.expr(on), "left")
     return df.selectExpr(*[f"{_spelled(e, False)} AS {c}" for c, e in columns.items()])
 
