@@ -31,9 +31,9 @@ def applicant_profiles(applicants: DataFrame) -> DataFrame:
 
 def match_and_upsert(jobs, personas, matches, overrides, blocks, hashes) -> DataFrame:
     """The match job to its end: the next version of ``matches``, in which pairs found are new, refreshed or start over.
-    Of matches that repeat a posting and persona, the first by id counts."""
+    Of matches that repeat a posting and persona, the first by id and time counts."""
     found = routing.match_job(jobs, personas, matches, overrides, blocks, hashes)
-    return upserts.upsert_matches(joins.dedupe_first(matches, ["job_id", "persona_id"], ["id"]), found.withColumnRenamed("distance", "cosine_distance"))
+    return upserts.upsert_matches(joins.dedupe_first(matches, ["job_id", "persona_id"], ["id", "created_at"]), found.withColumnRenamed("distance", "cosine_distance"))
 
 
 def reprocess(jobs, personas, applicants, matches, overrides, blocks, hashes, n: int = 1000) -> DataFrame:

@@ -176,6 +176,6 @@ URLS = "CASE WHEN c_custkey % 2 = 0 THEN concat('https://jobs.lever.co/Co', c_cu
 query(
     "pip6_discover_companies",
     """SELECT ats AS ats_source, slug AS ats_slug, count(*) AS n_sources FROM (SELECT DISTINCT 'lever' AS ats, concat('co', CAST(c_custkey % 97 AS VARCHAR)) AS slug, 0 AS s FROM customer WHERE c_custkey % 3 = 0 UNION SELECT DISTINCT 'greenhouse', concat('x', CAST(c_custkey % 53 AS VARCHAR)), 0 FROM customer WHERE c_custkey % 3 <> 0
-      UNION SELECT DISTINCT 'lever', concat('co', CAST(c_custkey % 120 AS VARCHAR)), 1 FROM customer WHERE c_custkey % 2 = 0) f WHERE NOT EXISTS (SELECT 1 FROM company c WHERE c.ats_source = f.ats AND c.ats_slug = f.slug) GROUP BY 1, 2""",
+      UNION SELECT DISTINCT 'lever', concat('co', CAST(c_custkey % 120 AS VARCHAR)), 1 FROM customer WHERE c_custkey % 2 = 0) f WHERE (length(slug) > 2 OR regexp_matches(slug, '[aeiou]')) AND NOT EXISTS (SELECT 1 FROM company c WHERE c.ats_source = f.ats AND c.ats_slug = f.slug) GROUP BY 1, 2""",
     lambda v: (lambda c: jobs.discover_companies([dis.scan_certificates(c.selectExpr(CERTS)), dis.scan_url_archive(c.selectExpr(URLS))], v.company))(v.spark.read.parquet(f"{v.sf_dir}/customer.parquet")),
 )

@@ -189,7 +189,7 @@ def match_sql(postings: str) -> str:
 query("pip2_match_job", f"WITH {match_sql('job')} SELECT * FROM found", lambda v: rou.match_job(v.job, v.persona, v.match_queue, v.job_label_override, v.applicant_company_block, hashes(v.job)))
 query(
     "pip2_upserted_matches",
-    f"""WITH {match_sql('job')}, c AS (SELECT * FROM match_queue QUALIFY row_number() OVER (PARTITION BY job_id, persona_id ORDER BY id) = 1), r AS (SELECT job_id, persona_id, overlap AS o, distance AS d FROM found),
+    f"""WITH {match_sql('job')}, c AS (SELECT * FROM match_queue QUALIFY row_number() OVER (PARTITION BY job_id, persona_id ORDER BY id, created_at) = 1), r AS (SELECT job_id, persona_id, overlap AS o, distance AS d FROM found),
     b AS (SELECT *, o IS NULL OR coalesce(status IN ('mismatch', 'rejected', 'applied', 'approved'), false) AS stays FROM c FULL JOIN r USING (job_id, persona_id))
     SELECT job_id, persona_id, CASE WHEN stays THEN coalesce(status, 'pending') ELSE 'pending' END AS status, coalesce(o, overlap_score) AS overlap, CASE WHEN o IS NULL THEN cosine_distance ELSE d END AS cosine_distance, CASE WHEN stays THEN evaluated_at END AS evaluated_at FROM b""",
     lambda v: jobs.match_and_upsert(v.job, v.persona, v.match_queue, v.job_label_override, v.applicant_company_block, hashes(v.job)).select("job_id", "persona_id", "status", "overlap", "cosine_distance", "evaluated_at"),
@@ -373,13 +373,13 @@ query(
     "SELECT discovery_source, CASE WHEN NOT regexp_matches(slug, '^[a-z][a-z0-9-]{1,59}$') THEN 'invalid' WHEN regexp_matches(lower(company_name), '(labs)') THEN 'blacklisted' WHEN slug IN (SELECT ats_slug FROM company WHERE id % 2 = 0) THEN 'known' ELSE 'inserted' END AS result, count(*) AS n FROM (SELECT *, CASE WHEN id % 10 = 0 THEN concat('9', ats_slug) ELSE ats_slug END AS slug FROM company) c GROUP BY 1, 2",
     lambda v: ups.insert_companies(v.company.filter("id % 2 = 0"), v.company.withColumn("ats_slug", F.expr("CASE WHEN id % 10 = 0 THEN concat('9', ats_slug) ELSE ats_slug END")), ["labs"]),
 )
-ONE = "(SELECT * FROM match_queue QUALIFY row_number() OVER (PARTITION BY job_id, persona_id ORDER BY id) = 1)"
+ONE = "(SELECT * FROM match_queue QUALIFY row_number() OVER (PARTITION BY job_id, persona_id ORDER BY id, created_at) = 1)"
 query(
     "ups4_upsert_matches",
     f"""WITH c AS {ONE}, r AS (SELECT job_id + CASE WHEN id % 7 = 0 THEN 1000000 ELSE 0 END AS job_id, persona_id, 9 AS n, 0.5::DOUBLE AS d FROM c WHERE id % 2 = 0), b AS (SELECT *, n IS NULL OR coalesce(status IN ('mismatch', 'rejected', 'applied', 'approved'), false) AS stays FROM c FULL JOIN r USING (job_id, persona_id))
     SELECT job_id, persona_id, CASE WHEN stays THEN coalesce(status, 'pending') ELSE 'pending' END AS status, coalesce(n, overlap_score) AS overlap, CASE WHEN n IS NULL THEN cosine_distance ELSE d END AS cosine_distance,
       CASE WHEN stays THEN evaluated_at END AS evaluated_at, CASE WHEN stays THEN array_to_string(llm_blockers, '|') END AS llm_blockers, CASE WHEN stays THEN llm_confidence END AS llm_confidence, CASE WHEN stays THEN prompt_variant END AS prompt_variant FROM b""",
-    lambda v: (lambda c: ups.upsert_matches(c, c.filter("id % 2 = 0").selectExpr("job_id + CASE WHEN id % 7 = 0 THEN 1000000 ELSE 0 END AS job_id", "persona_id", "9 AS overlap", "0.5D AS cosine_distance")))(joi.dedupe_first(v.match_queue, ["job_id", "persona_id"], ["id"])).withColumn("llm_blockers", F.array_join("llm_blockers", "|")),
+    lambda v: (lambda c: ups.upsert_matches(c, c.filter("id % 2 = 0").selectExpr("job_id + CASE WHEN id % 7 = 0 THEN 1000000 ELSE 0 END AS job_id", "persona_id", "9 AS overlap", "0.5D AS cosine_distance")))(joi.dedupe_first(v.match_queue, ["job_id", "persona_id"], ["id", "created_at"])).withColumn("llm_blockers", F.array_join("llm_blockers", "|")),
 )
 query("ups5_insert_absent", "SELECT company_id, discovery_source FROM (SELECT DISTINCT company_id, discovery_source FROM company_discovery_sources WHERE company_id % 2 = 0 UNION SELECT DISTINCT company_id, discovery_source FROM company_discovery_sources WHERE company_id % 3 = 0) x",
       lambda v: (lambda s: ups.insert_absent(s.filter("company_id % 2 = 0").distinct(), s.filter("company_id % 3 = 0"), ["company_id", "discovery_source"]))(v.company_discovery_sources.select("company_id", "discovery_source")))
