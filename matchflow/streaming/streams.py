@@ -3,14 +3,11 @@ what is there (``availableNow``) or keep running. State and sinks live under the
 
 from __future__ import annotations
 
-import re
-import tempfile
 import threading
-import uuid
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQueryListener
 
@@ -18,24 +15,10 @@ from matchflow.functions import exprs as X
 from matchflow.operators import filters
 from matchflow.operators.routing import route_candidates
 from matchflow.operators.runs import failed_poll, fold_slices, poll_detail, poll_states
+from matchflow.operators.scratch import stored, work_folder  # noqa: F401
 from matchflow.sources.discovery import ats_of
 
 
-def work_folder(spark: SparkSession) -> str:
-    """A folder of its own under the shared one that ``spark.checkpoint.dir`` names; only on one machine a temporary one."""
-    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if shared is None and not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    return f"{shared or tempfile.gettempdir()}/{spark.sparkContext.applicationId}/stream-{uuid.uuid4().hex}"
-
-
-def stored(df: DataFrame) -> DataFrame:
-    """``df`` written to a folder of its own under the shared one, and read back."""
-    at = work_folder(df.sparkSession)
-    df.write.parquet(at)
-    return df.sparkSession.read.schema(df.schema).parquet(at)
-
-
 def drain(stream: DataFrame, mode: str = "append") -> DataFrame:
     """Run a stream to the end of its input into a Parquet folder, and read that."""
     at = work_folder(stream.sparkSession)
