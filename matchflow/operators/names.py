@@ -41,9 +41,11 @@ def contained(needles: DataFrame, hays: DataFrame) -> DataFrame:
         own_pieces = F.when(F.length(name) >= size, grams(name, size)).otherwise(own_pieces)
     # a piece's length tells its size apart, so that all sizes share one index
     index = tidy(hays).select("name", F.explode(F.concat(*[F.coalesce(grams(name, size), X.no_strings()) for size in KEY_SIZES])).alias("piece"))
+    asked = tidy(needles).select("name", F.explode(own_pieces).alias("piece"))
+    index = index.join(asked.select("piece").distinct(), "piece", "left_semi")  # others are no key: most, if the first side is small
     count = index.groupBy("piece").agg(F.count(F.lit(1)).alias("n"))
     # a name with a piece that no name of the other side has is contained in none of them
-    own = tidy(needles).select("name", F.explode(own_pieces).alias("piece")).join(count, "piece", "left").groupBy("name")
+    own = asked.join(count, "piece", "left").groupBy("name")
     key = own.agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "piece")).alias("k")).filter("k.n > 0")
     hit = key.select(name.alias("needle"), "k.piece").join(index.withColumnRenamed("name", "hay"), "piece")
     return hit.filter(F.contains("hay", "needle")).select("needle", "hay")  # a name has one key, another a piece once: no repeats

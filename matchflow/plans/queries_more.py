@@ -404,7 +404,7 @@ query(
     "ups9_demote_layoffs",
     f"""SELECT c.id, CASE WHEN tier = 'active_hot' AND polling_enabled AND EXISTS (SELECT 1 FROM (SELECT {NAME('company')} AS l FROM layoffs) x WHERE length(l) >= 2
       AND (contains(lower(c.company_name), l) OR contains(lower(c.canonical_name), l))) THEN 'active' ELSE tier END AS new_tier FROM company c""",
-    lambda v: ups.demote_layoffs(v.company, joi.layoffs_to_demote(v.layoffs, v.company)).select("id", "new_tier"),
+    lambda v: ups.demote_layoffs(v.company, joi.companies_laid_off(v.layoffs, v.company)).select("id", "new_tier"),
 )
 # a company's polls numbered in order, the run of failures up to each, and what the last poll leaves
 POLL_STATES = """WITH p AS (SELECT company_id, q.id, polled_at, status_code, valid, newest, jobs, error, NOT coalesce(status_code BETWEEN 200 AND 299, false) AS bad, {start} AS before FROM company_poll q JOIN company c ON c.id = q.company_id),

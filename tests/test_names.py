@@ -62,3 +62,14 @@ def test_names_in_news_feeds(spark):
     <item><title>Stripe lays off 200 more</title></item><item><title>X</title></item><item><link>no title</link></item></channel></rss>"""
     got = names.layoff_names(spark.createDataFrame([(feed,), ("",), ("not xml",), (None,)], "xml string"), "xml")
     assert sorted(r[0] for r in got.collect()) == ["Acme Corp", "Meta", "O'Reilly", "Smith & Co", "Stripe", "Twitter"]
+
+
+def test_pairs_of_layoffs_and_companies_are_made_by_the_last_join(spark):
+    layoffs = spark.createDataFrame([(i, f"Acme {i % 2}") for i in range(10)] + [(10, None)], "layoff_id long, company string")
+    companies = spark.createDataFrame([(1, "Acme 0 Labs", None), (2, "Beta", "acme 1"), (3, "Acme 0 Labs", "acme 0"), (4, "Gamma", None)], "id long, company_name string, canonical_name string")
+    want = {(i, c) for i in range(10) for c in ((1, 3) if i % 2 == 0 else (2,))}
+    assert pairs(joins.layoffs_to_demote(layoffs, companies)) == want
+    assert pairs(joins.companies_laid_off(layoffs, companies)) == {(1,), (2,), (3,)}
+    sent = joins.match_layoffs(layoffs, companies)._jdf.queryExecution().optimizedPlan().toString()
+    last = next(line for line in sent.splitlines() if "Join" in line)  # the outermost
+    assert "(l#" in last
