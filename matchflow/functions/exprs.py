@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import functools
 import re
+from re import _constants as ops
+from re import _parser as parser
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -32,10 +35,43 @@ def whole_terms(terms: list[str]) -> str:
     return "(?i)" + "|".join(rf"\b{re.escape(t)}\b" for t in terms)
 
 
+def needed(pattern: str) -> list[str]:
+    """Lower-case strings of which the lower-case form of any match holds one, the longest that the pattern shows; empty if it
+    shows none."""
+
+    def of(items) -> frozenset[str]:
+        found, run = [], ""
+        for op, value in [*items, (None, None)]:
+            if op is ops.LITERAL:
+                run += chr(value).lower()
+                continue
+            found.append(frozenset([run] if run else []))
+            run = ""
+            if op is ops.SUBPATTERN:
+                found.append(of(value[3]))
+            elif op in (ops.MAX_REPEAT, ops.MIN_REPEAT) and value[0] > 0:
+                found.append(of(value[2]))
+            elif op is ops.BRANCH:
+                parts = [of(x) for x in value[1]]
+                found.append(frozenset().union(*parts) if all(parts) else frozenset())
+        return max(found, key=lambda s: (min(map(len, s), default=0), -len(s)))
+
+    return sorted(of(parser.parse(pattern)))
+
+
+def said(text: Column, low: Column, pattern: str) -> Column:
+    """Whether a text matches; the pattern is tried only where ``low``, the text in lower case, holds a string it needs."""
+    words = needed(pattern)
+    return functools.reduce(Column.__or__, [low.contains(w) for w in words]) & text.rlike(pattern) if words else text.rlike(pattern)
+
+
 def values_named(text: Column, value_of: dict[str, str]) -> Column:
     """Values of the names that a lower-case text holds between characters that aren't a-z. Names inside other names count,
     as they are looked for at every position."""
-    names = "|".join(re.escape(n) for n in sorted(value_of, key=lambda n: (-len(n), n)))
+    by_letter: dict[str, list[str]] = {}  # so that a position tries the names of its letter alone
+    for n in sorted(value_of, key=lambda n: (-len(n), n)):
+        by_letter.setdefault(n[0], []).append(re.escape(n[1:]))
+    names = "|".join(f"{re.escape(a)}(?:{'|'.join(rest)})" for a, rest in by_letter.items())
     found = F.regexp_extract_all(text, F.lit(f"(?<![a-z])(?=({names})(?![a-z]))"), F.lit(1))
     values = F.create_map(*[F.lit(x) for kv in value_of.items() for x in kv])
     return F.array_distinct(F.transform(found, lambda n: values[n]))

@@ -58,16 +58,18 @@ def with_utc_span(df: DataFrame) -> DataFrame:
     return df.withColumn("span", span).withColumn("span_scope", F.when(span <= 8, "region_fenced").when(span > 8, "global"))
 
 
-def fired_probes(text: Column) -> Column:
-    """(name, weight) of the probes of a region fence that fire: one of weight 2 or two of weight 1 make a fence."""
-    return F.array_compact(F.array(*[F.when(text.rlike(f"(?i){p}"), F.struct(F.lit(n).alias("name"), F.lit(w).alias("weight"))) for n, p, w in C.REGION_PROBES]))
+def fired_probes(text: Column, low: Column) -> Column:
+    """(name, weight) of the probes of a region fence that fire: one of weight 2 or two of weight 1 make a fence. ``low``: the
+    text in lower case."""
+    return F.array_compact(F.array(*[F.when(X.said(text, low, f"(?i){p}"), F.struct(F.lit(n).alias("name"), F.lit(w).alias("weight"))) for n, p, w in C.REGION_PROBES]))
 
 
 def with_multi_probe(df: DataFrame) -> DataFrame:
     """``probes`` that fire and whether they fence a region."""
-    staged = df.withColumn("_fired", fired_probes(F.coalesce("normalized_text", F.lit(""))))
+    text = F.coalesce("normalized_text", F.lit(""))
+    staged = df.withColumn("_low", F.lower(text)).withColumn("_fired", fired_probes(text, F.col("_low")))
     total = F.aggregate("_fired", F.lit(0), lambda s, x: s + x["weight"])
-    return staged.withColumn("probes", F.array_join(F.transform("_fired", lambda x: x["name"]), ",")).withColumn("region_fence", total >= 2).drop("_fired")
+    return staged.withColumn("probes", F.array_join(F.transform("_fired", lambda x: x["name"]), ",")).withColumn("region_fence", total >= 2).drop("_fired", "_low")
 
 
 def fence_of(names: list[str]) -> str:
@@ -84,12 +86,13 @@ COUNTRY_FENCES = C.COUNTRY_SIGNALS + [(fence_of(names), code) for names, code in
 def with_scope_signals(df: DataFrame, column: str = "normalized_text") -> DataFrame:
     """What a text says on scope: ``always_global``, ``global_high``, ``country_high`` (its countries in ``fence_countries``,
     sorted), ``fence_regions``, ``medium`` (scopes, sorted) and ``negatives`` (reasons)."""
-    text = F.coalesce(column, F.lit(""))
-    any_of = lambda ps: text.rlike("(?i)" + "|".join(ps))
-    hits = lambda pairs, flag="(?i)": F.array_compact(F.array(*[F.when(text.rlike(flag + p), F.lit(n)) for p, n in pairs]))
+    text, low = F.coalesce(column, F.lit("")), F.col("_low")
+    any_of = lambda ps: functools.reduce(Column.__or__, [X.said(text, low, "(?i)" + p) for p in ps])
+    hits = lambda pairs, flag="(?i)": F.array_compact(F.array(*[F.when(X.said(text, low, flag + p), F.lit(n)) for p, n in pairs]))
     fences = hits(COUNTRY_FENCES)
     return (
-        df.withColumn("always_global", any_of(C.ALWAYS_GLOBAL))
+        df.withColumn("_low", F.lower(text))
+        .withColumn("always_global", any_of(C.ALWAYS_GLOBAL))
         .withColumn("global_high", any_of(C.GLOBAL_SIGNALS))
         .withColumn("_fences", fences)
         .withColumn("country_high", F.size("_fences") > 0)
@@ -97,7 +100,7 @@ def with_scope_signals(df: DataFrame, column: str = "normalized_text") -> DataFr
         .withColumn("fence_regions", F.array_sort(F.array_distinct(hits(C.REGION_SIGNALS))))
         .withColumn("medium", F.array_sort(F.array_distinct(hits(C.MEDIUM_SIGNALS, ""))))
         .withColumn("negatives", hits([(p, n) for p, n, _ in C.NEGATIVE_SIGNALS], ""))
-        .drop("_fences")
+        .drop("_fences", "_low")
     )
 
 
@@ -128,10 +131,11 @@ def classify_remote_scope(df: DataFrame) -> DataFrame:
     low, tidy = F.lower(place), F.trim(F.regexp_replace(F.coalesce("normalized_text", F.lit("")), r"\s+", " "))
     quoted = F.regexp_replace(place, r"([.*+?^${}()|\[\]\\])", r"\\$1")
     staged = df.withColumn("_t", F.when(place == "", tidy).otherwise(F.regexp_replace(tidy, F.concat(F.lit("(?iu)"), quoted), F.lit(" "))))
-    text = F.col("_t")
-    any_of = lambda ps: text.rlike("(?i)" + "|".join(ps))
-    first = lambda pairs, flag="(?i)": F.coalesce(*[F.when(text.rlike(flag + p), F.lit(n)) for p, n in pairs])
-    against = lambda kind: functools.reduce(Column.__or__, [text.rlike(p) for p, _, k in C.NEGATIVE_SIGNALS if k == kind])
+    staged = staged.withColumn("_low", F.lower("_t"))
+    text, said = F.col("_t"), functools.partial(X.said, F.col("_t"), F.col("_low"))
+    any_of = lambda ps: functools.reduce(Column.__or__, [said("(?i)" + p) for p in ps])
+    first = lambda pairs, flag="(?i)": F.coalesce(*[F.when(said(flag + p), F.lit(n)) for p, n in pairs])
+    against = lambda kind: functools.reduce(Column.__or__, [said(p) for p, _, k in C.NEGATIVE_SIGNALS if k == kind])
     groups = sum((low.rlike("(^|[^a-z])(" + "|".join(names) + ")($|[^a-z])").cast("int") for names in C.MACRO_REGIONS[1:]), low.rlike("(^|[^a-z])(" + "|".join(C.MACRO_REGIONS[0]) + ")($|[^a-z])").cast("int"))
     staged = staged.withColumns(
         {
@@ -140,15 +144,16 @@ def classify_remote_scope(df: DataFrame) -> DataFrame:
             "_region": first(C.REGION_SIGNALS), "_onsite": work.isNull() & any_of(C.ONSITE_SIGNALS), "_never": against("all_remote"), "_not_global": against("global"),
         }
     )
-    span = utc_span(F.lower(text))
-    soft = [F.when(text.rlike(p) & (F.lit(scope != "global") | ~F.col("_not_global")), scope) for p, scope in C.MEDIUM_SIGNALS]
+    span = utc_span(F.col("_low"))
+    soft = [F.when(said(p) & (F.lit(scope != "global") | ~F.col("_not_global")), scope) for p, scope in C.MEDIUM_SIGNALS]
     soft += [F.when(span <= 8, "region_fenced").when(~F.col("_not_global"), F.when(span > 8, "global"))]
     hard = F.col("_country").isNotNull() | F.col("_region").isNotNull() | F.col("_onsite") | F.col("_never")
-    weights = F.transform(fired_probes(text), lambda x: x["weight"])
+    weights = F.transform(fired_probes(text, F.col("_low")), lambda x: x["weight"])
     staged = staged.withColumn("_says_global", F.col("_global") | (~hard & X.true_(F.coalesce(*soft) == "global"))).withColumn("_weights", weights)
     some = lambda codes: F.when(F.size(codes) > 0, codes)
     members = F.create_map(*[x for r, codes in C.TEXT_REGIONS.items() for x in (F.lit(r), X.strings(sorted(codes)))])
-    named = F.when(F.col("_country") == "", some(codes_in(text))).otherwise(F.array("_country"))
+    staged = staged.withColumn("_codes", F.when(F.col("_global") | (F.col("_country") == ""), codes_in(text)))
+    named = F.when(F.col("_country") == "", some(F.col("_codes"))).otherwise(F.array("_country"))
     own = F.when(F.col("_first").isNotNull(), F.array("_first"))
     fenced = F.aggregate("_weights", F.lit(0), lambda s, x: s + x) >= 2
     enough, conflict = F.length(text) >= 50, F.col("_global") & F.col("_specific")
@@ -163,7 +168,7 @@ def classify_remote_scope(df: DataFrame) -> DataFrame:
         .when(F.col("_open") & F.col("_anywhere") & F.col("_first").isNotNull(), verdict("country_fenced", own))
         .when(work.isNull() & F.col("_specific"), verdict("onsite"))
         .when(F.col("_global") & F.col("_always"), verdict("global", confidence=1.0))
-        .when(F.col("_global") & ~F.col("_specific"), verdict("global", some(codes_in(text)), confidence=1.0))
+        .when(F.col("_global") & ~F.col("_specific"), verdict("global", some(F.col("_codes")), confidence=1.0))
         .when(~F.col("_global") & F.col("_country").isNotNull(), verdict("country_fenced", named, confidence=1.0))
         .when(~F.col("_global") & F.col("_region").isNotNull(), verdict("region_fenced", members[F.col("_region")], confidence=1.0))
         .when(~F.col("_global") & (F.col("_onsite") | (F.col("_never") & ~X.true_(work == "remote"))), verdict("onsite", confidence=1.0))
@@ -173,7 +178,7 @@ def classify_remote_scope(df: DataFrame) -> DataFrame:
         .when(~enough, verdict("undetermined", by="hard_fail", confidence=0.0))
         .otherwise(verdict("undetermined", by="deterministic_only_no_signal", confidence=0.0))
     )
-    helpers = ["_t", "_open", "_groups", "_first", "_specific", "_anywhere", "_global", "_always", "_country", "_region", "_onsite", "_never", "_not_global", "_says_global", "_weights", "_r"]
+    helpers = ["_t", "_low", "_open", "_groups", "_first", "_specific", "_anywhere", "_global", "_always", "_country", "_region", "_onsite", "_never", "_not_global", "_says_global", "_weights", "_codes", "_r"]
     out = staged.withColumn("_r", result)
     return out.withColumns({c: F.col(f"_r.{c}") for c in ("scope", "countries", "resolved_by", "confidence")}).drop(*helpers)
 
