@@ -14,7 +14,8 @@ from matchflow.operators.names import contained, names_match, normalized_name
 def match_view(matches: DataFrame, jobs: DataFrame, personas: DataFrame, applicants: DataFrame) -> DataFrame:
     """A match with its posting, persona and applicant; matches without any of them drop out."""
     j = jobs.select(F.col("id").alias("job_id"), "title", "ats_source", "ats_slug", "location_name", "remote_scope", "workplace_type", "extracted_tags")
-    p = personas.select(F.col("id").alias("persona_id"), "must_have_tags", "blocklist_tags", "seniority_levels")
+    known = [c for c in ("_tags", "_family") if c in personas.columns]  # of ``scoring.with_stack``
+    p = personas.select(F.col("id").alias("persona_id"), "must_have_tags", "blocklist_tags", "seniority_levels", *known)
     a = applicants.select(F.col("user_id").alias("applicant_id"), "country", "assignment_types")
     return matches.join(j, "job_id").join(p, "persona_id").join(a, "applicant_id")
 

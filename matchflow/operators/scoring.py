@@ -102,14 +102,22 @@ def fusion_score(companies: DataFrame, sources: DataFrame) -> DataFrame:
     return companies.join(n, "id", "left").withColumn("fusion", 1 + F.coalesce("n", F.lit(0))).drop("n")
 
 
+def with_stack(personas: DataFrame) -> DataFrame:
+    """What the title rules read of a persona alone, so that it is worked out before personas meet postings: ``_tags`` (in lower
+    case) and ``_family`` (its main stack family)."""
+    own = F.coalesce("must_have_tags", X.no_strings())
+    return personas.withColumn("_tags", F.transform(own, F.lower)).withColumn("_family", main_family(own))
+
+
 def title_blockers(pairs: DataFrame) -> DataFrame:
     """``blocker`` and ``blocker_type`` (platform or role_family): the first rule that bars a persona from a title.
 
     A platform bars personas of another main stack family than its own (all, if it is enterprise software; none, if the
-    persona has no family). A role family bars all but personas with certain tags, levels or both kinds of tags.
+    persona has no family). A role family bars all but personas with certain tags, levels or both kinds of tags. ``pairs`` may
+    come with the columns of ``with_stack``.
     """
     title, has = F.coalesce("title", F.lit("")), lambda tags: F.arrays_overlap("_tags", X.strings(tags))
-    named = lambda p: title.rlike(f"(?i){p}")
+    named = lambda p: X.said(title, F.col("_low"), f"(?i){p}")
     by_platform, by_role = F, F
     for name, pattern, family in C.PLATFORM_PATTERNS:
         barred = F.lit(True) if family == "enterprise" else X.true_(F.col("_family") != family)
@@ -121,11 +129,10 @@ def title_blockers(pairs: DataFrame) -> DataFrame:
         if name == "Engineering Manager":
             exempt = F.exists(F.coalesce("seniority_levels", X.no_strings()), lambda x: F.lower(x).isin(C.MANAGEMENT_LEVELS))
         by_role = by_role.when(named(pattern) & ~X.true_(exempt), name)
-    own = F.coalesce("must_have_tags", X.no_strings())
-    staged = pairs.withColumn("_tags", F.transform(own, F.lower)).withColumn("_family", main_family(own))
+    staged = (pairs if "_family" in pairs.columns else with_stack(pairs)).withColumn("_low", F.lower(title))
     staged = staged.withColumn("_platform", by_platform.otherwise(None)).withColumn("_role", by_role.otherwise(None))
     kind = F.when(F.col("_platform").isNotNull(), "platform").when(F.col("_role").isNotNull(), "role_family")
-    return staged.withColumn("blocker", F.coalesce("_platform", "_role")).withColumn("blocker_type", kind).drop("_tags", "_family", "_platform", "_role")
+    return staged.withColumn("blocker", F.coalesce("_platform", "_role")).withColumn("blocker_type", kind).drop("_tags", "_family", "_low", "_platform", "_role")
 
 
 def with_places(jobs: DataFrame) -> DataFrame:

@@ -171,7 +171,7 @@ query(
     "sco5_title_blockers",
     f"""WITH {VIEW}, n AS (SELECT *, {COUNTS}, list_transform(must_have_tags, lambda x: lower(x)) AS own FROM mv), f AS (SELECT *, {FAMILY} AS family FROM n), b AS (SELECT id, {PLATFORM} AS platform, {ROLE} AS role FROM f)
     SELECT id, coalesce(platform, role) AS blocker, CASE WHEN platform IS NOT NULL THEN 'platform' WHEN role IS NOT NULL THEN 'role_family' END AS blocker_type FROM b""",
-    lambda v: sco.title_blockers(mview(v)).select("id", "blocker", "blocker_type"),
+    lambda v: sco.title_blockers(joi.match_view(v.match_queue, v.job, sco.with_stack(v.persona), v.applicant)).select("id", "blocker", "blocker_type"),
 )
 
 
