@@ -14,7 +14,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, St
 from matchflow.functions import exprs as X
 from matchflow.operators import filters
 from matchflow.operators.routing import route_candidates
-from matchflow.operators.runs import failed_poll, fold_slices, poll_detail, poll_states
+from matchflow.operators.runs import failed_poll, fold_slices, merge_slices, poll_detail, poll_states
 from matchflow.operators.scratch import stored, work_folder  # noqa: F401
 from matchflow.sources.discovery import ats_of
 
@@ -90,18 +90,21 @@ class RunFold(StatefulProcessor):
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
-def stream_run_states(runs: DataFrame, key: str, unit: str = "hour", detail: Column | None = None) -> DataFrame:
+def stream_run_states(runs: DataFrame, key: str, unit: str = "hour", detail: Column | None = None, live: bool = False) -> DataFrame:
     """(key, runs, failed, consecutive_failures, longest, last, last_good): the newest state of each key of a run log
     (key, at, id, bad) that comes in its order, however it is cut into batches.
 
-    Two streams: the first folds each batch by key and slice, where a hot key's slices are worked on by many tasks, and
-    writes the batch's few rows, replacing those of an earlier try. The second merges them into the state of the key.
+    A stream folds each batch by key and slice, where a hot key's slices are worked on by many tasks, and writes the batch's
+    few rows, replacing those of an earlier try. They are merged by key in one aggregation; with ``live`` a second stream
+    merges them into the state of each key instead, which Python visits one by one.
     """
     spark, at = runs.sparkSession, work_folder(runs.sparkSession)
     kind = runs.schema[key].dataType.simpleString()
     folded = f"{at}/slices"
     runs.writeStream.foreachBatch(lambda df, n: put(fold_slices(df, key, unit, detail), folded, n)).option("checkpointLocation", f"{at}/fold").trigger(availableNow=True).start().awaitTermination()
     schema = f"key {kind}, slice timestamp, n long, failed long, head long, tail long, top long, whole boolean, last string, last_good string, batch long"
+    if not live:  # a batch may cut a slice, so that batches come before slices in their order
+        return merge_slices(spark.read.schema(schema).parquet(folded).withColumn("slice", F.struct("batch", "slice")))
     merged = spark.readStream.schema(schema).parquet(folded).groupBy("key")
     out = f"key {kind}, runs long, failed long, consecutive_failures long, longest long, last string, last_good string"
     name = "spark.sql.streaming.stateStore.providerClass"

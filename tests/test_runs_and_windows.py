@@ -93,6 +93,17 @@ def test_streamed_states_are_the_same_for_any_cut(spark):
         assert {x["key"]: (x["consecutive_failures"], x["longest"], x["runs"]) for x in got.collect()} == want
 
 
+def test_streamed_states_are_merged_in_one_aggregation(spark):
+    """Batches that cut an hour are merged in their order, as the states of a live stream are, without a Python call a key."""
+    log = spark.createDataFrame(a_log(4, 200, 3), LOG)
+    runs = log.select("source", F.col("created_at").alias("at"), "id", (F.col("status") == "failure").alias("bad"))
+    detail = F.when(F.col("id") % 3 > 0, F.col("id").cast("string"))
+    live = st.stream_run_states(in_order(runs, "at", 5, 2), "source", detail=detail, live=True)
+    once = st.stream_run_states(in_order(runs, "at", 5, 2), "source", detail=detail)
+    assert once.columns == live.columns and sorted(once.collect()) == sorted(live.collect())
+    assert spark.read.parquet(*once.inputFiles()).columns == ["key", "slice", "n", "failed", "head", "tail", "top", "whole", "last", "last_good"]
+
+
 def test_a_batch_that_runs_again_counts_once():
     import pandas as pd
 
