@@ -52,9 +52,10 @@ def with_fence_flag(df: DataFrame) -> DataFrame:
 
 def with_natsec_flag(df: DataFrame) -> DataFrame:
     """Hard words in title or the text's start (the rule reads 3,000 characters); hints count only with talk of a clearance."""
-    text = F.concat_ws(" ", "title", F.substring("normalized_text", 1, 3000))
-    hard, weak = text.rlike(X.whole_terms(C.NATSEC_WORDS)), text.rlike(X.whole_terms(C.NATSEC_HINTS)) & text.rlike(X.whole_terms(C.CLEARANCE_WORDS))
-    return df.withColumn("natsec", F.coalesce("is_natsec", hard | weak, F.lit(False)))
+    staged = df.withColumn("_said", F.concat_ws(" ", "title", F.substring("normalized_text", 1, 3000))).withColumn("_low", F.lower("_said"))
+    named = lambda terms: X.said(F.col("_said"), F.col("_low"), X.whole_terms(terms))
+    hard, weak = named(C.NATSEC_WORDS), named(C.NATSEC_HINTS) & named(C.CLEARANCE_WORDS)
+    return staged.withColumn("natsec", F.coalesce("is_natsec", hard | weak, F.lit(False))).drop("_said", "_low")
 
 
 def with_qa_flag(df: DataFrame) -> DataFrame:

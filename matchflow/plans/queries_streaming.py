@@ -11,10 +11,12 @@ from matchflow.streaming import streams as st
 
 
 def landed(df: DataFrame, parts: int) -> DataFrame:
-    """``df`` written as files of a landing folder and opened as a stream, a few files a batch."""
+    """``df`` written as files of a landing folder and opened as a stream, in half as many batches as ``parts``; a batch has a
+    file for each core, two at least."""
     at = st.work_folder(df.sparkSession)
-    df.repartition(parts).write.parquet(f"{at}/landing")
-    return df.sparkSession.readStream.schema(df.schema).option("maxFilesPerTrigger", 2).parquet(f"{at}/landing")
+    files = max(2, df.sparkSession.sparkContext.defaultParallelism)
+    df.repartition(parts // 2 * files).write.parquet(f"{at}/landing")
+    return df.sparkSession.readStream.schema(df.schema).option("maxFilesPerTrigger", files).parquet(f"{at}/landing")
 
 
 def in_order(df: DataFrame, by: str, cuts: int, files: int = 2, late: DataFrame | None = None) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from matchflow.functions import constants as C
 from matchflow.functions import exprs as X
 from matchflow.operators import classify as cls
+from matchflow.operators import filters as flt
 from matchflow.operators import scoring as sco
 
 PATTERNS = [
@@ -40,3 +41,25 @@ def test_families_are_worked_out_by_persona(spark):
     ahead = sco.title_blockers(sco.with_stack(personas).crossJoin(pairs.select("title").distinct())).select("id", "title", "blocker", "blocker_type").collect()
     assert sorted(map(str, plain)) == sorted(map(str, ahead))
     assert {r.title for r in plain if r.blocker} == {"Drupal Developer", "Tech Lead", "SAP dev"}
+
+
+def test_landed_files_are_enough_for_all_cores(spark):
+    from matchflow.plans.queries_streaming import landed
+    from matchflow.streaming import streams as st
+
+    batches = []
+    at = st.work_folder(spark)
+    flow = landed(spark.range(1000).repartition(4), 6).withColumn("file", F.input_file_name())
+    flow.writeStream.foreachBatch(lambda df, n: batches.append(df.agg(F.count("id"), F.countDistinct("file")).first())).option("checkpointLocation", f"{at}/state").trigger(availableNow=True).start().awaitTermination()
+    assert len(batches) == 3 and sum(n for n, _ in batches) == 1000
+    assert {files for _, files in batches} == {spark.sparkContext.defaultParallelism}
+
+
+def test_words_of_national_security(spark):
+    texts = ["Top Secret", "TS/SCI clearance", "itars", "navyblue", "E-Verify", "e-verify and export controlled", "Fort Meade", "u.s. citizen", "", None]
+    df = spark.createDataFrame([("Dev", t, None) for t in texts], "title string, normalized_text string, is_natsec boolean")
+    text = F.concat_ws(" ", "title", "normalized_text")
+    tried = lambda terms: text.rlike(X.whole_terms(terms))
+    got = flt.with_natsec_flag(df).withColumn("want", tried(C.NATSEC_WORDS) | (tried(C.NATSEC_HINTS) & tried(C.CLEARANCE_WORDS))).collect()
+    assert [r.natsec for r in got] == [r.want for r in got]
+    assert {r.natsec for r in got} == {True, False} and "_low" not in got[0].asDict()
