@@ -266,9 +266,11 @@ def downgrade_stale_global(jobs: DataFrame) -> DataFrame:
 
 
 def upsert_board_postings(current: DataFrame, incoming: DataFrame, as_of: str, days: int = 60) -> DataFrame:
-    """Fresh board postings over the known ones: the old embedding stays where the new row has none; fenced rows have none."""
+    """Fresh board postings over the known ones: the old embedding stays where the new row has none; fenced rows have none.
+    ``current`` tells by ``embedded`` whether a row has a vector, or has ``job_embedding`` itself."""
     i = incoming.filter(F.col("published_at") >= ago(as_of, f"{days} DAYS")).select(*POSTING_KEY, F.col("title").alias("new_title"), F.col("remote_scope").alias("new_scope"), F.col("embedded").alias("new_embedded"))
-    c = current.select(*POSTING_KEY, F.col("title").alias("old_title"), F.col("remote_scope").alias("old_scope"), F.col("job_embedding").isNotNull().alias("old_embedded"))
+    embedded = F.col("embedded") if "embedded" in current.columns else F.col("job_embedding").isNotNull()
+    c = current.select(*POSTING_KEY, F.col("title").alias("old_title"), F.col("remote_scope").alias("old_scope"), embedded.alias("old_embedded"))
     both = c.join(i, POSTING_KEY, "full_outer")
     fenced = F.coalesce("new_scope", "old_scope").endswith("fenced")
     embedded = F.coalesce("new_embedded", F.lit(False)) | F.coalesce("old_embedded", F.lit(False))

@@ -133,7 +133,7 @@ query(
     "ups2_upsert_board_postings",
     f"""WITH cur AS (SELECT * FROM job QUALIFY row_number() OVER (PARTITION BY ats_source, ats_slug, external_job_id ORDER BY id) = 1), inc AS (SELECT ats_source, ats_slug, concat(external_job_id, CASE WHEN id % 5 = 0 THEN 'n' ELSE '' END) AS external_job_id, title, published_at, remote_scope, id % 2 = 0 AS embedded FROM cur WHERE id % 3 = 0 AND published_at >= {NOW} - INTERVAL 60 DAY)
     SELECT ats_source, ats_slug, external_job_id, coalesce(i.title, c.title) AS title, CASE WHEN coalesce(i.remote_scope, c.remote_scope) LIKE '%fenced' THEN false ELSE coalesce(i.embedded, false) OR c.job_embedding IS NOT NULL END AS embedded FROM cur c FULL JOIN inc i USING (ats_source, ats_slug, external_job_id)""",
-    lambda v: (lambda c: ups.upsert_board_postings(c, c.filter("id % 3 = 0").selectExpr("ats_source", "ats_slug", "concat(external_job_id, CASE WHEN id % 5 = 0 THEN 'n' ELSE '' END) AS external_job_id", "title", "published_at", "remote_scope", "id % 2 = 0 AS embedded"), AS_OF))(joi.dedupe_first(v.job, ups.POSTING_KEY, ["id"])),
+    lambda v: (lambda c: ups.upsert_board_postings(c, c.filter("id % 3 = 0").selectExpr("ats_source", "ats_slug", "concat(external_job_id, CASE WHEN id % 5 = 0 THEN 'n' ELSE '' END) AS external_job_id", "title", "published_at", "remote_scope", "id % 2 = 0 AS embedded"), AS_OF))(joi.dedupe_first(v.job.withColumn("embedded", F.col("job_embedding").isNotNull()), ups.POSTING_KEY, ["id"])),
 )
 query("ups18_sweep_retry_flags", f"SELECT id, started_at < TIMESTAMP '2024-01-20 00:00:00' - INTERVAL 10 MINUTE AND finished_at IS NULL AS cleared FROM ingestion_log", lambda v: ups.sweep_retry_flags(v.ingestion_log, "2024-01-20 00:00:00").select("id", "cleared"))
 query(

@@ -63,3 +63,12 @@ def test_words_of_national_security(spark):
     got = flt.with_natsec_flag(df).withColumn("want", tried(C.NATSEC_WORDS) | (tried(C.NATSEC_HINTS) & tried(C.CLEARANCE_WORDS))).collect()
     assert [r.natsec for r in got] == [r.want for r in got]
     assert {r.natsec for r in got} == {True, False} and "_low" not in got[0].asDict()
+
+
+def test_board_postings_know_vectors_by_a_flag(spark):
+    from matchflow.operators import upserts
+
+    current = spark.createDataFrame([("a", "b", "1", "t", "global", True), ("a", "b", "2", "t", "global", False)], "ats_source string, ats_slug string, external_job_id string, title string, remote_scope string, embedded boolean")
+    incoming = spark.createDataFrame([], "ats_source string, ats_slug string, external_job_id string, title string, published_at timestamp, remote_scope string, embedded boolean")
+    got = upserts.upsert_board_postings(current, incoming, "1998-01-01 00:00:00")
+    assert {(r.external_job_id, r.embedded) for r in got.collect()} == {("1", True), ("2", False)}
