@@ -126,7 +126,10 @@ def canonical_name(name: Column) -> Column:
 
 
 def text_hash(company: Column, title: Column, location: Column) -> Column:
-    tidy = lambda c: F.regexp_replace(F.trim(F.lower(F.coalesce(c, F.lit("")))), " +", " ")
+    def tidy(c: Column) -> Column:
+        low = F.trim(F.lower(F.coalesce(c, F.lit(""))))
+        return F.when(low.contains("  "), F.regexp_replace(low, " +", " ")).otherwise(low)
+
     return F.sha2(F.concat_ws("|", tidy(company), tidy(title), tidy(location)), 256)
 
 

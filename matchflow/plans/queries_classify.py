@@ -16,7 +16,7 @@ from matchflow.operators import upserts as ups
 from matchflow.plans import jobs
 from matchflow.plans.adapters import AS_OF
 from matchflow.sources import discovery as dis
-from matchflow.plans.queries import DEFINING, NOW, ORACLE_SQL, SPECIFIC, arr, hashes, parts, query, route_sql, words
+from matchflow.plans.queries import DEFINING, NOW, ORACLE_SQL, SPECIFIC, arr, parts, query, route_sql, words
 from matchflow.plans.queries_more import BLOCKERS, EXPIRED, FIX, PAIRS, PLACED, TITLE_TAG, long_ago, match_sql, named_in, pairs, rate
 
 PLACE, TEXT = "lower(coalesce(location_name, ''))", "lower(coalesce(normalized_text, ''))"
@@ -159,7 +159,7 @@ query(
     "pip3_reprocess",
     f"WITH {PLACED}, due AS (SELECT * FROM placed WHERE id IN (SELECT id FROM ({ORACLE_SQL['joi11_reprocess_candidates']}) c)), pairs AS (SELECT j.*, a.* FROM due j, applicant a), fit AS (SELECT * FROM due WHERE id IN (SELECT id FROM pairs WHERE len({BLOCKERS}) = 0)), "
     f"{match_sql('fit')} SELECT job_id, persona_id, rank FROM found",
-    lambda v: jobs.reprocess(v.job, v.persona, v.applicant, v.match_queue, v.job_label_override, v.applicant_company_block, hashes(v.job)).select("job_id", "persona_id", "rank"),
+    lambda v: jobs.reprocess(v.job, v.persona, v.applicant, v.match_queue, v.job_label_override, v.applicant_company_block).select("job_id", "persona_id", "rank"),
 )
 STEP = "SELECT '{0}' AS step, count(*) AS n FROM {1}".format
 AGED = f"(SELECT *, CASE WHEN a = 'stale' AND last_seen_at < {NOW} - INTERVAL 30 DAY THEN 'gone' ELSE a END AS s FROM (SELECT *, CASE WHEN status = 'active' AND (last_seen_at < {NOW} - INTERVAL 7 DAY OR published_at < {NOW} - INTERVAL 60 DAY) THEN 'stale' ELSE status END AS a FROM job) x)"

@@ -19,7 +19,7 @@ from matchflow.operators import upserts as ups
 from matchflow.operators import windows as win
 from matchflow.plans import jobs
 from matchflow.plans.adapters import AS_OF
-from matchflow.plans.queries import HASH, IDS, NOW, OVERRIDE, SIBLING, SPECIFIC, arr, hashes, query, route_sql
+from matchflow.plans.queries import HASH, IDS, NOW, OVERRIDE, SIBLING, SPECIFIC, arr, query, route_sql
 
 CANON = "regexp_replace(regexp_replace(regexp_replace(lower(trim({0})), '[ ,]+(inc|llc|ltd|gmbh|corp|corporation|limited|co)[.]?$', ''), ' (labs|technologies|technology|software|group|holdings|solutions)$', ''), '[,. ]', '', 'g')"
 RATE = "CASE WHEN {1} > 0 THEN round(1e2 * {0} / {1}, 1) END"
@@ -186,13 +186,13 @@ def match_sql(postings: str) -> str:
     )
 
 
-query("pip2_match_job", f"WITH {match_sql('job')} SELECT * FROM found", lambda v: rou.match_job(v.job, v.persona, v.match_queue, v.job_label_override, v.applicant_company_block, hashes(v.job)))
+query("pip2_match_job", f"WITH {match_sql('job')} SELECT * FROM found", lambda v: rou.match_job(v.job, v.persona, v.match_queue, v.job_label_override, v.applicant_company_block))
 query(
     "pip2_upserted_matches",
     f"""WITH {match_sql('job')}, c AS (SELECT * FROM match_queue QUALIFY row_number() OVER (PARTITION BY job_id, persona_id ORDER BY id, created_at) = 1), r AS (SELECT job_id, persona_id, overlap AS o, distance AS d FROM found),
     b AS (SELECT *, o IS NULL OR coalesce(status IN ('mismatch', 'rejected', 'applied', 'approved'), false) AS stays FROM c FULL JOIN r USING (job_id, persona_id))
     SELECT job_id, persona_id, CASE WHEN stays THEN coalesce(status, 'pending') ELSE 'pending' END AS status, coalesce(o, overlap_score) AS overlap, CASE WHEN o IS NULL THEN cosine_distance ELSE d END AS cosine_distance, CASE WHEN stays THEN evaluated_at END AS evaluated_at FROM b""",
-    lambda v: jobs.match_and_upsert(v.job, v.persona, v.match_queue, v.job_label_override, v.applicant_company_block, hashes(v.job)).select("job_id", "persona_id", "status", "overlap", "cosine_distance", "evaluated_at"),
+    lambda v: jobs.match_and_upsert(v.job, v.persona, v.match_queue, v.job_label_override, v.applicant_company_block).select("job_id", "persona_id", "status", "overlap", "cosine_distance", "evaluated_at"),
 )
 USD = "({0} * CASE upper(coalesce(compensation_currency, 'USD')) " + " ".join(f"WHEN '{k}' THEN {n}::DOUBLE" for k, n in C.USD_RATES.items()) + " END)"
 USD_OK = f"(CASE WHEN {USD.format('compensation_max')} >= {C.PAY_FLOOR_USD} THEN {USD.format('compensation_max')} END)"
