@@ -288,21 +288,37 @@ def feed_faults(raw: DataFrame, feeds: dict[str, Feed] = FEEDS) -> DataFrame:
     return read_feeds(raw, feeds).filter("fault IS NOT NULL").groupBy("source", "fault").agg(F.count(F.lit(1)).alias("n"))
 
 
+BLANKS = " \t\n\x0b\f\r"
+
+
 def stripped(html: Column) -> Column:
     """Text of markup: blocks become lines, other tags blanks; entities decoded."""
+    return _tidied(_untagged(html))
+
+
+def _untagged(html: Column) -> Column:
     out = F.regexp_replace(html, r"(?i)</?(?:p|div|h[1-6]|li|ul|ol|br)\b[^>]*>", "\n")
     out = F.regexp_replace(out, "<[^>]*>", " ")
     for entity, char in (("&nbsp;", " "), ("&amp;", "&"), ("&lt;", "<"), ("&gt;", ">"), ("&#39;", "'"), ("&quot;", '"')):
         out = F.replace(out, F.lit(entity), F.lit(char))
-    return F.regexp_replace(F.regexp_replace(F.regexp_replace(out, "[ \t]+", " "), "\n{3,}", "\n\n"), r"^\s+|\s+$", "")
+    return out
+
+
+def _tidied(text: Column) -> Column:
+    """One blank for blanks and tabs in a row, two line ends at most in a row, no space at either end."""
+    out = F.regexp_replace(F.regexp_replace(text, "\t[ \t]*| [ \t]+", " "), "\n{3,}", "\n\n")
+    return F.btrim(out, F.lit(BLANKS))
 
 
 def with_full_text(postings: DataFrame) -> DataFrame:
-    """``description`` (plain text, then stripped markup) and ``full_text``: title and description."""
-    text = F.trim(F.concat_ws(" ", "plain", F.nullif(stripped(F.col("html")), F.lit(""))))
+    """``description`` (plain text, then stripped markup) and ``full_text``: title and description. What is used more than once
+    is a column of its own, so that the markup is gone through once."""
+    staged = postings.withColumn("_told", _tidied(_untagged(F.col("html"))))
+    staged = staged.withColumn("_text", F.trim(F.concat_ws(" ", "plain", F.when(F.col("_told") != "", F.col("_told")))))
+    text = F.col("_text")
     told = (F.col("source") == "smartrecruiters") & F.col("html").isNull()  # a list entry is told by its fields
     full = F.when(told, F.concat_ws(", ", "title", "plain")).otherwise(F.trim(F.concat_ws(" ", "title", text)))
-    return postings.withColumn("full_text", full).withColumn("description", F.when(told, "").otherwise(text))
+    return staged.withColumn("full_text", full).withColumn("description", F.when(told, "").otherwise(text)).drop("_told", "_text")
 
 
 def _names(text: Column, words: list[str]) -> Column:
