@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -139,14 +141,18 @@ def with_places(jobs: DataFrame) -> DataFrame:
     """What the hard checks read of a posting alone, so that it is worked out before postings meet applicants: ``_named``
     (countries of the location), ``_tokens`` (its words), ``_listed`` (countries listed, by code or name), ``_listing`` and
     ``_text`` (there are any), ``_specific``, ``_region`` (first broad region), ``_tag`` (region of the title), ``_fence``
-    (demand of a work permit), ``_welcome`` (contractors from anywhere), ``_senior`` and ``_usd`` (pay)."""
+    (demand of a work permit), ``_welcome`` (contractors from anywhere), ``_senior``, ``_usd`` (pay) and ``_spread`` (a remote
+    location names three places or more; null for one that isn't remote). Patterns of the text are tried only where it holds a
+    string that they need."""
     place, text = F.lower(F.coalesce("location_name", F.lit(""))), F.coalesce("normalized_text", F.lit(""))
     listed = F.coalesce("location_countries", X.no_strings())
-    said = lambda patterns: text.rlike("(?i)" + "|".join(patterns))
-    senior = F.coalesce("title", F.lit("")).rlike(f"(?i){C.SENIOR_TITLE}") | text.rlike(f"(?i){C.SENIOR_TEXT}")
-    return jobs.withColumns(
+    said = lambda patterns: functools.reduce(Column.__or__, [X.said(text, F.col("_low"), f"(?i){p}") for p in patterns])
+    senior = F.coalesce("title", F.lit("")).rlike(f"(?i){C.SENIOR_TITLE}") | said([C.SENIOR_TEXT])
+    staged = jobs.withColumn("_low", F.lower(text)).withColumns({"_fence": said(C.WORK_AUTH_FENCES), "_welcome": said(C.CONTRACTOR_WELCOMES), "_senior": senior}).drop("_low")
+    return staged.withColumns(
         {
             "_named": X.countries_named(place),
+            "_spread": F.when(place.contains("remote"), F.size(F.filter(F.split(place, "[,/]"), lambda x: F.trim(x) != "")) >= 3),
             "_tokens": F.split(F.upper(place), "[^A-Z]+"),
             "_listed": F.array_union(F.transform(listed, F.upper), X.countries_named(F.lower(F.array_join(listed, " ; ")))),
             "_listing": F.size(listed) > 0,
@@ -154,9 +160,6 @@ def with_places(jobs: DataFrame) -> DataFrame:
             "_specific": is_specific(place),
             "_region": F.coalesce(*[F.when(place.contains(r), r) for r in C.BROAD_REGIONS]),
             "_tag": title_region(),
-            "_fence": said(C.WORK_AUTH_FENCES),
-            "_welcome": said(C.CONTRACTOR_WELCOMES),
-            "_senior": senior,
             "_usd": X.to_usd(F.coalesce("compensation_max", "compensation_min"), F.col("compensation_currency")),
         }
     )
@@ -183,7 +186,7 @@ def hard_blockers(pairs: DataFrame, excluded: list[str] | None = None) -> DataFr
     for code in excluded or []:
         bad = bad | F.array_contains("_listed", code) | F.array_contains("_named", code) | (F.lit(code not in C.LOCATION_COUNTRIES) & F.array_contains("_tokens", code))
     permit = listing & remote & ~scope.isin("onsite", "global") & ~allowed & text & ~F.col("_welcome")
-    by_list = F.when(listing & ~text, ~allowed).when(~listing & F.lower(place).contains("remote"), ((F.size(F.filter(F.split(place, "[,/]"), lambda x: F.trim(x) != "")) >= 3) & ~here) | ((first != own) & ~((first == "US") & us_ok)))
+    by_list = F.when(listing & ~text, ~allowed).when(~listing & F.col("_spread").isNotNull(), (F.col("_spread") & ~here) | ((first != own) & ~((first == "US") & us_ok)))
     elsewhere = (open_scope & F.col("_specific")) | ((scope == "global") & first.isNotNull() & (~listing | ~text))
     members = F.create_map(*[x for r, codes in C.REGION_MEMBERS.items() for x in (F.lit(r), X.strings(codes))])
     onsite = (work == "on-site") | (scope == "onsite")

@@ -2,9 +2,27 @@
 
 import re
 
+from matchflow.functions import constants as C
+from matchflow.operators import scoring
 from matchflow.sources import feeds
 
 
+def test_posting_checks_try_patterns_where_the_text_can_match(spark):
+    texts = ["You MUST be  Authorized to work within the EU", "must be here", "work from\nanywhere", "W8BEN or w-8ben", "remote – global", "Senior level expected", "seniorlevel  expected", None, "", "any  country"]
+    places = ["Remote, Rome/Oslo", "remote", "Oslo", None, "Remote / , Rome", "A,B,C", "REMOTE, x, y", " ", "Remote", "remote,,a/b"]
+    jobs = spark.createDataFrame([(i, None, t, p) for i, (t, p) in enumerate(zip(texts, places))], "id int, title string, normalized_text string, location_name string")
+    jobs = jobs.selectExpr("*", "CAST(NULL AS array<string>) AS location_countries", "CAST(NULL AS double) AS compensation_max", "CAST(NULL AS double) AS compensation_min", "CAST(NULL AS string) AS compensation_currency")
+    checked = scoring.with_places(jobs)
+    got = {r.id: r for r in checked.collect()}
+    for i, text in enumerate(texts):
+        found = lambda ps: any(re.search(p, text or "", re.I) for p in ps)  # noqa: B023, E731
+        assert (got[i]._fence, got[i]._welcome, got[i]._senior) == (found(C.WORK_AUTH_FENCES), found(C.CONTRACTOR_WELCOMES), found([C.SENIOR_TEXT])), text
+        place = (places[i] or "").lower()
+        assert got[i]._spread == (len([x for x in re.split("[,/]", place) if x.strip(" ")]) >= 3 if "remote" in place else None), place
+    plan = checked.select("_fence", "_welcome")._jdf.queryExecution().optimizedPlan().toString()
+    assert "Contains(" in plan  # before, every text went through the whole alternation of 8 and of 13 patterns
+
+
 def test_markup_is_gone_through_once(spark):
     htmls = ["<p>a</p><p>b</p>", " \t<b>a</b>\t \tb  <br/>\n\n\n\n\nc&nbsp; ", "<ul><li>x</ul>\n \n", "", None, "a b c", "\x0b\f\ra\tb\n", "&amp;lt; &lt;b&gt;"]
     df = spark.createDataFrame([(h, "lever", "T", p) for h in htmls for p in (None, "", "plain ")], "html string, source string, title string, plain string")
