@@ -152,7 +152,7 @@ query(
 query(
     "pip7_gate_replay",
     f"WITH {PAIRS.replace('m.id AS match_id, j.*', 'm.id AS match_id, m.status AS match_status, j.*')} SELECT match_status, len({BLOCKERS}) = 0 AS passes, count(*) AS n FROM pairs GROUP BY 1, 2",
-    lambda v: jobs.gate_replay(pairs(v).drop("status"), v.match_queue),
+    lambda v: jobs.gate_replay(pairs(v, F.col("status").alias("match_status"))),
 )
 query("pip8_backfill_hash", "SELECT count(*) AS rows_changed FROM job WHERE location_name IS NULL", lambda v: jobs.backfill(v.job, "location_name", F.coalesce("location_name", F.lit("unknown")), "id"))
 query(

@@ -205,7 +205,7 @@ PLACED = f"""placed AS (SELECT *, {named_in(LOW)} AS nd, list_concat(list_transf
     {REGION} AS rg, {TITLE_TAG} AS tr, {SPECIFIC} AS spec, regexp_matches(coalesce(normalized_text, ''), '(?i){"|".join(C.WORK_AUTH_FENCES)}') AS fenced_text, regexp_matches(coalesce(normalized_text, ''), '(?i){"|".join(C.CONTRACTOR_WELCOMES)}') AS welcome,
     regexp_matches(coalesce(title, ''), '(?i){C.SENIOR_TITLE}') OR regexp_matches(coalesce(normalized_text, ''), '(?i){C.SENIOR_TEXT}') AS senior FROM job)"""
 PAIRS = f"{PLACED}, pairs AS (SELECT m.id AS match_id, j.*, a.* FROM match_queue m JOIN placed j ON j.id = m.job_id JOIN applicant a ON a.user_id = m.applicant_id)"
-pairs = lambda v: v.match_queue.select(F.col("id").alias("match_id"), "job_id", "applicant_id").join(sco.with_places(v.job).withColumnRenamed("id", "job_id"), "job_id").join(v.applicant.withColumn("applicant_id", F.col("user_id")), "applicant_id")
+pairs = lambda v, *more: v.match_queue.select(F.col("id").alias("match_id"), "job_id", "applicant_id", *more).join(sco.with_places(v.job).withColumnRenamed("id", "job_id"), "job_id").join(v.applicant.withColumn("applicant_id", F.col("user_id")), "applicant_id")
 LISTED, TEXTED = "len(coalesce(location_countries, [])) > 0", "coalesce(normalized_text, '') <> ''"
 US_OK = "coalesce(list_has_any(preferred_compliance, ['w8ben', 'ic_global']), false)"
 FOREIGN = "NOT list_contains(nd, country)"  # the view's countries are all in the table of names

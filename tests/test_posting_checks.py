@@ -4,6 +4,7 @@ import re
 
 from matchflow.functions import constants as C
 from matchflow.operators import scoring
+from matchflow.plans import jobs as jobs_
 from matchflow.sources import feeds
 
 
@@ -23,6 +24,15 @@ def test_posting_checks_try_patterns_where_the_text_can_match(spark):
     assert "Contains(" in plan  # before, every text went through the whole alternation of 8 and of 13 patterns
 
 
+def test_replay_counts_pairs_with_their_own_status(spark):
+    row = {"match_id": 1, "job_id": 1, "user_id": 1, "title": "Engineer", "normalized_text": "x", "location_name": "Rome", "remote_scope": "global", "workplace_type": "remote", "country": "IT", "years_of_experience": 3, "experience_max_years": 5}
+    rows = [row | {"match_id": i, "match_status": s, "years_of_experience": y} for i, (s, y) in enumerate([("approved", 3), ("approved", 20), ("approved", 3), ("pending", 20), (None, 3)])]
+    pairs = spark.createDataFrame(rows).selectExpr("*", "CAST(NULL AS array<string>) AS location_countries", "CAST(NULL AS array<string>) AS preferred_compliance", "0D AS expected_comp_min", "CAST(NULL AS double) AS compensation_max", "CAST(NULL AS double) AS compensation_min", "CAST(NULL AS string) AS compensation_currency")
+    got = jobs_.gate_replay(pairs)
+    assert {tuple(r) for r in got.collect()} == {("approved", True, 2), ("approved", False, 1), ("pending", False, 1), (None, True, 1)}
+    assert "Join" not in got._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_markup_is_gone_through_once(spark):
     htmls = ["<p>a</p><p>b</p>", " \t<b>a</b>\t \tb  <br/>\n\n\n\n\nc&nbsp; ", "<ul><li>x</ul>\n \n", "", None, "a b c", "\x0b\f\ra\tb\n", "&amp;lt; &lt;b&gt;"]
     df = spark.createDataFrame([(h, "lever", "T", p) for h in htmls for p in (None, "", "plain ")], "html string, source string, title string, plain string")
