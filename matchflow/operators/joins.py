@@ -56,11 +56,12 @@ def match_existing_companies(new: DataFrame, companies: DataFrame) -> DataFrame:
 
 def match_layoffs(layoffs: DataFrame, companies: DataFrame) -> DataFrame:
     """(layoff_id, id): companies whose normalised name equals or contains a layoff's, or stands in it. Layoffs repeat names
-    and come last, so that the pairs of rows are made where they are given out, and not sent."""
+    and come last, so that the pairs of rows are made where they are given out, and not sent. No side is broadcast: names
+    are longer than what Spark takes them for by the size of their files."""
     lay = layoffs.select("layoff_id", normalized_name(F.col("company")).alias("l"))
     com = companies.select("id", normalized_name(F.col("company_name")).alias("r"))
     pairs = names_match(lay.select(F.col("l").alias("name")), com.select(F.col("r").alias("name")))
-    return pairs.join(com, "r").select("l", "id").join(lay, "l").select("layoff_id", "id")
+    return pairs.join(com.hint("merge"), "r").select("l", "id").join(lay.hint("merge"), "l").select("layoff_id", "id")
 
 
 def _names_named(layoffs: DataFrame, companies: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -74,14 +75,14 @@ def _names_named(layoffs: DataFrame, companies: DataFrame) -> tuple[DataFrame, D
 def companies_laid_off(layoffs: DataFrame, companies: DataFrame) -> DataFrame:
     """(id): the companies of ``layoffs_to_demote``, once each, without its pairs."""
     _, com, pairs = _names_named(layoffs, companies)
-    return com.join(pairs.select("hay").distinct(), "hay", "left_semi").select("id").distinct()
+    return com.join(pairs.select("hay").distinct().hint("merge"), "hay", "left_semi").select("id").distinct()
 
 
 def layoffs_to_demote(layoffs: DataFrame, companies: DataFrame) -> DataFrame:
     """(layoff_id, id): companies whose own name in lower case (whole, or canonical) contains the normalised name of a
     layoff. The suffixes of the company's name stay, so that this finds other pairs than ``match_layoffs``."""
     lay, com, pairs = _names_named(layoffs, companies)
-    return pairs.join(com, "hay").select("needle", "id").distinct().join(lay.distinct(), "needle").select("layoff_id", "id")
+    return pairs.join(com.hint("merge"), "hay").select("needle", "id").distinct().join(lay.distinct().hint("merge"), "needle").select("layoff_id", "id")
 
 
 def enrich_company_size(companies: DataFrame, registry: DataFrame) -> DataFrame:

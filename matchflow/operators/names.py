@@ -10,6 +10,8 @@ from matchflow.functions import exprs as X
 #: Characters of an index key, by the shortest name that it serves: names of 2 are keys themselves.
 KEY_SIZES = (2, 3, 6)
 MIN_NAME = 2
+#: Pieces are told apart by so many slots before they are sent: a bounded table, which lets all pass when it is full.
+SLOTS = 1 << 17
 
 
 def normalized_name(name: Column) -> Column:
@@ -33,21 +35,27 @@ def contained(needles: DataFrame, hays: DataFrame) -> DataFrame:
     use. Both sides meet in an equi-join on the piece and are verified. A piece that many names share is the key of such
     names only as have nothing rarer, and these names do have that many candidates. Pieces travel once for each distinct
     name, however many rows have it.
+
+    Only the slots of pieces, which are bounded, are broadcast. Spark takes a name that is exploded into its pieces for one
+    row, and so would broadcast whole indexes; the other joins are asked to merge.
     """
     tidy = lambda df: df.filter(F.length("name") >= MIN_NAME).select("name").distinct()
-    name = F.col("name")
+    name, slot = F.col("name"), F.pmod(F.xxhash64("piece"), F.lit(SLOTS)).cast("int").alias("slot")
+    slots = lambda df: F.broadcast(df.select(slot).distinct().withColumn("seen", F.lit(True)))
     own_pieces = F.lit(None)
     for size in KEY_SIZES:
         own_pieces = F.when(F.length(name) >= size, grams(name, size)).otherwise(own_pieces)
     # a piece's length tells its size apart, so that all sizes share one index
     index = tidy(hays).select("name", F.explode(F.concat(*[F.coalesce(grams(name, size), X.no_strings()) for size in KEY_SIZES])).alias("piece"))
     asked = tidy(needles).select("name", F.explode(own_pieces).alias("piece"))
-    index = index.join(asked.select("piece").distinct(), "piece", "left_semi")  # others are no key: most, if the first side is small
+    # a name with a piece that no name of the other side has is contained in none of them: most go by their slots, unsent
+    known = asked.select("name", slot).join(slots(index), "slot", "left").groupBy("name").agg(F.every(F.col("seen").isNotNull()).alias("known"))
+    asked = known.filter("known").select("name", F.explode(own_pieces).alias("piece"))
+    index = index.select("name", "piece", slot).join(slots(asked), "slot", "left_semi").drop("slot")  # others are no key: most, if the first side is small
     count = index.groupBy("piece").agg(F.count(F.lit(1)).alias("n"))
-    # a name with a piece that no name of the other side has is contained in none of them
-    own = asked.join(count, "piece", "left").groupBy("name")
+    own = asked.join(count.hint("merge"), "piece", "left").groupBy("name")
     key = own.agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "piece")).alias("k")).filter("k.n > 0")
-    hit = key.select(name.alias("needle"), "k.piece").join(index.withColumnRenamed("name", "hay"), "piece")
+    hit = key.select(name.alias("needle"), "k.piece").join(index.withColumnRenamed("name", "hay").hint("merge"), "piece")
     return hit.filter(F.contains("hay", "needle")).select("needle", "hay")  # a name has one key, another a piece once: no repeats
 
 

@@ -73,3 +73,20 @@ def test_pairs_of_layoffs_and_companies_are_made_by_the_last_join(spark):
     sent = joins.match_layoffs(layoffs, companies)._jdf.queryExecution().optimizedPlan().toString()
     last = next(line for line in sent.splitlines() if "Join" in line)  # the outermost
     assert "(l#" in last
+
+
+def test_sides_of_name_joins_are_not_broadcast(spark):
+    layoffs = spark.range(30).selectExpr("id AS layoff_id", "concat('Acme ', id, ' Labs') AS company")
+    companies = spark.range(40).selectExpr("id", "concat('Acme ', id, ' Labs Inc.') AS company_name", "cast(null AS string) AS canonical_name")
+    for df in (joins.match_layoffs(layoffs, companies), joins.layoffs_to_demote(layoffs, companies), joins.companies_laid_off(layoffs, companies)):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        sent = [line for line in plan.splitlines() if "BroadcastHashJoin" in line]
+        assert sent and all("[slot#" in line for line in sent)  # slots are bounded, names are not
+
+
+def test_full_slots_lose_no_names(spark, monkeypatch):
+    left, right = ([f"{p}{i} labs" for i in range(40)] for p in ("", "new 1"))
+    want = {(a, b) for a in left for b in right if a in b}
+    for slots in (1, 7):
+        monkeypatch.setattr(names, "SLOTS", slots)
+        assert pairs(names.contained(table(spark, left), table(spark, right))) == want and len(want) > 40
