@@ -104,10 +104,10 @@ def apply_quality_tiers(scored: DataFrame, as_of: str) -> DataFrame:
 
 
 def demote_layoffs(companies: DataFrame, hits: DataFrame) -> DataFrame:
-    """Hot, polled companies that a layoff names are active from now on."""
+    """Hot, polled companies that a layoff names are active from now on. As many as are named may be laid off, so that they merge."""
     laid = hits.select("id").distinct().withColumn("laid", F.lit(True))
     down = F.col("laid") & (F.col("tier") == "active_hot") & F.col("polling_enabled")
-    return companies.join(laid, "id", "left").withColumn("new_tier", F.when(down, "active").otherwise(F.col("tier"))).drop("laid")
+    return companies.join(laid.hint("merge"), "id", "left").withColumn("new_tier", F.when(down, "active").otherwise(F.col("tier"))).drop("laid")
 
 
 def failure_runs(log: DataFrame) -> DataFrame:

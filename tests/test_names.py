@@ -3,7 +3,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from matchflow.operators import joins, names
+from matchflow.operators import joins, names, upserts
 
 
 def table(spark, values):
@@ -90,3 +90,12 @@ def test_full_slots_lose_no_names(spark, monkeypatch):
     for slots in (1, 7):
         monkeypatch.setattr(names, "SLOTS", slots)
         assert pairs(names.contained(table(spark, left), table(spark, right))) == want and len(want) > 40
+
+
+def test_laid_off_companies_are_not_broadcast(spark):
+    layoffs = spark.range(30).selectExpr("id AS layoff_id", "concat('Acme ', id, ' Labs') AS company")
+    companies = spark.range(40).selectExpr("id", "concat('Acme ', id, ' Labs') AS company_name", "cast(null AS string) AS canonical_name", "'active_hot' AS tier", "id % 2 = 0 AS polling_enabled")
+    df = upserts.demote_layoffs(companies, joins.companies_laid_off(layoffs, companies))
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert all("[slot#" in line for line in plan.splitlines() if "BroadcastHashJoin" in line)
+    assert {r["id"] for r in df.filter("new_tier = 'active'").collect()} == set(range(0, 30, 2))
